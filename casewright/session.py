@@ -39,6 +39,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current.get()
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m", rows: int = 2000) -> None:
+    """Arrow batches of a few megabytes, so that what Python workers and their JVM side hold doesn't depend on text lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that lost executors don't force a replay."""
     checkpoint_dir(df.sparkSession)
