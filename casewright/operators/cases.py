@@ -125,13 +125,18 @@ def audit(cases: DataFrame) -> DataFrame:
     return flagged.select("case_id", "flagged", F.explode(F.array_compact(entries)).alias("c")).select("case_id", "flagged", "c.*")
 
 
-def verdicts(cases: DataFrame) -> DataFrame:
-    """(case_id, verdict, n_failed) of every case, without exploding: counts of failed checks by projection."""
+def with_verdict(cases: DataFrame) -> DataFrame:
+    """Adds ``verdict`` and ``n_failed``, without exploding: failed checks are counted by projection."""
     flagged = cases.withColumn("flagged", F.expr(FLAGGED_RULE))
     fails = lambda hard: sum((F.expr(f"CASE WHEN ({a}) AND NOT coalesce(({h}), false) THEN 1 ELSE 0 END") for _, k, a, h in AUDIT_CHECKS if k is hard), F.lit(0))
-    counted = flagged.select("case_id", "flagged", fails(True).alias("n_hard"), fails(False).alias("n_soft"))
+    counted = flagged.withColumns({"n_hard": fails(True), "n_soft": fails(False)})
     verdict = F.when(F.col("n_hard") > 0, "reject").when(F.col("flagged") | (F.col("n_soft") > 0), "review").otherwise("approve")
-    return counted.select("case_id", verdict.alias("verdict"), (F.col("n_hard") + F.col("n_soft")).cast("bigint").alias("n_failed"))
+    return counted.withColumns({"verdict": verdict, "n_failed": (F.col("n_hard") + F.col("n_soft")).cast("bigint")}).drop("flagged", "n_hard", "n_soft")
+
+
+def verdicts(cases: DataFrame) -> DataFrame:
+    """(case_id, verdict, n_failed) of every case."""
+    return with_verdict(cases).select("case_id", "verdict", "n_failed")
 
 
 def route(cases: DataFrame) -> DataFrame:

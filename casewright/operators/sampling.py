@@ -103,7 +103,7 @@ def _tie(seed: str, row: str, column: str) -> int:
 def round_matrix(counts: dict[str, int], seed: str) -> dict[str, tuple[int, ...]]:
     """Whole numbers near count * unit / 20 for each row, with exact row sums and column sums.
 
-    Column sums are the rounded shares of the whole. Rows are taken in order of
+    Column sums are the shares of the whole by largest remainders. Rows are taken in order of
     their names; a table over the columns' remaining deficits keeps the greatest
     sum of remainders that were rounded up, ties by seeded hash.
     """
@@ -112,7 +112,8 @@ def round_matrix(counts: dict[str, int], seed: str) -> dict[str, tuple[int, ...]
     exact = {n: [Fraction(counts[n] * u, sum(UNITS)) for u in UNITS] for n in names}
     floors = {n: [int(x) for x in exact[n]] for n in names}
     goal = [total * u // sum(UNITS) for u in UNITS]
-    goal[0] += total - sum(goal)
+    for j in sorted(range(3), key=lambda j: (-(total * UNITS[j] % sum(UNITS)), j))[: total - sum(goal)]:
+        goal[j] += 1
     need = tuple(goal[j] - sum(floors[n][j] for n in names) for j in range(3))
     state: dict[tuple[int, ...], tuple[Fraction, int, tuple]] = {need: (Fraction(0), 0, ())}
     for n in names:

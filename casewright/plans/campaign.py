@@ -12,7 +12,7 @@ from casewright.session import table
 from .views import sql, v_attempt, v_doc, v_manifest
 
 R = lambda c: F.round(c, 6)
-N = F.count(F.lit(1)).alias("n")
+N = lambda: F.count(F.lit(1)).alias("n")
 LATEST_SQL = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY seq DESC) AS rn FROM v_attempt) WHERE rn = 1"
 
 
@@ -71,12 +71,12 @@ def _manifest_violations(s, d):
 def _label_rows(s, d):
     c = table(s, d, "customer").select(F.lit("customer").alias("dataset"), F.when(F.col("c_acctbal") < 0, "attack").when(F.col("c_acctbal") < 1000, None).otherwise("normal").alias("cls"))
     p = table(s, d, "supplier").select(F.lit("supplier").alias("dataset"), F.when(F.col("s_acctbal") < 0, "attack").otherwise("normal").alias("cls"))
-    return c.unionByName(p, allowMissingColumns=True).where("cls is not null").groupBy("dataset", "cls").agg(N)
+    return c.unionByName(p, allowMissingColumns=True).where("cls is not null").groupBy("dataset", "cls").agg(N())
 
 
 def _composition(s, d):
     parts = [table(s, d, t).select(F.lit(t).alias("source")) for t in ("customer", "supplier", "part")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("source").agg(N)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("source").agg(N())
 
 
 def _recover(s, d):
@@ -84,12 +84,12 @@ def _recover(s, d):
     asked = s.range(0, 4000, 7).select(F.col("id").alias("c_custkey"))
     rows = table(s, d, "customer").select("c_custkey", "c_mktsegment", F.left(F.sha2("c_name", 256), F.lit(1)).alias("h"))
     state = F.when(F.col("c_mktsegment").isNull(), "missing").when(F.col("h") < "8", "verified").otherwise("hash_mismatch")
-    return asked.join(rows, "c_custkey", "left").groupBy(state.alias("state")).agg(N)
+    return asked.join(rows, "c_custkey", "left").groupBy(state.alias("state")).agg(N())
 
 
 def _protocol(s, d):
     e = table(s, d, "events").select("event_id", F.coalesce(F.when(F.col("event_id") % 3 == 0, F.lower("event_type")), F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("p"), F.regexp_extract("props", "([0-9]+)", 1)))).alias("proto"))
-    return e.groupBy(F.coalesce("proto", F.lit("(none)")).alias("proto")).agg(N)
+    return e.groupBy(F.coalesce("proto", F.lit("(none)")).alias("proto")).agg(N())
 
 
 def _candidates(s, d):
@@ -109,7 +109,7 @@ def _sidecar(s, d):
     docs = v_doc(s, d)
     gone = C.removed_groups(docs).select("fp", "reason")
     mapped = docs.withColumn("status", F.when(F.col("label").isNull(), "rejected").otherwise("mapped"))
-    return mapped.join(gone, "fp", "left").groupBy("status", F.coalesce("reason", F.lit("kept")).alias("outcome")).agg(N)
+    return mapped.join(gone, "fp", "left").groupBy("status", F.coalesce("reason", F.lit("kept")).alias("outcome")).agg(N())
 
 
 def _universe(s, d):
@@ -127,7 +127,7 @@ def _cross_class(s, d):
 def _parse_status(s, d):
     a = v_attempt(s, d)
     status = F.when(F.get_json_object("props", "$.k").isNull(), "corrupt").when(~F.col("ok"), "failed").when(F.col("llm"), "model").otherwise("fallback")
-    return a.groupBy(status.alias("status")).agg(N)
+    return a.groupBy(status.alias("status")).agg(N())
 
 
 def _system_audit(s, d):
@@ -148,10 +148,10 @@ DOC_GROUPS = "g AS (SELECT fp, count(*) AS n, min(doc_id) AS keeper, min(split)
 ALL = {
     "attempts_parse_status": (_parse_status, sql("SELECT CASE WHEN NOT regexp_matches(props, '\"k\": ?[0-9]') THEN 'corrupt' WHEN NOT ok THEN 'failed' WHEN llm THEN 'model' ELSE 'fallback' END AS status, count(*) AS n FROM v_attempt GROUP BY 1")),
     "jsonl_offset_limit": (_offset_limit, sql("SELECT seq, state FROM v_attempt WHERE seq >= 100 AND seq % 7 <> 0 ORDER BY seq LIMIT 50")),
-    "orphan_attempts": (lambda s, d: C.orphans(v_attempt(s, d), _known(s, d)).groupBy("manifest_id").agg(N), sql("SELECT manifest_id, count(*) AS n FROM v_attempt WHERE manifest_id NOT IN (SELECT manifest_id FROM v_manifest WHERE manifest_id % 3 <> 0) GROUP BY 1")),
+    "orphan_attempts": (lambda s, d: C.orphans(v_attempt(s, d), _known(s, d)).groupBy("manifest_id").agg(N()), sql("SELECT manifest_id, count(*) AS n FROM v_attempt WHERE manifest_id NOT IN (SELECT manifest_id FROM v_manifest WHERE manifest_id % 3 <> 0) GROUP BY 1")),
     "latest_attempt": (lambda s, d: C.latest(v_attempt(s, d), ["manifest_id"]).select("manifest_id", "seq", "state", R("latency").alias("latency")), sql(f"SELECT manifest_id, seq, state, round(latency, 6) AS latency FROM ({LATEST_SQL})")),
     "latest_valid_by_backend": (lambda s, d: C.latest(v_attempt(s, d), ["manifest_id", "provider"], where=F.col("ok") & F.col("llm")).select("manifest_id", "provider", "seq"), sql("SELECT manifest_id, provider, max(seq) AS seq FROM v_attempt WHERE ok AND llm GROUP BY 1, 2")),
-    "campaign_status": (lambda s, d: C.terminal_state(v_attempt(s, d)).groupBy("state").agg(N, F.sum("n_attempts").alias("n_attempts")), sql("SELECT state, count(*) AS n, CAST(sum(k) AS BIGINT) AS n_attempts FROM (SELECT manifest_id, CASE WHEN bool_or(ok AND llm) THEN 'success' ELSE arg_max(state, seq) END AS state, count(*) AS k FROM v_attempt GROUP BY 1) GROUP BY 1")),
+    "campaign_status": (lambda s, d: C.terminal_state(v_attempt(s, d)).groupBy("state").agg(N(), F.sum("n_attempts").alias("n_attempts")), sql("SELECT state, count(*) AS n, CAST(sum(k) AS BIGINT) AS n_attempts FROM (SELECT manifest_id, CASE WHEN bool_or(ok AND llm) THEN 'success' ELSE arg_max(state, seq) END AS state, count(*) AS k FROM v_attempt GROUP BY 1) GROUP BY 1")),
     "cache_insert_first_wins": (_cache, sql("SELECT manifest_id, state, seq, round(latency, 6) AS latency FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id, state ORDER BY seq) AS rn FROM v_attempt WHERE ok) WHERE rn = 1")),
     "cache_lookup": (_cache_lookup, sql("SELECT a.state, count(*) AS n, count(c.hit) AS n_hit, count(DISTINCT c.hit) AS n_entries FROM v_attempt a LEFT JOIN (SELECT manifest_id, state, min(seq) AS hit FROM v_attempt WHERE ok AND seq % 2 = 0 GROUP BY 1, 2) c ON a.manifest_id = c.manifest_id AND a.state = c.state GROUP BY 1")),
     "distinct_misses": (lambda s, d: v_attempt(s, d).where("not ok or not llm").select("manifest_id", "provider").dropDuplicates(), sql("SELECT DISTINCT manifest_id, provider FROM v_attempt WHERE NOT (ok AND llm)")),
@@ -160,7 +160,7 @@ ALL = {
     "latency_percentiles": (_lat, sql("SELECT provider, count(*) AS n, round(avg(latency), 6) AS mean, round(min(latency), 6) AS lo, round(quantile_cont(latency, 0.05), 6) AS p05, round(quantile_cont(latency, 0.5), 6) AS median, round(quantile_cont(latency, 0.95), 6) AS p95, round(max(latency), 6) AS hi FROM v_attempt GROUP BY 1")),
     "live_run_summary": (_live, sql("SELECT count(*) AS n, count(*) FILTER (ok) AS n_ok, count(*) FILTER (ok AND llm) AS n_model, round(count(*) FILTER (ok AND llm) / count(*), 6) AS micro_coverage, round(avg(confidence), 6) AS mean_confidence, round(min(latency), 6) AS latency_min, round(quantile_cont(latency, 0.5), 6) AS latency_median, round(quantile_cont(latency, 0.95), 6) AS latency_p95, round(max(latency), 6) AS latency_max FROM v_attempt")),
     "campaign_join": (lambda s, d: C.campaign_join(v_manifest(s, d), v_attempt(s, d), "Alpha").select("manifest_id", "class", "origin", "split", "seq", "confidence"), sql("SELECT m.manifest_id, class, origin, split, seq, confidence FROM v_manifest m JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY seq DESC) AS rn FROM v_attempt WHERE ok AND llm AND provider = 'alpha') WHERE rn = 1) a ON m.manifest_id = a.manifest_id")),
-    "unmatched_reason": (lambda s, d: C.unmatched_reason(v_manifest(s, d), v_attempt(s, d).where("seq % 3 = 0"), "alpha").groupBy("reason").agg(N), sql("SELECT CASE WHEN mine = 1 THEN 'usable' WHEN mine = 0 THEN 'provider_mismatch' ELSE 'missing' END AS reason, count(*) AS n FROM v_manifest m LEFT JOIN (SELECT manifest_id, max(CAST(provider = 'alpha' AS INT)) AS mine FROM v_attempt WHERE ok AND llm AND seq % 3 = 0 GROUP BY 1) a ON m.manifest_id = a.manifest_id GROUP BY 1")),
+    "unmatched_reason": (lambda s, d: C.unmatched_reason(v_manifest(s, d), v_attempt(s, d).where("seq % 3 = 0"), "alpha").groupBy("reason").agg(N()), sql("SELECT CASE WHEN mine = 1 THEN 'usable' WHEN mine = 0 THEN 'provider_mismatch' ELSE 'missing' END AS reason, count(*) AS n FROM v_manifest m LEFT JOIN (SELECT manifest_id, max(CAST(provider = 'alpha' AS INT)) AS mine FROM v_attempt WHERE ok AND llm AND seq % 3 = 0 GROUP BY 1) a ON m.manifest_id = a.manifest_id GROUP BY 1")),
     "pending_work": (lambda s, d: C.pending(v_manifest(s, d), v_attempt(s, d), retry_failures=True).select("manifest_id"), sql("SELECT manifest_id FROM v_manifest WHERE manifest_id NOT IN (SELECT manifest_id FROM v_attempt WHERE ok AND llm)")),
     "quality_report": (_quality, sql(f", j AS (SELECT m.*, a.seq, a.ok, a.llm, a.confidence FROM v_manifest m LEFT JOIN ({LATEST_SQL}) a ON m.manifest_id = a.manifest_id) SELECT coalesce(origin, '(all)') AS origin, count(*) AS n_manifests, count(seq) AS n_attempted, count(*) FILTER (ok AND llm) AS n_model_ok, count(*) FILTER (seq IS NOT NULL AND NOT ok) AS n_failed, count(*) FILTER (is_attack) AS n_attack, count(DISTINCT class) AS n_classes, round(avg(confidence), 6) AS mean_confidence, round(min(confidence), 6) AS min_confidence, round(max(confidence), 6) AS max_confidence, round(count(seq) / count(*), 6) AS coverage, round(coalesce(count(*) FILTER (ok AND llm) / nullif(count(seq), 0), 0), 6) AS success_ratio FROM j GROUP BY ROLLUP (origin)")),
     "corpus_composition": (_composition, "SELECT 'customer' AS source, count(*) AS n FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'part', count(*) FROM part"),
@@ -175,9 +175,9 @@ ALL = {
     "class_availability": (lambda s, d: v_doc(s, d).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fp").alias("n_distinct")), sql("SELECT dataset, count(*) AS n, count(DISTINCT fp) AS n_distinct FROM v_doc GROUP BY 1")),
     "mapping_report": (_mapping, sql(", m AS (SELECT *, CASE WHEN class IN ('BUILDING', 'MACHINERY') THEN 'exact' WHEN class = 'FURNITURE' THEN 'forced' ELSE 'ambiguous' END AS status FROM v_manifest) SELECT status, origin, class, count(*) AS n, CAST(GROUPING(status, origin, class) AS BIGINT) AS level FROM m GROUP BY GROUPING SETS ((status), (origin, class), (status, class))")),
     "mapping_sidecar": (_sidecar, sql(f", {DOC_GROUPS} SELECT CASE WHEN label IS NULL THEN 'rejected' ELSE 'mapped' END AS status, CASE WHEN conflict THEN 'conflicting_labels' WHEN cross_split THEN 'cross_split' WHEN g.n > 1 THEN 'same_split_duplicate' ELSE 'kept' END AS outcome, count(*) AS n FROM v_doc JOIN g USING (fp) GROUP BY 1, 2")),
-    "rejected_support": (lambda s, d: v_doc(s, d).where("label is null").groupBy("dataset", "source", "split", F.when(F.col("n_chars") > 2000, "long").otherwise("short").alias("size")).agg(N), sql("SELECT dataset, source, split, CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END AS size, count(*) AS n FROM v_doc WHERE label IS NULL GROUP BY ALL")),
+    "rejected_support": (lambda s, d: v_doc(s, d).where("label is null").groupBy("dataset", "source", "split", F.when(F.col("n_chars") > 2000, "long").otherwise("short").alias("size")).agg(N()), sql("SELECT dataset, source, split, CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END AS size, count(*) AS n FROM v_doc WHERE label IS NULL GROUP BY ALL")),
     "holdout_overlap": (lambda s, d: v_doc(s, d).where("split = 'train'").select("fp").distinct().join(v_doc(s, d).where("split = 'test'").select("fp").distinct(), "fp", "left_semi").agg(F.count(F.lit(1)).alias("n_overlap")), sql("SELECT count(*) AS n_overlap FROM (SELECT fp FROM v_doc WHERE split = 'train' INTERSECT SELECT fp FROM v_doc WHERE split = 'test')")),
-    "curated_exclusion": (lambda s, d: v_manifest(s, d).join(F.broadcast(s.range(0, 300, 11).select(F.col("id").alias("manifest_id"))), "manifest_id", "left_anti").groupBy("class").agg(N), sql("SELECT class, count(*) AS n FROM v_manifest WHERE manifest_id NOT IN (SELECT range FROM range(0, 300, 11)) GROUP BY 1")),
+    "curated_exclusion": (lambda s, d: v_manifest(s, d).join(F.broadcast(s.range(0, 300, 11).select(F.col("id").alias("manifest_id"))), "manifest_id", "left_anti").groupBy("class").agg(N()), sql("SELECT class, count(*) AS n FROM v_manifest WHERE manifest_id NOT IN (SELECT range FROM range(0, 300, 11)) GROUP BY 1")),
     "unused_records": (lambda s, d: v_manifest(s, d).select("manifest_id").exceptAll(v_attempt(s, d).select("manifest_id").distinct()), sql("SELECT manifest_id FROM v_manifest EXCEPT SELECT manifest_id FROM v_attempt")),
     "dedup_strict": (lambda s, d: C.dedup_strict(v_doc(s, d)), sql("SELECT dataset, fp, outcome, CASE WHEN outcome = 'kept' THEN keeper END AS keeper FROM (SELECT dataset, fp, min(doc_id) AS keeper, CASE WHEN coalesce(min(label) <> max(label), false) THEN 'violation' WHEN min(split) <> max(split) THEN 'dropped' ELSE 'kept' END AS outcome FROM v_doc GROUP BY 1, 2)")),
     "dedup_labelled": (lambda s, d: C.dedup_labelled(v_doc(s, d)), sql(f", {DOC_GROUPS} SELECT keeper AS doc_id FROM g WHERE NOT cross_split AND NOT conflict")),

@@ -9,12 +9,12 @@ from casewright.functions.taxonomy import TYPES_16, VERSION_16
 from casewright.operators import campaign as C
 from casewright.operators import cases as K
 from casewright.operators import catalog as G
-from casewright.session import table
+from casewright.session import cut, table
 
 from .views import TRACE_SQL, sql, v_case, v_cat, v_trace
 
 R = lambda c: F.round(c, 6)
-N = F.count(F.lit(1)).alias("n")
+N = lambda: F.count(F.lit(1)).alias("n")
 _D = lambda x: f"CAST({x} AS DOUBLE)"
 
 #: Facts of a flat case by its number k: the same SQL expressions for both engines, in order of use.
@@ -105,10 +105,8 @@ MUTATIONS = (
 
 
 def control_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Typed, completed cases that the auditor approves."""
-    j = judged_cases(spark, d)
-    good = K.verdicts(j).where("verdict = 'approve'").select("case_id")
-    return j.where("is_malicious and status = 'completed'").join(good, "case_id", "left_semi")
+    """Typed, completed cases that the auditor approves; written out, so that later edits start from plain columns."""
+    return cut(K.with_verdict(judged_cases(spark, d))).where("verdict = 'approve' and is_malicious and status = 'completed'")
 
 
 def _mutations(spark, d):
@@ -171,7 +169,7 @@ def _stage_order(s, d):
 
 def _latency(s, d):
     t = _seq(s, d).withColumn("gap_ms", (F.lead("started_us").over(Window.partitionBy("case_id").orderBy("seq")) - F.col("started_us")) / 1000)
-    return t.groupBy("stage").agg(N, F.count("gap_ms").alias("n_closed"), R(F.sum("gap_ms") / 1000000).alias("total_ks"), R(F.max("gap_ms")).alias("max_ms"))
+    return t.groupBy("stage").agg(N(), F.count("gap_ms").alias("n_closed"), R(F.sum("gap_ms") / 1000000).alias("total_ks"), R(F.max("gap_ms")).alias("max_ms"))
 
 
 def _similar(s, d):
@@ -195,7 +193,7 @@ def _standardize(s, d):
     c = v_case(s, d).withColumn("content", F.sha2(F.concat_ws("|", "profile", "type", F.floor(F.col("price") / 10000).cast("string")), 256))
     cached = c.where("case_id % 4 = 0").select("content").distinct().withColumn("in_cache", F.lit(True))
     met = c.join(cached, "content", "left").withColumn("hit", F.coalesce("in_cache", F.lit(False)))
-    return met.groupBy("profile").agg(N, F.count_if("hit").alias("n_hit"), F.countDistinct(F.when(~F.col("hit"), F.col("content"))).alias("n_scored"))
+    return met.groupBy("profile").agg(N(), F.count_if("hit").alias("n_hit"), F.countDistinct(F.when(~F.col("hit"), F.col("content"))).alias("n_scored"))
 
 
 def _bases(s, d):
@@ -271,14 +269,14 @@ def _coverage_both(s, d):
     b = v_cat(s, d).where("item_id % 4 <> 0").select("item_id", F.when(F.col("item_id") % 50 == 1, F.lower("type")).otherwise(F.col("type")).alias("r_type"), F.when(F.col("item_id") % 35 == 2, F.col("size") + 1).otherwise(F.col("size")).alias("r_size"))
     j = a.join(b, "item_id", "full_outer")
     code = F.when(F.col("r_type").isNull(), "reference_missing").when(F.col("type").isNull(), "candidate_missing").when(F.col("type") != F.col("r_type"), "type_mismatch").when(F.col("size") != F.col("r_size"), "size_mismatch").otherwise("ok")
-    return j.groupBy(code.alias("code")).agg(N)
+    return j.groupBy(code.alias("code")).agg(N())
 
 
 def _batches(s, d):
     """Two reference batches in one, ids that are in both reported."""
     a = v_cat(s, d).where("item_id % 5 = 0").select("item_id", F.lit("b1").alias("batch"))
     b = v_cat(s, d).where("item_id % 7 = 0").select("item_id", F.lit("b2").alias("batch"))
-    return a.unionByName(b).groupBy("item_id").agg(N, F.min("batch").alias("first_batch"), (F.count(F.lit(1)) > 1).alias("duplicate"))
+    return a.unionByName(b).groupBy("item_id").agg(N(), F.min("batch").alias("first_batch"), (F.count(F.lit(1)) > 1).alias("duplicate"))
 
 
 def _candidates(s, d):
@@ -290,20 +288,20 @@ def _mitigate(s, d):
     """Benign cases pass by, missing and unknown types are reviewed, others get their catalog entry."""
     j = flat_cases(s, d)
     state = F.when(~F.coalesce("is_malicious", F.lit(False)), "benign_bypass").when(F.col("cls_type").isNull(), "type_missing").when(~F.col("cls_type").isin(*TYPES_16), "catalog_miss").otherwise("catalog")
-    return j.groupBy(state.alias("state"), F.when(state == "catalog", F.col("cls_type")).alias("attack_type")).agg(N, F.count_if(F.col("exp_review")).alias("n_review"))
+    return j.groupBy(state.alias("state"), F.when(state == "catalog", F.col("cls_type")).alias("attack_type")).agg(N(), F.count_if(F.col("exp_review")).alias("n_review"))
 
 
 PATH_SQL = f"concat_ws('>', 'standardize', CASE WHEN g1 THEN 'detect' END, CASE WHEN g1 AND g2 THEN 'classify' END, CASE WHEN g1 AND g2 AND cls_present AND coalesce(cls_type, '') IN ({', '.join(repr(t) for t in TYPES_16)}) THEN 'explain' END, 'judge')"
 MITIGATE = f"CASE WHEN NOT coalesce(is_malicious, false) THEN 'benign_bypass' WHEN cls_type IS NULL THEN 'type_missing' WHEN cls_type NOT IN ({', '.join(repr(t) for t in TYPES_16)}) THEN 'catalog_miss' ELSE 'catalog' END"
 
 ALL = {
-    "case_status_counts": (lambda s, d: judged_cases(s, d).groupBy("status", "judge_action").agg(N, F.sum("n_issues").alias("n_issues")), sql(f", {JUDGED_SQL} SELECT status, judge_action, count(*) AS n, CAST(sum(CASE WHEN issues = '' THEN 0 ELSE len(string_split(issues, ',')) END) AS BIGINT) AS n_issues FROM fc GROUP BY 1, 2")),
+    "case_status_counts": (lambda s, d: judged_cases(s, d).groupBy("status", "judge_action").agg(N(), F.sum("n_issues").alias("n_issues")), sql(f", {JUDGED_SQL} SELECT status, judge_action, count(*) AS n, CAST(sum(CASE WHEN issues = '' THEN 0 ELSE len(string_split(issues, ',')) END) AS BIGINT) AS n_issues FROM fc GROUP BY 1, 2")),
     "stage_judge": (lambda s, d: judged_cases(s, d).select("case_id", "issues", "judge_action", F.col("judge_label").alias("label"), R("judge_confidence").alias("confidence")), sql(f", {JUDGED_SQL} SELECT case_id, issues, judge_action, judge_label AS label, round(judge_confidence, 6) AS confidence FROM fc")),
     "audit_checks": (lambda s, d: K.audit(judged_cases(s, d)).select("case_id", "check_name", "passed", "hard"), sql(f", {JUDGED_SQL} {AUDIT_SQL}")),
     "audit_verdict": (lambda s, d: K.verdicts(judged_cases(s, d)), sql(f", {VERDICT_SQL} SELECT * FROM vc")),
-    "audit_batch": (lambda s, d: K.verdicts(judged_cases(s, d)).groupBy("verdict").agg(N, (F.col("verdict") != "reject").alias("valid")), sql(f", {VERDICT_SQL} SELECT verdict, count(*) AS n, verdict <> 'reject' AS valid FROM vc GROUP BY 1")),
+    "audit_batch": (lambda s, d: K.verdicts(judged_cases(s, d)).groupBy("verdict").agg(N(), (F.col("verdict") != "reject").alias("valid")), sql(f", {VERDICT_SQL} SELECT verdict, count(*) AS n, verdict <> 'reject' AS valid FROM vc GROUP BY 1")),
     "mutation_detection": (_mutations, sql(_mutation_sql())),
-    "case_route": (lambda s, d: K.route(flat_cases(s, d)).groupBy("path").agg(N), sql(f", {FLAT_SQL} SELECT {PATH_SQL} AS path, count(*) AS n FROM (SELECT *, NOT ingest_abstain AND coalesce(mapping_confidence, 0) >= {_D(0.5)} AS g1, NOT det_abstain AND coalesce(is_malicious, false) AS g2 FROM flat) GROUP BY 1")),
+    "case_route": (lambda s, d: K.route(flat_cases(s, d)).groupBy("path").agg(N()), sql(f", {FLAT_SQL} SELECT {PATH_SQL} AS path, count(*) AS n FROM (SELECT *, NOT ingest_abstain AND coalesce(mapping_confidence, 0) >= {_D(0.5)} AS g1, NOT det_abstain AND coalesce(is_malicious, false) AS g2 FROM flat) GROUP BY 1")),
     "case_projection": (_projection, sql(f", {JUDGED_SQL} SELECT case_id, status, CASE WHEN NOT det_abstain THEN is_malicious END AS is_malicious, judge_label AS label, round(judge_confidence, 6) AS confidence, CASE WHEN is_malicious AND NOT det_abstain THEN cls_type END AS attack_type FROM fc")),
     "stage_standardize": (_standardize, sql(", c AS (SELECT *, sha256(profile || '|' || type || '|' || CAST(floor(price / 10000) AS BIGINT)) AS content FROM v_case), h AS (SELECT DISTINCT content FROM c WHERE case_id % 4 = 0) SELECT profile, count(*) AS n, count(h.content) AS n_hit, count(DISTINCT CASE WHEN h.content IS NULL THEN c.content END) AS n_scored FROM c LEFT JOIN h ON c.content = h.content GROUP BY 1")),
     "stage_mitigate": (_mitigate, sql(f", {FLAT_SQL} SELECT state, CASE WHEN state = 'catalog' THEN cls_type END AS attack_type, count(*) AS n, count(*) FILTER (exp_review) AS n_review FROM (SELECT *, {MITIGATE} AS state FROM flat) GROUP BY 1, 2")),

@@ -11,7 +11,7 @@ from casewright.operators import sampling as S
 from .views import CLASSES, sql, v_doc, v_manifest, v_multi, v_score
 
 R = lambda c: F.round(c, 6)
-N = F.count(F.lit(1)).alias("n")
+N = lambda: F.count(F.lit(1)).alias("n")
 SEED = "42"
 H = lambda key, seed=SEED: f"sha256('{seed}|' || {key})"
 
@@ -24,7 +24,7 @@ def hamilton_sql(source: str, by: str, name: str, goal: str) -> str:
 
 
 def _hamilton(s, d):
-    counts = v_manifest(s, d).groupBy("origin", "class").agg(N)
+    counts = v_manifest(s, d).groupBy("origin", "class").agg(N())
     return S.hamilton(counts, ["origin"], "class", F.lit(100), SEED)
 
 
@@ -55,7 +55,7 @@ def _topk_accuracy(s, d):
 
 def _rejected(s, d):
     m = v_multi(s, d).where("truth in ('error', 'view')").withColumn("accepted", F.col("conf") >= 0.65)
-    out = m.groupBy("origin", "truth").agg(N, F.count_if(F.col("accepted")).alias("n_accepted"), F.avg("conf").alias("c"), F.percentile("conf", 0.5).alias("med"))
+    out = m.groupBy("origin", "truth").agg(N(), F.count_if(F.col("accepted")).alias("n_accepted"), F.avg("conf").alias("c"), F.percentile("conf", 0.5).alias("med"))
     best = m.groupBy("origin", "truth", "pred").agg(F.count(F.lit(1)).alias("k")).groupBy("origin", "truth").agg(F.min_by("pred", F.struct(-F.col("k"), F.col("pred"))).alias("top_pred"))
     return out.join(best, ["origin", "truth"]).select("origin", "truth", "n", "n_accepted", R(F.col("n_accepted") / F.col("n")).alias("rate"), R("c").alias("mean_conf"), R("med").alias("median_conf"), "top_pred")
 
@@ -63,7 +63,7 @@ def _rejected(s, d):
 def _baseline(s, d):
     m = v_multi(s, d)
     out = M.majority_baseline(m.where("id % 4 <> 0 and origin <> 2"), m.where("id % 4 = 0"), "origin", "truth")
-    return out.groupBy("origin", "pred").agg(N, F.count_if(F.col("truth") == F.col("pred")).alias("n_right"))
+    return out.groupBy("origin", "pred").agg(N(), F.count_if(F.col("truth") == F.col("pred")).alias("n_right"))
 
 
 def _gate(s, d):
@@ -82,7 +82,7 @@ def _classify(s, d):
     m = v_multi(s, d)
     route = F.when(F.col("conf") < 0.65, "judge").when(~F.col("pred").isin("view", "click", "purchase"), "judge").otherwise("explain")
     issue = F.when(~F.col("pred").isin("view", "click", "purchase"), "attack_type_outside_taxonomy").when(F.col("conf") < 0.65, "confidence_below_review_threshold").otherwise("none")
-    return m.groupBy(route.alias("route"), issue.alias("issue")).agg(N)
+    return m.groupBy(route.alias("route"), issue.alias("issue")).agg(N())
 
 
 def _bin(df, *by):
@@ -96,7 +96,7 @@ def _selection_sha(s, d):
 
 def _exact(s, d):
     m = v_manifest(s, d)
-    return S.exact_split(m, "class", "origin", SEED, "manifest_id").groupBy("class", "origin", "part").agg(N)
+    return S.exact_split(m, "class", "origin", SEED, "manifest_id").groupBy("class", "origin", "part").agg(N())
 
 
 def _view(s, d):
@@ -115,7 +115,7 @@ ALL = {
     "balance_check": (lambda s, d: S.balance_check(S.balance_binary(v_manifest(s, d), SEED)).select(F.coalesce("split", F.lit("*")).alias("split"), F.coalesce("origin", F.lit("*")).alias("origin"), "balanced", "n"), sql(f"SELECT coalesce(split, '*') AS split, coalesce(origin, '*') AS origin, count(*) FILTER (is_attack) * 2 = count(*) AS balanced, count(*) AS n FROM ({BALANCE}) GROUP BY CUBE (split, origin)")),
     "hamilton_quotas": (_hamilton, sql(", h AS (SELECT origin, class, count(*) AS n FROM v_manifest GROUP BY 1, 2) " + hamilton_sql("h", "origin", "class", "100"))),
     "proportional_sample": (lambda s, d: S.proportional_sample(v_manifest(s, d), 300, ("origin", "detail"), SEED, "manifest_id").select("origin", "detail", "manifest_id"), sql(", h AS (SELECT origin, count(*) AS n FROM v_manifest GROUP BY 1), q1 AS (" + hamilton_sql("h", "", "origin", "300") + "), g AS (SELECT v.origin, detail, count(*) AS n, min(quota) AS above FROM v_manifest v JOIN q1 ON v.origin = q1.origin GROUP BY 1, 2), q2 AS (" + hamilton_sql("g", "origin", "detail", "above") + f") SELECT origin, detail, manifest_id FROM (SELECT v.*, row_number() OVER (PARTITION BY origin, detail ORDER BY {H('manifest_id')}, manifest_id) AS rn FROM v_manifest v) JOIN q2 USING (origin, detail) WHERE rn <= quota")),
-    "split_matrix": (lambda s, d: S.split_matrix(v_manifest(s, d).groupBy("class", "origin").agg(N), "class", "origin", SEED), None),
+    "split_matrix": (lambda s, d: S.split_matrix(v_manifest(s, d).groupBy("class", "origin").agg(N()), "class", "origin", SEED), None),
     "exact_split": (_exact, None),
     "stratified_split": (lambda s, d: S.stratified_split(v_manifest(s, d), "class", SEED, "manifest_id"), sql(f"SELECT class, manifest_id, CASE WHEN rn <= floor(n * 70 / 100) THEN 'train' WHEN rn <= floor(n * 70 / 100) + floor(n * 15 / 100) THEN 'val' ELSE 'test' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY {H('manifest_id')}, manifest_id) AS rn, count(*) OVER (PARTITION BY class) AS n FROM v_manifest)")),
     "round_robin_fill": (lambda s, d: S.round_robin(v_manifest(s, d), "class", 123, SEED, "manifest_id"), sql(f"SELECT class, manifest_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY {H('manifest_id')}, manifest_id) AS rn FROM v_manifest) ORDER BY rn, class LIMIT 123")),
