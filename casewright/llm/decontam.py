@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casewright.session import bounded_batches
+
 from . import textkit
 
 _BITS = 64
@@ -203,6 +205,7 @@ def _matcher(items: Items, similarity: float):
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 23, items_per_block: int = 512) -> DataFrame:
     """doc_id, item_id, start_word, end_word and similarity of every item that a document holds; the best window of each."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null").distinct()
     parts, held = [], []

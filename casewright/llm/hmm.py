@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.session import stored
+from casewright.session import bounded_batches, stored
 
 from . import textkit
 
@@ -309,6 +309,7 @@ def score(docs: DataFrame, held_out: Column, own: int = 1023, buckets: int = 512
     Learns from the rows that are not ``held_out``. Scores are log10
     probabilities; ``base_score`` is that of the smoothed unigram model.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     learned = texts.where(~F.col("held_out"))
     counts = stored(learned.select("text").mapInArrow(_counter(buckets), "word long, bucket int, n long").groupBy("word").agg(F.first("bucket").alias("bucket"), F.sum("n").alias("n")), "lm-counts")

@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewright.session import bounded_batches
+
 from . import textkit
 
 UNKNOWN = "und"
@@ -166,6 +168,7 @@ def training_rows(docs: DataFrame, usable: Column, sample: int) -> list[tuple[st
 
 def identify(docs: DataFrame, usable: Column | None = None, sample: int = 2400, **options) -> DataFrame:
     """doc_id, lang_pred, score and ``rejected`` of every document; learns from the ``usable`` rows with a language."""
+    bounded_batches(docs.sparkSession)
     model = fit(training_rows(docs, F.lit(True) if usable is None else usable, sample), **options)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_predictor(model), "doc_id long, lang_pred string, score double, rejected boolean")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.session import cut
+from casewright.session import bounded_batches, cut
 
 from . import textkit
 from .components import components
@@ -181,6 +181,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half_key
     Documents are linked when 100 * shared >= ``percent`` * union of their sets
     of ``width``-word shingles; component_id is the smallest doc_id reachable.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(texts.mapInArrow(_signer(width, half_keys, half_width, seed), "doc_id long, n_shingles long, p0 long, p1 long, halves array<long>"))
     filled = signed.where("n_shingles > 0")

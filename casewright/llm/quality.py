@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.session import cut
+from casewright.session import bounded_batches, cut
 
 from . import textkit
 
@@ -213,6 +213,7 @@ def judge(docs: DataFrame, support: float = 0.75, steps: int = 4, min_group: int
     ``kept`` is false for documents that fail the base rule and for outliers of
     their group. Documents that fail the base rule take no part in the estimates.
     """
+    bounded_batches(docs.sparkSession)
     stats = cut(with_base(statistics(docs)).withColumns(transformed()))
     usable = stats.where(~F.col("base_failed"))
     # Each document is used at three levels: its group, its language, the corpus.

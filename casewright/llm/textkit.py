@@ -4,7 +4,7 @@ Words are maximal runs of bytes other than space and 0x09-0x0D, which for UTF-8
 are exactly the runs of code points outside that class. A word's hash is a sum
 of random 64-bit values by byte and place modulo 2**64, finished by a mixer, so
 that a block of many documents is hashed by a few numpy passes. Work goes in
-blocks of about a megabyte: memory stays bounded however long the batch is.
+blocks of about a quarter of a megabyte: memory stays bounded however long the batch is.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
