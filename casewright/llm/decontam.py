@@ -223,4 +223,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their own columns."""
     leaks = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaks, F.col("doc_id").cast("long") == F.col("_leaked"), "left_anti")
+    return docs.join(leaks, docs["doc_id"].cast("long") == leaks["_leaked"], "left_anti")

@@ -141,7 +141,7 @@ def _encoder(lex: Lexicon):
                     cls = np.where(mine, lex.cls[at], cls)
                 else:
                     mine = known
-                add = lambda values: np.bincount(rows, weights=values, minlength=n)
+                add = lambda values: np.bincount(rows, weights=values, minlength=n).astype(float)  # noqa: E731  without rows it counts in integers
                 rare, rare_rows = hashes[~known], rows[~known]
                 order = np.lexsort((rare, rare_rows))
                 rare, rare_rows = rare[order], rare_rows[order]

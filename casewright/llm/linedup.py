@@ -15,7 +15,7 @@ places travel back to the texts.
 Defined results: null text stays null, with no line; null source counts as one
 site; repeated rows are one document; ties of a line's first document can't
 occur as doc_ids differ; an empty table gives an empty result; other columns
-pass through unless they are named ``text``.
+pass through, whatever their names, except one named ``n_removed``.
 """
 
 from __future__ import annotations
@@ -61,12 +61,16 @@ def removals(docs: DataFrame, **options) -> DataFrame:
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with their texts without boilerplate lines, and ``n_removed``."""
     gone = removals(docs, **options).select(F.col("doc_id").alias("_id"), "places")
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda line, k: ~F.array_contains(F.col("places"), k))
-    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_removed = F.coalesce(F.size("places"), F.lit(0))
-    return joined.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns if c != "n_removed"), F.when(F.col("places").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"))
+    places = gone["places"]
+    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left")
+    text = F.when(places.isNull(), docs["text"]).otherwise(without_places(docs["text"], places))
+    n_removed = F.when(places.isNull(), 0).otherwise(F.size(places)).cast("long")
+    return joined.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns if c != "n_removed"), n_removed.alias("n_removed"))
+
+
+def without_places(text: Column, places: Column) -> Column:
+    """A text without the lines at some 0-based places."""
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda line, k: ~F.array_contains(places, k)), "\n")
 
 
 def sql(min_sites: int = 5, min_words: int = 3) -> str:

@@ -286,8 +286,8 @@ def _named(kind: str):
 
 def redact(docs: DataFrame, mark: str = "*") -> DataFrame:
     """``docs`` with every character of a found span replaced by ``mark``; other columns pass through."""
-    found = find(docs).select(F.col("doc_id").alias("_id"), "spans")
-    joined = docs.join(found, F.col("doc_id").cast("long") == F.col("_id"), "left")
+    found = find(docs).select(F.col("doc_id").alias("_id"), "spans").distinct()
+    joined = docs.join(found, docs["doc_id"].cast("long") == found["_id"], "left")
     cover = lambda text, s: F.concat(F.substring(text, F.lit(1), s["start"].cast("int")), F.repeat(F.lit(mark), (s["end"] - s["start"]).cast("int")), F.substring(text, s["end"].cast("int") + 1, F.length(text)))
-    text = F.aggregate(F.coalesce("spans", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")), F.col("text"), cover)
+    text = F.aggregate(F.coalesce(found["spans"], F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")), docs["text"], cover)
     return joined.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns))
