@@ -23,25 +23,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     bad row rejects them.
     """
     bad = quality.judge(docs).where("not kept").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad"], "left_anti")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without cross-site boilerplate lines; documents that were little else are dropped."""
     words = lambda c: F.coalesce(F.regexp_count(c, F.lit(linedup.WORD)), F.lit(0))
     gone = linedup.removals(docs).select(F.col("doc_id").alias("_id"), "places")
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains(F.col("places"), k)), "\n"))
-    cleaned = joined.withColumn("_text", text)
-    stays = F.col("places").isNull() | ((words(F.col("_text")) > 0) & (words(F.col("_text")) >= LEAST_LEFT * words(F.col("text"))))
-    fresh = {"text": F.col("_text"), "n_chars": F.when(F.col("places").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long")) if "n_chars" in docs.columns else None}
-    return cleaned.where(stays).select(*(fresh[c].alias(c) if fresh.get(c) is not None else docs[c] for c in docs.columns))
+    places = gone["places"]
+    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left")
+    text = F.when(places.isNull(), docs["text"]).otherwise(linedup.without_places(docs["text"], places))
+    fresh = {"text": text}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.when(places.isNull(), docs["n_chars"]).otherwise(F.length(text).cast("long"))
+    left = F.when(places.isNull(), 1.0).otherwise(words(text) / F.greatest(words(docs["text"]), F.lit(1)))
+    cleaned = joined.select(*(fresh.get(c, docs[c]).alias(c) for c in docs.columns), left.alias("_left"))
+    return cleaned.where(cleaned["_left"] >= LEAST_LEFT).drop("_left")
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document (smallest doc_id) of each group of near-duplicates; rows that repeat a doc_id count once."""
     kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
