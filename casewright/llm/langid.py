@@ -81,7 +81,7 @@ def _passages(text: str, rng: np.random.Generator) -> str:
     return " ".join(words[start : start + length])
 
 
-def fit(rows: list[tuple[str, str]], bits: int = 14, dim: int = 16, epochs: int = 6, rate: float = 20.0, batch: int = 64, keep: float = 0.995, seed: int = 11) -> Model | None:
+def fit(rows: list[tuple[str, str]], bits: int = 14, dim: int = 16, epochs: int = 6, least_steps: int = 240, rate: float = 20.0, batch: int = 64, keep: float = 0.995, seed: int = 11) -> Model | None:
     """Model of (text, language) rows; none without rows."""
     rows = [(t, y) for t, y in rows if t and y is not None]
     if not rows:
@@ -95,6 +95,7 @@ def fit(rows: list[tuple[str, str]], bits: int = 14, dim: int = 16, epochs: int
     embedding = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
     weights = np.zeros((dim, len(languages)), dtype=np.float32)
     bias = np.zeros(len(languages), dtype=np.float32)
+    epochs = max(epochs, -(-least_steps // max(1, -(-len(train) // batch))))
     steps = epochs * max(1, -(-len(train) // batch))
     step = 0
     for _ in range(epochs):
@@ -161,9 +162,15 @@ def _predictor(model: Model | None):
 
 
 def training_rows(docs: DataFrame, usable: Column, sample: int) -> list[tuple[str, str]]:
-    """At most ``sample`` labelled whole texts, the ones with the smallest hash of doc_id."""
+    """At most ``sample`` labelled whole texts, the ones with the smallest hash of doc_id.
+
+    The ids are chosen first, so that only the chosen texts come to the driver.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    return [(r.text, r.lang) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()]
+    chosen = [r.doc_id for r in rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    ids = docs.sparkSession.createDataFrame([(k,) for k in chosen], "chosen long").coalesce(1)
+    met = rows.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("chosen")))  # at most ``sample`` ids
+    return [(r.text, r.lang) for r in met.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()]
 
 
 def identify(docs: DataFrame, usable: Column | None = None, sample: int = 2400, **options) -> DataFrame:
