@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewright.session import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,11 +40,13 @@ def spread(docs: DataFrame, min_sites: int = 5, margin: float = 0.3, min_words:
     sites = F.coalesce(F.col("source").cast("string"), F.lit("")) if site is None else site
     lines = _lines(docs, min_words, sites)
     sketched = lines.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
-    # A line that is found fewer times than there must be sites needs no estimate.
-    rated = sketched.where(F.col("n") >= min_sites).select("h", "first_doc", F.hll_sketch_estimate("sketch").alias("n_sites"))
-    near = rated.where((F.col("n_sites") > min_sites * (1 - margin)) & (F.col("n_sites") < min_sites * (1 + margin)))
+    # A line that is found fewer times than there must be sites needs no estimate. Candidates are written out:
+    # joins on them then deal both sides anew, which lets adaptive execution split a hot line, or broadcast few lines.
+    rated = sketched.where(F.col("n") >= min_sites).select("h", "first_doc", F.hll_sketch_estimate("sketch").alias("n_sites")).where(F.col("n_sites") > min_sites * (1 - margin))
+    rated = stored(rated, "line-candidates")
+    near = rated.where(F.col("n_sites") < min_sites * (1 + margin))
     counted = lines.join(near.select("h"), "h", "left_semi").select("h", "site").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("true_sites"))
-    both = rated.where(F.col("n_sites") > min_sites * (1 - margin)).join(counted, "h", "left")
+    both = rated.join(counted, "h", "left")
     n_sites = F.coalesce("true_sites", "n_sites")
     return both.where(n_sites >= min_sites).select("h", "first_doc", n_sites.alias("n_sites"), F.col("true_sites").isNotNull().alias("exact"))
 
@@ -51,9 +55,9 @@ def removals(docs: DataFrame, **options) -> DataFrame:
     """doc_id and ``places`` (0-based, ascending) of the lines that each document loses."""
     site = options.pop("site", None)
     min_words = options.get("min_words", 3)
-    found = spread(docs, site=site, **options)
+    found = stored(spread(docs, site=site, **options).select("h", "first_doc"), "line-boilerplate")
     lines = _lines(docs, min_words, F.lit(None).cast("string")).drop("site")
-    hit = lines.join(found.select("h", "first_doc"), "h").where("doc_id <> first_doc")
+    hit = lines.join(found, "h").where("doc_id <> first_doc")
     # A line that repeats inside its first document is no cross-site matter and stays.
     return hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
