@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from casewright.operators import catalog as G
 from casewright.operators import learning, textmetrics
-from casewright.session import table
+from casewright.session import checkpoint_dir, table
 from casewright.streaming import streams
 
 R = lambda c: F.round(c, 6)
@@ -49,8 +48,8 @@ def _scores(s, d):
 
 
 def _stream(s, d, build, mode):
-    with tempfile.TemporaryDirectory(prefix="casewright-stream-") as folder:
-        return streams.run_available(build(streams.event_stream(s, d)), f"q{uuid.uuid4().hex[:12]}", mode, folder)
+    name = f"q{uuid.uuid4().hex}"
+    return streams.run_available(build(streams.event_stream(s, d)), name, mode, f"{checkpoint_dir(s)}/stream-{name}")
 
 
 def _window(df):
