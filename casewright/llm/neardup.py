@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.session import bounded_batches, cut
+from casewright.session import bounded_batches, cut, stored
 
 from . import textkit
 from .components import components
@@ -185,7 +185,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half_key
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(texts.mapInArrow(_signer(width, half_keys, half_width, seed), "doc_id long, n_shingles long, p0 long, p1 long, halves array<long>"))
     filled = signed.where("n_shingles > 0")
-    reps = filled.groupBy("n_shingles", "p0", "p1").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"))
+    reps = filled.groupBy("n_shingles", "p0", "p1").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n_copies"))
+    # Only sets with copies need a join to find their representative; written out, so that a hot set can be split.
+    copies = stored(reps.where("n_copies > 1").select("n_shingles", "p0", "p1", F.col("rep").alias("first_copy")), "set-copies")
     halves = reps.select("rep", F.posexplode("halves").alias("place", "half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
     own = halves.join(shared, "half", "left_semi").groupBy("rep").agg(*(F.collect_set(F.when((F.col("place") < half_keys) == (side == 0), F.col("half"))).alias(f"side{side}") for side in (0, 1)))
@@ -201,6 +203,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half_key
     spread = work.repartition(F.col("pivot"), F.col("lo"), F.col("hi")).sortWithinPartitions("pivot", "lo", "hi", "blk", "rep")
     edges = spread.mapInArrow(_verifier(width, percent), "a long, b long")
     found = components(edges).withColumnsRenamed({"node": "rep"})
-    placed = signed.join(reps.select("n_shingles", "p0", "p1", "rep"), ["n_shingles", "p0", "p1"], "left").join(found, "rep", "left")
-    component = F.coalesce(F.col("component"), F.col("rep"), F.col("doc_id"))
+    own_rep = signed.select("doc_id", "n_shingles", "p0", "p1").join(copies, ["n_shingles", "p0", "p1"], "left").withColumn("rep", F.coalesce("first_copy", "doc_id"))
+    placed = own_rep.join(found, "rep", "left")
+    component = F.coalesce(F.col("component"), F.col("rep"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
