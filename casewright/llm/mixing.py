@@ -27,6 +27,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.session import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "lang", "source")
 #: The production weights. Names that are not listed weigh ``OTHER``.
@@ -107,16 +109,20 @@ def mix(
     The budget is ``budget`` tokens, or else ``portion`` of all tokens.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"), *(F.coalesce(F.col(c).cast("string"), F.lit("?")).alias(c) for c in ("lang", "source")))
-    own = own.withColumn("domain", default_domain(F.col("source")) if domain is None else domain)
+    # Words are counted once; all that follows reads this narrow table.
+    own = stored(own.withColumn("domain", default_domain(F.col("source")) if domain is None else domain), "mix-tokens")
     leaves = own.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("available"))
     goal = F.sum("available") * portion if budget is None else budget
     granted = budgets(leaves, goal, domain_weights, lang_weights, source_weights, max_epochs)
     full = F.when(F.col("available") > 0, F.floor(F.col("granted") / F.col("available"))).otherwise(F.lit(0)).cast("long")
+    # The plan and the sums are small and written out, so that what they are joined with isn't dealt by leaf.
     plan = granted.withColumn("full", full).withColumn("rest", F.col("granted") - F.col("full") * F.col("available")).select(*LEVELS, "full", "rest")
+    plan = stored(plan, "mix-plan")
     ranked = own.join(plan, list(LEVELS)).withColumn("h", F.sha2(F.concat_ws(":", F.lit(seed), F.col("full"), F.col("doc_id")), 256)).withColumn("bucket", F.substring("h", 1, digits))
     sums = ranked.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
     earlier = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(*LEVELS, "bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("before"))
+    before = stored(before, "mix-sums")
     inside = Window.partitionBy(*LEVELS, "bucket").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = ranked.withColumn("inside", F.sum("n_tokens").over(inside)).join(before, [*LEVELS, "bucket"])
     copies = F.col("full") + F.when(F.col("before") + F.col("inside") <= F.col("rest"), 1).otherwise(0)
