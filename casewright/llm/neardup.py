@@ -11,7 +11,7 @@ so a text that resembles no other never makes a key. Texts with equal shingle
 sets are one representative from the start. Representatives that share a key
 are gathered under the key's smallest one (its pivot); two that share a key
 share that pivot. Such a gathering is verified completely: its members are
-dealt into blocks of about ``block`` members, every pair of blocks is one unit
+dealt into blocks of about ``block`` members (fewer if they are long), every pair of blocks is one unit
 of work, and there the exact intersections of whole shingle sets come from
 chunked 0/1 matrix products. A unit returns only a spanning forest of its
 links. So memory of a task is bounded, no pair is emitted that isn't needed for
@@ -175,7 +175,7 @@ def _verifier(width: int, percent: int):
     return verify
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half_keys: int = 10, half_width: int = 3, block: int = 400, seed: int = 20240229) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half_keys: int = 10, half_width: int = 3, block: int = 400, block_shingles: int = 1_000_000, seed: int = 20240229) -> DataFrame:
     """doc_id, n_shingles, component_id and ``kept`` for every document.
 
     Documents are linked when 100 * shared >= ``percent`` * union of their sets
@@ -194,8 +194,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half_key
     keyed = cut(own.select("rep", F.explode(F.flatten(F.transform("side0", lambda x: F.transform("side1", lambda y: F.xxhash64(x, y))))).alias("key")))
     pivots = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot")
     members = keyed.join(pivots, "key").select("pivot", "rep").distinct()
-    sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
-    n_blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
+    # Long texts make small blocks: a block holds about ``block`` members and ``block_shingles`` shingles at most.
+    sizes = members.join(reps.select("rep", F.col("n_shingles").alias("width_")), "rep").groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.sum("width_").alias("total"))
+    n_blocks = F.ceil(F.greatest(F.col("size") / F.lit(block), F.col("total") / F.lit(block_shingles))).cast("int")
     dealt = members.join(sizes, "pivot").select("pivot", "rep", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("rep", F.lit(seed)), n_blocks).cast("int").alias("blk"))
     units = dealt.select("pivot", "rep", "blk", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")).select("pivot", "rep", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
     first = texts.where("text is not null").join(units.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
