@@ -43,8 +43,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document (smallest doc_id) of each group of near-duplicates; rows that repeat a doc_id count once."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    judged = neardup.near_duplicates(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    gone = judged.where("not kept").select(F.col("doc_id").alias("_gone"))
+    # Both steps deal by doc_id, so the texts are shuffled once; a null id is one document.
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti").dropDuplicates(["doc_id"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
