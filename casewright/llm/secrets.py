@@ -117,7 +117,7 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
 
 _ASSIGN, _ACCESS, _HEX = re.compile(ASSIGN), re.compile(ACCESS), re.compile(HEX)
 #: Texts that match none of these (a linear automaton's patterns) have neither a rule span nor a candidate.
-_SCREEN = r"(?i:passw|secret|token|api_?key)[\"']? *[:=]|AKIA|[0-9a-f]{24}|[A-Za-z0-9+/_=-]{16}"
+_SCREEN = r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA|[0-9a-f]{24}|[A-Za-z0-9+/_=-]{16}"
 
 
 def model_spans(text: str, model: np.ndarray, threshold: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
