@@ -13,7 +13,10 @@ items that hold it.
 A window that shares no shingle with any item has similarity 0 to all of them,
 so windows are only made in texts that hold a shingle of an item (a test
 without loss), for the lengths of the items concerned and near the shared
-shingles.
+shingles. A text with fewer words than an item is one window, and its exact
+similarity is taken without the SimHash test. An item with fewer words than a
+shingle is one shingle, so the windows of its length match it wherever they
+hold just its words.
 
 The benchmark side is taken in blocks of at most ``items_per_block`` items, one
 pass over the documents each, so that what is sent to executors is bounded.
@@ -92,6 +95,12 @@ class Items:
         order = np.argsort(found, kind="stable")
         self.holder = who[order]
         self.holder_at = np.searchsorted(found[order], np.concatenate([vocabulary, vocabulary[-1:] + np.uint64(1)])) if len(vocabulary) else np.zeros(1, np.int64)
+        # items that are shorter than a shingle: length -> their shingles, ascending, and the items
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(lengths[keep][lengths[keep] < width]).tolist():
+            mine = np.flatnonzero(lengths[owner] == n)
+            mine = mine[np.argsort(runs[mine], kind="stable")]
+            self.short[n] = runs[mine], owner[mine]
         masks = _within(radius // _BLOCKS)
         self.index: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for n in np.unique(lengths[keep]).tolist():
@@ -145,20 +154,28 @@ def match_text(hashes: np.ndarray, items: Items, similarity: float) -> list[tupl
     """(item row, first word, next word, similarity): each item's best window in one text."""
     width = items.width
     n_words = len(hashes)
-    runs, _ = textkit.shingles(hashes, np.zeros(n_words, np.int64), 1, width)
+    one_row = np.zeros(n_words, np.int64)
+    runs, _ = textkit.shingles(hashes, one_row, 1, width)
     if not len(runs) or not len(items.vocabulary):
         return []
+    best: dict[int, tuple[float, int, int]] = {}
+    for n, (values, owners) in items.short.items():
+        own, _ = textkit.shingles(hashes, one_row, 1, n, whole_if_short=False)
+        found, first = np.unique(own, return_index=True)
+        for value, start in zip(found[np.isin(found, values)], first[np.isin(found, values)].tolist(), strict=True):
+            for item in owners[np.searchsorted(values, value) : np.searchsorted(values, value, "right")].tolist():
+                best[item] = (1.0, start, start + n)
     at = np.minimum(np.searchsorted(items.vocabulary, runs), len(items.vocabulary) - 1)
     shared = np.flatnonzero(items.vocabulary[at] == runs)
-    if not len(shared):
-        return []
     weights = items.weight(runs)
-    best: dict[int, tuple[float, int, int]] = {}
-    concerned = np.unique(np.concatenate([items.holder[items.holder_at[v] : items.holder_at[v + 1]] for v in np.unique(at[shared]).tolist()]))
-    for n in np.unique(items.lengths[concerned]).tolist():
-        span = max(1, n - width + 1)  # shingles of a window
-        if span > len(runs) or (n < width and n != n_words):
-            continue
+    concerned = np.unique(np.concatenate([np.zeros(0, np.int64), *(items.holder[items.holder_at[v] : items.holder_at[v + 1]] for v in np.unique(at[shared]).tolist())]))
+    concerned = concerned[items.lengths[concerned] >= width]
+    for item in concerned[items.lengths[concerned] > n_words].tolist():
+        score = items.similarity(runs, item)
+        if score >= similarity:
+            best[item] = (score, 0, n_words)
+    for n in np.unique(items.lengths[concerned][items.lengths[concerned] <= n_words]).tolist():
+        span = n - width + 1  # shingles of a window
         near = np.zeros(len(runs) + 1, dtype=np.int64)
         np.add.at(near, np.maximum(0, shared - span + 1), 1)
         np.add.at(near, shared + 1, -1)
@@ -188,6 +205,9 @@ def _matcher(items: Items, similarity: float):
                 n = end - first
                 hashes, rows = textkit.words(buf, offs)
                 runs, at = textkit.shingles(hashes, rows, n, items.width)
+                for length in items.short:
+                    more, where = textkit.shingles(hashes, rows, n, length, whole_if_short=False)
+                    runs, at = np.concatenate([runs, more]), np.concatenate([at, where])
                 maybe = np.flatnonzero(bitmap[(runs >> np.uint64(44)).astype(np.int64)])
                 if not len(maybe):
                     continue

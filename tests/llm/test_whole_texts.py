@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casewright.llm import secrets
+from casewright.llm import decontam, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -17,3 +17,23 @@ def test_every_key_name_alone_is_scanned(spark):
     texts = [f"my {n}{mid}abc123 ok" for n in names for mid in (":", "=", ": ", " = ", '": "', "' ='")]
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(docs_of(spark, texts)).collect()}
     assert got == {k: [("assign", 3, t.index("abc123") + 6)] for k, t in enumerate(texts)}
+
+
+def items_of(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+
+
+def test_texts_shorter_than_the_item_are_compared(spark):
+    item = [f"w{k}" for k in range(59)]
+    texts = [item[:57], item[1:], item[:-1], item[:50], item[:40], item, ["x"] * 30 + item[:57], item[:57] + ["x"] * 30]
+    found = decontam.find_leaks(docs_of(spark, [" ".join(t) for t in texts]), items_of(spark, [" ".join(item)])).collect()
+    got = {r.doc_id: (r.start_word, r.end_word, round(r.similarity, 4)) for r in found}
+    assert set(got) == {0, 1, 2, 3, 5, 6, 7}  # 36 of 55 shingles are too few, 46 are enough
+    assert got[0] == (0, 57, round(53 / 55, 4)) and got[2] == (0, 58, round(54 / 55, 4)) and got[3] == (0, 50, round(46 / 55, 4))
+
+
+def test_items_shorter_than_a_shingle_are_found_inside_texts(spark):
+    texts = ["red green blue", "one two three Red green blue four five", "red green", "green blue red and red green", "red green blue red green blue", "a red green blue"]
+    bench = items_of(spark, ["red green blue", "nothing here", "Red green blue"])
+    got = {(r.doc_id, r.item_id): (r.start_word, r.end_word, r.similarity) for r in decontam.find_leaks(docs_of(spark, texts), bench).collect()}
+    assert got == {(d, k): (s, s + 3, 1.0) for d, s in ((0, 0), (1, 3), (4, 0), (5, 1)) for k in (0, 2)}
