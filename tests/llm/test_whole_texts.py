@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from casewright.llm import decontam, secrets
+from casewright.session import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -37,3 +39,21 @@ def test_items_shorter_than_a_shingle_are_found_inside_texts(spark):
     bench = items_of(spark, ["red green blue", "nothing here", "Red green blue"])
     got = {(r.doc_id, r.item_id): (r.start_word, r.end_word, r.similarity) for r in decontam.find_leaks(docs_of(spark, texts), bench).collect()}
     assert got == {(d, k): (s, s + 3, 1.0) for d, s in ((0, 0), (1, 3), (4, 0), (5, 1)) for k in (0, 2)}
+
+
+def test_null_and_repeated_ids_are_documents_of_their_own(spark, data):
+    item = table(spark, data, "benchmark").first().text
+    text = lambda k, n=60: " ".join(f"w{k}x{j}" for j in range(n))
+    line = lambda k: text(k, 6)
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(4)), (8, text(5)), (9, text(5)), (None, text(8)), (3, text(8)), (None, item)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    of = lambda found: sorted(((r.doc_id, r.text) for r in found.collect()), key=str)
+    left = [(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (8, text(5)), (3, text(8)), (None, item)]
+    assert of(corpus_pipeline.minhash_dedup(spark, docs, data)) == sorted(left, key=str)
+    assert of(corpus_pipeline.decontaminate(spark, docs, data)) == sorted(rows[:-1], key=str)
+    bad = spark.createDataFrame([(None, "", "en", "s", 0), (None, text(1, 400), "en", "s", 0), (4, "", "en", "s", 0), (4, text(1, 400), "en", "s", 0)], DOCS)
+    assert "" not in {r.text for r in corpus_pipeline.quality_rules(spark, bad, data).collect()}
+    shared = [(1, line(1)), (5, line(1) + "\nfirst of its own"), (5, "second\n" + line(2)), (None, "words of its own\n" + line(1))] + [(10 + k, line(1)) for k in range(5)]
+    lines = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(shared)], DOCS)
+    got = of(corpus_pipeline.line_dedup(spark, lines, data))
+    assert {(1, line(1)), (5, "first of its own"), (5, "second\n" + line(2)), (None, "words of its own")} <= set(got)
