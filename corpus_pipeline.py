@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from casewright.llm import decontam, linedup, mixing, neardup, quality
 from casewright.session import stored, table
 
-#: A document of which less than this share of words is left without its boilerplate lines is itself a copy.
-LEAST_LEFT = 0.2
-
 
 #: Keys that are made of hashes have this bit, so that they come after usual ids.
 HASHED = 1 << 62
@@ -51,8 +48,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without cross-site boilerplate lines; documents that were little else are dropped."""
-    words = lambda c: F.coalesce(F.regexp_count(c, F.lit(linedup.WORD)), F.lit(0))
+    """Texts without cross-site boilerplate lines; documents that were nothing else are dropped."""
     rows, key = keyed(docs)
     gone = linedup.removals(by_key(rows, key)).select(F.col("doc_id").alias("_id"), "places")
     places = gone["places"]
@@ -61,9 +57,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fresh = {"text": text}
     if "n_chars" in docs.columns:
         fresh["n_chars"] = F.when(places.isNull(), rows["n_chars"]).otherwise(F.length(text).cast("long"))
-    left = F.when(places.isNull(), 1.0).otherwise(words(text) / F.greatest(words(rows["text"]), F.lit(1)))
-    cleaned = joined.select(*(fresh.get(c, rows[c]).alias(c) for c in docs.columns), left.alias("_left"))
-    return cleaned.where(cleaned["_left"] >= LEAST_LEFT).drop("_left")
+    left = places.isNull() | F.coalesce(text.rlike(linedup.WORD), F.lit(False))
+    cleaned = joined.select(*(fresh.get(c, rows[c]).alias(c) for c in docs.columns), left.alias(key))
+    return cleaned.where(cleaned[key]).drop(key)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

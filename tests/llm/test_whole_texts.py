@@ -57,3 +57,11 @@ def test_null_and_repeated_ids_are_documents_of_their_own(spark, data):
     lines = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(shared)], DOCS)
     got = of(corpus_pipeline.line_dedup(spark, lines, data))
     assert {(1, line(1)), (5, "first of its own"), (5, "second\n" + line(2)), (None, "words of its own")} <= set(got)
+
+
+def test_documents_with_few_words_of_their_own_stay(spark, data):
+    lines = "\n".join(" ".join(f"l{k}x{j}" for j in range(10)) for k in range(40))
+    texts = [lines] * 6 + [f"{lines}\na note\n", f"short\n{lines}", ""]
+    rows = [(k, t, "en", f"s{k}", len(t)) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, DOCS), data).collect()}
+    assert got == {0: lines, 6: "a note\n", 7: "short", 8: ""}  # 1 to 5 have no word left
