@@ -37,7 +37,7 @@ def _json(s, d):
 
 
 def _scrubbed(s, d):
-    t = table(s, d, "documents").select("doc_id", F.concat(F.lit('a=1 label="x y", '), F.left("text", F.lit(200)), F.lit(" type={a:[1,2]} z=2")).alias("t"))
+    t = table(s, d, "documents").select("doc_id", F.concat(F.lit('a=1 label="x y", '), F.col("text"), F.lit(" type={a:[1,2]} z=2")).alias("t"))
     return t.select("doc_id", textmetrics.scrub_text(F.col("t")).alias("clean"))
 
 
