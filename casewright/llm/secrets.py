@@ -1,12 +1,12 @@
 """Secret scans: two character Markov models, compared by log-likelihood ratio.
 
 One second-order model is fitted to labelled samples of random strings, one to
-labelled samples of ordinary identifiers and words. A candidate is a maximal
-run of characters that keys are made of, long enough and of at least two kinds
-of characters; it is a secret when the random model's likelihood exceeds the
-ordinary model's by ``threshold`` nats a character. Three rule families
-(assignments, access keys, hexadecimal runs) are kept as they are; the models
-add spans that no rule span covers.
+labelled samples of ordinary identifiers, words, numbers and paths. A candidate
+is a maximal run of at least ``MIN_LENGTH`` characters that keys are made of, or
+what rule spans leave of one if that is as long; it is a secret when the random model's likelihood
+exceeds the ordinary model's by ``threshold`` nats a character. Three rule
+families (assignments, access keys, hexadecimal runs) are kept as they are; the
+models add spans outside them.
 
 Samples are rows (sample, is_secret), at most ``MAX_SAMPLES`` of them; by
 default they come from a seeded generator.
@@ -56,8 +56,8 @@ ORDINARY = (
     "Verantwortung Entwicklung Geschwindigkeit Wissenschaft Gesellschaft développement gouvernement responsabilidad administración"
 ).split()
 
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_KIND_OF = (re.compile(r"[a-z]"), re.compile(r"[A-Z]"), re.compile(r"[0-9]"))
+MIN_LENGTH = 16
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}")
 _CLASSES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _N = len(_CLASSES) + 1  # the last is a start
 _CODE = np.full(128, 0, dtype=np.int64)
@@ -65,17 +65,21 @@ for _i, _c in enumerate(_CLASSES):
     _CODE[ord(_c)] = _i
 
 
-def default_samples(seed: int = 7, each: int = 4000) -> list[tuple[str, bool]]:
-    """Labelled samples: random strings over the usual key alphabets, and identifiers put together from words."""
+def default_samples(seed: int = 7, each: int = 6000) -> list[tuple[str, bool]]:
+    """Labelled samples: random strings over the usual key alphabets; identifiers, compounds, paths, numbers and rules put together from words."""
     rng = random.Random(seed)
-    alphabets = ["0123456789abcdef", "0123456789ABCDEF", _CLASSES[:62], _CLASSES[:62] + "+/", _CLASSES[:62] + "_-", _CLASSES[26:62], _CLASSES[:26] + _CLASSES[52:62]]
+    lower, upper, digits = _CLASSES[:26], _CLASSES[26:52], _CLASSES[52:62]
+    alphabets = [digits + "abcdef", digits + "ABCDEF", _CLASSES[:62], _CLASSES[:62] + "+/", _CLASSES[:62] + "_-", upper + digits, lower + digits, lower, upper, lower + upper]
+    words = [w.encode("ascii", "ignore").decode() for w in ORDINARY]
+    number = lambda: rng.choice((str(rng.randint(0, 2030)), f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", f"{rng.randint(0, 10**rng.randint(4, 19))}", "0" * rng.randint(2, 12)))
+    rule = lambda: rng.choice(rng.choice(("=-_/+", _CLASSES))) * rng.randint(2, 40)
     out: list[tuple[str, bool]] = []
     for k in range(each):
-        out.append(("".join(rng.choice(alphabets[k % len(alphabets)]) for _ in range(rng.randint(16, 64))), True))
-        parts = [rng.choice(ORDINARY) for _ in range(rng.randint(2, 5))]
-        style = k % 6
-        text = {0: "_".join(parts), 1: "-".join(parts), 2: parts[0] + "".join(p.title() for p in parts[1:]), 3: "/".join(parts), 4: "".join(parts), 5: "_".join(parts).upper()}[style]
-        out.append((text + (str(rng.randint(0, 2030)) if rng.random() < 0.3 else ""), False))
+        out.append(("".join(rng.choice(alphabets[k % len(alphabets)]) for _ in range(rng.randint(MIN_LENGTH, 64))), True))
+        parts = [rng.choice(words) for _ in range(rng.randint(2, 5))]
+        style = k % 8
+        text = {0: "_".join(parts), 1: "-".join(parts), 2: parts[0] + "".join(p.title() for p in parts[1:]), 3: "/".join(parts), 4: "".join(parts), 5: "_".join(parts).upper(), 6: "".join(p.title() for p in parts), 7: rng.choice((rule() + parts[0] + rule(), "-".join(number() for _ in range(3)), "/".join([*parts, number()]), number() + number()))}[style]
+        out.append((text + (number() if style < 7 and rng.random() < 0.3 else ""), False))
     return out
 
 
@@ -84,21 +88,24 @@ def _codes(text: str) -> np.ndarray:
     return _CODE[raw & 127]
 
 
-def fit(samples: Iterable[tuple[str, bool]], smoothing: float = 0.3) -> np.ndarray:
-    """Log-likelihood ratio of every character after every pair: the random model's minus the ordinary one's."""
+def fit(samples: Iterable[tuple[str, bool]], weights: tuple[float, float, float] = (0.4, 0.4, 0.2)) -> np.ndarray:
+    """Log-likelihood ratio of every character after every pair: the random model's minus the ordinary one's.
+
+    Each model mixes the frequencies after pairs, after single characters and
+    overall with fixed ``weights``, and every model a little of an even share,
+    so that a pair which no sample holds is no proof of either.
+    """
     counts = np.zeros((2, _N * _N, _N))
     for k, (text, is_secret) in enumerate(samples):
         if k >= MAX_SAMPLES:
             raise ValueError(f"more than {MAX_SAMPLES} labelled samples")
         code = np.concatenate([[_N - 1, _N - 1], _codes(text or "")])
         np.add.at(counts[int(is_secret)], (code[:-2] * _N + code[1:-1], code[2:]), 1.0)
-    # Pairs that were seldom seen lean on single characters, those on all.
-    whole = counts.sum(1, keepdims=True) + 1.0
-    flat = whole / whole.sum(2, keepdims=True)
-    single = counts.reshape(2, _N, _N, _N).sum(1) + 8 * smoothing * flat
-    single = np.repeat((single / single.sum(2, keepdims=True))[:, None], _N, axis=1).reshape(2, _N * _N, _N)
-    full = counts + 20 * smoothing * single
-    logs = np.log(full / full.sum(2, keepdims=True))
+    share = lambda x, below: (x + below) / (x + below).sum(-1, keepdims=True)
+    overall = share(counts.sum(1, keepdims=True), 1.0)
+    single = share(counts.reshape(2, _N, _N, _N).sum(1), overall)
+    pair = share(counts, np.tile(single, (1, _N, 1)))
+    logs = np.log(weights[0] * pair + weights[1] * np.tile(single, (1, _N, 1)) + weights[2] * overall)
     return logs[1] - logs[0]
 
 
@@ -116,20 +123,24 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _ASSIGN, _ACCESS, _HEX = re.compile(ASSIGN), re.compile(ACCESS), re.compile(HEX)
-#: Texts that match none of these (a linear automaton's patterns) have neither a rule span nor a candidate.
-_SCREEN = r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA|[0-9a-f]{24}|[A-Za-z0-9+/_=-]{16}"
+#: Texts that match none of these (the patterns themselves, without what only bounds a match) have neither a rule span nor a candidate.
+_SCREEN = "|".join((ASSIGN, ACCESS, HEX.removeprefix("(?<![0-9a-f])"), _CANDIDATE.pattern))
+
+
+def pieces(start: int, end: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What spans leave of [start, end), as far as it is ``MIN_LENGTH`` or longer."""
+    out, at = [], start
+    for s, e, _ in sorted(taken):
+        if s < end and e > at:
+            out.append((at, s))
+            at = e
+    return [(a, b) for a, b in (*out, (at, end)) if b - a >= MIN_LENGTH]
 
 
 def model_spans(text: str, model: np.ndarray, threshold: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out = []
-    for m in _CANDIDATE.finditer(text):
-        found = m.group()
-        # The capital at the start of a sentence is no second kind of character.
-        if sum(bool(p.search(found, 1)) for p in _KIND_OF) < 2 or any(s < m.end() and e > m.start() for s, e, _ in taken):
-            continue
-        if ratio(model, found) > threshold:
-            out.append((m.start(), m.end(), 3))
-    return out
+    """(start, end, kind) of the candidates outside rule spans that the likelihood ratio finds random."""
+    found = [piece for m in _CANDIDATE.finditer(text) for piece in pieces(m.start(), m.end(), taken)]
+    return [(a, b, 3) for a, b in found if ratio(model, text[a:b]) > threshold]
 
 
 def _scanner(model: np.ndarray, threshold: float):
@@ -148,7 +159,7 @@ def _scanner(model: np.ndarray, threshold: float):
     return scan
 
 
-def scan(docs: DataFrame, samples: Iterable[tuple[str, bool]] | None = None, threshold: float = 0.7) -> DataFrame:
+def scan(docs: DataFrame, samples: Iterable[tuple[str, bool]] | None = None, threshold: float = 0.3) -> DataFrame:
     """doc_id and ``spans`` (kind, start, end; ordered by start, then kind) of every document."""
     bounded_batches(docs.sparkSession)
     model = fit(default_samples() if samples is None else samples)
