@@ -10,17 +10,23 @@ Only half keys that two different shingle sets share are combined into pairs,
 so a text that resembles no other never makes a key. Texts with equal shingle
 sets are one representative from the start. Representatives that share a key
 are gathered under the key's smallest one (its pivot); two that share a key
-share that pivot. Such a gathering is verified completely: its members are
-dealt into blocks of about ``block`` members (fewer if they are long), every pair of blocks is one unit
-of work, and there the exact intersections of whole shingle sets come from
-chunked 0/1 matrix products. A unit returns only a spanning forest of its
-links. So memory of a task is bounded, no pair is emitted that isn't needed for
-the components, and no link between members is lost.
+share that pivot. A gathering's members are dealt into blocks of about ``block``
+members (fewer if they are long), and exact intersections of whole shingle sets
+within a unit of work come from chunked 0/1 matrix products.
+
+A gathering of one block is one unit. In a larger one all members meet the pivot
+first; then those not yet known to be in the pivot's component meet one block,
+then two more, four more and so on, until each has joined it or has met every
+block. A link between two members that both joined early can't change a
+component, so nothing is lost, and a template with g near copies costs about g
+comparisons with its pivot and few more, not g * g. A unit returns only a
+spanning forest of its links.
 
 Defined results: null, empty or blank text has no shingles, is linked with
 nothing and kept; a text with fewer words than a shingle is one shingle;
 rows that repeat a doc_id are one node of the graph with the links of all of
-them, and come back once per row; a null doc_id is linked with nothing and kept; an empty table gives an empty result; extra columns
+them, and come back once per row; a null doc_id is linked with nothing, has no
+component and is kept; an empty table gives an empty result; extra columns
 are ignored.
 """
 
@@ -30,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.session import bounded_batches, cut, stored
@@ -143,18 +149,20 @@ def _forest(sets: np.ndarray, at: np.ndarray, n: int, percent: int, left: np.nda
 
 
 def _verifier(width: int, percent: int):
-    """Links of each unit (pivot, lo, hi), from whole texts."""
+    """Links of each unit (pivot, lo, hi) between its ``left`` and its ``right`` rows, from whole texts."""
+
+    def emit(found: list[tuple[int, int, int, bool]]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) if found else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["pivot", "a", "b", "joined"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[int] = []
-        b: list[int] = []
+        held: list[tuple[int, int, int, bool]] = []
         for group in _grouped(batches, ["pivot", "lo", "hi"]):
             n = group.num_rows
             if n < 2:
                 continue
-            lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-            blk = np.asarray(group.column("blk"))
-            ids = np.asarray(group.column("rep"))
+            pivot = group.column("pivot")[0].as_py()
+            ids, left, right, joined = (np.asarray(group.column(c)) for c in ("rep", "left", "right", "joined"))
             sets, at = [], []
             base = 0
             for chunk in group.column("text").chunks:
@@ -164,17 +172,53 @@ def _verifier(width: int, percent: int):
                     sets.append(found)
                     at.append(where + base + first)
                 base += len(chunk)
-            for x, y in _forest(np.concatenate(sets), np.concatenate(at), n, percent, blk == lo, blk == hi):
-                a.append(int(ids[x]))
-                b.append(int(ids[y]))
-            if len(a) >= 8192:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            links = _forest(np.concatenate(sets), np.concatenate(at), n, percent, left, right)
+            roots = {y for x, y in links if joined[x]} | {y for _, y in links if joined[y]}
+            held += [(pivot, int(ids[x]), int(ids[y]), y in roots) for x, y in links]
+            if len(held) >= 8192:
+                yield emit(held)
+                held = []
+        yield emit(held)
 
     return verify
 
 
+def _verified(units: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """pivot, a, b and whether they are known to be in the pivot's component, of every link that ``units`` show."""
+    work = units.join(texts, units["rep"] == texts["doc_id"]).select("pivot", "lo", "hi", "rep", "left", "right", "joined", "text")
+    dealt = work.repartition(F.col("pivot"), F.col("lo"), F.col("hi")).sortWithinPartitions("pivot", "lo", "hi", "rep", "left")
+    return dealt.mapInArrow(_verifier(width, percent), "pivot long, a long, b long, joined boolean")
+
+
+def _flags(left: Column | bool, right: Column | bool, joined: Column | bool) -> list[Column]:
+    return [(c if isinstance(c, Column) else F.lit(c)).alias(n) for c, n in ((left, "left"), (right, "right"), (joined, "joined"))]
+
+
+def _large_links(large: DataFrame, texts: DataFrame, width: int, percent: int, block: int, block_shingles: int, seed: int) -> DataFrame:
+    """Links of gatherings of several blocks (pivot, rep, width_, n_blocks, blk): pivots first, then growing runs of blocks."""
+    texts = stored(texts.join(large.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "neardup-texts")
+    pivots = large.select("pivot", "blk").distinct()
+    met = large.where("rep <> pivot").select("pivot", F.col("blk").alias("lo"), F.lit(0).alias("hi"), "rep", *_flags(True, False, False))
+    met = met.unionByName(pivots.select("pivot", F.col("blk").alias("lo"), F.lit(0).alias("hi"), F.col("pivot").alias("rep"), *_flags(False, True, True)))
+    edges = stored(_verified(met, texts, width, percent), "neardup-links")
+    joined = lambda: edges.where("joined").select("pivot", F.explode(F.array("a", "b")).alias("rep")).unionByName(large.select("pivot", F.col("pivot").alias("rep"))).distinct()
+    n_blocks = large.agg(F.max("n_blocks")).first()[0]
+    low, high = 0, 1
+    while low < n_blocks:
+        known = stored(joined(), "neardup-joined")
+        open_ = stored(large.join(known, ["pivot", "rep"], "left_anti"), "neardup-open")
+        if open_.isEmpty():
+            break
+        size = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("width_") / F.lit(block_shingles))).cast("int")
+        chunks = open_.groupBy("pivot").agg(size.alias("n_chunks"))
+        left = open_.join(chunks, "pivot").select("pivot", F.pmod(F.xxhash64("rep", F.lit(seed + 1)), "n_chunks").cast("int").alias("lo"), F.explode(F.sequence(F.lit(low), F.least(F.lit(high), "n_blocks") - 1)).alias("hi"), "rep", *_flags(True, False, False))
+        state = large.where(F.col("blk").between(low, high - 1)).join(known.withColumn("known", F.lit(True)), ["pivot", "rep"], "left")
+        right = state.join(chunks, "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("lo"), F.col("blk").alias("hi"), "rep", *_flags(False, True, F.coalesce("known", F.lit(False))))
+        edges = edges.unionByName(stored(_verified(left.unionByName(right), texts, width, percent), "neardup-links"))
+        low, high = high, 2 * high + 1
+    return edges
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half_keys: int = 10, half_width: int = 3, block: int = 400, block_shingles: int = 1_000_000, seed: int = 20240229) -> DataFrame:
     """doc_id, n_shingles, component_id and ``kept`` for every document.
 
@@ -184,7 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half_key
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(texts.mapInArrow(_signer(width, half_keys, half_width, seed), "doc_id long, n_shingles long, p0 long, p1 long, halves array<long>"))
-    filled = signed.where("n_shingles > 0")
+    filled = signed.where("n_shingles > 0 and doc_id is not null")
     reps = filled.groupBy("n_shingles", "p0", "p1").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n_copies"))
     # Only sets with copies need a join to find their representative; written out, so that a hot set can be split.
     copies = stored(reps.where("n_copies > 1").select("n_shingles", "p0", "p1", F.col("rep").alias("first_copy")), "set-copies")
@@ -193,18 +237,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half_key
     own = halves.join(shared, "half", "left_semi").groupBy("rep").agg(*(F.collect_set(F.when((F.col("place") < half_keys) == (side == 0), F.col("half"))).alias(f"side{side}") for side in (0, 1)))
     keyed = cut(own.select("rep", F.explode(F.flatten(F.transform("side0", lambda x: F.transform("side1", lambda y: F.xxhash64(x, y))))).alias("key")))
     pivots = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot")
-    members = keyed.join(pivots, "key").select("pivot", "rep").distinct()
+    members = keyed.join(pivots, "key").select("pivot", "rep").distinct().join(reps.groupBy("rep").agg(F.max("n_shingles").alias("width_")), "rep")
     # Long texts make small blocks: a block holds about ``block`` members and ``block_shingles`` shingles at most.
-    sizes = members.join(reps.select("rep", F.col("n_shingles").alias("width_")), "rep").groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.sum("width_").alias("total"))
-    n_blocks = F.ceil(F.greatest(F.col("size") / F.lit(block), F.col("total") / F.lit(block_shingles))).cast("int")
-    dealt = members.join(sizes, "pivot").select("pivot", "rep", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("rep", F.lit(seed)), n_blocks).cast("int").alias("blk"))
-    units = dealt.select("pivot", "rep", "blk", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")).select("pivot", "rep", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
-    first = texts.where("text is not null").join(units.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    work = units.join(first, units.rep == first.doc_id).select("pivot", "lo", "hi", "blk", "rep", "text")
-    spread = work.repartition(F.col("pivot"), F.col("lo"), F.col("hi")).sortWithinPartitions("pivot", "lo", "hi", "blk", "rep")
-    edges = spread.mapInArrow(_verifier(width, percent), "a long, b long")
-    found = components(edges).withColumnsRenamed({"node": "rep"})
-    own_rep = signed.select("doc_id", "n_shingles", "p0", "p1").join(copies, ["n_shingles", "p0", "p1"], "left").withColumn("rep", F.coalesce("first_copy", "doc_id"))
+    n_blocks = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("width_") / F.lit(block_shingles))).cast("int")
+    sizes = members.groupBy("pivot").agg(n_blocks.alias("n_blocks"))
+    dealt = stored(members.join(sizes, "pivot").select("pivot", "rep", "width_", "n_blocks", F.pmod(F.xxhash64("rep", F.lit(seed)), "n_blocks").cast("int").alias("blk")), "neardup-members")
+    bodies = texts.where("text is not null and doc_id is not null")
+    small = dealt.where("n_blocks = 1").select("pivot", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "rep", *_flags(True, True, False))
+    edges = _verified(small, bodies.join(small.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width, percent).select("a", "b")
+    large = dealt.where("n_blocks > 1")
+    if not large.isEmpty():
+        edges = edges.unionByName(_large_links(large, bodies, width, percent, block, block_shingles, seed).select("a", "b"))
+    own_rep = signed.select("doc_id", "n_shingles", "p0", "p1").join(copies, ["n_shingles", "p0", "p1"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("first_copy", "doc_id")))
+    # The sets of a repeated doc_id are tied together.
+    ids = own_rep.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most"))
+    tied = own_rep.join(stored(ids.where("least <> most"), "neardup-ties"), "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    found = components(edges.unionByName(tied)).withColumnsRenamed({"node": "rep"})
     placed = own_rep.join(found, "rep", "left")
     component = F.coalesce(F.col("component"), F.col("rep"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
