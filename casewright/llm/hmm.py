@@ -9,9 +9,11 @@ across partitions, and the sums give the next parameters. The likelihood of a
 text is exact: scaled forward recursion over the whole sequence, vectorised over
 texts, times the words' probabilities within their classes.
 
-Word counts cover the whole training corpus. Only the ``frequent`` most frequent
-words (a fixed bound) travel to the executors; counts of all the others meet the
-texts that use them in one shuffled join of distinct (text, word) pairs.
+Word counts cover the whole training corpus. Only the most frequent words travel
+to the driver and the executors: all whose count reaches the least level at
+which no more than ``frequent`` words do, found from a histogram of counts.
+Counts of all the others meet the texts that use them in one shuffled join of
+distinct (text, word) pairs.
 
 Words are 64-bit hashes of their bytes with A-Z folded. Defined results: null or
 empty text is its end alone; without training texts every count is 0; repeated
@@ -97,9 +99,17 @@ class Lexicon:
         return self.own + self.buckets + 1
 
 
+def _level(n: Column) -> Column:
+    """Counts by levels: each of its own up to 1024, then 64 to every doubling."""
+    return F.when(n <= 1024, n).otherwise(1024 + F.floor(F.log2(n / 1024) * 64)).cast("long")
+
+
 def _lexicon(counts: DataFrame, ends: int, own: int, buckets: int, frequent: int) -> Lexicon:
     per = {r.bucket: (r.n, r.v) for r in counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).select("word", "bucket", "n").toArrow()
+    levels = sorted(((r.level, r.many) for r in counts.groupBy(_level(F.col("n")).alias("level")).agg(F.count(F.lit(1)).alias("many")).collect()), reverse=True)
+    reach = np.cumsum([many for _, many in levels])
+    least = min((level for (level, _), total in zip(levels, reach, strict=True) if total <= frequent), default=None)
+    top = counts.where(_level(F.col("n")) >= least if least is not None else F.lit(False)).select("word", "bucket", "n").toArrow()
     words = np.asarray(top.column("word")).astype(np.int64).view(np.uint64) if top.num_rows else np.zeros(0, np.uint64)
     n = np.asarray(top.column("n")).astype(np.int64)
     bucket = np.asarray(top.column("bucket")).astype(np.int64)
@@ -214,8 +224,8 @@ class Packed:
         out[self.order] = found
         return out
 
-    def expected(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch's expected counts of starts, moves and emissions."""
+    def expected(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Baum-Welch's expected counts of starts, moves and emissions, and the log10 likelihood."""
         k = len(start)
         out, alphas, scale = self.forward(start, move, emit, keep=True)
         moves = np.zeros((k, k))
@@ -231,7 +241,7 @@ class Packed:
             later = out[low : low + n] * beta / scale[low : low + n, None]
             now *= beta
         emits = np.stack([np.bincount(self.cls, weights=alphas[:, j], minlength=emit.shape[1]) for j in range(k)])
-        return alphas[: self.active[0]].sum(0).astype(float), moves * move, emits
+        return alphas[: self.active[0]].sum(0).astype(float), moves * move, emits, float(np.log10(scale, dtype=float).sum())
 
 
 def _packs(batches: Iterator[pa.RecordBatch], limit: int = _TOKENS) -> Iterator[tuple[Packed, list[pa.RecordBatch]]]:
@@ -260,7 +270,8 @@ def _expecter(start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         total = None
         small = [x.astype(np.float32) for x in (start, move, emit)]
         for pack, _ in _packs(batches):
-            counts = np.concatenate([x.reshape(-1) for x in pack.expected(*small)])
+            *parts, likelihood = pack.expected(*small)
+            counts = np.concatenate([*(x.reshape(-1) for x in parts), [likelihood]])
             total = counts if total is None else total + counts
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["cell", "n"])
@@ -283,27 +294,35 @@ def _normal(x: np.ndarray, prior: float) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
-def train(encoded: DataFrame, mass: np.ndarray, states: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, move and emission probabilities after ``rounds`` of Baum-Welch over all rows that are not held out."""
+def train(encoded: DataFrame, mass: np.ndarray, states: int, rounds: int, seed: int, least_gain: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, move and emission probabilities by Baum-Welch over all rows that are not held out.
+
+    It ends when a round raises the log likelihood by less than ``least_gain``
+    of itself, or after ``rounds``.
+    """
     rng = np.random.default_rng(seed)
     n_classes = len(mass)
     # States begin as seeded distortions of the classes' shares and tend to stay, so that texts can pull them apart.
     start, move = np.full(states, 1.0 / states), _normal(np.eye(states) * states, 0.5)
     emit = _normal((mass + 0.5) * np.exp(rng.normal(0, 1, (states, n_classes))), 0.0)
     texts = encoded.where("not held_out").select("classes")
+    before = None
     for _ in range(rounds):
         cells = texts.mapInArrow(_expecter(start, move, emit), "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         if not cells.num_rows:
             break
-        flat = np.zeros(states + states * states + states * n_classes)
+        flat = np.zeros(states + states * states + states * n_classes + 1)
         flat[np.asarray(cells.column("cell"))] = np.asarray(cells.column("n"))
         start = _normal(flat[:states], 0.1)
         move = _normal(flat[states : states + states * states].reshape(states, states), 0.1)
-        emit = _normal(flat[states + states * states :].reshape(states, n_classes), 0.1 / n_classes)
+        emit = _normal(flat[states + states * states : -1].reshape(states, n_classes), 0.1 / n_classes)
+        if before is not None and flat[-1] - before < least_gain * abs(before):
+            break
+        before = flat[-1]
     return start, move, emit
 
 
-def score(docs: DataFrame, held_out: Column, own: int = 1023, buckets: int = 512, frequent: int = 262_144, states: int = 6, rounds: int = 4, seed: int = 5) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, own: int = 1023, buckets: int = 512, frequent: int = 262_144, states: int = 6, rounds: int = 6, seed: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Learns from the rows that are not ``held_out``. Scores are log10
