@@ -13,8 +13,9 @@ on the line hash, whose hot side adaptive execution splits, and only lists of
 places travel back to the texts.
 
 Defined results: null text stays null, with no line; null source counts as one
-site; repeated rows are one document; ties of a line's first document can't
-occur as doc_ids differ; an empty table gives an empty result; other columns
+site; rows that repeat a doc_id are one document, whose own lines stay in all of
+them, and each row loses lines of its own text only; rows with a null doc_id
+keep all their lines; an empty table gives an empty result; other columns
 pass through, whatever their names, except one named ``n_removed``.
 """
 
@@ -29,10 +30,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _lines(docs: DataFrame, min_words: int, site: Column) -> DataFrame:
-    """doc_id, place, line hash (two 64-bit halves) and site of every line that is long enough."""
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), site.alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    """doc_id, hash of the text, place, line hash and site of every line that is long enough."""
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), site.alias("site"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     worded = split.where(F.col("line").rlike(rf"^[\x20\x09-\x0D]*(?:{WORD}[\x20\x09-\x0D]+){{{min_words - 1}}}{WORD}"))
-    return worded.select("doc_id", "place", "site", F.xxhash64("line").alias("h"))
+    return worded.select("doc_id", "text_hash", "place", "site", F.xxhash64("line").alias("h"))
 
 
 def spread(docs: DataFrame, min_sites: int = 5, margin: float = 0.3, min_words: int = 3, lg_k: int = 11, site: Column | None = None) -> DataFrame:
@@ -52,29 +53,38 @@ def spread(docs: DataFrame, min_sites: int = 5, margin: float = 0.3, min_words:
 
 
 def removals(docs: DataFrame, **options) -> DataFrame:
-    """doc_id and ``places`` (0-based, ascending) of the lines that each document loses."""
+    """doc_id, ``text_hash`` and ``places`` (0-based, ascending) of the lines that each text of a document loses."""
     site = options.pop("site", None)
     min_words = options.get("min_words", 3)
     found = stored(spread(docs, site=site, **options).select("h", "first_doc"), "line-boilerplate")
     lines = _lines(docs, min_words, F.lit(None).cast("string")).drop("site")
     hit = lines.join(found, "h").where("doc_id <> first_doc")
     # A line that repeats inside its first document is no cross-site matter and stays.
-    return hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    return hit.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with their texts without boilerplate lines, and ``n_removed``."""
-    gone = removals(docs, **options).select(F.col("doc_id").alias("_id"), "places")
+    gone = removals(docs, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "places")
     places = gone["places"]
-    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left")
+    joined = docs.join(gone, (docs["doc_id"].cast("long") == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"]), "left")
     text = F.when(places.isNull(), docs["text"]).otherwise(without_places(docs["text"], places))
     n_removed = F.when(places.isNull(), 0).otherwise(F.size(places)).cast("long")
     return joined.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns if c != "n_removed"), n_removed.alias("n_removed"))
 
 
 def without_places(text: Column, places: Column) -> Column:
-    """A text without the lines at some 0-based places."""
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda line, k: ~F.array_contains(places, k)), "\n")
+    """A text without the lines at some 0-based places, in ascending order.
+
+    What stays is cut between one removed place and the next, so that the work
+    grows with the lines and not with lines times places.
+    """
+    lines = F.split(text, "\n", -1)
+    edges = F.concat(F.array(F.lit(-1)), places, F.array(F.size(lines)))
+    run = lambda s, k: F.slice(s["lines"], F.get(s["edges"], k - 1) + 2, F.get(s["edges"], k) - F.get(s["edges"], k - 1) - 1)
+    left = lambda s: F.flatten(F.transform(F.sequence(F.lit(1), F.size(s["edges"]) - 1), lambda k: run(s, k)))
+    # An array of one struct, so that the text is split once and not for every place.
+    return F.array_join(F.flatten(F.transform(F.array(F.struct(lines.alias("lines"), edges.alias("edges"))), left)), "\n")
 
 
 def sql(min_sites: int = 5, min_words: int = 3) -> str:
