@@ -1,12 +1,13 @@
 """Personal data by candidate gradient boosting, in DataFrame expressions.
 
-High-recall generators propose spans; a candidate's format (digits, length,
+High-recall generators, one for each further kind, propose spans that may
+overlap each other and the rule spans; a candidate's format (digits, length,
 separators, check sums) and context (words before it, characters around it) are
 its features; boosted regression trees score it; a threshold per kind, the
 least score that reaches ``precision`` on a calibration half of the labelled
-candidates, selects redactions. Four rule kinds (email, ip, card, phone) are
-kept whatever their score; the trees choose among the other kinds, whose spans
-may overlap rule spans and then give way to them.
+candidates, selects redactions, and of those that overlap the one with the
+highest score. Four rule kinds (email, ip, card, phone) are kept whatever their
+score; a proposal that lies within one of their spans adds nothing and is left out.
 
 Positions of all matches of a pattern come from the pieces between the matches
 (``split``) and the matches (``regexp_extract_all``) by running sums of their
@@ -15,7 +16,10 @@ Repeated groups are possessive and starts are anchored, so that no text, however
 long, makes the matcher recurse or rescan.
 
 The trees are fitted on the driver to a bounded seeded table of labelled texts,
-whose features are made by the same expressions.
+whose features are made by the same expressions. A fitted forest is one literal
+array of complete trees that an ``aggregate`` walks, so a plan doesn't grow with
+the number of trees. The spans are written to a narrow table in the shared
+folder once.
 
 Defined results: null text counts as empty and has no spans; repeated rows are
 scanned one by one; an empty table gives an empty result; extra columns are
@@ -33,6 +37,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.session import stored
+
 MAX_LABELLED = 20_000
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("email_words", "phone_local", "national_id", "iban")
@@ -44,13 +50,13 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: One alternation of the other kinds, the leftmost match wins.
-MORE_PATTERN = (
-    r"(?<![A-Za-z0-9._-])[A-Za-z][A-Za-z0-9._-]{1,40}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{2,40}(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20|\.)[A-Za-z]{2,12}){1,3}"
-    r"|(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-    r"|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-    r"|(?<![0-9A-Za-z+./-])\(?[0-9]{2,5}\)?[\x20./-][0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9A-Za-z-])"
-)
+#: Generators of the other kinds.
+MORE_PATTERNS = {
+    "email_words": r"(?<![A-Za-z0-9._-])[A-Za-z][A-Za-z0-9._-]{1,40}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{2,40}(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20|\.)[A-Za-z]{2,12}){1,3}",
+    "phone_local": r"(?<![0-9A-Za-z+./-])\(?[0-9]{2,5}\)?[\x20./-][0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9A-Za-z-])",
+    "national_id": r"(?<![0-9A-Za-z-])[0-9]{3}[-\x20][0-9]{2}[-\x20][0-9]{4}(?![0-9-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+}
 #: Words of the context that speak for or against personal data.
 FOR_WORDS = r"(?i)\b(?:e-?mail|mail|contact|write|reach|phone|tel|telephone|call|mobile|cell|fax|dial|sms|whatsapp|ssn|social|security|passport|identity|iban|account|bank|transfer|payee)\b"
 AGAINST_WORDS = r"(?i)\b(?:version|release|build|section|chapter|order|invoice|isbn|issn|page|pages|figure|table|ref|reference|sku|part|model|item|lot|score|range|years|from|date|ticket|case|serial)\b"
@@ -109,18 +115,8 @@ def _valid(kind: str):
     return lambda s: F.lit(True)
 
 
-def _kind_of(found: Column) -> Column:
-    """Which alternative of MORE_PATTERN a match is."""
-    return (
-        F.when(found.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.lit(2))
-        .when(found.rlike(r"^[A-Z]{2}[0-9]{2}"), F.lit(3))
-        .when(found.rlike(r"^[(0-9]"), F.lit(1))
-        .otherwise(F.lit(0))
-    )
-
-
 def _candidate(s: Column) -> Column:
-    """A proposed span with its features."""
+    """A proposed span (kind, start, end, found) with its features in the order of FEATURES."""
     found, start, end = s["found"], s["start"].cast("int"), s["end"].cast("int")
     before = F.substring("text", F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40)))
     last, after = F.substring(before, -1, 1), F.substring("text", end + 1, F.lit(1))
@@ -128,7 +124,7 @@ def _candidate(s: Column) -> Column:
     flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     digits = _digits(found)
     values = {
-        "kind": _kind_of(found).cast("double"),
+        "kind": s["kind"].cast("double"),
         "length": F.length(found).cast("double"),
         "digits": F.length(digits).cast("double"),
         "separators": count(r"[ ./-]"),
@@ -143,23 +139,32 @@ def _candidate(s: Column) -> Column:
         "runs": count("[0-9]+"),
         "distinct_digits": F.size(F.array_distinct(F.split(digits, ""))).cast("double"),
     }
-    return F.struct(s["start"].alias("start"), s["end"].alias("end"), *(values[k].alias(k) for k in FEATURES))
+    return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.array(*(values[k] for k in FEATURES)).alias("x"))
 
 
 def proposals(texts: DataFrame) -> DataFrame:
-    """Adds ``base`` (kind, start, end) and ``more`` (start, end and FEATURES) to rows with a ``text``."""
-    digit, at = F.col("text").rlike("[0-9]"), F.col("text").contains("@")
-    screens = {"email": at, "ip": F.when(digit, F.col("text").rlike(r"[0-9]\.[0-9]")).otherwise(False), "card": digit, "phone": F.col("text").contains("+")}
+    """Adds ``base`` (kind, start, end) and ``more`` (kind, start, end and features ``x``) to rows with a ``text``."""
+    text = F.col("text")
+    digit, at = text.rlike("[0-9]"), text.contains("@")
+    word_at = text.rlike(r"\x20at\x20[A-Za-z0-9-]+(?:\x20dot\x20|\x20?[(\[]dot|\.[A-Za-z])|[(\[{]at[)\]}]")
+    many = lambda pattern: F.when(digit, text.rlike(pattern)).otherwise(False)
+    screens = {
+        "email": at, "ip": many(r"[0-9]\.[0-9]"), "card": digit, "phone": text.contains("+"),
+        "email_words": word_at, "phone_local": many(r"[0-9][)\x20./-][\x20]?[0-9]{3}"), "national_id": many(r"[0-9]{3}[-\x20][0-9]{2}[-\x20][0-9]{4}"), "iban": many(r"[A-Z]{2}[0-9]{2}"),
+    }
     df = texts
-    for kind in BASE_KINDS:
-        df = with_matches(df, f"_{kind}", PATTERNS[kind], screens[kind])
-    word_at = F.col("text").rlike(r"\x20at\x20[A-Za-z0-9-]+(?:\x20dot\x20|\x20?[(\[]dot|\.[A-Za-z])|[(\[{]at[)\]}]")
-    df = with_matches(df, "_more", MORE_PATTERN, digit | word_at)
+    for kind, pattern in {**PATTERNS, **MORE_PATTERNS}.items():
+        df = with_matches(df, f"_{kind}", pattern, screens[kind])
     tagged = lambda kind: F.transform(F.filter(f"_{kind}", _valid(kind)), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     df = df.withColumn("base", F.concat(*(tagged(k) for k in BASE_KINDS)))
-    free = F.filter("_more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    df = df.withColumn("_free", free).withColumn("more", F.transform("_free", _candidate))
-    return df.drop("_more", "_free", *(f"_{k}" for k in BASE_KINDS))
+    proposed = [F.transform(f"_{kind}", _marked(k)) for k, kind in enumerate(MORE_KINDS)]
+    outside = F.filter(F.concat(*proposed), lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
+    df = df.withColumn("_more", outside).withColumn("more", F.transform("_more", _candidate))
+    return df.drop("_more", *(f"_{k}" for k in (*BASE_KINDS, *MORE_KINDS)))
+
+
+def _marked(kind: int):
+    return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"))
 
 
 def default_labels(seed: int = 23, n: int = 1600) -> list[tuple[str, bool]]:
@@ -207,13 +212,13 @@ def _grow(x: np.ndarray, target: np.ndarray, depth: int, least: int = 8) -> dict
     if best[1] is None:
         return leaf
     low = x[:, best[1]] <= best[2]
-    return {"feature": FEATURES[best[1]], "at": best[2], "low": _grow(x[low], target[low], depth - 1, least), "high": _grow(x[~low], target[~low], depth - 1, least)}
+    return {"feature": best[1], "at": best[2], "low": _grow(x[low], target[low], depth - 1, least), "high": _grow(x[~low], target[~low], depth - 1, least)}
 
 
 def _value(tree: dict, x: np.ndarray) -> np.ndarray:
     if "value" in tree:
         return np.full(len(x), tree["value"])
-    low = x[:, FEATURES.index(tree["feature"])] <= tree["at"]
+    low = x[:, tree["feature"]] <= tree["at"]
     return np.where(low, _value(tree["low"], x), _value(tree["high"], x))
 
 
@@ -223,7 +228,7 @@ def fit(spark: SparkSession, labels: Iterable[tuple[str, bool]], trees: int = 24
     if len(rows) > MAX_LABELLED:
         raise ValueError(f"more than {MAX_LABELLED} labelled texts")
     frame = proposals(spark.createDataFrame([(t, bool(y)) for t, y in rows], "text string, y boolean").coalesce(1))
-    found = [([c[f] for f in FEATURES], float(r.y)) for r in frame.select("more", "y").collect() for c in r.more]
+    found = [(list(c.x), float(r.y)) for r in frame.select("more", "y").collect() for c in r.more]
     x, y = np.array([a for a, _ in found]), np.array([b for _, b in found])
     fold = np.arange(len(y)) % 2 == 0
     first = math.log((y[fold].mean() + 1e-3) / (1 - y[fold].mean() + 1e-3))
@@ -249,10 +254,33 @@ def _default_model(application: str):
     return fit(SparkSession.active(), default_labels())
 
 
-def _tree(tree: dict, c: Column) -> Column:
-    if "value" in tree:
-        return F.lit(tree["value"])
-    return F.when(c[tree["feature"]] <= tree["at"], _tree(tree["low"], c)).otherwise(_tree(tree["high"], c))
+def _complete(tree: dict, depth: int) -> tuple[list[int], list[float], list[float]]:
+    """Features and thresholds of a tree's inner nodes level by level, and its leaves, as if every branch were ``depth`` deep."""
+    level, features, limits = [tree], [], []
+    for _ in range(depth):
+        below = []
+        for node in level:
+            features.append(node.get("feature", 0))
+            limits.append(node.get("at", 0.0))
+            below += [node.get("low", node), node.get("high", node)]
+        level = below
+    return features, limits, [node["value"] for node in level]
+
+
+def score(x: Column, forest: list[dict], first: float, depth: int = 3) -> Column:
+    """The forest's probability for an array of features."""
+    trees = [_complete(t, depth) for t in forest]
+    literal = F.array(*(F.struct(F.array(*map(F.lit, f)).alias("f"), F.array(*map(F.lit, t)).alias("t"), F.array(*map(F.lit, v)).alias("v")) for f, t, v in trees))
+
+    def add(total: Column, tree: Column) -> Column:
+        at, width = F.lit(0), 1
+        for level in range(depth):
+            node = at + (width - 1)
+            at = at * 2 + (F.get(x, F.get(tree["f"], node)) > F.get(tree["t"], node)).cast("int")
+            width *= 2
+        return total + F.get(tree["v"], at)
+
+    return 1.0 / (1.0 + F.exp(-F.aggregate(literal, F.lit(first), add)))
 
 
 def find(docs: DataFrame, labels: Iterable[tuple[str, bool]] | None = None) -> DataFrame:
@@ -261,27 +289,16 @@ def find(docs: DataFrame, labels: Iterable[tuple[str, bool]] | None = None) -> D
     forest, first, thresholds = _default_model(spark.sparkContext.applicationId) if labels is None else fit(spark, labels)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     proposed = proposals(texts).select("doc_id", "base", "more")
-
-    def score(c: Column) -> Column:
-        total = F.lit(first)
-        for tree in forest:
-            total = total + _tree(tree, c)
-        return 1.0 / (1.0 + F.exp(-total))
-
     limit = F.array(*(F.lit(t) for t in thresholds))
-    chosen = proposed.withColumn("scored", F.transform("more", lambda c: F.struct(c["kind"].cast("int").alias("k"), c["start"].alias("start"), c["end"].alias("end"), score(c).alias("p"))))
-    passed = F.filter("scored", lambda c: c["p"] >= F.get(limit, c["k"]))
-    chosen = chosen.withColumn("passed", passed)
-    extra = [F.transform(F.filter("passed", _is(k)), _named(name)) for k, name in enumerate(MORE_KINDS)]
-    return chosen.select("doc_id", F.concat("base", *extra).alias("spans"))
-
-
-def _is(kind: int):
-    return lambda c: c["k"] == kind
-
-
-def _named(kind: str):
-    return lambda c: F.struct(F.lit(kind).alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
+    scored = F.transform("more", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), score(c["x"], forest, first).alias("p")))
+    passed = proposed.select("doc_id", "base", F.filter(scored, lambda c: c["p"] >= F.get(limit, c["kind"])).alias("passed"))
+    better = lambda o, c: (o["start"] < c["end"]) & (o["end"] > c["start"]) & ((o["p"] > c["p"]) | ((o["p"] == c["p"]) & ((o["start"] < c["start"]) | ((o["start"] == c["start"]) & (o["kind"] < c["kind"])))))
+    chosen = passed.select("doc_id", "base", F.filter("passed", lambda c: ~F.exists("passed", lambda o: better(o, c))).alias("chosen"))
+    name = F.array(*(F.lit(k) for k in MORE_KINDS))
+    # Proposals come by kind, then start, and so do what is chosen of them.
+    extra = F.transform("chosen", lambda c: F.struct(F.get(name, c["kind"]).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    # Written out, so that what is done with the spans doesn't repeat the expressions that make them.
+    return stored(chosen.select("doc_id", F.concat("base", extra).alias("spans")), "pii-spans")
 
 
 def redact(docs: DataFrame, mark: str = "*") -> DataFrame:
