@@ -19,7 +19,6 @@ an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,31 +64,165 @@ def ngrams(host: Column, path: Column, buckets: int) -> Column:
     return F.concat(*(grams(text, part, size) for text, part in ((host, "h"), (path, "p")) for size in (3, 4)))
 
 
-def default_labels(seed: int = 3, each: int = 250) -> list[tuple[str, bool]]:
-    """A small labelled table: URLs of link farms and traps against ordinary pages, from seeded words."""
-    rng = random.Random(seed)
-    bad_host = "spam farm casino bonus cheap pills viagra loan porn xxx adult win prize free-money click track promo torrent warez crack bet poker".split()
-    good_host = "news library university museum school weather science journal archive city health garden music history forum docs wiki travel sport radio".split()
-    bad_path = "buy cheap bonus click casino win free download crack xxx login.php redirect track promo offer".split()
-    good_path = "article about index story report people topic guide section research events 2021 en de fr es".split()
-    tops = ("com", "org", "net", "info", "example.com", "example.org")
-    out = []
-    for k in range(each):
-        for words, tails, unwanted in ((bad_host, bad_path, True), (good_host, good_path, False)):
-            name = rng.choice(("", "-", ".")).join(rng.sample(words, rng.randint(1, 3)))
-            site = f"{rng.choice(('', 'www.', 'm.', 'blog.'))}{name}{rng.randint(1, 999) if unwanted and k % 3 == 0 else ''}.{rng.choice(tops)}"
-            tail = "/".join(rng.sample(tails, rng.randint(0, 3)))
-            out.append((f"http{rng.choice(('', 's'))}://{site}/{tail}{rng.choice(('', '/', '.html', str(rng.randint(1, 999))))}", unwanted))
-    # Opaque names are as common among ordinary sites.
-    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
-    for k in range(each):
-        name = "".join(rng.choice(syllables) for _ in range(rng.randint(2, 5)))
-        out.append((f"https://{rng.choice(('', 'www.', 'm.', 'blog.'))}{name}.{rng.choice(tops)}/{rng.choice(('en', 'de', 'fr', 'es', 'it'))}/{rng.randint(1, 999)}{rng.choice(('', '/', '.html'))}", False))
-    return out
-
-
-def fit(spark: SparkSession, labels: Iterable[tuple[str, bool]], buckets: int = 1024, rounds: int = 250, rate: float = 8.0, ridge: float = 1e-5) -> list[float]:
-    """Weights by bucket, then the bias. The labelled rows are bounded, so gradient descent runs on the driver."""
+#: The small labelled table that the production query is fitted to, one host and path a line.
+UNWANTED = """
+www.casino-royal-bonus.top/free-spins/register.html
+bestonlinecasino24.win/slots/jackpot?aff=77
+poker-vip-club.bet/deposit-bonus-200
+livebet-sports.win/odds/today
+mega-jackpot-slots.club/play-now
+cheap-viagra-online.pharmacy-rx.biz/order
+canadian-pills-discount.biz/cialis/buy-cheap
+www.buy-tramadol-no-prescription.info/checkout
+weightloss-miracle-pills.shop/special-offer
+keto-gummies-reviews.click/buy-2-get-1
+hot-singles-tonight.date/chat/free-signup
+xxx-tube-videos.porn/watch/8812
+free-adult-cams.live/room/anna
+sexy-girls-dating.club/join
+adultfriend-hookup.top/?click=9
+replica-watches-outlet.shop/rolex-cheap
+www.louis-bags-outlet-sale.top/clearance
+designer-shoes-discount.store/90-off
+payday-loans-instant.loan/apply-now
+bad-credit-loan-approved.biz/fast-cash
+make-money-fast-online.win/secret-method
+earn-5000-daily.click/crypto-robot
+bitcoin-doubler-x2.top/invest
+crypto-giveaway-elon.live/claim
+double-your-btc.win/deposit
+free-iphone-winner.click/claim-prize
+www.survey-prize-center.top/winner/confirm
+you-won-giftcard.win/claim.php?id=1
+secure-login-verify-account.tk/paypal/signin.php
+appleid-verify-support.ml/login/update.php
+bank-account-alert.cf/secure/confirm.html
+update-your-password.ga/webscr/login.php
+netflix-billing-problem.top/signin/update
+download-crack-keygen.cc/photoshop-full-version
+warez-free-downloads.to/cracked-games
+full-movie-torrent-hd.cc/free-download
+serial-keys-generator.cc/windows-activator
+free-mp3-downloads-now.top/track/hit
+spam-link-farm.biz/links/page77.html
+seo-backlinks-cheap.click/buy-1000-links
+buy-followers-cheap.shop/instagram-likes
+traffic-exchange-bot.top/redirect.php?url=7
+click-track-affiliate.click/go.php?aff=12
+promo-redirect.top/out.php?to=offer
+best-deals-coupon-codes.click/promo/50-off
+limited-time-offer.shop/buy-now
+work-from-home-jobs-easy.biz/signup-bonus
+online-gambling-tips.bet/sure-win
+sports-betting-free-picks.bet/vip
+lottery-winner-numbers.win/claim
+forex-signals-profit.biz/join-vip
+miracle-hair-growth.shop/order-now
+male-enhancement-pills.top/trial
+diet-pills-that-work.club/free-trial
+escort-girls-city.date/gallery
+nude-celebs-leaked.porn/pics
+anime-hentai-xxx.porn/watch
+essay-writing-service-cheap.biz/order
+fake-diploma-buy.shop/degree
+fake-id-cards.top/order-now
+cheap-cigarettes-online.biz/buy
+vape-wholesale-discount.shop/sale
+unlock-phone-free-crack.cc/imei
+hacked-games-mod-apk.cc/download-free
+free-robux-generator.win/verify
+vbucks-generator-free.top/human-verification
+whatsapp-spy-hack.cc/download
+hack-facebook-password.tk/tool
+antivirus-warning-alert.tk/scan-now.exe
+your-pc-is-infected.ml/call-support
+"""
+ORDINARY = """
+en.wikipedia.org/wiki/History_of_astronomy
+de.wikipedia.org/wiki/Bibliothek
+fr.wikipedia.org/wiki/Universit%C3%A9
+www.gutenberg.org/ebooks/1342
+docs.python.org/3/library/itertools.html
+spark.apache.org/docs/latest/sql-programming-guide.html
+www.nasa.gov/missions/science-news/
+www.nature.com/articles/s41586-020-2649-2
+arxiv.org/abs/1706.03762
+www.who.int/news-room/fact-sheets
+europa.eu/about/history_en
+www.bbc.co.uk/news/science-environment
+www.lemonde.fr/culture/article/2021/03/02/exposition.html
+www.zeit.de/wissen/2020-11/klima-forschung
+elpais.com/cultura/2022/05/museo.html
+www.nps.gov/yell/planyourvisit/index.htm
+museum.example.org/collections/paintings/101
+library.university.edu/catalog/search
+cs.university.edu/courses/algorithms/lecture3.pdf
+www.city-council.gov/services/waste
+weather.gov/forecast/region/north
+www.school-district.org/calendar/2023
+blog.gardenerworld.com/growing-tomatoes
+www.cookbook.com/recipes/apple-pie
+recipes.kitchenstories.net/bread/sourdough
+travelguide.com/europe/portugal/lisbon
+hiking-trails.org/alps/route-12
+www.musicreview.com/albums/2019/jazz
+forum.linuxusers.org/thread/48213
+stackoverflow.com/questions/11227809
+github.com/apache/arrow/blob/main/README.md
+www.oldbooks.net/authors/austen
+history.museum.ca/exhibits/viking-ships
+www.birdwatching.org/species/heron
+astronomy-club.net/observations/saturn
+news.localpaper.com/2021/06/council-meeting
+www.dailyreport.net/world/article-55123
+radio.station.fm/programme/morning
+sports.weekly.com/football/report
+www.railway-society.org/timetables/1950
+www.biology-lab.edu/people/research
+chess.club.org/games/archive
+www.parliament.uk/business/publications
+open-data.gov/dataset/population
+maps.survey.gov/sheets/42
+www.painting-school.fr/cours/aquarelle
+www.stadtbibliothek.de/service/oeffnungszeiten
+www.rathaus.de/buerger/formulare
+www.ayuntamiento.es/servicios/cultura
+www.biblioteca.es/libros/novela
+www.mairie.fr/vie-locale/associations
+journal.physics.org/volume12/issue3
+www.theatre.org/season/hamlet
+film-archive.org/silent/1925
+www.farm-museum.org/visit
+www.lighthouse-keepers.org/history
+www.knitting-patterns.net/scarf
+www.bicycle-repair.com/guide/brakes
+www.photo-journal.com/landscape/2020
+shop.bookstore.com/fiction/new
+www.teacher-resources.org/maths/fractions
+www.health.gov/vaccines/schedule
+www.hospital.org/departments/cardiology
+www.language-school.com/courses/spanish
+www.startup-news.com/interview/founder
+dev.blog.org/posts/2022/unit-testing
+wiki.openstreetmap.org/wiki/Map_features
+community.garden.org/events
+www.volunteer-firefighters.org/training
+podcasts.public-radio.org/episode/214
+"""
+
+
+def default_labels() -> list[tuple[str, bool]]:
+    """The labelled table: (url, unwanted)."""
+    return [(f"http://{line}", unwanted) for lines, unwanted in ((UNWANTED, True), (ORDINARY, False)) for line in lines.split()]
+
+
+def fit(spark: SparkSession, labels: Iterable[tuple[str, bool]], buckets: int = 1024, rounds: int = 250, rate: float = 8.0, ridge: float = 1e-5, prior: float = 0.3) -> list[float]:
+    """Weights by bucket, then the bias. The labelled rows are bounded, so gradient descent runs on the driver.
+
+    The bias is moved from the table's share of unwanted URLs to ``prior``, the
+    share that is expected among pages, so that n-grams which the table doesn't
+    hold speak for an ordinary page.
+    """
     rows = list(labels)
     if len(rows) > MAX_LABELLED:
         raise ValueError(f"more than {MAX_LABELLED} labelled URLs")
@@ -112,7 +245,8 @@ def fit(spark: SparkSession, labels: Iterable[tuple[str, bool]], buckets: int =
         # shares are small, so weights take longer steps than the bias
         weights = [w - rate * 600 * g for w, g in zip(weights, grad, strict=True)]
         bias -= rate * 0.1 * slope
-    return [*weights, bias]
+    share = (sum(y for _, y in data) + 0.5) / (len(data) + 1)
+    return [*weights, bias + math.log(prior / (1 - prior)) - math.log(share / (1 - share))]
 
 
 def probability(host: Column, path: Column, model: list[float]) -> Column:
