@@ -119,12 +119,34 @@ def test_url_rules_and_parts(spark):
     assert got[9][:2] == ("y", "/z")
 
 
-def test_url_regression_separates_fresh_urls(spark):
-    fresh = urls.default_labels(seed=99, each=80)
+#: Not in the labelled table.
+FRESH_UNWANTED = ["http://royal-casino-slots.win/bonus", "http://buy-cheap-pills-online.biz/viagra", "http://free-porn-videos.xxx/watch", "http://warez-torrent-crack.cc/keygen", "http://instant-loans-fast-cash.loan/apply", "http://paypal-verify-account.tk/signin.php", "http://replica-handbags-outlet.shop/sale", "http://sports-bet-bonus.bet/vip", "http://claim-your-prize-winner.click/go.php?id=1", "http://bitcoin-giveaway.top/claim"]
+FRESH_ORDINARY = ["https://www.postgresql.org/docs/current/indexes.html", "https://it.wikipedia.org/wiki/Storia_della_musica", "https://www.britishmuseum.org/collection", "https://news.example.com/2020/05/school-opening", "https://www.sciencemag.org/journals/issue/12", "https://maps.city.gov/parks/map", "https://forum.cyclists.org/thread/991", "https://www.tagesschau.de/wissen/artikel", "https://zxqv.example.org/en/853", "https://www.orchestra.org/concerts/season"]
+
+
+def test_url_regression_separates_urls_of_another_make(spark):
+    fresh = [(u, True) for u in FRESH_UNWANTED] + [(u, False) for u in FRESH_ORDINARY]
     pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(fresh)], "page_id long, url string")
     got = {r.page_id: r.p_unwanted >= 0.5 for r in urls.judge(pages, rules=()).collect()}
-    right = sum(got[k] == y for k, (_, y) in enumerate(fresh))
-    assert right / len(fresh) > 0.93
+    assert sum(got[k] for k, (_, y) in enumerate(fresh) if y) >= 9 and not any(got[k] for k, (_, y) in enumerate(fresh) if not y)
+    assert len(urls.default_labels()) < 200 and not {u for u, _ in urls.default_labels()} & {u.replace("https", "http") for u, _ in fresh}
+
+
+def test_url_verdicts_against_brute_force(spark, data):
+    """The whole query again in plain Python; only the n-grams' buckets and the fitted weights are taken from the module."""
+    got = {r.page_id: r for r in queries.op1_url_filter(spark, data).collect()}
+    pages = table(spark, data, "pages").select("page_id", "url")
+    buckets = pages.select("page_id", urls.ngrams(urls.host(F.col("url")), urls.path(F.col("url")), 1024).alias("g")).collect()
+    *weights, bias = urls.fit(spark, urls.default_labels())
+    grams = {r.page_id: r.g for r in buckets}
+    for r in pages.collect():
+        whole = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", r.url or "")
+        host, path = (whole.group(1).translate(FOLD), whole.group(2)) if whole else ("", "")
+        fits = [(len(site), len(prefix), site + prefix, said) for site, prefix, said in (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")) if (host == site or host.endswith("." + site)) and path.startswith(prefix)]
+        z = bias + sum(weights[b] for b in grams[r.page_id]) / len(grams[r.page_id])
+        rule, verdict = max(fits)[2:] if fits else (None, "block" if z >= 0 else "allow")
+        g = got[r.page_id]
+        assert (g.host, g.path, g.rule, g.verdict) == (host, path, rule, verdict) and math.isclose(g.p_unwanted, 1 / (1 + math.exp(-z)), rel_tol=1e-9)
 
 
 # 2 Decontamination
@@ -163,16 +185,53 @@ def test_item_blocks_give_the_same_leaks(spark, data, documents):
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=23))
 def test_multi_index_misses_nothing_within_the_radius(value, flips):
-    item = decontam.Items(((0, "a b c d e f g"),), 5, 23)
-    print_ = np.array([value], dtype=np.uint64).view(np.uint16).reshape(1, 4)
-    near = np.array([value ^ sum(1 << b for b in flips)], dtype=np.uint64).view(np.uint16).reshape(1, 4)
-    masks = decontam._within(23 // 4)
+    item = decontam.Items(((0, "a b c d e f g"),), {}, 1, 5, 23)
+    print_ = np.array([value], dtype=np.uint64).view(np.uint8).reshape(1, 8)
+    near = np.array([value ^ sum(1 << b for b in flips)], dtype=np.uint64).view(np.uint8).reshape(1, 8)
+    masks = decontam._within(23 // 8)
     tables = []
-    for b in range(4):
+    for b in range(8):
         values = np.sort(print_[0, b] ^ masks)
-        tables.append((np.searchsorted(values, np.arange(65537)), np.zeros(len(values), np.int64)))
+        tables.append((np.searchsorted(values, np.arange(257)), np.zeros(len(values), np.int64)))
     item.index, item.prints = {7: tables}, print_
-    assert item.candidates(7, near)[1].tolist() == [0]
+    assert item.candidates(7, near, np.array([True]))[1].tolist() == [0] and item.candidates(7, near, np.array([False]))[1].tolist() == []
+
+
+def test_similarities_against_brute_force(spark):
+    """Every window of every length compared with every item, weights over the whole benchmark, blocks of any size."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(400)]
+    items = [list(rng.choice(words, int(n))) for n in rng.integers(6, 30, 25)]
+    items += [items[0][:4] + items[1][:8] + items[0][4:], items[2], ["tiny", "item"]]
+    texts = []
+    for k in range(60):
+        t = list(rng.choice(words, int(rng.integers(0, 60))))
+        item = list(items[k % len(items)])
+        for _ in range(int(rng.integers(0, 4))):
+            item[int(rng.integers(len(item)))] = "edited"
+        at = int(rng.integers(0, len(t) + 1))
+        texts.append(" ".join(t[:at] + item[: len(item) - int(rng.integers(0, 2))] + t[at:]))
+    grams = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else Counter([tuple(w)])
+    df = Counter(g for i in items for g in set(grams(i, 5)))
+    weight = lambda g: math.log(1 + len(items) / df.get(g, 1))
+    want = {}
+    for d, text in enumerate(texts):
+        w = text.split()
+        for k, item in enumerate(items):
+            theirs = grams(item, 5)
+            for i in range(max(1, len(w) - len(item) + 1)):
+                if len(item) < 5:
+                    score = float(w[i : i + len(item)] == item)
+                else:
+                    mine = grams(w[i : i + len(item)], 5)
+                    score = sum(weight(g) * min(mine[g], theirs[g]) for g in mine | theirs) / sum(weight(g) * max(mine[g], theirs[g]) for g in mine | theirs)
+                if score >= 0.8 and score > want.get((d, k), 0):
+                    want[d, k] = score
+    assert len(want) > 15
+    bench = items_of(spark, [" ".join(i) for i in items])
+    for per in (65_536, 4):
+        got = {(r.doc_id, r.item_id): r.similarity for r in decontam.find_leaks(docs_of(spark, texts), bench, items_per_block=per).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
 
 
 # 3 Quality
@@ -436,6 +495,39 @@ def test_near_duplicates_against_brute_force(spark):
             assert [r.kept for r in got] == [r.doc_id == r.component_id for r in got]
 
 
+def test_null_and_repeated_ids_in_near_duplicates(spark):
+    text = {k: " ".join(f"{k}{j}" for j in range(30)) for k in "ABCDE"}
+    rows = [(3, text["A"]), (None, text["A"]), (7, text["A"]), (7, text["B"]), (9, text["B"]), (11, text["C"]), (11, text["C"]), (12, text["D"]), (12, ""), (12, text["E"]), (2, text["E"]), (None, None), (None, text["D"])]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame).collect()), key=str)
+    want = [(3, 26, 3, True), (None, 26, None, True), (7, 26, 3, False), (7, 26, 3, False), (9, 26, 3, False), (11, 26, 11, True), (11, 26, 11, True), (12, 26, 2, False), (12, 0, 2, False), (12, 26, 2, False), (2, 26, 2, True), (None, 0, None, True), (None, 26, None, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_large_gatherings_and_long_chains(spark):
+    """Members that the pivot doesn't resemble, reached through others only, in many small blocks."""
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(5000)]
+    now, texts = list(rng.choice(words, 100)), []
+    for k in range(120):  # each resembles its neighbours only
+        now = list(now)
+        for p in range(k * 7 % 100, k * 7 % 100 + 5):
+            now[p % 100] = f"x{k}x{p}"
+        texts.append(" ".join(now))
+    base = list(rng.choice(words, 100))
+    for _ in range(120):
+        t = list(base)
+        t[int(rng.integers(100))] = str(rng.choice(words))
+        texts.append(" ".join(t))
+    order = rng.permutation(len(texts))
+    texts = [texts[k] for k in order]
+    want = _components(_sets(texts, 3), 80)
+    assert len(set(want)) < 60
+    for block in (400, 7):
+        got = neardup.near_duplicates(docs_of(spark, texts), width=3, percent=80, block=block).orderBy("doc_id").collect()
+        assert [r.component_id for r in got] == want
+
+
 # 7 Languages
 
 
@@ -490,6 +582,40 @@ def test_personal_data_candidates_on_fresh_labels(spark):
     assert sum(hits) / len(hits) > 0.9 and sum(hits) / sum(y for _, y in fresh) > 0.75
 
 
+#: Written by hand, not by the generator: personal data in its settings, and what only looks like it.
+PERSONAL = ["My mobile is 0171 555 2368, leave a message.", "Call the office: (212) 555-0187 after nine.", "tel. 415-555-0132", "reach me at jane.doe (at) mailbox.org", "contact: peter at fastmail dot com please", "SSN 078-05-1120 was on the form", "Her social security number is 219-09-9999.", "IBAN DE89 3704 0044 0532 0130 00 for the deposit", "transfer to account GB29 NWBK 6016 1331 9268 19"]
+NOT_PERSONAL = ["See chapter 12.345.678 of the handbook", "release 10.2000.300 fixed it", "They met at home.Then left", "part 123-45-6789 is out of stock", "order 555-12-3456 shipped", "years 1914 1918 1939", "pages 1200-1300 of volume two", "serial AB12QWERASDFZXCV1234", "a total of 12 300 500 units"]
+
+
+def test_personal_data_candidates_on_texts_of_another_make(spark):
+    got = {r.doc_id: bool(r.spans) for r in pii.find(docs_of(spark, PERSONAL + NOT_PERSONAL)).collect()}
+    assert sum(got[k] for k in range(len(PERSONAL))) >= 7
+    assert sum(got[len(PERSONAL) + k] for k in range(len(NOT_PERSONAL))) <= 1
+
+
+def test_overlapping_proposals_and_choice_by_score(spark):
+    text = "transfer to account GB29 NWBK 6016 1331 9268 19 now"
+    proposed = pii.proposals(spark.createDataFrame([(text,)], "text string")).first().more
+    spans = [(pii.MORE_KINDS[c.kind], c.start, c.end) for c in proposed]
+    assert any(a != b and a[1] < b[2] and b[1] < a[2] for a in spans for b in spans)  # one span, two kinds
+    chosen = [(s.start, s.end) for s in pii.find(docs_of(spark, [text])).first().spans]
+    assert all(a == b or a[1] <= b[0] or b[1] <= a[0] for a in chosen for b in chosen) and chosen == [(20, 47)]
+
+
+def test_trees_against_plain_python(spark):
+    frame = pii.proposals(spark.createDataFrame([(t,) for t, _ in pii.default_labels(seed=5, n=120)], "text string"))
+    forest, first, _ = pii._default_model(spark.sparkContext.applicationId)
+    got = frame.select("more", F.transform("more", lambda c: pii.score(c["x"], forest, first)).alias("p")).collect()
+    x, p = np.array([list(c.x) for r in got for c in r.more]), np.array([v for r in got for v in r.p])
+    assert len(p) > 60 and np.allclose(p, 1 / (1 + np.exp(-(first + sum(pii._value(t, x) for t in forest)))))
+
+
+def test_spans_can_be_exploded(spark, documents):
+    kinds = pii.find(documents).select(F.explode("spans").alias("s")).select("s.kind")
+    assert len(kinds._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+    assert kinds.count() == sum(len(r.spans) for r in pii.find(documents).collect())
+
+
 def test_redaction_covers_the_spans(spark):
     frame = docs_of(spark, ["write a.b@c.de now", "no data", None])
     assert [r.text for r in pii.redact(frame).orderBy("doc_id").collect()] == ["write ******** now", "no data", None]
@@ -535,7 +661,7 @@ def test_forward_and_expected_counts():
     pack = hmm.Packed(sequences)
     assert np.allclose(pack.log10(start, move, emit), logs)
     got = pack.expected(start, move, emit)
-    assert np.allclose(got[0], starts) and np.allclose(got[1], moves) and np.allclose(got[2], emits)
+    assert np.allclose(got[0], starts) and np.allclose(got[1], moves) and np.allclose(got[2], emits) and math.isclose(got[3], sum(logs))
 
 
 def test_lm_base_scores_and_gain(spark, documents, rows):
@@ -550,7 +676,37 @@ def test_lm_base_scores_and_gain(spark, documents, rows):
         r = got[k]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[k], len(ws), sum(counts[w] > 0 for w in ws), total)
         assert math.isclose(r.base_score, base, rel_tol=1e-9)
-        assert r.score < 0
+    gain = lambda which: sum(got[k].score - got[k].base_score for k in tokens if held[k] == which) / sum(len(tokens[k]) for k in tokens if held[k] == which)
+    assert gain(False) > 0 and gain(True) > 0  # log10 a token
+
+
+def test_lm_scores_against_brute_force(spark, monkeypatch):
+    """Scores of whole documents: a word's class by the recursion, one sequence at a time, times its share of the class."""
+    rng = np.random.default_rng(3)
+    words = [f"v{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 40)), p=np.arange(60, 0, -1) / 1830)) for _ in range(60)] + [None, "unseen WORDS v1"]
+    kept = {}
+    real = hmm.train
+    monkeypatch.setattr(hmm, "train", lambda *a, **k: kept.setdefault("model", real(*a, **k)))
+    lexicon = hmm._lexicon
+    monkeypatch.setattr(hmm, "_lexicon", lambda *a: kept.setdefault("lex", lexicon(*a)))
+    got = {r.doc_id: r for r in hmm.score(docs_of(spark, texts), F.col("doc_id") % 4 == 1, own=9, buckets=5, frequent=25).collect()}
+    lex, model = kept["lex"], kept["model"]
+    assert 9 <= len(lex.words) <= 25
+    tokens = [WORD.findall((t or "").translate(FOLD)) for t in texts]
+    counts = Counter(w for k, ws in enumerate(tokens) if k % 4 != 1 for w in ws)
+    top = sorted(counts, key=lambda w: (-counts[w], np.uint64(textkit.word_hash(w)).view(np.int64)))[:9]
+    tail = lambda w: int(textkit.mix(np.array([ord(w[-1]) | ((ord(w[-2]) if len(w) > 1 else 0) << 8)], dtype=np.uint64) + np.uint64(1))[0] % np.uint64(5))
+    cls = lambda w: top.index(w) if w in top else 9 + tail(w)
+    mass, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        if w not in top:
+            mass[tail(w)] += n
+            kinds[tail(w)] += 1
+    for k, ws in enumerate(tokens):
+        logs, *_ = _dense([np.array([*map(cls, ws), 14])], *model)
+        inner = sum(math.log10((counts[w] + 0.5) / (mass[tail(w)] + 0.5 * (kinds[tail(w)] + 1))) for w in ws if w not in top)
+        assert math.isclose(got[k].score, logs[0] + inner, rel_tol=1e-6)
 
 
 # Registered queries
