@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import normalize_token
+from .values import is_blank, normalize_token
 
 #: Names of target fields.
 TARGET_FIELDS = (
@@ -45,6 +45,17 @@ ALLOWED_PATHS = (
 FORBIDDEN_PREFIXES = ("origin.", "attack_indicator.", "semantic_hint.", "behavior.", "uncertainty.", "asset_context.")
 FORBIDDEN_KEYS = ("attack_indicator_count", "behavior_tag_count", "uncertainty_count")
 
+#: Fields of an event that a blind review may see.
+EVIDENCE_FIELDS = (
+    "event_id", "modality", "schema_profile", "semantic_text", "anomaly_summary", "src_ip", "src_port", "dst_ip", "dst_port", "transport_proto", "app_proto", "packet_count", "byte_count", "duration_ms", "traffic_direction",
+    "asset_context", "host", "host_context", "telemetry_context", "service_context", "behavior_tags", "attack_indicators", "missing_fields",
+)
+
+
+def evidence_snapshot(event: Column) -> Column:
+    """A map of an event's fields (nested ones as JSON texts) without all that is no evidence or empty."""
+    return F.map_filter(event, lambda k, v: k.isin(*EVIDENCE_FIELDS) & ~is_blank(v) & ~F.trim(v).isin("{}", "[]", '""', "null"))
+
 
 def is_target_field(name: Column, offline: bool = False) -> Column:
     """Exact name, a target token, the prefix ``attack_`` or a target suffix, after normalising."""

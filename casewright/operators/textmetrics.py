@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 
@@ -11,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casewright.functions.leak import OFFLINE_EXTRA, TARGET_FIELDS, TARGET_KEY, TARGET_SUFFIXES, TARGET_TOKENS, TARGET_VALUES
+from casewright.functions.leak import has_target_text
+from casewright.session import stored
+
+from . import payloads
 
 #: Marked letters and their plain forms, for the expression that stays in the JVM.
 MARKED, PLAIN = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
@@ -61,14 +63,21 @@ def rouge_l(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def tfidf_cosine(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """(key, cosine) of the two texts of each pair; idf = ln((1 + n) / (1 + df)) + 1 over all texts of both sides, tokens of two characters or more."""
-    side = lambda column, name: pairs.select(key, F.lit(name).alias("side"), F.explode(F.filter(tokens(F.col(column)), lambda t: F.length(t) >= 2)).alias("token"))
-    counts = side(left, "a").unionByName(side(right, "b")).groupBy(key, "side", "token").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, cosine) of the two texts of each pair; idf = ln((1 + n) / (1 + df)) + 1 over all texts of both sides, tokens of two characters or more.
+
+    Texts are dealt by key once, so their tokens are counted where they are; the
+    counts are written out, and what the tokens' weights join is one narrow row
+    for each text and token. Spark broadcasts the vocabulary if it measures small.
+    """
+    side = lambda column, is_left: F.transform(F.filter(tokens(F.col(column)), lambda t: F.length(t) >= 2), lambda t: F.struct(t.alias("token"), F.lit(is_left).alias("is_left")))
+    dealt = pairs.select(key, left, right).repartition(F.col(key))
+    exploded = dealt.select(key, F.explode(F.concat(side(left, True), side(right, False))).alias("t")).select(key, "t.token", "t.is_left")
+    counts = stored(exploded.groupBy(key, "token").agg(F.count_if("is_left").alias("a"), F.count_if(~F.col("is_left")).alias("b")), "tfidf-counts")
     n_texts = pairs.agg((F.count(F.lit(1)) * 2).alias("n_texts"))
-    idf = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n_texts)).select("token", (F.log((1 + F.col("n_texts")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
-    weights = counts.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
-    wide = weights.groupBy(key, "token").agg(F.sum(F.when(F.col("side") == "a", F.col("w"))).alias("a"), F.sum(F.when(F.col("side") == "b", F.col("w"))).alias("b"))
-    sums = wide.groupBy(key).agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
+    df = counts.groupBy("token").agg((F.count_if(F.col("a") > 0) + F.count_if(F.col("b") > 0)).alias("df"))
+    idf = stored(df.crossJoin(F.broadcast(n_texts)).select("token", (F.log((1 + F.col("n_texts")) / (1 + F.col("df"))) + 1).alias("idf")), "tfidf-vocabulary")  # one row
+    square = F.col("idf") * F.col("idf")
+    sums = counts.join(idf, "token").groupBy(key).agg(F.sum(F.col("a") * F.col("b") * square).alias("dot"), F.sum(F.col("a") * F.col("a") * square).alias("aa"), F.sum(F.col("b") * F.col("b") * square).alias("bb"))
     return sums.select(key, F.coalesce(F.try_divide("dot", F.sqrt(F.col("aa") * F.col("bb"))), F.lit(0.0)).alias("cosine"))
 
 
@@ -78,85 +87,58 @@ def jaccard(left: Column, right: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(left, right)) / union).otherwise(0.0)
 
 
-def json_object(text: Column) -> Column:
-    """The first braced object of a text that parses, fences aside, as a variant; null if there is none."""
-    unfenced = F.regexp_replace(text, r"(?s)```(?:json)?", "")
-    return F.coalesce(F.try_parse_json(unfenced), F.try_parse_json(F.regexp_extract(unfenced, r"(?s)(\{.*\})", 1)))
-
-
-_ASSIGNMENT = re.compile(rf"(?i)(?<![A-Za-z0-9_.-])[\"']?{TARGET_KEY}[\"']?\s*[:=]\s*")
-_QUOTED = re.compile(r"""(["'])(?:\\.|(?!\1)[^\\])*(?:\1|\Z)""", re.DOTALL)
-_NESTING = re.compile(r"""(["'])(?:\\.|(?!\1)[^\\])*(?:\1|\Z)|[\[\]{}]""", re.DOTALL)
-_PLAIN = re.compile(r"""(?:(?!\s+["']?[A-Za-z0-9_.-]+["']?\s*[:=])[^,;|&)}\]>])*""")
-#: What tidies a text after assignments are gone, in order.
-_TIDY = ((r"\s+", " "), (r"\s+\|", " |"), (r"\|\s+\|", "|"), (r"([,{[])\s*[,;]", r"\1"), (r"[,;]\s*([}\]])", r"\1"), (r"([,;])\s*\1+", r"\1"), (r"\?&+", "?"), (r"&&+", "&"))
-
-
-def _value_end(text: str, start: int) -> int:
-    """Where an assigned value ends: a quoted string, balanced brackets, or plain text up to a delimiter or the next assignment."""
-    first = text[start : start + 1]
-    if first in ('"', "'") and first:
-        return _QUOTED.match(text, start).end()
-    if first in ("[", "{") and first:
-        open_: list[str] = []
-        for m in _NESTING.finditer(text, start):
-            token = m.group()
-            if token in ("[", "{"):
-                open_.append("]" if token == "[" else "}")
-            elif open_ and token == open_[-1]:
-                open_.pop()
-                if not open_:
-                    return m.end()
-        return len(text)
-    return _PLAIN.match(text, start).end()
-
-
-def _is_target(name: str) -> bool:
-    token = re.sub("[^a-z0-9]+", "_", name.strip().casefold()).strip("_")
-    return token in TARGET_FIELDS or token in OFFLINE_EXTRA or bool(set(token.split("_")) & set(TARGET_TOKENS)) or token.startswith("attack_") or token.endswith(TARGET_SUFFIXES)
-
-
-def _without_targets(value):
-    """A parsed payload without target keys, and without texts that are target values."""
-    if isinstance(value, dict):
-        return {k: _without_targets(v) for k, v in value.items() if not _is_target(str(k)) and not _is_value(v)}
-    if isinstance(value, list):
-        return [_without_targets(v) for v in value if not _is_value(v)]
-    return scrub(value) if isinstance(value, str) else value
-
-
-def _is_value(value) -> bool:
-    return isinstance(value, str) and re.sub("[^a-z0-9]+", "_", value.strip().casefold()).strip("_") in TARGET_VALUES
-
-
-def scrub(text: str) -> str:
-    """A text without target assignments; JSON texts are cleaned as payloads."""
-    stripped = text.strip()
-    if stripped[:1] in ("{", "["):
-        try:
-            parsed = json.loads(stripped)
-        except ValueError:
-            parsed = None
-        if isinstance(parsed, (dict, list)):
-            cleaned = _without_targets(parsed)
-            return text if cleaned == parsed else json.dumps(cleaned, ensure_ascii=False, separators=(",", ":"))
-    kept, at = [], 0
-    while m := _ASSIGNMENT.search(text, at):
-        kept.append(text[at : m.start()])
-        at = _value_end(text, m.end())
-    out = "".join([*kept, text[at:]])
-    for pattern, by in _TIDY:
-        out = re.sub(pattern, by, out)
-    return out.strip(" |,;&")
+_BRACES = re.compile(r'"(?:\\.|[^"\\])*"?|[{}]', re.DOTALL)
 
 
 @F.pandas_udf(T.StringType())
-def scrub_text(text: pd.Series) -> pd.Series:
-    """``scrub`` over a column; null stays null."""
-    return text.map(scrub, na_action="ignore")
+def balanced_object(text: pd.Series) -> pd.Series:
+    """From the first brace of a text to the one that closes it, braces in strings aside; null if none does."""
+
+    def one(value: str) -> str | None:
+        depth, start = 0, value.find("{")
+        for m in _BRACES.finditer(value, max(start, 0)):
+            depth += {"{": 1, "}": -1}.get(m.group(), 0)
+            if depth == 0:
+                return value[start : m.end()]
+        return None
+
+    return text.map(one, na_action="ignore")
+
+
+def json_object(text: Column) -> Column:
+    """The object that a text is, a fence around it aside, or else the first balanced one in it, as a variant.
+
+    Null if there is none, if that one doesn't parse, or if the whole text is
+    another JSON value. Only texts that are no JSON themselves go to Python.
+    """
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    bare = F.when(bare.startswith("```"), F.regexp_replace(F.regexp_replace(bare, "^`+|`+$", ""), r"^(?i:json)\s*", "")).otherwise(bare)
+    whole = F.try_parse_json(bare)
+    inner = F.try_parse_json(balanced_object(F.when(whole.isNull() & bare.contains("{"), bare)))
+    return F.when(whole.isNotNull(), F.when(F.schema_of_variant(whole).startswith("OBJECT"), whole)).otherwise(inner)
+
+
+def tidied(text: Column) -> Column:
+    """A text without what removed assignments leave around them, in the JVM."""
+    for pattern, by in payloads.LOOSE:
+        text = F.regexp_replace(text, f"(?U){pattern}", by)
+    return F.regexp_replace(text, payloads.ENDS, "")
 
 
 @F.pandas_udf(T.StringType())
-def sanitize_json(text: pd.Series) -> pd.Series:
-    """A JSON text without target keys and values at any depth; texts that don't parse are scrubbed."""
-    return text.map(scrub, na_action="ignore")
+def without_assignments(text: pd.Series) -> pd.Series:
+    """Texts without target assignments and their values."""
+    return text.map(lambda t: payloads.ASSIGNMENT.sub("", t), na_action="ignore")
+
+
+def scrub_text(text: Column) -> Column:
+    """A text without target assignments; JSON texts are cleaned as payloads. Null stays null.
+
+    Only JSON texts and texts with an assignment go to Python; all are tidied in the JVM.
+    """
+    is_json = F.coalesce(text.rlike(r"^\s*[{\[]"), F.lit(False)) & F.try_parse_json(text).isNotNull()
+    plain = F.when(has_target_text(text), without_assignments(F.when(has_target_text(text) & ~is_json, text))).otherwise(text)
+    return F.when(is_json, payloads.sanitized(F.when(is_json, text))).otherwise(tidied(plain))
+
+
+scrub = payloads.scrub  # the same for one string
