@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from casewright.session import stored
+
 from .campaign import safe_ratio
 
 GRAY = (0.4, 0.6)
@@ -85,11 +87,51 @@ def top_k(scores: Column, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(numbered), 1, k), lambda s: F.struct(s["label"].alias("label"), s["score"].alias("score")))
 
 
+def _met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null; one set of keys is left."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(other, same, how).drop(*(f"_r_{k}" for k in keys))
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: list[float], n_bins: int = 4096) -> DataFrame:
+    """(by, q): exact percentiles of each group, interpolated at (n - 1) * share; nulls don't count.
+
+    Equal values are counted first; the counts of a group are cut into bins
+    between its least and greatest value, a running sum over the bins says which
+    of them hold the wanted places, and only those bins are sorted. Groups
+    without a value have no row.
+    """
+    v = F.col("_v")
+    counts = stored(rows.select(*by, F.col(value).cast("double").alias("_v")).where(v.isNotNull()).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), "percentile-counts")
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    ends = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+    bin_ = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * n_bins), F.lit(n_bins - 1))).otherwise(0)
+    binned = _met(counts, ends, by).select(*by, "_v", "_n", "_all", bin_.alias("_bin"))
+    sums = binned.groupBy(*by, "_bin").agg(F.sum("_n").alias("_in"), F.first("_all").alias("_total"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_in").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    places = F.array(*(f((F.col("_total") - 1) * F.lit(s)).cast("bigint") for s in shares for f in (F.floor, F.ceil)))
+    wanted = sums.withColumn("_places", F.filter(F.array_distinct(places), lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_in")))).where(F.size("_places") > 0)
+    inside = _met(binned, wanted, [*by, "_bin"])
+    inside = inside.withColumn("_to", F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_bin").orderBy("_v")))
+    at = inside.select(*by, "_all", "_v", F.explode(F.filter("_places", lambda p: (p >= F.col("_to") - F.col("_n")) & (p < F.col("_to")))).alias("_place"))
+    found = at.groupBy(*by).agg(F.first("_all").alias("_all"), F.map_from_entries(F.collect_list(F.struct("_place", "_v"))).alias("_m"))  # two places for each share
+
+    def between(share: float) -> Column:
+        exact = (F.col("_all") - 1) * F.lit(share)
+        low, high = F.col("_m")[F.floor(exact)], F.col("_m")[F.ceil(exact)]
+        return low + (high - low) * (exact - F.floor(exact))
+
+    return found.select(*by, F.array(*(between(s) for s in shares)).alias("q"))
+
+
 def confidence_summary(rows: DataFrame, *by: str, value: str = "conf") -> DataFrame:
     """Mean, least, 5th percentile, median, 95th percentile and greatest value, interpolated."""
-    q = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = (rows.groupBy(*by) if by else rows.groupBy()).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("lo"), q.alias("q"), F.max(value).alias("hi"))
-    return out.select(*by, "n", "mean", "lo", F.col("q")[0].alias("p05"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p95"), "hi")
+    out = (rows.groupBy(*by) if by else rows.groupBy()).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    q = percentiles(rows, list(by), value, [0.05, 0.5, 0.95])
+    return _met(out, q, list(by), "left").select(*by, "n", "mean", "lo", F.col("q")[0].alias("p05"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p95"), "hi")
 
 
 def majority_baseline(train: DataFrame, test: DataFrame, by: str, label: str) -> DataFrame:

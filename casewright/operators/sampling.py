@@ -155,3 +155,12 @@ def exact_split(rows: DataFrame, by: str, name: str, seed: str, key: str) -> Dat
     return placed.select(by, name, key, part.alias("part"))
 
 
+def selection_hash(rows: DataFrame, key: str, digits: int = 4) -> DataFrame:
+    """n and one ``sha`` of a selection's keys, whatever their order.
+
+    Keys are hashed in 16 ** ``digits`` buckets by their own hash; the buckets'
+    hashes, in order, make the last one.
+    """
+    text = F.col(key).cast("string")
+    buckets = rows.groupBy(F.left(F.sha2(text, 256), F.lit(digits)).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.expr(f"listagg(CAST({key} AS STRING), ',') WITHIN GROUP (ORDER BY {key})"), 256).alias("h"))
+    return buckets.agg(F.sum("n").alias("n"), F.sha2(F.expr("listagg(concat(b, ':', h), ',') WITHIN GROUP (ORDER BY b)"), 256).alias("sha"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewright.functions import groups, hashing, leak, taxonomy, values
+from casewright.operators import sampling as S
 from casewright.session import table
 
 from .views import sql, v_attempt, v_case, v_manifest
@@ -131,8 +132,9 @@ FEATURES_SQL = f"""SELECT o_orderkey, key, num FROM (SELECT o_orderkey, unnest([
 
 
 def _vocabulary(spark, d):
-    names = _features_long(spark, d).select("key").distinct()
-    return names.select("key", (F.row_number().over(Window.orderBy("key")) - 1).cast("bigint").alias("idx"))  # a vocabulary is small
+    """Names in ascending order, numbered inside buckets of their first letters."""
+    names = _features_long(spark, d).select("key").distinct().withColumn("one", F.lit(1))
+    return S.ranked(names, ["one"], F.col("key"), "key", digits=24).select("key", (F.col("rn") - 1).alias("idx"))
 
 
 def _guard(spark, d):
@@ -234,7 +236,7 @@ CONV = {
     "url_validity": (_url_validity, "SELECT page_id, regexp_matches(url, '^https?://[^/?#]+') AS url_ok, '2024-02-' || (page_id % 31 + 1) AS day, TRY_CAST('2024-02-' || lpad(CAST(page_id % 31 + 1 AS VARCHAR), 2, '0') AS DATE) IS NOT NULL AS day_ok FROM pages"),
     "target_field_predicate": (lambda s, d: _rows(s, TARGET_NAMES, "name").select("name", leak.is_target_field(F.col("name")).alias("runtime"), leak.is_target_field(F.col("name"), offline=True).alias("offline")), f"SELECT name, {TARGET_SQL('name')} AS runtime, {TARGET_SQL('name', leak.OFFLINE_EXTRA)} AS offline FROM {_from(TARGET_NAMES, 'name')}"),
     "target_value_predicate": (lambda s, d: _rows(s, TARGET_TEXTS, "v").select("v", leak.is_target_value(F.col("v")).alias("target")), f"SELECT v, {TOKEN('trim(v)')} IN {_in(leak.TARGET_VALUES)} AS target FROM {_from(TARGET_TEXTS, 'v')}"),
-    "target_text_predicate": (lambda s, d: table(s, d, "documents").select("doc_id", leak.has_target_text(F.concat(F.left("text", F.lit(20)), F.when(F.col("doc_id") % 2 == 0, F.lit(" label=")).otherwise(F.lit(" xlabel=")), F.col("lang"))).alias("hit")), rf"SELECT doc_id, regexp_matches(left(text, 20) || CASE WHEN doc_id % 2 = 0 THEN ' label=' ELSE ' xlabel=' END || lang, '(?i)(^|[^A-Za-z0-9_.-])[\x22\x27]?{leak.TARGET_KEY}[\x22\x27]?\s*[:=]\s*') AS hit FROM documents"),
+    "target_text_predicate": (lambda s, d: table(s, d, "documents").select("doc_id", leak.has_target_text(F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit(" label=")).otherwise(F.lit(" xlabel=")), F.col("lang"))).alias("hit")), rf"SELECT doc_id, regexp_matches(text || CASE WHEN doc_id % 2 = 0 THEN ' label=' ELSE ' xlabel=' END || lang, '(?i)(^|[^A-Za-z0-9_.-])[\x22\x27]?{leak.TARGET_KEY}[\x22\x27]?\s*[:=]\s*') AS hit FROM documents"),
     "target_path_allowlist": (lambda s, d: _rows(s, PATHS, "path").select("path", leak.is_allowed_path(F.col("path")).alias("allowed")), f"SELECT path, lower(path) IN {_in(leak.ALLOWED_PATHS)} AS allowed FROM {_from(PATHS, 'path')}"),
     "canonical_leak_violations": (_violations, sql(ROWMAP_SQL + " SELECT c_custkey, concat_ws(',', CASE WHEN label <> '' THEN 'label' END, CASE WHEN segment = 'ddos' THEN 'segment' END, CASE WHEN threat_score IS NOT NULL THEN 'threat_score' END) AS violations FROM rm")),
     "selected_columns_ok": (_selected_ok, "SELECT c_custkey, false AS ok FROM customer"),

@@ -55,7 +55,7 @@ def _topk_accuracy(s, d):
 
 def _rejected(s, d):
     m = v_multi(s, d).where("truth in ('error', 'view')").withColumn("accepted", F.col("conf") >= 0.65)
-    out = m.groupBy("origin", "truth").agg(N(), F.count_if(F.col("accepted")).alias("n_accepted"), F.avg("conf").alias("c"), F.percentile("conf", 0.5).alias("med"))
+    out = m.groupBy("origin", "truth").agg(N(), F.count_if(F.col("accepted")).alias("n_accepted"), F.avg("conf").alias("c")).join(M.percentiles(m, ["origin", "truth"], "conf", [0.5]).withColumnsRenamed({"origin": "o2", "truth": "t2"}), (F.col("origin") == F.col("o2")) & (F.col("truth") == F.col("t2"))).withColumn("med", F.col("q")[0])
     best = m.groupBy("origin", "truth", "pred").agg(F.count(F.lit(1)).alias("k")).groupBy("origin", "truth").agg(F.min_by("pred", F.struct(-F.col("k"), F.col("pred"))).alias("top_pred"))
     return out.join(best, ["origin", "truth"]).select("origin", "truth", "n", "n_accepted", R(F.col("n_accepted") / F.col("n")).alias("rate"), R("c").alias("mean_conf"), R("med").alias("median_conf"), "top_pred")
 
@@ -90,8 +90,7 @@ def _bin(df, *by):
 
 
 def _selection_sha(s, d):
-    picked = S.balance_binary(v_manifest(s, d), SEED)
-    return picked.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.expr("listagg(CAST(manifest_id AS STRING), ',') WITHIN GROUP (ORDER BY manifest_id)"), 256).alias("sha"))
+    return S.selection_hash(S.balance_binary(v_manifest(s, d), SEED), "manifest_id")
 
 
 def _exact(s, d):
@@ -122,7 +121,7 @@ ALL = {
     "balanced_origin_view": (_view, sql(f"SELECT origin, class, manifest_id FROM (SELECT *, row_number() OVER (PARTITION BY origin, class ORDER BY {H('manifest_id')}, manifest_id) AS rn FROM v_manifest) JOIN (SELECT origin, class, min(n) OVER (PARTITION BY origin) AS quota FROM (SELECT origin, class, count(*) AS n FROM v_manifest GROUP BY 1, 2) WHERE n >= 20) USING (origin, class) WHERE rn <= quota")),
     "distinct_class_sample": (lambda s, d: S.distinct_class_sample(v_doc(s, d), "dataset", "fp", 40, SEED, "doc_id").select("dataset", "doc_id", "rn"), sql(f"SELECT dataset, doc_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY {H('fp')}, fp) AS rn FROM (SELECT dataset, fp, min(doc_id) AS doc_id FROM v_doc GROUP BY 1, 2)) WHERE rn <= 40")),
     "seeded_order": (lambda s, d: S.ranked(v_manifest(s, d).withColumn("one", F.lit(1)), ["one"], S.seeded(SEED, F.col("manifest_id")), "manifest_id").select("manifest_id", "rn"), sql(f"SELECT manifest_id, row_number() OVER (ORDER BY {H('manifest_id')}, manifest_id) AS rn FROM v_manifest")),
-    "selection_sha256": (_selection_sha, sql(f"SELECT count(*) AS n, sha256(string_agg(CAST(manifest_id AS VARCHAR), ',' ORDER BY manifest_id)) AS sha FROM ({BALANCE})")),
+    "selection_sha256": (_selection_sha, sql(f", b AS (SELECT left(sha256(CAST(manifest_id AS VARCHAR)), 4) AS b, count(*) AS n, sha256(string_agg(CAST(manifest_id AS VARCHAR), ',' ORDER BY manifest_id)) AS h FROM ({BALANCE}) GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(b || ':' || h, ',' ORDER BY b)) AS sha FROM b")),
     "stage_detect": (_detect, sql("SELECT id, pred AS is_malicious, prob BETWEEN CAST(0.4 AS DOUBLE) AND CAST(0.6 AS DOUBLE) AS abstain, CASE WHEN prob BETWEEN CAST(0.4 AS DOUBLE) AND CAST(0.6 AS DOUBLE) THEN 'judge' WHEN pred THEN 'classify' ELSE 'judge' END AS route, round(CASE WHEN pred THEN prob ELSE 1 - prob END, 6) AS confidence FROM v_score")),
     "selective_metrics": (lambda s, d: M.selective_metrics(v_score(s, d), "origin").select("origin", "n", "n_abstained", "n_abstained_attack", R("coverage").alias("coverage"), "tp", "tn", "fp", "fn", R("f1").alias("f1")), sql(f"SELECT origin, n, n_abstained, n_abstained_attack, round((n - n_abstained) / n, 6) AS coverage, tp, tn, fp, fn, f1 FROM (SELECT origin, count(*) AS n, count(*) FILTER (prob BETWEEN CAST(0.4 AS DOUBLE) AND CAST(0.6 AS DOUBLE)) AS n_abstained, count(*) FILTER (truth AND prob BETWEEN CAST(0.4 AS DOUBLE) AND CAST(0.6 AS DOUBLE)) AS n_abstained_attack FROM v_score GROUP BY 1) JOIN (SELECT *, {BIN2} FROM (SELECT origin, {BIN} FROM v_score WHERE prob NOT BETWEEN CAST(0.4 AS DOUBLE) AND CAST(0.6 AS DOUBLE) GROUP BY 1)) USING (origin)")),
     "binary_metrics": (lambda s, d: _bin(M.binary_metrics(v_score(s, d))), sql(f"SELECT *, {BIN2} FROM (SELECT {BIN} FROM v_score)")),

@@ -22,11 +22,24 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Drain what is there into a memory table and return it."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Drain what is there into Parquet under ``folder`` and return it.
+
+    Each batch overwrites a place of its own, so a batch that is run again after
+    a failure is not doubled. In complete mode the last batch is the result.
+    """
+    written: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        written.append(number)
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = stream.sparkSession.read.schema(stream.schema)
+    if mode == "complete" and written:
+        return rows.parquet(f"{folder}/rows/batch={max(written)}")
+    return rows.parquet(*(f"{folder}/rows/batch={n}" for n in sorted(written))) if written else stream.sparkSession.createDataFrame([], stream.schema)
 
 
 def latest_by_key(attempts: DataFrame, key: str, order: str) -> DataFrame:
