@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .values import normalize_token
+
 #: Fixed values: (group, words in the name, whole tokens, words in the joined name, pairs of tokens).
 FEATURE_RULES = (
     ("iot_telemetry", ("temperature", "thermostat", "sensor", "humidity", "pressure", "water", "weather"), (), (), ()),
@@ -186,3 +188,10 @@ def column_score(name: Column, value_present: Column) -> Column:
     """How many priority words a column name holds, plus one for a value."""
     hits = reduce(lambda a, b: a + b, (F.lower(name).contains(w).cast("int") for w in PRIORITY_WORDS))
     return hits + value_present.cast("int")
+
+
+def origin_features(dataset: Column, source_file: Column, profile: Column) -> Column:
+    """Array of (key, value) features that say where a row comes from; production models don't get them."""
+    folder = normalize_token(F.coalesce(F.try_element_at(F.split(F.coalesce(source_file, F.lit("")), "/"), F.lit(-2)), F.lit("")))
+    entry = lambda key, value: F.struct(key.alias("key"), value.alias("value"))
+    return F.filter(F.array(entry(F.lit("origin.dataset"), normalize_token(F.coalesce(dataset, F.lit("unknown")))), entry(F.lit("origin.source_dir"), folder), entry(F.concat(F.lit("origin_schema."), profile), F.lit("1"))), lambda e: e["value"] != "")

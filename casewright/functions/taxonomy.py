@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .values import normalize_token
@@ -11,6 +11,7 @@ from .values import normalize_token
 TYPES_14 = ("Backdoor", "DDoS_HTTP", "DDoS_ICMP", "DDoS_TCP", "DDoS_UDP", "Fingerprinting", "MITM", "Password", "Port_Scanning", "Ransomware", "SQL_injection", "Uploading", "Vulnerability_scanner", "XSS")
 TYPES_16 = (*TYPES_14, "DoS", "Command_and_Control")
 VERSION_16 = "multidataset_attack_type_v1_2026-09-06"
+VERSION_14 = "taxonomy_14"
 STATUSES = ("exact", "forced", "benign", "ambiguous", "out_of_taxonomy")
 DATASETS = {"edgeiiotset": "edge_iiotset", "edge_iiotset": "edge_iiotset", "botiot": "bot_iot", "bot_iot": "bot_iot", "iot_23": "iot23", "iot23": "iot23", "toniot": "ton_iot", "ton_iot": "ton_iot"}
 BENIGN = ("normal", "benign", "benigno")
@@ -123,3 +124,19 @@ def derive_origin(path: Column, markers: tuple[tuple[str, str], ...]) -> Column:
     for marker, name in reversed(markers):
         out = F.when(F.lower(path).contains(marker), F.lit(name)).otherwise(out)
     return out
+
+
+def classes(version: str) -> tuple[str, ...]:
+    """The closed class list of a version; an unknown version is an error."""
+    known = {VERSION_16: TYPES_16, VERSION_14: TYPES_14}
+    if version not in known:
+        raise ValueError(f"unknown taxonomy version {version!r}")
+    return known[version]
+
+
+def report(spark: SparkSession) -> DataFrame:
+    """(version, n_classes, n_rules, sha256): every version with the hash of its class list as compact JSON."""
+    rules = {VERSION_16: RULES_16, VERSION_14: RULES_14}
+    rows = [(v, len(classes(v)), len(rules[v]), list(classes(v))) for v in sorted(rules)]
+    frame = spark.createDataFrame(rows, "version string, n_classes long, n_rules long, names array<string>")
+    return frame.select("version", "n_classes", "n_rules", F.sha2(F.to_json("names"), 256).alias("sha256"))

@@ -103,3 +103,8 @@ def parse_timestamp(text: Column) -> Column:
     year_time = F.regexp_replace(cleaned, r"^([0-9]{4})[\s-]+([0-9]{1,2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?)[0-9]*$", "$1-01-01 $2")
     tries.append(F.when(cleaned.rlike(r"^[0-9]{4}[\s-]+[0-9]{1,2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?$"), year_time.try_cast("timestamp")))
     return F.when(~is_blank(text), F.coalesce(*tries))
+
+
+def ordered_distinct(values: Column) -> Column:
+    """A list without repeats, each value at its first place."""
+    return F.array_distinct(values)

@@ -113,6 +113,37 @@ def first_wins(rows: DataFrame, keys: list[str], order: str, existing: DataFrame
     return first if existing is None else first.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
+def evict(cache: DataFrame, asked: DataFrame, keys: tuple[str, str] = ("content_hash", "pipeline_hash")) -> DataFrame:
+    """Cache rows that stay: those that no well-formed request (two SHA-256 in hexadecimal) names."""
+    return cache.join(asked.where(well_formed(*keys)).select(*keys), list(keys), "left_anti")
+
+
+def well_formed(*keys: str) -> Column:
+    """Whether every key is a SHA-256 in hexadecimal."""
+    good = F.lit(True)
+    for k in keys:
+        good = good & F.coalesce(F.col(k).rlike("^[0-9a-fA-F]{64}$"), F.lit(False))
+    return good
+
+
+def preflight(manifests: DataFrame, attempts: DataFrame, require_complete: bool = True, require_llm: bool = True, provider: str | None = None, reject_orphans: bool = True) -> DataFrame:
+    """(failure, n) of what keeps a campaign from evaluation, in the order of the policy; empty if it is ready.
+
+    orphan_results: attempts without a manifest; incomplete: manifests without a
+    success; llm_required: successes none of which a model parsed;
+    provider_mismatch: the latest success comes from another provider.
+    """
+    best = latest(attempts, ["manifest_id"], where=F.col("ok")).select("manifest_id", F.lower("provider").alias("_provider"))
+    parsed = attempts.where("ok and llm").select("manifest_id").distinct().withColumn("_llm", F.lit(True))
+    seen = manifests.select("manifest_id").join(best, "manifest_id", "left").join(parsed, "manifest_id", "left")
+    done = F.col("_provider").isNotNull()
+    counts = seen.agg(F.count_if(~done).alias("incomplete"), F.count_if(done & F.col("_llm").isNull()).alias("llm_required"), F.count_if(done & (F.col("_provider") != F.lower(F.lit(provider)))).alias("provider_mismatch"))
+    lost = orphans(attempts, manifests).agg(F.count(F.lit(1)).alias("orphan_results"))
+    policy = (("orphan_results", reject_orphans), ("incomplete", require_complete), ("llm_required", require_llm), ("provider_mismatch", provider is not None))
+    entries = F.array(*(F.struct(F.lit(name).alias("failure"), F.col(name).alias("n")) for name, wanted in policy if wanted))
+    return counts.crossJoin(lost).select(F.explode(entries).alias("e")).select("e.*").where("n > 0")  # one row each
+
+
 def failure_runs(attempts: DataFrame, key: str, order: str = "seq") -> DataFrame:
     """Longest run of failures of each key in ``order`` (gaps and islands)."""
     by = Window.partitionBy(key).orderBy(order)

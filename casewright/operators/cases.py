@@ -22,6 +22,7 @@ STAGES = ("orchestrator", "final_standardizer", "final_detector", "final_classif
 _TYPES = ", ".join(f"'{t}'" for t in TYPES_16)
 _D = lambda x: f"CAST({x} AS DOUBLE)"
 _MAL = "(NOT det_abstain AND coalesce(is_malicious, false))"
+_CONF = "CASE WHEN cls_confidence BETWEEN 0 AND 1 THEN cls_confidence ELSE 0 END"  # an invalid confidence counts as none
 
 #: Issue codes of the judge, in order, each with its condition.
 JUDGE_ISSUES = (
@@ -29,11 +30,11 @@ JUDGE_ISSUES = (
     ("classification_threshold_invalid", "cls_present AND (cls_threshold < 0 OR cls_threshold > 1)"),
     ("classification_threshold_mismatch", f"cls_present AND cls_threshold BETWEEN 0 AND 1 AND abs(cls_threshold - {_D(REVIEW_CLASS)}) > {_D('1e-9')}"),
     ("classification_model_task_invalid", "cls_present AND cls_task <> 'attack_type'"),
-    ("classification_attack_type_missing", "cls_present AND cls_type IS NULL"),
+    ("classification_attack_type_missing", "cls_present AND coalesce(cls_type, '') = ''"),
     ("classification_taxonomy_version_invalid", f"cls_present AND coalesce(cls_version, '') <> '{VERSION_16}'"),
-    ("classification_attack_type_outside_taxonomy", f"cls_present AND cls_type IS NOT NULL AND cls_type NOT IN ({_TYPES})"),
+    ("classification_attack_type_outside_taxonomy", f"cls_present AND coalesce(cls_type, '') <> '' AND cls_type NOT IN ({_TYPES})"),
     ("classification_confidence_invalid", "cls_present AND (cls_confidence IS NULL OR cls_confidence < 0 OR cls_confidence > 1)"),
-    ("classification_top_scores_invalid", f"cls_present AND NOT (top_n = 3 AND NOT top_invalid AND coalesce(top_label = cls_type, false) AND abs(top_score - cls_confidence) <= {_D('1e-6')})"),
+    ("classification_top_scores_invalid", f"cls_present AND NOT (top_n = 3 AND NOT top_invalid AND coalesce(top_label = cls_type, false) AND coalesce(abs(top_score - {_CONF}) <= {_D('1e-6')}, false))"),
     ("pipeline_errors_present", "n_errors > 0"),
     ("standardizer_abstained", "ingest_abstain"),
     ("mapping_confidence_below_review_threshold", f"NOT ingest_abstain AND coalesce(mapping_confidence, 0) < {_D(REVIEW_MAPPING)}"),
@@ -41,7 +42,7 @@ JUDGE_ISSUES = (
     ("detection_verdict_missing", "NOT ingest_abstain AND det_present AND is_malicious IS NULL"),
     ("detection_label_probability_mismatch", f"NOT ingest_abstain AND det_present AND is_malicious IS NOT NULL AND is_malicious <> (probability >= {_D(0.5)})"),
     ("detector_abstained", "det_abstain"),
-    ("classification_confidence_below_review_threshold", f"{_MAL} AND cls_present AND coalesce(cls_confidence, 0) < {_D(REVIEW_CLASS)}"),
+    ("classification_confidence_below_review_threshold", f"{_MAL} AND cls_present AND {_CONF} < {_D(REVIEW_CLASS)}"),
     ("malicious_without_classification", f"{_MAL} AND NOT cls_present"),
     ("malicious_without_mitigation", f"{_MAL} AND NOT exp_present"),
     ("benign_with_classification", "NOT coalesce(is_malicious, true) AND cls_present"),

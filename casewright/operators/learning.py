@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import FeatureHasher, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -18,8 +18,9 @@ def detector(columns: list[str], label: str = "label", trees: int = 20, depth: i
 
 
 def classifier(columns: list[str], label: str, trees: int = 40, depth: int = 6, seed: int = 42) -> Pipeline:
-    """Hashed features and a random forest for many classes."""
-    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep"), FeatureHasher(inputCols=columns, outputCol="features", numFeatures=256), RandomForestClassifier(labelCol="_label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)])
+    """Hashed features and boosted trees for many classes, one forest for each class against the rest; ``prediction`` is the index of the best."""
+    boosted = GBTClassifier(featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed)
+    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep", stringOrderType="alphabetAsc"), FeatureHasher(inputCols=columns, outputCol="features", numFeatures=256), OneVsRest(classifier=boosted, labelCol="_label", featuresCol="features")])
 
 
 def scored(model: PipelineModel, rows: DataFrame, keep: list[str]) -> DataFrame:

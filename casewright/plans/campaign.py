@@ -17,8 +17,8 @@ LATEST_SQL = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY manifest_
 
 
 def _known(s, d):
-    """Manifests without every third one, so that some attempts are orphans."""
-    return v_manifest(s, d).where("manifest_id % 3 <> 0")
+    """Manifests of which every third has another id, so that some attempts are orphans."""
+    return v_manifest(s, d).withColumn("manifest_id", F.col("manifest_id") + F.when(F.col("manifest_id") % 3 == 0, 100000000).otherwise(0))
 
 
 def _quality(s, d):
@@ -36,8 +36,8 @@ def _rounds(s, d):
 
 def _live(s, d):
     a = v_attempt(s, d)
-    q = F.percentile("latency", F.array(F.lit(0.5), F.lit(0.95)))
-    out = a.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ok")).alias("n_ok"), F.count_if(F.col("ok") & F.col("llm")).alias("n_model"), F.avg("confidence").alias("mc"), F.min("latency").alias("lo"), q.alias("q"), F.max("latency").alias("hi"))
+    out = a.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ok")).alias("n_ok"), F.count_if(F.col("ok") & F.col("llm")).alias("n_model"), F.avg("confidence").alias("mc"), F.min("latency").alias("lo"), F.max("latency").alias("hi"))
+    out = out.join(M.percentiles(a, [], "latency", [0.5, 0.95]), F.lit(True), "left")  # one row each
     return out.select("n", "n_ok", "n_model", R(C.safe_ratio(F.col("n_model"), F.col("n"))).alias("micro_coverage"), R("mc").alias("mean_confidence"), R("lo").alias("latency_min"), R(F.col("q")[0]).alias("latency_median"), R(F.col("q")[1]).alias("latency_p95"), R("hi").alias("latency_max"))
 
 
@@ -55,19 +55,6 @@ def _cache_lookup(s, d):
     return a.join(stored, ["manifest_id", "state"], "left").groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("hit").isNotNull()).alias("n_hit"), F.countDistinct("hit").alias("n_entries"))
 
 
-def _offset_limit(s, d):
-    """Lines 100 and later, blank ones skipped, fifty at most: offsets count lines, limits count emitted ones."""
-    e = v_attempt(s, d)
-    return e.where((F.col("seq") >= 100) & (F.col("seq") % 7 != 0)).orderBy("seq").limit(50).select("seq", "state")
-
-
-def _manifest_violations(s, d):
-    m = v_manifest(s, d).withColumn("key", F.when(F.col("manifest_id") % 50 == 0, F.lit(0)).otherwise(F.col("manifest_id")))
-    dup = m.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("duplicate_id").alias("violation"), F.col("key").cast("bigint").alias("key"), "n")
-    blank = m.where("class = '' or split not in ('train', 'val', 'test')").groupBy(F.lit("bad_field").alias("violation"), F.col("key").cast("bigint").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    return dup.unionByName(blank)
-
-
 def _label_rows(s, d):
     c = table(s, d, "customer").select(F.lit("customer").alias("dataset"), F.when(F.col("c_acctbal") < 0, "attack").when(F.col("c_acctbal") < 1000, None).otherwise("normal").alias("cls"))
     p = table(s, d, "supplier").select(F.lit("supplier").alias("dataset"), F.when(F.col("s_acctbal") < 0, "attack").otherwise("normal").alias("cls"))
@@ -81,7 +68,7 @@ def _composition(s, d):
 
 def _recover(s, d):
     """Requested ids against the scan: found with the same hash, another hash, or missing."""
-    asked = s.range(0, 4000, 7).select(F.col("id").alias("c_custkey"))
+    asked = table(s, d, "orders").select((F.col("o_custkey") + F.when(F.col("o_orderkey") % 97 == 0, 100000000).otherwise(0)).alias("c_custkey")).distinct()
     rows = table(s, d, "customer").select("c_custkey", "c_mktsegment", F.left(F.sha2("c_name", 256), F.lit(1)).alias("h"))
     state = F.when(F.col("c_mktsegment").isNull(), "missing").when(F.col("h") < "8", "verified").otherwise("hash_mismatch")
     return asked.join(rows, "c_custkey", "left").groupBy(state.alias("state")).agg(N())
@@ -124,12 +111,6 @@ def _cross_class(s, d):
     return C.first_class(v_doc(s, d).select("fp", "dataset", "doc_id"), "fp", rank, "doc_id").select("fp", "dataset", "doc_id")
 
 
-def _parse_status(s, d):
-    a = v_attempt(s, d)
-    status = F.when(F.get_json_object("props", "$.k").isNull(), "corrupt").when(~F.col("ok"), "failed").when(F.col("llm"), "model").otherwise("fallback")
-    return a.groupBy(status.alias("status")).agg(N())
-
-
 def _system_audit(s, d):
     """Named assertions over the corpus, one row each."""
     m, a = v_manifest(s, d), v_attempt(s, d)
@@ -146,9 +127,7 @@ def _system_audit(s, d):
 DOC_GROUPS = "g AS (SELECT fp, count(*) AS n, min(doc_id) AS keeper, min(split) <> max(split) AS cross_split, coalesce(min(label) <> max(label), false) AS conflict FROM v_doc GROUP BY fp)"
 
 ALL = {
-    "attempts_parse_status": (_parse_status, sql("SELECT CASE WHEN NOT regexp_matches(props, '\"k\": ?[0-9]') THEN 'corrupt' WHEN NOT ok THEN 'failed' WHEN llm THEN 'model' ELSE 'fallback' END AS status, count(*) AS n FROM v_attempt GROUP BY 1")),
-    "jsonl_offset_limit": (_offset_limit, sql("SELECT seq, state FROM v_attempt WHERE seq >= 100 AND seq % 7 <> 0 ORDER BY seq LIMIT 50")),
-    "orphan_attempts": (lambda s, d: C.orphans(v_attempt(s, d), _known(s, d)).groupBy("manifest_id").agg(N()), sql("SELECT manifest_id, count(*) AS n FROM v_attempt WHERE manifest_id NOT IN (SELECT manifest_id FROM v_manifest WHERE manifest_id % 3 <> 0) GROUP BY 1")),
+    "orphan_attempts": (lambda s, d: C.orphans(v_attempt(s, d), _known(s, d)).groupBy("manifest_id").agg(N()), sql("SELECT manifest_id, count(*) AS n FROM v_attempt WHERE manifest_id NOT IN (SELECT manifest_id + CASE WHEN manifest_id % 3 = 0 THEN 100000000 ELSE 0 END FROM v_manifest) GROUP BY 1")),
     "latest_attempt": (lambda s, d: C.latest(v_attempt(s, d), ["manifest_id"]).select("manifest_id", "seq", "state", R("latency").alias("latency")), sql(f"SELECT manifest_id, seq, state, round(latency, 6) AS latency FROM ({LATEST_SQL})")),
     "latest_valid_by_backend": (lambda s, d: C.latest(v_attempt(s, d), ["manifest_id", "provider"], where=F.col("ok") & F.col("llm")).select("manifest_id", "provider", "seq"), sql("SELECT manifest_id, provider, max(seq) AS seq FROM v_attempt WHERE ok AND llm GROUP BY 1, 2")),
     "campaign_status": (lambda s, d: C.terminal_state(v_attempt(s, d)).groupBy("state").agg(N(), F.sum("n_attempts").alias("n_attempts")), sql("SELECT state, count(*) AS n, CAST(sum(k) AS BIGINT) AS n_attempts FROM (SELECT manifest_id, CASE WHEN bool_or(ok AND llm) THEN 'success' ELSE arg_max(state, seq) END AS state, count(*) AS k FROM v_attempt GROUP BY 1) GROUP BY 1")),
@@ -160,15 +139,13 @@ ALL = {
     "latency_percentiles": (_lat, sql("SELECT provider, count(*) AS n, round(avg(latency), 6) AS mean, round(min(latency), 6) AS lo, round(quantile_cont(latency, 0.05), 6) AS p05, round(quantile_cont(latency, 0.5), 6) AS median, round(quantile_cont(latency, 0.95), 6) AS p95, round(max(latency), 6) AS hi FROM v_attempt GROUP BY 1")),
     "live_run_summary": (_live, sql("SELECT count(*) AS n, count(*) FILTER (ok) AS n_ok, count(*) FILTER (ok AND llm) AS n_model, round(count(*) FILTER (ok AND llm) / count(*), 6) AS micro_coverage, round(avg(confidence), 6) AS mean_confidence, round(min(latency), 6) AS latency_min, round(quantile_cont(latency, 0.5), 6) AS latency_median, round(quantile_cont(latency, 0.95), 6) AS latency_p95, round(max(latency), 6) AS latency_max FROM v_attempt")),
     "campaign_join": (lambda s, d: C.campaign_join(v_manifest(s, d), v_attempt(s, d), "Alpha").select("manifest_id", "class", "origin", "split", "seq", "confidence"), sql("SELECT m.manifest_id, class, origin, split, seq, confidence FROM v_manifest m JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY seq DESC) AS rn FROM v_attempt WHERE ok AND llm AND provider = 'alpha') WHERE rn = 1) a ON m.manifest_id = a.manifest_id")),
-    "unmatched_reason": (lambda s, d: C.unmatched_reason(v_manifest(s, d), v_attempt(s, d).where("seq % 3 = 0"), "alpha").groupBy("reason").agg(N()), sql("SELECT CASE WHEN mine = 1 THEN 'usable' WHEN mine = 0 THEN 'provider_mismatch' ELSE 'missing' END AS reason, count(*) AS n FROM v_manifest m LEFT JOIN (SELECT manifest_id, max(CAST(provider = 'alpha' AS INT)) AS mine FROM v_attempt WHERE ok AND llm AND seq % 3 = 0 GROUP BY 1) a ON m.manifest_id = a.manifest_id GROUP BY 1")),
+    "unmatched_reason": (lambda s, d: C.unmatched_reason(v_manifest(s, d), v_attempt(s, d).withColumn("manifest_id", F.col("manifest_id") + F.when(F.col("seq") % 3 != 0, 100000000).otherwise(0)), "alpha").groupBy("reason").agg(N()), sql("SELECT CASE WHEN mine = 1 THEN 'usable' WHEN mine = 0 THEN 'provider_mismatch' ELSE 'missing' END AS reason, count(*) AS n FROM v_manifest m LEFT JOIN (SELECT manifest_id, max(CAST(provider = 'alpha' AS INT)) AS mine FROM (SELECT * REPLACE (manifest_id + CASE WHEN seq % 3 <> 0 THEN 100000000 ELSE 0 END AS manifest_id) FROM v_attempt) WHERE ok AND llm GROUP BY 1) a ON m.manifest_id = a.manifest_id GROUP BY 1")),
     "pending_work": (lambda s, d: C.pending(v_manifest(s, d), v_attempt(s, d), retry_failures=True).select("manifest_id"), sql("SELECT manifest_id FROM v_manifest WHERE manifest_id NOT IN (SELECT manifest_id FROM v_attempt WHERE ok AND llm)")),
     "quality_report": (_quality, sql(f", j AS (SELECT m.*, a.seq, a.ok, a.llm, a.confidence FROM v_manifest m LEFT JOIN ({LATEST_SQL}) a ON m.manifest_id = a.manifest_id) SELECT coalesce(origin, '(all)') AS origin, count(*) AS n_manifests, count(seq) AS n_attempted, count(*) FILTER (ok AND llm) AS n_model_ok, count(*) FILTER (seq IS NOT NULL AND NOT ok) AS n_failed, count(*) FILTER (is_attack) AS n_attack, count(DISTINCT class) AS n_classes, round(avg(confidence), 6) AS mean_confidence, round(min(confidence), 6) AS min_confidence, round(max(confidence), 6) AS max_confidence, round(count(seq) / count(*), 6) AS coverage, round(coalesce(count(*) FILTER (ok AND llm) / nullif(count(seq), 0), 0), 6) AS success_ratio FROM j GROUP BY ROLLUP (origin)")),
     "corpus_composition": (_composition, "SELECT 'customer' AS source, count(*) AS n FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'part', count(*) FROM part"),
     "records_for": (lambda s, d: v_manifest(s, d).where("origin = 'ASIA' and split = 'test'").select("manifest_id", "class", "detail"), sql("SELECT manifest_id, class, detail FROM v_manifest WHERE origin = 'ASIA' AND split = 'test'")),
-    "manifest_contract_violations": (_manifest_violations, sql("SELECT 'duplicate_id' AS violation, CAST(CASE WHEN manifest_id % 50 = 0 THEN 0 ELSE manifest_id END AS BIGINT) AS key, count(*) AS n FROM v_manifest GROUP BY 2 HAVING count(*) > 1")),
     "label_rows": (_label_rows, "SELECT * FROM (SELECT 'customer' AS dataset, CASE WHEN c_acctbal < 0 THEN 'attack' WHEN c_acctbal < 1000 THEN NULL ELSE 'normal' END AS cls, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'supplier', CASE WHEN s_acctbal < 0 THEN 'attack' ELSE 'normal' END, count(*) FROM supplier GROUP BY 2) WHERE cls IS NOT NULL"),
-    "scan_project_rowid": (lambda s, d: table(s, d, "events").select(F.col("event_id").alias("row_id"), F.concat(F.lit("events::events::"), F.col("event_id").cast("string")).alias("manifest_id"), values.normalize_token(F.col("event_type")).alias("cls")), "SELECT event_id AS row_id, 'events::events::' || event_id AS manifest_id, event_type AS cls FROM events"),
-    "recover_subclass_join": (_recover, "SELECT CASE WHEN c_mktsegment IS NULL THEN 'missing' WHEN left(sha256(c_name), 1) < '8' THEN 'verified' ELSE 'hash_mismatch' END AS state, count(*) AS n FROM range(0, 4000, 7) r(id) LEFT JOIN customer ON c_custkey = id GROUP BY 1"),
+    "recover_subclass_join": (_recover, "SELECT CASE WHEN c_mktsegment IS NULL THEN 'missing' WHEN left(sha256(c_name), 1) < '8' THEN 'verified' ELSE 'hash_mismatch' END AS state, count(*) AS n FROM (SELECT DISTINCT o_custkey + CASE WHEN o_orderkey % 97 = 0 THEN 100000000 ELSE 0 END AS id FROM orders) LEFT JOIN customer ON c_custkey = id GROUP BY 1"),
     "recover_protocol_context": (_protocol, "SELECT coalesce(CASE WHEN event_id % 3 = 0 THEN lower(event_type) END, CASE WHEN event_id % 3 = 1 THEN 'p' || regexp_extract(props, '([0-9]+)', 1) END, '(none)') AS proto, count(*) AS n FROM events GROUP BY 1"),
     "candidate_selection": (_candidates, sql(", j AS (SELECT m.class, m.manifest_id, a.confidence FROM v_manifest m JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY seq DESC) AS k FROM v_attempt WHERE ok AND llm) WHERE k = 1) a ON m.manifest_id = a.manifest_id WHERE a.confidence >= CAST(0.2 AS DOUBLE)) SELECT class, manifest_id, confidence, rn FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY confidence DESC, manifest_id) AS rn FROM j) WHERE rn <= 5")),
     "support_report": (lambda s, d: C.support_report(v_manifest(s, d)).select(F.coalesce("split", F.lit("*")).alias("split"), F.coalesce("origin", F.lit("*")).alias("origin"), "n", "n_attack", "level", "balanced"), sql("SELECT coalesce(split, '*') AS split, coalesce(origin, '*') AS origin, count(*) AS n, count(*) FILTER (is_attack) AS n_attack, CAST(GROUPING(split, origin) AS BIGINT) AS level, count(*) FILTER (is_attack) * 2 = count(*) AS balanced FROM v_manifest GROUP BY CUBE (split, origin)")),
@@ -177,7 +154,7 @@ ALL = {
     "mapping_sidecar": (_sidecar, sql(f", {DOC_GROUPS} SELECT CASE WHEN label IS NULL THEN 'rejected' ELSE 'mapped' END AS status, CASE WHEN conflict THEN 'conflicting_labels' WHEN cross_split THEN 'cross_split' WHEN g.n > 1 THEN 'same_split_duplicate' ELSE 'kept' END AS outcome, count(*) AS n FROM v_doc JOIN g USING (fp) GROUP BY 1, 2")),
     "rejected_support": (lambda s, d: v_doc(s, d).where("label is null").groupBy("dataset", "source", "split", F.when(F.col("n_chars") > 2000, "long").otherwise("short").alias("size")).agg(N()), sql("SELECT dataset, source, split, CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END AS size, count(*) AS n FROM v_doc WHERE label IS NULL GROUP BY ALL")),
     "holdout_overlap": (lambda s, d: v_doc(s, d).where("split = 'train'").select("fp").distinct().join(v_doc(s, d).where("split = 'test'").select("fp").distinct(), "fp", "left_semi").agg(F.count(F.lit(1)).alias("n_overlap")), sql("SELECT count(*) AS n_overlap FROM (SELECT fp FROM v_doc WHERE split = 'train' INTERSECT SELECT fp FROM v_doc WHERE split = 'test')")),
-    "curated_exclusion": (lambda s, d: v_manifest(s, d).join(F.broadcast(s.range(0, 300, 11).select(F.col("id").alias("manifest_id"))), "manifest_id", "left_anti").groupBy("class").agg(N()), sql("SELECT class, count(*) AS n FROM v_manifest WHERE manifest_id NOT IN (SELECT range FROM range(0, 300, 11)) GROUP BY 1")),
+    "curated_exclusion": (lambda s, d: v_manifest(s, d).join(table(s, d, "supplier").select((F.col("s_suppkey") * 11).alias("manifest_id")), "manifest_id", "left_anti").groupBy("class").agg(N()), sql("SELECT class, count(*) AS n FROM v_manifest WHERE manifest_id NOT IN (SELECT s_suppkey * 11 FROM supplier) GROUP BY 1")),
     "unused_records": (lambda s, d: v_manifest(s, d).select("manifest_id").exceptAll(v_attempt(s, d).select("manifest_id").distinct()), sql("SELECT manifest_id FROM v_manifest EXCEPT SELECT manifest_id FROM v_attempt")),
     "dedup_strict": (lambda s, d: C.dedup_strict(v_doc(s, d)), sql("SELECT dataset, fp, outcome, CASE WHEN outcome = 'kept' THEN keeper END AS keeper FROM (SELECT dataset, fp, min(doc_id) AS keeper, CASE WHEN coalesce(min(label) <> max(label), false) THEN 'violation' WHEN min(split) <> max(split) THEN 'dropped' ELSE 'kept' END AS outcome FROM v_doc GROUP BY 1, 2)")),
     "dedup_labelled": (lambda s, d: C.dedup_labelled(v_doc(s, d)), sql(f", {DOC_GROUPS} SELECT keeper AS doc_id FROM g WHERE NOT cross_split AND NOT conflict")),

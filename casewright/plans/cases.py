@@ -9,12 +9,13 @@ from casewright.functions.taxonomy import TYPES_16, VERSION_16
 from casewright.operators import campaign as C
 from casewright.operators import cases as K
 from casewright.operators import catalog as G
-from casewright.session import cut, table
+from casewright.session import stored, table
 
 from .views import TRACE_SQL, sql, v_case, v_cat, v_trace
 
 R = lambda c: F.round(c, 6)
 N = lambda: F.count(F.lit(1)).alias("n")
+OTHER = lambda k: F.col("item_id") + F.when(F.col("item_id") % k == 0, 1000000000).otherwise(0)
 _D = lambda x: f"CAST({x} AS DOUBLE)"
 
 #: Facts of a flat case by its number k: the same SQL expressions for both engines, in order of use.
@@ -77,9 +78,9 @@ def flat_cases(spark: SparkSession, d: str) -> DataFrame:
     return o.select("case_id", "k", *(F.expr(e).alias(name) for name, e in FLAT_FACTS))
 
 
-def judged_cases(spark: SparkSession, d: str) -> DataFrame:
+def judged_cases(spark: SparkSession, d: str, flat: DataFrame | None = None) -> DataFrame:
     """Flat cases after the judge, with their closing status; some are tampered with for the auditor."""
-    j = K.judge(flat_cases(spark, d))
+    j = K.judge(flat_cases(spark, d) if flat is None else flat)
     status = K.status_of(F.col("action"), F.col("n_errors"))
     return j.select(
         *(c for c in j.columns if c not in ("issues", "final_label", "final_confidence", "action")), F.size("issues").cast("bigint").alias("n_issues"), F.array_join("issues", ",").alias("issues"),
@@ -106,7 +107,7 @@ MUTATIONS = (
 
 def control_cases(spark: SparkSession, d: str) -> DataFrame:
     """Typed, completed cases that the auditor approves; written out, so that later edits start from plain columns."""
-    return cut(K.with_verdict(judged_cases(spark, d))).where("verdict = 'approve' and is_malicious and status = 'completed'")
+    return stored(K.with_verdict(judged_cases(spark, d)), "control-cases").where("verdict = 'approve' and is_malicious and status = 'completed'")
 
 
 def _mutations(spark, d):
@@ -197,11 +198,11 @@ def _standardize(s, d):
 
 
 def _bases(s, d):
-    """The first seven items of each catalog type, numbered."""
-    return G.numbered_bases(v_cat(s, d)).where("base_id <= 7").select("type", "base_id", "base_text", "phase")
+    """The items of each catalog type, numbered."""
+    return G.numbered_bases(v_cat(s, d)).select("type", "base_id", "base_text", "phase")
 
 
-BASE_SQL = ", bs AS (SELECT type, base_id, base_text, phase FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY CASE phase WHEN 'containment' THEN 0 WHEN 'eradication' THEN 1 ELSE 2 END, item_id) AS base_id FROM v_cat) WHERE base_id <= 7)"
+BASE_SQL = ", bs AS (SELECT type, base_id, base_text, phase FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY CASE phase WHEN 'containment' THEN 0 WHEN 'eradication' THEN 1 ELSE 2 END, item_id) AS base_id FROM v_cat))"
 
 
 def _proposals(s, d):
@@ -247,26 +248,26 @@ OUTPUT_SQL = BROKEN_SQL + ", hv AS (SELECT case_id, type, text, phase, count(*)
 
 def _lookup(s, d):
     types = G.coverage(v_cat(s, d), 5).withColumnRenamed("type", "kind")
-    asked = table(s, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 30 == 0, F.lower("p_type")).otherwise(F.col("p_type")).alias("kind"))
+    asked = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 30 == 0, F.lower("p_type")).otherwise(F.col("p_type")).alias("kind"))
     return G.lookup(asked, types, "kind").select("id", "kind", "ok", "n_items")
 
 
 def _references(s, d):
-    entries = v_cat(s, d).where("item_id % 25 = 0").groupBy("type").agg(F.sort_array(F.collect_set(F.col("item_id") % 12)).alias("ref_ids"))
-    registry = table(s, d, "supplier").where("s_suppkey < 10").select(F.col("s_suppkey").alias("ref_id"), F.col("s_name").alias("name"))
+    entries = v_cat(s, d).groupBy("type").agg(F.sort_array(F.collect_set(F.col("item_id") % 12)).alias("ref_ids"))
+    registry = table(s, d, "supplier").select(F.col("s_suppkey").alias("ref_id"), F.col("s_name").alias("name"))
     return G.references(entries, registry)
 
 
 def _multiset(s, d):
     a = v_cat(s, d).select("type", "phase")
-    b = v_cat(s, d).where("item_id % 17 <> 0").select("type", "phase").unionByName(v_cat(s, d).where("item_id % 101 = 0").select("type", F.lit("prevention").alias("phase")))
+    b = v_cat(s, d).select("type", F.when(F.col("item_id") % 17 == 0, "review").when(F.col("item_id") % 101 == 0, "prevention").otherwise(F.col("phase")).alias("phase"))
     return C.multiset_diff(a, b)
 
 
 def _coverage_both(s, d):
     """Candidates against references both ways, with equality checks."""
-    a = v_cat(s, d).where("item_id % 3 <> 0").select("item_id", "type", "size")
-    b = v_cat(s, d).where("item_id % 4 <> 0").select("item_id", F.when(F.col("item_id") % 50 == 1, F.lower("type")).otherwise(F.col("type")).alias("r_type"), F.when(F.col("item_id") % 35 == 2, F.col("size") + 1).otherwise(F.col("size")).alias("r_size"))
+    a = v_cat(s, d).select(OTHER(3).alias("item_id"), "type", "size")
+    b = v_cat(s, d).select((OTHER(4) + F.when(F.col("item_id") % 4 == 0, 1).otherwise(0)).alias("item_id"), F.when(F.col("item_id") % 50 == 1, F.lower("type")).otherwise(F.col("type")).alias("r_type"), F.when(F.col("item_id") % 35 == 2, F.col("size") + 1).otherwise(F.col("size")).alias("r_size"))
     j = a.join(b, "item_id", "full_outer")
     code = F.when(F.col("r_type").isNull(), "reference_missing").when(F.col("type").isNull(), "candidate_missing").when(F.col("type") != F.col("r_type"), "type_mismatch").when(F.col("size") != F.col("r_size"), "size_mismatch").otherwise("ok")
     return j.groupBy(code.alias("code")).agg(N())
@@ -274,8 +275,8 @@ def _coverage_both(s, d):
 
 def _batches(s, d):
     """Two reference batches in one, ids that are in both reported."""
-    a = v_cat(s, d).where("item_id % 5 = 0").select("item_id", F.lit("b1").alias("batch"))
-    b = v_cat(s, d).where("item_id % 7 = 0").select("item_id", F.lit("b2").alias("batch"))
+    a = v_cat(s, d).select("item_id", F.lit("b1").alias("batch"))
+    b = v_cat(s, d).select((F.col("item_id") + F.when(F.col("item_id") % 7 != 0, 1000000000).otherwise(0)).alias("item_id"), F.lit("b2").alias("batch"))
     return a.unionByName(b).groupBy("item_id").agg(N(), F.min("batch").alias("first_batch"), (F.count(F.lit(1)) > 1).alias("duplicate"))
 
 
@@ -314,13 +315,13 @@ ALL = {
     "similar_cases": (_similar, sql("SELECT case_id, other_id, rn FROM (SELECT a.case_id, b.case_id AS other_id, row_number() OVER (PARTITION BY a.case_id ORDER BY b.created_us DESC, b.case_id) AS rn FROM v_case a JOIN v_case b ON a.type = b.type AND a.profile = b.profile AND a.case_id <> b.case_id WHERE a.case_id % 50 = 0) WHERE rn <= 5")),
     "migrate_legacy_cases": (_legacy, sql(f", o AS (SELECT case_id, CASE WHEN case_id % 3 = 0 THEN ' ' WHEN case_id % 3 = 1 THEN 'XSS' ELSE type END AS type, CASE WHEN case_id % 2 = 0 THEN 'DoS' ELSE '' END AS subtype, CASE WHEN case_id % 5 = 0 THEN 'family' ELSE 'attack_type' END AS scope FROM v_case), m AS (SELECT case_id, coalesce(nullif(trim(type), ''), nullif(trim(subtype), '')) AS type, CASE WHEN scope <> 'family' THEN scope END AS scope FROM o) SELECT case_id, type, scope, CASE WHEN type IN ({', '.join(repr(t) for t in TYPES_16)}) THEN type END AS indexed_type FROM m")),
     "catalog_flatten": (_bases, sql(BASE_SQL + " SELECT type, base_id, base_text, phase FROM bs")),
-    "catalog_lookup": (_lookup, sql(", g AS (SELECT type AS kind, count(*) AS n_items FROM v_cat GROUP BY 1) SELECT id, a.kind, g.kind IS NOT NULL AS ok, n_items FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 30 = 0 THEN lower(p_type) ELSE p_type END AS kind FROM part WHERE p_partkey % 10 = 0) a LEFT JOIN g ON a.kind = g.kind")),
-    "catalog_references": (_references, sql(", e AS (SELECT DISTINCT type, item_id % 12 AS ref_id FROM v_cat WHERE item_id % 25 = 0) SELECT type, row_number() OVER (PARTITION BY type ORDER BY ref_id) - 1 AS place, ref_id, s_name AS name FROM e LEFT JOIN supplier ON s_suppkey = ref_id AND s_suppkey < 10")),
+    "catalog_lookup": (_lookup, sql(", g AS (SELECT type AS kind, count(*) AS n_items FROM v_cat GROUP BY 1) SELECT id, a.kind, g.kind IS NOT NULL AS ok, n_items FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 30 = 0 THEN lower(p_type) ELSE p_type END AS kind FROM part) a LEFT JOIN g ON a.kind = g.kind")),
+    "catalog_references": (_references, sql(", e AS (SELECT DISTINCT type, item_id % 12 AS ref_id FROM v_cat) SELECT type, row_number() OVER (PARTITION BY type ORDER BY ref_id) - 1 AS place, ref_id, s_name AS name FROM e LEFT JOIN supplier ON s_suppkey = ref_id")),
     "catalog_coverage": (lambda s, d: G.coverage(v_cat(s, d), 5), sql("SELECT type, count(*) AS n_items, count(DISTINCT phase) AS n_phases, count(*) >= 5 AS covered FROM v_cat GROUP BY 1")),
-    "multiset_diff": (_multiset, sql(", a AS (SELECT type, phase FROM v_cat), b AS (SELECT type, phase FROM v_cat WHERE item_id % 17 <> 0 UNION ALL SELECT type, 'prevention' FROM v_cat WHERE item_id % 101 = 0), n AS (SELECT type, phase, sum(s) AS net FROM (SELECT type, phase, 1 AS s FROM a UNION ALL SELECT type, phase, -1 FROM b) GROUP BY 1, 2) SELECT type, phase, CASE WHEN net > 0 THEN 'left' ELSE 'right' END AS side, CAST(abs(net) AS BIGINT) AS surplus FROM n WHERE net <> 0")),
-    "taxonomy_set_diff": (lambda s, d: G.set_diff(v_cat(s, d).select("type"), v_cat(s, d).where("item_id % 3 = 0").select(F.when(F.col("item_id") % 60 == 0, F.lit("NEW")).otherwise(F.col("type")).alias("type")), "type"), sql(", b AS (SELECT DISTINCT CASE WHEN item_id % 60 = 0 THEN 'NEW' ELSE type END AS type FROM v_cat WHERE item_id % 3 = 0) SELECT type, 'missing' AS side FROM (SELECT type FROM v_cat EXCEPT SELECT type FROM b) UNION ALL SELECT type, 'extra' FROM (SELECT type FROM b EXCEPT SELECT type FROM v_cat)")),
-    "batch_union_unique": (_batches, sql("SELECT item_id, count(*) AS n, min(batch) AS first_batch, count(*) > 1 AS duplicate FROM (SELECT item_id, 'b1' AS batch FROM v_cat WHERE item_id % 5 = 0 UNION ALL SELECT item_id, 'b2' FROM v_cat WHERE item_id % 7 = 0) GROUP BY 1")),
-    "reference_coverage": (_coverage_both, sql("SELECT CASE WHEN b.item_id IS NULL THEN 'reference_missing' WHEN a.item_id IS NULL THEN 'candidate_missing' WHEN type <> r_type THEN 'type_mismatch' WHEN size <> r_size THEN 'size_mismatch' ELSE 'ok' END AS code, count(*) AS n FROM (SELECT item_id, type, size FROM v_cat WHERE item_id % 3 <> 0) a FULL JOIN (SELECT item_id, CASE WHEN item_id % 50 = 1 THEN lower(type) ELSE type END AS r_type, CASE WHEN item_id % 35 = 2 THEN size + 1 ELSE size END AS r_size FROM v_cat WHERE item_id % 4 <> 0) b ON a.item_id = b.item_id GROUP BY 1")),
+    "multiset_diff": (_multiset, sql(", a AS (SELECT type, phase FROM v_cat), b AS (SELECT type, CASE WHEN item_id % 17 = 0 THEN 'review' WHEN item_id % 101 = 0 THEN 'prevention' ELSE phase END AS phase FROM v_cat), n AS (SELECT type, phase, sum(s) AS net FROM (SELECT type, phase, 1 AS s FROM a UNION ALL SELECT type, phase, -1 FROM b) GROUP BY 1, 2) SELECT type, phase, CASE WHEN net > 0 THEN 'left' ELSE 'right' END AS side, CAST(abs(net) AS BIGINT) AS surplus FROM n WHERE net <> 0")),
+    "taxonomy_set_diff": (lambda s, d: G.set_diff(v_cat(s, d).select("type"), v_cat(s, d).select(F.when(F.col("item_id") % 60 == 0, F.lit("NEW")).when(F.col("type").startswith("SMALL"), F.upper(F.lit("tiny"))).otherwise(F.col("type")).alias("type")), "type"), sql(", b AS (SELECT DISTINCT CASE WHEN item_id % 60 = 0 THEN 'NEW' WHEN starts_with(type, 'SMALL') THEN 'TINY' ELSE type END AS type FROM v_cat) SELECT type, 'missing' AS side FROM (SELECT type FROM v_cat EXCEPT SELECT type FROM b) UNION ALL SELECT type, 'extra' FROM (SELECT type FROM b EXCEPT SELECT type FROM v_cat)")),
+    "batch_union_unique": (_batches, sql("SELECT item_id, count(*) AS n, min(batch) AS first_batch, count(*) > 1 AS duplicate FROM (SELECT item_id, 'b1' AS batch FROM v_cat UNION ALL SELECT item_id + CASE WHEN item_id % 7 <> 0 THEN 1000000000 ELSE 0 END, 'b2' FROM v_cat) GROUP BY 1")),
+    "reference_coverage": (_coverage_both, sql("SELECT CASE WHEN b.item_id IS NULL THEN 'reference_missing' WHEN a.item_id IS NULL THEN 'candidate_missing' WHEN type <> r_type THEN 'type_mismatch' WHEN size <> r_size THEN 'size_mismatch' ELSE 'ok' END AS code, count(*) AS n FROM (SELECT item_id + CASE WHEN item_id % 3 = 0 THEN 1000000000 ELSE 0 END AS item_id, type, size FROM v_cat) a FULL JOIN (SELECT item_id + CASE WHEN item_id % 4 = 0 THEN 1000000001 ELSE 0 END AS item_id, CASE WHEN item_id % 50 = 1 THEN lower(type) ELSE type END AS r_type, CASE WHEN item_id % 35 = 2 THEN size + 1 ELSE size END AS r_size FROM v_cat) b ON a.item_id = b.item_id GROUP BY 1")),
     "anchor_items": (_anchored, sql(BASE_SQL + ANCHOR_SQL + " SELECT * FROM fi")),
     "anchor_summary": (_anchor_summary, sql(BASE_SQL + ANCHOR_SQL + ", sm AS (SELECT case_id, count(*) FILTER (source = 'llm') AS n_llm, count(*) FILTER (source = 'llm_suggested') AS n_suggested, count(*) FILTER (source = 'catalog') AS n_catalog, count(DISTINCT CASE WHEN source = 'llm' AND base_id <= 5 THEN base_id END) = 5 AS first_five FROM fi GROUP BY 1), rq AS (SELECT sm.*, case_id % 2 = 0 AS wants_review, case_id % 9 = 0 AS summary_smuggled FROM sm) SELECT *, concat_ws(',', CASE WHEN wants_review AND NOT first_five THEN 'llm_requested_human_review' END, CASE WHEN summary_smuggled THEN 'llm_summary_reference_not_in_catalog' END) AS review_reasons, (wants_review AND NOT first_five) OR summary_smuggled AS requires_review FROM rq")),
     "candidate_contexts": (_candidates, sql(BASE_SQL + ANCHOR_SQL + " SELECT case_id || '::mitigation::' || lpad(CAST(item AS VARCHAR), 2, '0') AS candidate_id, case_id, base_id, context FROM fi WHERE source = 'llm' AND base_id IS NOT NULL AND context <> ''")),

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with ``QUERIES`` (name to callable) and ``ORACLES`` (name to SQL).
-MODULES: tuple[str, ...] = ("scalars", "campaign", "selection", "cases", "texts")
+MODULES: tuple[str, ...] = ("scalars", "campaign", "selection", "cases", "texts", "stores")
 
 
 def _merged(attribute: str) -> dict:

@@ -17,9 +17,10 @@ N = lambda: F.count(F.lit(1)).alias("n")
 
 def _pairs(s, d):
     """Each document with the benchmark item of its number."""
-    n = table(s, d, "benchmark").count()
     b = table(s, d, "benchmark").select("item_id", F.col("text").alias("item_text"))
-    return table(s, d, "documents").withColumn("item_id", F.col("doc_id") % n).join(F.broadcast(b), "item_id").select("doc_id", "lang", "text", "item_text")
+    n = b.agg(F.count(F.lit(1)).alias("n_items"))
+    docs = table(s, d, "documents").crossJoin(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n_items"))  # one row
+    return docs.join(b, "item_id").select("doc_id", "lang", "text", "item_text")
 
 
 PAIRS_SQL = "pa AS (SELECT doc_id, lang, d.text, b.text AS item_text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"
@@ -32,7 +33,7 @@ def _cited(s, d):
 
 
 def _json(s, d):
-    e = table(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Here: "), F.col("props"), F.lit(" done"))).otherwise(F.lit("none")).alias("t"))
+    e = table(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Here: "), F.col("props"), F.lit(" done"))).otherwise(F.concat(F.lit("[1, {\"k\": "), F.col("event_id").cast("string"), F.lit("}]"))).alias("t"))
     return e.select("event_id", F.try_variant_get(textmetrics.json_object(F.col("t")), "$.k", "bigint").alias("k"))
 
 
@@ -48,8 +49,7 @@ def _scores(s, d):
 
 
 def _stream(s, d, build, mode):
-    name = f"q{uuid.uuid4().hex}"
-    return streams.run_available(build(streams.event_stream(s, d)), name, mode, f"{checkpoint_dir(s)}/stream-{name}")
+    return streams.run_available(build(streams.event_stream(s, d)), f"{checkpoint_dir(s)}/stream-{uuid.uuid4().hex}", mode)
 
 
 def _window(df):
@@ -65,7 +65,7 @@ ALL = {
     "extract_json_object": (_json, "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) END AS k FROM events"),
     "scrub_text": (_scrubbed, None),
     "ml_scores": (_scores, None),
-    "stream_latest_attempt": (lambda s, d: _stream(s, d, lambda e: streams.latest_by_key(e.select("user_id", "event_id", "event_type"), "user_id", "event_id"), "complete"), None),
+    "stream_latest_attempt": (lambda s, d: _stream(s, d, lambda e: streams.latest_by_key(e.select("user_id", "event_id", "event_type"), "user_id", "event_id"), "complete"), "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1"),
     "stream_dedup": (lambda s, d: _stream(s, d, lambda e: streams.first_by_key(e.select("user_id", "event_type", "ts"), ["user_id", "event_type"], late="100000 hours"), "append").select("user_id", "event_type"), "SELECT DISTINCT user_id, event_type FROM events"),
     "ext_tumbling_counts": (lambda s, d: _window(streams.tumbling(table(s, d, "events"), "1 hour")), "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "ext_sliding_counts": (lambda s, d: _window(streams.tumbling(table(s, d, "events"), "1 hour", "30 minutes")), "SELECT epoch_us(b - k * INTERVAL 30 MINUTE) AS start_us, event_type, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) AS b FROM events) CROSS JOIN range(2) r(k) GROUP BY 1, 2"),

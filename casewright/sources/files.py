@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casewright.session import stored
+
 MANIFEST_SCHEMA = "manifest_id string, dataset string, source_file string, row_id string, content_hash string, split string, tasks array<string>, target struct<class: string, is_attack: boolean>, row map<string, string>"
 ATTEMPT_SCHEMA = "manifest_id string, ok boolean, parsed_by_llm boolean, from_cache boolean, provider string, model string, mapping_confidence double, selected_columns array<string>, latency_s double, failure_code string, error string"
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str, id_column: str | None = None) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str, id_column: str | None = None, multi_line: bool = False) -> DataFrame:
     """CSV rows with ``source_file`` and ``row_id``.
 
     Row ids are 0-based places in a file. A file is one ordered stream of rows, so
     its places come from the scan's own order: partitions of one file are numbered
-    in order, and within a partition rows are. With ``id_column`` nothing needs
-    numbering, which is the form for large files.
+    in order, and within a partition rows are. The scan is written out once with
+    its numbers, which all that follows reads. With ``id_column`` nothing needs
+    numbering, which is the form for large files. With ``multi_line`` quoted
+    fields may hold line breaks, and a file is then read by one task.
     """
-    rows = spark.read.csv(path, header=True, schema=schema, encoding="UTF-8").withColumn("source_file", F.col("_metadata.file_path"))
+    rows = spark.read.csv(path, header=True, schema=schema, encoding="UTF-8", multiLine=multi_line, escape='"').withColumn("source_file", F.col("_metadata.file_path"))
     if id_column is not None:
         return rows.withColumn("row_id", F.col(id_column).cast("bigint"))
-    placed = rows.withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_id", F.monotonically_increasing_id())
-    from pyspark.sql import Window
-
+    placed = stored(rows.withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_id", F.monotonically_increasing_id()), "csv-rows")
     sizes = placed.groupBy("source_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     earlier = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("source_file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    return placed.join(F.broadcast(starts), ["source_file", "_block"]).withColumn("row_id", F.col("_start") + F.col("_id") - F.col("_first")).drop("_block", "_id", "_first", "_start")
+    return placed.join(starts, ["source_file", "_block"]).withColumn("row_id", F.col("_start") + F.col("_id") - F.col("_first")).drop("_block", "_id", "_first", "_start")
 
 
 def union_sources(*parts: tuple[DataFrame, Column]) -> DataFrame:
@@ -68,14 +70,29 @@ def read_attempts(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("source_file", "a.*", odd.alias("corrupt"))
 
 
+def read_lines(spark: SparkSession, path: str, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """(line, value) of the JSON lines of one file from physical line ``offset`` on, blank ones skipped, at most ``limit`` of them.
+
+    Line numbers come from the scan's order, as in ``scan_csv``.
+    """
+    raw = spark.read.text(path).withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_id", F.monotonically_increasing_id())
+    raw = stored(raw, "text-lines")
+    sizes = raw.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block of the file
+    starts = sizes.select("_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    lines = raw.join(starts, "_block").select((F.col("_start") + F.col("_id") - F.col("_first")).alias("line"), "value")
+    kept = lines.where((F.col("line") >= offset) & (F.trim("value") != ""))
+    return kept if limit is None else kept.orderBy("line").limit(limit)
+
+
 def write_selected(rows: DataFrame, path: str, by: tuple[str, ...] = ("dataset", "split")) -> None:
     """Selected rows as JSON lines, one folder for each dataset and split."""
     rows.write.mode("overwrite").partitionBy(*by).json(path)
 
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(name, n_bytes, sha256) of the files under a path."""
-    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+def inventory(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(name, n_bytes, sha256) of the files under a path, of all folders below it if ``recursive``."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def inventory_hash(files: DataFrame) -> DataFrame:
