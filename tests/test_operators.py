@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from casewright.functions import groups, hashing, leak, taxonomy, values
-from casewright.operators import campaign, cases, catalog, metrics, sampling, textmetrics
+from casewright.operators import campaign, cases, catalog, metrics, payloads, run, sampling, textmetrics, training
 from casewright.plans.views import v_attempt, v_doc, v_manifest
 from casewright.sources import files
 from casewright.streaming import streams
@@ -155,7 +155,7 @@ def test_scrub(raw, want):
 def test_flat_and_nested_sanitizers_agree(spark):
     m = {"label": "x", "v": "ddos", "keep": "1", "threat_x": "2"}
     flat = spark.createDataFrame([(m,)], "m map<string,string>").select(leak.sanitize_flat(F.col("m")).alias("m")).first().m
-    assert flat == textmetrics._without_targets(m) == {"keep": "1"}
+    assert flat == payloads.pruned(dict(m), payloads.targets(m)) == {"keep": "1"}
 
 
 def test_manifests_and_attempts(spark, tmp_path):
@@ -176,7 +176,7 @@ def test_csv_row_ids_and_inventory(spark, tmp_path):
 
 def test_stream_latest_equals_batch(spark, data, tmp_path):
     stream = streams.latest_by_key(streams.event_stream(spark, data).select("user_id", "event_id"), "user_id", "event_id")
-    found = streams.run_available(stream, "latest_test", "complete", str(tmp_path / "c"))
+    found = streams.run_available(stream, str(tmp_path / "c"), "complete")
     want = campaign.latest(v_attempt(spark, data), ["manifest_id"]).select("manifest_id", "seq")
     assert sorted(map(tuple, found.select("user_id", "event_id").collect())) == sorted(map(tuple, want.collect()))
 
@@ -184,3 +184,160 @@ def test_stream_latest_equals_batch(spark, data, tmp_path):
 def test_plans_prune_and_push(spark, data):
     plan = v_attempt(spark, data).where("manifest_id = 3").select("seq")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,3)]" in plan and "event_type" not in plan
+
+
+# The judge, the auditor and the taxonomy against outcomes written out by hand
+
+
+V = "multidataset_attack_type_v1_2026-09-06"
+GOOD = dict(
+    n_errors=0, ingest_abstain=False, ingest_review=False, mapping_confidence=0.95, det_present=True, probability=0.97, is_malicious=True, det_abstain=False, cls_present=True, cls_task="attack_type", cls_type="DDoS_TCP", cls_version=V,
+    cls_confidence=0.9, cls_threshold=0.65, top_n=3, top_label="DDoS_TCP", top_score=0.9, top_has_type=True, top_invalid=False, exp_present=True, exp_type="DDoS_TCP", exp_version=V, exp_scope="attack_type", exp_catalog_version="4.0",
+    exp_catalog_taxonomy=V, exp_compatible=True, exp_source="hybrid", exp_pure=True, exp_review=False, n_catalog_issues=0, trace_n=6, trace_open=0, trace_negative=0, trace_time_ok=True, trace_order_ok=True, trace_errors=0,
+    has_judge=True, has_standardizer=True, has_detector=True, has_classifier=True, has_mitigator=True, has_event=True, n_event_leaks=0, n_feature_leaks=0,
+)
+BENIGN = dict(probability=0.03, is_malicious=False, cls_present=False, cls_task=None, cls_type=None, cls_version=None, cls_confidence=None, cls_threshold=None, top_n=0, top_label=None, top_score=None, top_has_type=False, exp_present=False, exp_type=None, exp_version=None, exp_scope=None, exp_catalog_version=None, exp_catalog_taxonomy=None, exp_source=None, has_classifier=False, has_mitigator=False)
+TYPES = {bool: "boolean", int: "int", float: "double", str: "string"}
+
+
+def flat(spark, *changes):
+    rows = [{**GOOD, **c, "case_id": k} for k, c in enumerate(changes)]
+    names = ["case_id", *GOOD]
+    kind = lambda n: "int" if n == "case_id" else TYPES[type(GOOD[n])]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], ", ".join(f"{n} {kind(n)}" for n in names))
+
+
+JUDGED = [
+    ({}, [], "DDoS_TCP", 0.9),
+    (BENIGN, [], "benign", 0.97),
+    ({"cls_confidence": 0.6499, "top_score": 0.6499}, ["classification_confidence_below_review_threshold"], "DDoS_TCP", 0.6499),
+    ({"cls_confidence": 0.65, "top_score": 0.65}, [], "DDoS_TCP", 0.65),
+    ({"cls_confidence": 1.5}, ["classification_confidence_invalid", "classification_top_scores_invalid", "classification_confidence_below_review_threshold"], "DDoS_TCP", 0.0),
+    ({"cls_confidence": None}, ["classification_confidence_invalid", "classification_top_scores_invalid", "classification_confidence_below_review_threshold"], "DDoS_TCP", 0.0),
+    ({**BENIGN, "probability": 0.5, "is_malicious": True, "det_abstain": True}, ["detector_abstained"], None, 0.0),
+    ({"n_errors": 1}, ["pipeline_errors_present"], "DDoS_TCP", 0.9),
+    ({"cls_threshold": None}, ["classification_threshold_missing"], "DDoS_TCP", 0.9),
+    ({"cls_threshold": 1.5}, ["classification_threshold_invalid"], "DDoS_TCP", 0.9),
+    ({"cls_threshold": 0.5}, ["classification_threshold_mismatch"], "DDoS_TCP", 0.9),
+    ({"cls_version": "v0", "exp_version": "v0", "exp_compatible": False}, ["classification_taxonomy_version_invalid", "mitigation_catalog_taxonomy_version_mismatch"], "DDoS_TCP", 0.9),
+    ({"cls_type": "Nope", "top_label": "Nope", "top_invalid": True, "exp_type": "Nope"}, ["classification_attack_type_outside_taxonomy", "classification_top_scores_invalid"], "Nope", 0.9),
+    ({"top_n": 2}, ["classification_top_scores_invalid"], "DDoS_TCP", 0.9),
+    ({"mapping_confidence": 0.49}, ["mapping_confidence_below_review_threshold"], "DDoS_TCP", 0.9),
+    ({"mapping_confidence": 0.5}, [], "DDoS_TCP", 0.9),
+    ({"ingest_abstain": True, "mapping_confidence": 0.1}, ["standardizer_abstained"], None, 0.0),
+    ({"probability": 0.2}, ["detection_label_probability_mismatch"], "DDoS_TCP", 0.9),
+    ({"exp_present": False}, ["malicious_without_mitigation"], "DDoS_TCP", 0.9),
+    ({**BENIGN, "cls_present": True, "cls_task": "attack_type", "cls_type": "XSS", "cls_version": V, "cls_confidence": 0.9, "cls_threshold": 0.65, "top_n": 3, "top_label": "XSS", "top_score": 0.9}, ["benign_with_classification"], "benign", 0.97),
+    ({"exp_type": "XSS"}, ["mitigation_attack_type_mismatch"], "DDoS_TCP", 0.9),
+    ({"exp_scope": "family"}, ["mitigation_catalog_scope_invalid"], "DDoS_TCP", 0.9),
+    ({"exp_catalog_version": "3.0"}, ["mitigation_catalog_version_mismatch"], "DDoS_TCP", 0.9),
+    ({"exp_review": True}, ["mitigator_requested_human_review"], "DDoS_TCP", 0.9),
+]
+
+
+def test_judge_outcomes(spark):
+    got = {r.case_id: r for r in cases.judge(flat(spark, *(c for c, *_ in JUDGED))).collect()}
+    for k, (_, issues, label, confidence) in enumerate(JUDGED):
+        assert (got[k].issues, got[k].final_label, round(got[k].final_confidence, 6), got[k].action) == (issues, label, confidence, "human_interrupt" if issues else "approve"), JUDGED[k]
+
+
+#: A change to a clean closed case, and the check that must then fail.
+SPOILED = [
+    ({"status": "error"}, "consistencia_sin_estado_error"), ({"is_malicious": None}, "consistencia_veredicto_deteccion_presente"), ({"probability": 1.5}, "consistencia_probabilidad_en_rango"), ({"cls_threshold": 0.1}, "consistencia_umbral_clasificacion_operativo"),
+    ({"cls_version": "v0"}, "consistencia_version_taxonomia"), ({"cls_type": "Nope"}, "consistencia_tipo_ataque_en_taxonomia"), ({"top_n": 2}, "consistencia_top_scores_tipos"), ({"top_label": "XSS"}, "consistencia_tipo_ataque_vs_top_scores"),
+    ({"exp_type": "XSS"}, "consistencia_mitigacion_tipo_ataque"), ({"exp_catalog_version": "0"}, "consistencia_mitigacion_catalogo_tipado"), ({"n_catalog_issues": 1}, "consistencia_contenido_catalogo_tipado"), ({"judge_label": "XSS"}, "consistencia_veredicto_juez_tipo_ataque"),
+    ({"trace_n": 0}, "traza_no_vacia"), ({"trace_open": 1}, "traza_entradas_cerradas"), ({"trace_order_ok": False}, "traza_orden_de_agentes"), ({"n_event_leaks": 1}, "leakage_evento_canonico"), ({"n_feature_leaks": 1}, "leakage_features_modelos"), ({"has_judge": False}, "traza_juez_presente"),
+]
+
+
+def closed(spark, *changes):
+    own = {"status", "judge_label"}
+    frame = flat(spark, *({k: v for k, v in c.items() if k not in own} for c in changes))
+    pick = lambda name, default: F.coalesce(*(F.when(F.col("case_id") == k, F.lit(c[name])) for k, c in enumerate(changes) if name in c), F.lit(default))
+    return frame.withColumns({"status": pick("status", "completed"), "judge_action": F.lit("approve"), "judge_approved": F.lit(True), "judge_review": F.lit(False), "judge_label": pick("judge_label", "DDoS_TCP"), "judge_confidence": F.lit(0.9)})
+
+
+def test_auditor_outcomes(spark):
+    frame = closed(spark, {}, *(c for c, _ in SPOILED))
+    failed = {}
+    for r in cases.audit(frame).where("not passed").collect():
+        failed.setdefault(r.case_id, set()).add(r.check_name)
+    assert 0 not in failed
+    assert all(check in failed[k + 1] for k, (_, check) in enumerate(SPOILED))
+    verdicts = {r.case_id: r.verdict for r in cases.verdicts(frame).collect()}
+    assert verdicts[0] == "approve" and all(verdicts[k + 1] == "reject" for k in range(len(SPOILED)))
+
+
+#: (dataset, native class, subclass, protocol, service), then status and type in the wide and in the narrow taxonomy.
+RESOLVED = [
+    (("edge_iiotset", "DDoS_TCP", "", "", ""), ("exact", "DDoS_TCP"), ("exact", "DDoS_TCP")), (("edge_iiotset", "Normal", "", "", ""), ("benign", None), ("benign", None)),
+    (("ton_iot", "xss", "", "", ""), ("exact", "XSS"), ("exact", "XSS")), (("ton_iot", "injection", "", "", ""), ("forced", "SQL_injection"), ("ambiguous", None)), (("ton_iot", "scanning", "", "", ""), ("forced", "Port_Scanning"), ("ambiguous", None)),
+    (("ton_iot", "dos", "", "", ""), ("exact", "DoS"), ("out_of_taxonomy", None)), (("iot23", "C&C", "", "", ""), ("exact", "Command_and_Control"), ("out_of_taxonomy", None)), (("iot23", "DDoS", "", "udp", ""), ("forced", "DDoS_UDP"), ("ambiguous", None)),
+    (("bot_iot", "Reconnaissance", "Service_Scan", "", ""), ("forced", "Port_Scanning"), None), (("bot_iot", "Theft", "", "", ""), ("out_of_taxonomy", None), ("out_of_taxonomy", None)), (("other", "ddos", "", "", ""), ("out_of_taxonomy", None), ("out_of_taxonomy", None)),
+]
+
+
+def test_taxonomy_outcomes(spark):
+    frame = spark.createDataFrame([(k, *r[0]) for k, r in enumerate(RESOLVED)], "k int, dataset string, native string, sub string, proto string, service string")
+    args = [F.col(c) for c in ("dataset", "native", "sub", "proto", "service")]
+    got = {r.k: r for r in frame.select("k", taxonomy.resolve(*args, rules=taxonomy.RULES_16).alias("w"), taxonomy.resolve(*args, rules=taxonomy.RULES_14).alias("n")).collect()}
+    for k, (row, wide, narrow) in enumerate(RESOLVED):
+        assert (got[k].w.status, got[k].w.attack_type) == wide, row
+        assert narrow is None or (got[k].n.status, got[k].n.attack_type) == narrow, row
+
+
+# Texts, payloads, percentiles, runs
+
+
+@pytest.mark.parametrize("raw,want", [("[1,2]", None), ("17", None), ('"x"', None), ('[{"k": 1}]', None), ('{"k": 1}', 1), ('```json\n{"k": 2}\n```', 2), ('so: {"k": 3} and {"k": 4}', 3), ('so: {"a": "}", "k": 5} end', 5), ("so: {broken} {\"k\": 6}", None), ("{", None), ("", None), (None, None)])
+def test_json_object(spark, raw, want):
+    assert one(spark, F.try_variant_get(textmetrics.json_object(F.col("t")), "$.k", "int"), t=raw) == want
+
+
+@pytest.mark.parametrize("raw", ["a=1 label=bad b=2", 'x label="u v" y', "k type={a:[1,2]} z=2", "?label=x&y2=1", '{"label": "x", "n": {"attack": 1, "k": 2}}', "xlabel=1", "", "  spaced   out | | x ;; y ,, z  ", "label=[1, {a: ']'}, 2] end", "a, label=x, , b", '{"t": "class: q rest"}', "{not json label=1}", "&&x?&y", "[1, 2]", "label='open end"])
+def test_scrub_column_equals_the_plain_form(spark, raw):
+    assert one(spark, textmetrics.scrub_text(F.col("t")), t=raw) == textmetrics.scrub(raw)
+
+
+def test_payload_policy():
+    tree = {"type": "a", "dns": {"type": "b"}, "rows": [{"label": "", "v": "ddos"}, "XSS"]}
+    names = lambda **k: [payloads.dotted(p) for p in payloads.targets(tree, **k)]
+    assert names() == ["type", "dns.type", "rows[0].label", "rows[0].v", "rows[1]"]
+    assert names(offline=False, blanks=False) == ["rows[0].v", "rows[1]"]
+    assert names(allowed=lambda p: p == ("dns", "type")) == ["type", "rows[0].label", "rows[0].v", "rows[1]"]
+    assert names(values=lambda p: p[0] != "rows") == ["type", "dns.type", "rows[0].label"]
+    assert payloads.pruned(tree, payloads.targets(tree)) == {"dns": {}, "rows": [{}]}
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.floats(-50, 50, allow_nan=False).map(lambda x: round(x, 1)))), min_size=1, max_size=60))
+def test_percentiles_against_numpy(spark, rows):
+    import numpy as np
+
+    got = {r.g: r.q for r in metrics.percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0.0, 0.05, 0.5, 0.95, 1.0], n_bins=7).collect()}
+    want = {g: np.quantile(v, [0.0, 0.05, 0.5, 0.95, 1.0]) for g in "ab" if (v := [x for k, x in rows if k == g and x is not None])}
+    assert got.keys() == want.keys() and all(np.allclose(got[g], want[g]) for g in want)
+
+
+def test_traces_grow_and_persistence_stops_at_the_first_failure(spark):
+    frame = run.traced(flat(spark, {}, {"ingest_abstain": True}, {"n_errors": 1}), F.lit(1000))
+    got = {r.case_id: [(t.seq, t.agent, t.status) for t in r.trace] for r in frame.collect()}
+    assert [a for _, a, _ in got[0]] == list(cases.STAGES) and [n for n, _, _ in got[0]] == [1, 2, 3, 4, 5, 6]
+    assert [a for _, a, _ in got[1]] == ["orchestrator", "final_standardizer", "final_judge"] and got[2][1][2] == "error"
+    facts = run.with_trace_facts(frame).where("case_id = 0").first()
+    assert (facts.trace_n, facts.trace_time_ok, facts.trace_order_ok, facts.has_mitigator) == (6, True, True, True)
+    results = spark.createDataFrame([(1, "completed"), (2, "completed"), (3, "open"), (4, "error")], "case_id int, status string")
+    traces = spark.createDataFrame([(1, 1, "final_judge"), (2, 1, "final_judge"), (2, 2, "nobody"), (2, 3, "final_judge"), (3, 1, "final_judge"), (9, 1, "x")], "case_id int, seq int, agent string")
+    out = run.persist(spark.createDataFrame([(1,)], "case_id int"), results, traces, cases.STAGES).orderBy("case_id").collect()
+    assert [tuple(r) for r in out] == [(1, "create_case", None, 0), (2, "append_trace", "open", 1), (3, "update_case", "open", 1), (4, None, "error", 0)]
+
+
+def test_training_rejects_classes_that_training_lacks(spark):
+    rows = spark.createDataFrame([(1, "a", True, "train"), (2, "b", False, "val"), (3, "b", False, "test")], "doc_id int, fp string, label boolean, split string")
+    assert sorted((r.problem, r.value) for r in training.problems(rows).collect()) == [("split_overlap", "b"), ("unseen_class", "false")]
+
+
+def test_csv_fields_with_line_breaks(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('a,b\n1,"two\nlines, ""quoted"""\n2,plain\n')
+    rows = files.scan_csv(spark, str(tmp_path / "x.csv"), "a int, b string", multi_line=True).collect()
+    assert sorted((r.row_id, r.b) for r in rows) == [(0, 'two\nlines, "quoted"'), (1, "plain")]

@@ -18,7 +18,7 @@ def con(data):
 def test_inventory():
     assert len(QUERIES) >= 150
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"split_matrix", "exact_split", "rouge_l", "scrub_text", "ml_scores", "stream_latest_attempt"}
+    assert set(QUERIES) - set(ORACLES) == {"split_matrix", "exact_split", "rouge_l", "scrub_text", "ml_scores", "train_preparation", "train_metrics", "model_artifact", "boosted_classes"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
