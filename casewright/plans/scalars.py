@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewright.functions import groups, hashing, leak, taxonomy, values
+from casewright.functions import contracts, groups, hashing, leak, taxonomy, values
 from casewright.operators import sampling as S
 from casewright.session import table
 
 from .views import sql, v_attempt, v_case, v_manifest
 
 #: Literal rows that both engines read as the same SQL text.
+DATASET_NAMES = ("EdgeIIoTset", "Bot-IoT", "IoT-23", "TON_IoT", "other set", "")
 NUMBER_TEXTS = ("1_000", "1d", "0x1p3", "nan", "-", " 1.5 ", "1e13", "true", "1e3", "-.5", "12.", "", "None", "5.0", "1,234", "1,234.50", "+7", "0", "-0.0", "1e-3")
 COLUMN_NAMES = ("id.orig_p", "id.resp_p", "id.orig_h", "id.resp_h", "tcp.srcport", "tcp.dstport", "src_port", "dst-port", "proto", "duration", "conn_state", "admin", "response", "temperature", "Processor_pct", "orig_bytes", "frame.len", "src_pkts", "service", "http.host", "msg_log", "alert message", "min_rate", "x", "ts", "date", "dns.qry.name", "Memory Used", "humidity", "history", "sum", "uid", "saddr", "daddr")
 TARGET_NAMES = ("label", "Label", "type", "attack_type", "Attack-Cat", "sub_category", "my label", "class", "klass", "threat_level", "is_malware", "y", "Y_True", "target", "dst_port", "attack_x", "pre_attack", "protocol_family", "family", "subtype", "severity")
@@ -35,12 +36,17 @@ def _quoted(rows) -> str:
     return ", ".join("(" + ", ".join(lit(x) for x in as_row(r)) + ")" for r in rows)
 
 
-def _rows(spark: SparkSession, rows, names: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM (VALUES {_quoted(rows)}) AS t({names})")
+def _rows(spark: SparkSession, d: str, rows, names: str) -> DataFrame:
+    """One of the listed rows for every customer, dealt by the customer's number."""
+    listed = [(k, *(x if isinstance(x, tuple) else (x,))) for k, x in enumerate(rows)]
+    texts = spark.createDataFrame(listed, "k_ long, " + ", ".join(f"{n.strip()} string" for n in names.split(",")))
+    return table(spark, d, "customer").select((F.col("c_custkey") % len(rows)).alias("k_")).join(F.broadcast(texts), "k_").drop("k_")  # a literal list
 
 
 def _from(rows, names: str) -> str:
-    return f"(VALUES {_quoted(rows)}) AS t({names})"
+    """The same in SQL."""
+    numbered = ", ".join(f"({k}, {row[1:]}" for k, row in enumerate(_quoted([x]) for x in rows))
+    return f"(SELECT v.* EXCLUDE (k_) FROM customer JOIN (VALUES {numbered}) AS v(k_, {names}) ON c_custkey % {len(rows)} = k_) AS t"
 
 
 def _in(words) -> str:
@@ -137,23 +143,63 @@ def _vocabulary(spark, d):
     return S.ranked(names, ["one"], F.col("key"), "key", digits=24).select("key", (F.col("rn") - 1).alias("idx"))
 
 
-def _guard(spark, d):
-    a = v_attempt(spark, d)
-    code = F.when(F.col("manifest_id") % 11 == 0, "invalid_dataset").when(F.col("confidence") > 0.9, "invalid_split").when(~F.col("ok"), "row_and_text_missing").when(F.col("provider") == "beta", F.when(F.col("llm"), None).otherwise(F.lit("text_not_allowed")))
-    return a.groupBy(F.coalesce(code, F.lit("accepted")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+#: One deviation from a good answer in each line: field, value, the code that must come.
+DEVIATIONS = (
+    ("ok", "false", "not_ok"), ("abstain", "true", "abstain_declared"), ("review", "true", "review_declared"), ("failure", "'timeout'", "failure_declared"), ("fallback", "true", "fallback_declared"), ("cache_key", "'k'", "cache_key_declared"),
+    ("from_cache", "CAST(NULL AS BOOLEAN)", "from_cache_invalid"), ("source", "'adapter'", "source_invalid"), ("provider", "'other'", "provider_mismatch"), ("model", "' '", "model_missing"), ("selected", "array('a', '')", "columns_invalid"),
+    ("selected", "CAST(array() AS ARRAY<STRING>)", "columns_missing"), ("selected", "array('a', 'a')", "columns_repeated"), ("selected", "array('z')", "columns_unknown"), ("notes", "array('parsed_by_llm')", "notes_incomplete"),
+    ("notes", "array('parsed_by_llm', 'source:mistral_live', ' LLM_Failed once')", "notes_forbidden"), ("notes", "array('parsed_by_llm', 'source:mistral_live', 'security_boundary:sanitized')", "notes_claim"),
+    ("notes", "array('parsed_by_llm', 'source:mistral_live', 'source:mistral_cache')", "live_as_cache"), ("content_hash", "'abc'", "content_hash_invalid"), ("pipeline_hash", "'x'", "pipeline_hash_invalid"), ("content_hash", "sha2('other', 256)", "content_hash_mismatch"),
+    ("n_unknown", "1", "event_fields_unknown"), ("n_leaks", "1", "event_leaks"), ("event_id", "'x'", "event_id_mismatch"), ("origin_file", "'other'", "origin_mismatch"), ("event_split", "'val'", "provenance_mismatch"),
+    ("confidence", "CAST(NULL AS DOUBLE)", "confidence_missing"), ("event_confidence", "confidence + 0.001D", "confidence_mismatch"), ("given", "true", "source_invalid"),
+)
+GOOD_ANSWER = (
+    ("ok", "true"), ("abstain", "false"), ("review", "false"), ("failure", "''"), ("fallback", "false"), ("cache_key", "CAST(NULL AS STRING)"), ("from_cache", "false"), ("given", "false"), ("source", "'llm'"), ("provider", "'mistral'"), ("model", "'m'"), ("selected", "array('a', 'b')"), ("row_keys", "array('a', 'b', 'c')"),
+    ("notes", "array('parsed_by_llm', 'source:mistral_live')"), ("content_hash", "sha2(state, 256)"), ("pipeline_hash", "CAST(NULL AS STRING)"), ("input_hash", "sha2(state, 256)"), ("n_unknown", "0"), ("n_leaks", "0"), ("event_id", "concat('llm::events::inline::', seq)"), ("dataset", "'events'"), ("source_file", "CAST(NULL AS STRING)"),
+    ("row_id", "CAST(seq AS STRING)"), ("split", "'stream'"), ("origin_dataset", "'events'"), ("origin_file", "'inline'"), ("origin_row", "CAST(seq AS STRING)"), ("event_split", "'stream'"), ("confidence", "confidence"), ("event_confidence", "confidence"),
+)
 
 
 def _contract(spark, d):
-    """Ordered checks, the first failure is the code."""
+    """Every attempt as an answer with one deviation, or none."""
+    k = F.col("seq") % (len(DEVIATIONS) + 1)
     a = v_attempt(spark, d)
-    first = F.coalesce(F.when(~F.col("ok"), "not_ok"), F.when(~F.col("llm"), "source_invalid"), F.when(F.col("provider") != "alpha", "provider_mismatch"), F.when(F.abs(F.col("confidence") - F.floor(F.col("confidence") * 10) / 10) > 0.055, "confidence_mismatch"), F.when(F.col("latency") < 0, "latency_negative"), F.lit("valid"))
-    return a.select("seq", first.alias("code"))
+    values_ = {name: F.expr(good) for name, good in GOOD_ANSWER}
+    for i, (name, bad, _) in enumerate(DEVIATIONS):
+        values_[name] = F.when(k == i, F.expr(bad)).otherwise(values_[name])
+    r = a.select("seq", F.struct(*(c.alias(name) for name, c in values_.items())).alias("r"))
+    return r.select("seq", F.coalesce(contracts.first_failure(contracts.standardization_rules(F.col("r"))), F.lit("valid")).alias("code"))
+
+
+CONTRACT_SQL = f"SELECT seq, CASE seq % {len(DEVIATIONS) + 1} " + " ".join(f"WHEN {i} THEN '{code}'" for i, (_, _, code) in enumerate(DEVIATIONS)) + " ELSE 'valid' END AS code FROM v_attempt"
+
+
+def _guard(spark, d):
+    """Every attempt as a request: a row, a text or an event, some of them with too much, too little or the wrong split."""
+    a, k = v_attempt(spark, d), F.col("seq") % 10
+    none = F.lit(None)
+    row = F.when(k.isin(0, 1, 4, 5), F.create_map(F.lit("state"), F.col("state"))).when(k == 8, F.create_map().cast("map<string,string>"))
+    text = F.when(k.isin(2, 4), F.col("state")).when(k == 9, F.lit("  "))
+    event = F.when(k.isin(3, 5, 6), F.col("props"))
+    code = contracts.input_guard(F.when(k == 1, "dev").otherwise("train"), F.when(k == 7, " ").otherwise("events"), row, F.coalesce(text, none.cast("string")), event, k != 6)
+    return a.groupBy(F.coalesce(code, F.lit("accepted")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+GUARD_SQL = "SELECT CASE seq % 10 WHEN 1 THEN 'standardization_input_invalid' WHEN 7 THEN 'standardization_input_invalid' WHEN 4 THEN 'standardization_input_ambiguous' WHEN 5 THEN 'standardization_input_ambiguous' WHEN 6 THEN 'canonical_event_invalid' WHEN 8 THEN 'standardization_input_missing' WHEN 9 THEN 'standardization_input_missing' ELSE 'accepted' END AS code, count(*) AS n FROM v_attempt GROUP BY 1"
 
 
 def _complete(spark, d):
+    """Customers as rows and, in part, as what a model made of them."""
     c = table(spark, d, "customer")
-    conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal") / 5000), F.lit(0.5))))
-    return c.select("c_custkey", F.concat(F.lit("llm::customers::inline::"), F.col("c_custkey").cast("string")).alias("event_id"), F.round(conf, 6).alias("mapping_confidence"), F.when(F.col("c_custkey") % 5 == 0, F.lit("stream")).otherwise(F.lit("test")).alias("split"), F.when(F.col("c_acctbal") < 0, F.lit("duration_ms,ts")).otherwise(F.lit("ts")).alias("missing_fields"))
+    text = lambda name: F.col(name).cast("string")
+    payload = F.map_filter(F.create_map(F.lit("c_name"), F.col("c_name"), F.lit("mapping_confidence"), F.when(F.col("c_custkey") % 4 != 0, (F.col("c_acctbal") / 5000).cast("string")), F.lit("ts"), F.when(F.col("c_custkey") % 3 == 0, F.lit("2020-01-01")), F.lit("missing_fields"), F.lit("duration_ms,c_name,ts,bogus")), lambda k, v: v.isNotNull())
+    row = F.create_map(F.lit("c_name"), F.col("c_name"), F.lit("cpu_pct"), text("c_nationkey"), F.lit("seg"), F.col("c_mktsegment"), F.lit("gone"), F.lit(""))
+    parts = contracts.completed(payload, row, F.lit("customers"), F.lit(None).cast("string"), text("c_custkey"), F.when(F.col("c_custkey") % 5 != 0, "test"), ("ts", "duration_ms", "c_name"))
+    flat = lambda m: F.array_join(F.array_sort(F.map_keys(m)), ",")
+    return c.select("c_custkey", parts["event_id"].alias("event_id"), F.round(parts["mapping_confidence"], 6).alias("mapping_confidence"), parts["split"].alias("split"), F.array_join(parts["missing_fields"], ",").alias("missing_fields"), flat(parts["telemetry"]).alias("telemetry"), flat(parts["host"]).alias("host"))
+
+
+COMPLETE_SQL = "SELECT c_custkey, 'llm::customers::inline::' || c_custkey AS event_id, round(greatest(0, least(1, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal / 5000 ELSE CAST(0.5 AS DOUBLE) END)), 6) AS mapping_confidence, CASE WHEN c_custkey % 5 <> 0 THEN 'test' ELSE 'stream' END AS split, CASE WHEN c_custkey % 3 = 0 THEN 'duration_ms' ELSE 'duration_ms,ts' END AS missing_fields, 'seg' AS telemetry, 'cpu_pct' AS host FROM customer"
 
 
 def _prune(spark, d):
@@ -178,11 +224,43 @@ def _infer_groups(spark, d):
     return g.groupBy("c_custkey", "grp").agg(F.array_join(F.slice(F.array_sort(F.collect_set("key")), 1, 40), ",").alias("columns"))
 
 
+#: A closed schema of the kinds that stages use.
+CUSTOMER_SCHEMA = {
+    "type": "object",
+    "required": ["id", "balance"],
+    "additionalProperties": False,
+    "properties": {
+        "id": {"type": "integer", "minimum": 1},
+        "balance": {"type": ["number", "null"], "minimum": 0, "maximum": 9000},
+        "segment": {"type": "string", "enum": ["BUILDING", "MACHINERY", "AUTOMOBILE"]},
+        "tags": {"type": "array", "items": {"type": "string", "minLength": 2}},
+        "place": {"type": "object", "required": ["nation"], "properties": {"nation": {"type": "integer"}}},
+    },
+}
+
+
 def _schema_violations(spark, d):
-    """Checks of a closed schema over customers: type, bounds, required text."""
-    c = table(spark, d, "customer")
-    bad = F.array_compact(F.array(F.when(F.col("c_acctbal") < 0, "acctbal:minimum"), F.when(F.length("c_name") > 18, "name:maxLength"), F.when(~F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "AUTOMOBILE"), "segment:enum")))
-    return c.select("c_custkey", F.array_join(bad, ",").alias("violations"))
+    """Customers as JSON, spoiled by the customer's number, against a closed schema."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    number = lambda name: F.col(name).cast("string")
+    js = F.concat(
+        F.lit('{"id":'), F.when(k % 5 == 0, F.lit('"x"')).otherwise(k.cast("string")), F.when(k % 7 == 0, F.lit("")).otherwise(F.concat(F.lit(',"balance":'), F.when(k % 11 == 0, F.lit("null")).otherwise(number("c_acctbal")))), F.lit(',"segment":"'), F.col("c_mktsegment"),
+        F.lit('","tags":["ok"'), F.when(k % 3 == 0, F.lit(',"a"')).when(k % 13 == 0, F.lit(",1")).otherwise(F.lit("")), F.lit('],"place":{'), F.when(k % 17 == 0, F.lit("")).otherwise(F.concat(F.lit('"nation":'), number("c_nationkey"))), F.lit("}"), F.when(k % 19 == 0, F.lit(',"more":1')).otherwise(F.lit("")), F.lit("}"),
+    )
+    return c.select("c_custkey", F.array_join(contracts.schema_violations(F.parse_json(js), CUSTOMER_SCHEMA), ",").alias("violations"))
+
+
+SCHEMA_SQL = "SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 7 = 0 THEN '$:required' END, CASE WHEN c_custkey % 19 = 0 THEN '$:additionalProperties' END, CASE WHEN c_custkey % 5 = 0 THEN '$.id:type' END, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 THEN CASE WHEN c_acctbal < 0 THEN '$.balance:minimum' WHEN c_acctbal > 9000 THEN '$.balance:maximum' END END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') THEN '$.segment:enum' END, CASE WHEN c_custkey % 3 = 0 THEN '$.tags[]:minLength' WHEN c_custkey % 13 = 0 THEN '$.tags[]:type' END, CASE WHEN c_custkey % 17 = 0 THEN '$.place:required' END) AS violations FROM customer"
+
+
+def _retry(spark, d):
+    """Waits after failed tries and refused calls, by the attempt's number."""
+    a, k = v_attempt(spark, d), F.col("seq")
+    wait = contracts.limit_wait(F.when(k % 2 == 0, F.lit("1m")), F.when(k % 3 == 0, F.lit("2s")), F.lit(None).cast("string"), F.when(k % 5 == 0, F.lit("Please Try Again in 200.5 s")).otherwise(F.lit("")), F.when(k % 7 == 0, 503).otherwise(429))
+    return a.select("seq", contracts.connection_wait(k % 6).alias("wait_s"), wait.alias("limit_s"))
+
+
+RETRY_SQL = "SELECT seq, least(pow(CAST(2 AS DOUBLE), seq % 6), CAST(10 AS DOUBLE)) AS wait_s, CAST(CASE WHEN seq % 5 = 0 THEN 120 WHEN seq % 2 = 0 THEN 60.75 WHEN seq % 7 = 0 THEN 10.75 WHEN seq % 3 = 0 THEN 2.75 ELSE 1.75 END AS DOUBLE) AS limit_s FROM v_attempt"
 
 
 def _url_validity(spark, d):
@@ -213,15 +291,15 @@ def _selected_ok(spark, d):
 CONV = {
     "normalize_token": (_part_tokens, f"SELECT p_partkey, {TOKEN(chr(39) + chr(39) + ' || p_type || ' + chr(39) + ' / ' + chr(39) + ' || p_brand')} AS token FROM part"),
     "normalize_token_40": (lambda s, d: table(s, d, "part").select("p_partkey", values.normalize_token_40(F.concat_ws("  ", "p_name", "p_type", "p_name")).alias("token")), f"SELECT p_partkey, {TOKEN40(chr(39) + chr(39) + ' || p_name || ' + chr(39) + '  ' + chr(39) + ' || p_type || ' + chr(39) + '  ' + chr(39) + ' || p_name')} AS token FROM part"),
-    "coerce_number": (lambda s, d: _rows(s, NUMBER_TEXTS, "raw").select("raw", values.coerce_number(F.col("raw")).alias("num")), f"SELECT raw, CASE WHEN abs(x) <= 1000000000000 THEN x END AS num FROM (SELECT raw, CASE WHEN lower({TRIM}) IN {_in(values.NUMBER_BLANKS)} THEN NULL WHEN regexp_matches({TRIM}, '{NUM_SQL}') THEN TRY_CAST(replace({TRIM}, '_', '') AS DOUBLE) END AS x FROM {_from(NUMBER_TEXTS, 'raw')})"),
-    "normalize_int": (lambda s, d: _rows(s, NUMBER_TEXTS, "raw").select("raw", values.normalize_int(F.col("raw")).alias("n")), rf"SELECT raw, CASE WHEN regexp_matches(replace({TRIM}, ',', ''), '^[-+]?[0-9]+(\.0+)?$') THEN TRY_CAST(regexp_replace(replace({TRIM}, ',', ''), '\.0+$', '') AS BIGINT) END AS n FROM {_from(NUMBER_TEXTS, 'raw')}"),
-    "normalize_float": (lambda s, d: _rows(s, NUMBER_TEXTS, "raw").select("raw", values.normalize_float(F.col("raw")).alias("x")), rf"SELECT raw, CASE WHEN regexp_matches(replace({TRIM}, ',', ''), '^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$') THEN TRY_CAST(replace({TRIM}, ',', '') AS DOUBLE) END AS x FROM {_from(NUMBER_TEXTS, 'raw')}"),
-    "blank_flags": (lambda s, d: _rows(s, NUMBER_TEXTS, "raw").select("raw", values.is_blank(F.col("raw")).alias("blank"), values.is_empty_or_zero(F.col("raw")).alias("empty_or_zero")), f"SELECT raw, {TRIM} IN {_in(values.BLANKS)} AS blank, {TRIM} IN {_in(values.ZERO_BLANKS)} OR coalesce(CASE WHEN regexp_matches({TRIM}, '{NUM_SQL}') THEN TRY_CAST(replace({TRIM}, '_', '') AS DOUBLE) = 0 END, false) AS empty_or_zero FROM {_from(NUMBER_TEXTS, 'raw')}"),
+    "coerce_number": (lambda s, d: _rows(s, d, NUMBER_TEXTS, "raw").select("raw", values.coerce_number(F.col("raw")).alias("num")), f"SELECT raw, CASE WHEN abs(x) <= 1000000000000 THEN x END AS num FROM (SELECT raw, CASE WHEN lower({TRIM}) IN {_in(values.NUMBER_BLANKS)} THEN NULL WHEN regexp_matches({TRIM}, '{NUM_SQL}') THEN TRY_CAST(replace({TRIM}, '_', '') AS DOUBLE) END AS x FROM {_from(NUMBER_TEXTS, 'raw')})"),
+    "normalize_int": (lambda s, d: _rows(s, d, NUMBER_TEXTS, "raw").select("raw", values.normalize_int(F.col("raw")).alias("n")), rf"SELECT raw, CASE WHEN regexp_matches(replace({TRIM}, ',', ''), '^[-+]?[0-9]+(\.0+)?$') THEN TRY_CAST(regexp_replace(replace({TRIM}, ',', ''), '\.0+$', '') AS BIGINT) END AS n FROM {_from(NUMBER_TEXTS, 'raw')}"),
+    "normalize_float": (lambda s, d: _rows(s, d, NUMBER_TEXTS, "raw").select("raw", values.normalize_float(F.col("raw")).alias("x")), rf"SELECT raw, CASE WHEN regexp_matches(replace({TRIM}, ',', ''), '^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$') THEN TRY_CAST(replace({TRIM}, ',', '') AS DOUBLE) END AS x FROM {_from(NUMBER_TEXTS, 'raw')}"),
+    "blank_flags": (lambda s, d: _rows(s, d, NUMBER_TEXTS, "raw").select("raw", values.is_blank(F.col("raw")).alias("blank"), values.is_empty_or_zero(F.col("raw")).alias("empty_or_zero")), f"SELECT raw, {TRIM} IN {_in(values.BLANKS)} AS blank, {TRIM} IN {_in(values.ZERO_BLANKS)} OR coalesce(CASE WHEN regexp_matches({TRIM}, '{NUM_SQL}') THEN TRY_CAST(replace({TRIM}, '_', '') AS DOUBLE) = 0 END, false) AS empty_or_zero FROM {_from(NUMBER_TEXTS, 'raw')}"),
     "compact_category": (lambda s, d: table(s, d, "part").select("p_partkey", values.compact_category(F.when(F.col("p_partkey") % 5 == 0, F.lit("ip 10.0.0.1")).when(F.col("p_partkey") % 7 == 0, F.lit(" NaN ")).otherwise(F.col("p_type"))).alias("cat")), f"SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN NULL ELSE {TOKEN40('p_type')} END AS cat FROM part"),
     "value_preview": (lambda s, d: table(s, d, "documents").select("doc_id", values.value_preview(F.col("text")).alias("preview")), "SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 80) || '...' ELSE text END AS preview FROM documents"),
-    "duration_seconds": (lambda s, d: _rows(s, DURATIONS, "raw").select("raw", F.round(values.duration_seconds(F.col("raw")), 6).alias("sec")), r"SELECT raw, round(CASE WHEN regexp_matches(raw, '^([0-9]+(\.[0-9]+)?(ms|s|m|h))+$') THEN coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+(?:\.[0-9]+)?)ms', 1) AS DOUBLE) * 0.001, 0) + coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+(?:\.[0-9]+)?)s', 1) AS DOUBLE), 0) + coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+(?:\.[0-9]+)?)m(?:[^s]|$)', 1) AS DOUBLE) * 60, 0) + coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+(?:\.[0-9]+)?)h', 1) AS DOUBLE) * 3600, 0) ELSE TRY_CAST(raw AS DOUBLE) END, 6) AS sec FROM " + _from(DURATIONS, "raw")),
-    "feature_group": (lambda s, d: _rows(s, COLUMN_NAMES, "name").select("name", groups.feature_group(F.col("name")).alias("grp")), f"SELECT name, {groups.rules_sql('name', groups.FEATURE_RULES)} AS grp FROM {_from(COLUMN_NAMES, 'name')}"),
-    "ingest_group": (lambda s, d: _rows(s, COLUMN_NAMES, "name").select("name", groups.ingest_group(F.col("name")).alias("grp")), f"SELECT name, {groups.rules_sql('name', groups.INGEST_RULES)} AS grp FROM {_from(COLUMN_NAMES, 'name')}"),
+    "duration_seconds": (lambda s, d: _rows(s, d, DURATIONS, "raw").select("raw", F.round(values.duration_seconds(F.col("raw")), 6).alias("sec")), r"SELECT raw, round(CASE WHEN regexp_matches(raw, '^([0-9]+(\.[0-9]+)?(ms|s|m|h))+$') THEN coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+(?:\.[0-9]+)?)ms', 1) AS DOUBLE) * 0.001, 0) + coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+(?:\.[0-9]+)?)s', 1) AS DOUBLE), 0) + coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+(?:\.[0-9]+)?)m(?:[^s]|$)', 1) AS DOUBLE) * 60, 0) + coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+(?:\.[0-9]+)?)h', 1) AS DOUBLE) * 3600, 0) ELSE TRY_CAST(raw AS DOUBLE) END, 6) AS sec FROM " + _from(DURATIONS, "raw")),
+    "feature_group": (lambda s, d: _rows(s, d, COLUMN_NAMES, "name").select("name", groups.feature_group(F.col("name")).alias("grp")), f"SELECT name, {groups.rules_sql('name', groups.FEATURE_RULES)} AS grp FROM {_from(COLUMN_NAMES, 'name')}"),
+    "ingest_group": (lambda s, d: _rows(s, d, COLUMN_NAMES, "name").select("name", groups.ingest_group(F.col("name")).alias("grp")), f"SELECT name, {groups.rules_sql('name', groups.INGEST_RULES)} AS grp FROM {_from(COLUMN_NAMES, 'name')}"),
     "port_bucket": (_port, f"SELECT event_id, port, {PORT_SQL} AS bucket FROM (SELECT event_id, (event_id * 37) % 65536 AS port FROM events)"),
     "numeric_features": (lambda s, d: table(s, d, "part").select("p_partkey", F.lit(1).cast("bigint").alias("present"), F.round(F.log1p(F.abs("p_retailprice")), 6).alias("log1p_abs")), "SELECT p_partkey, CAST(1 AS BIGINT) AS present, round(ln(1 + abs(p_retailprice)), 6) AS log1p_abs FROM part"),
     "group_numeric_stats": (_group_stats, sql(MEASURE_SQL + f" SELECT l_orderkey, grp, count(*) AS n, round(avg(ln(1 + abs(num))), 6) AS abs_log_mean, round(min(num), 6) AS lo, round(max(num), 6) AS hi, round(avg(num), 6) AS mean, round(stddev_pop(num), 4) AS std, round(max(num) - min(num), 6) AS span, round(count(*) FILTER (num = 0) / count(*), 6) AS zero_ratio, round(count(*) FILTER (num > 0) / count(*), 6) AS positive_ratio FROM (SELECT *, {groups.rules_sql('key', groups.FEATURE_RULES)} AS grp FROM u) GROUP BY 1, 2")),
@@ -229,15 +307,15 @@ CONV = {
     "keyword_hints": (lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(groups.keyword_hints(F.concat_ws(" ", "p_name", F.when(F.col("p_partkey") % 3 == 0, F.lit("SYN flood scan")), F.when(F.col("p_partkey") % 4 == 0, F.lit("password leak")))), ",").alias("hints")), f"SELECT p_partkey, coalesce({HINT_SQL}, '') AS hints FROM (SELECT p_partkey, lower(p_name || CASE WHEN p_partkey % 3 = 0 THEN ' SYN flood scan' ELSE '' END || CASE WHEN p_partkey % 4 = 0 THEN ' password leak' ELSE '' END) AS t FROM part)"),
     "event_features_long": (_features_long, FEATURES_SQL),
     "feature_vocabulary": (_vocabulary, f"SELECT key, row_number() OVER (ORDER BY key) - 1 AS idx FROM (SELECT DISTINCT key FROM ({FEATURES_SQL}))"),
-    "feature_allowlist": (lambda s, d: _rows(s, ("origin.dataset", "byte_count.raw", "behavior.x", "mapping_confidence", "uncertainty_count", "semantic_hint.ddos", "context.service.k"), "name").where(leak.is_allowed_feature(F.col("name"))), "SELECT name FROM " + _from(("origin.dataset", "byte_count.raw", "behavior.x", "mapping_confidence", "uncertainty_count", "semantic_hint.ddos", "context.service.k"), "name") + " WHERE NOT (" + " OR ".join(f"starts_with(name, '{p}')" for p in leak.FORBIDDEN_PREFIXES) + f" OR name IN {_in(leak.FORBIDDEN_KEYS)})"),
+    "feature_allowlist": (lambda s, d: _rows(s, d, ("origin.dataset", "byte_count.raw", "behavior.x", "mapping_confidence", "uncertainty_count", "semantic_hint.ddos", "context.service.k"), "name").where(leak.is_allowed_feature(F.col("name"))), "SELECT name FROM " + _from(("origin.dataset", "byte_count.raw", "behavior.x", "mapping_confidence", "uncertainty_count", "semantic_hint.ddos", "context.service.k"), "name") + " WHERE NOT (" + " OR ".join(f"starts_with(name, '{p}')" for p in leak.FORBIDDEN_PREFIXES) + f" OR name IN {_in(leak.FORBIDDEN_KEYS)})"),
     "feature_leaks": (lambda s, d: _features_long(s, d).select("key").distinct().where(leak.is_target_field(F.col("key"))).agg(F.count(F.lit(1)).alias("n_leaks")), f"SELECT count(*) AS n_leaks FROM (SELECT DISTINCT key FROM ({FEATURES_SQL})) WHERE {TARGET_SQL('key')}"),
-    "schema_profile": (lambda s, d: _rows(s, CHAINS, "modality, cols").select("modality", "cols", groups.schema_profile(F.lit(""), F.col("modality"), F.split("cols", ",")).alias("profile")), "SELECT modality, cols, CASE WHEN modality = 'host_log' THEN 'host_metrics' WHEN modality = 'telemetry' THEN 'iot_telemetry' WHEN modality = 'alert' THEN 'alert_text' WHEN regexp_matches(cols, '(^|,)(tcp|udp|icmp|mqtt|http|arp)\\.') THEN 'network_packet' WHEN regexp_matches(cols, '(^|,)(src_port|dst_port)(,|$)|state|proto') THEN 'network_flow' ELSE modality END AS profile FROM " + _from(CHAINS, "modality, cols")),
-    "parse_timestamp": (lambda s, d: _rows(s, TIMES, "raw").select("raw", F.unix_micros(values.parse_timestamp(F.col("raw"))).alias("us")), "SELECT raw, CAST(us AS BIGINT) AS us FROM (VALUES ('2020-01-02 03:04:05', 1577934245000000), ('2020/01/02 03:04:05', 1577934245000000), ('02-Jan-20 03:04:05', 1577934245000000), ('02-Jan-2020 03:04:05', 1577934245000000), ('31/12/2019 23:59:59', 1577836799000000), ('12/31/2019 23:59:59', 1577836799000000), ('1577934245', 1577934245000000), ('1577934245.5', 1577934245500000), ('2019 13:01:02.5', 1546347662500000), ('2020-01-02T03:04:05Z', 1577934245000000), ('2020-01-02', 1577923200000000), ('nonsense', NULL), ('-', NULL), ('17', NULL), ('20-01-02 03:04:05', 1577934245000000)) AS t(raw, us)"),
+    "schema_profile": (lambda s, d: _rows(s, d, CHAINS, "modality, cols").select("modality", "cols", groups.schema_profile(F.lit(""), F.col("modality"), F.split("cols", ",")).alias("profile")), "SELECT modality, cols, CASE WHEN modality = 'host_log' THEN 'host_metrics' WHEN modality = 'telemetry' THEN 'iot_telemetry' WHEN modality = 'alert' THEN 'alert_text' WHEN regexp_matches(cols, '(^|,)(tcp|udp|icmp|mqtt|http|arp)\\.') THEN 'network_packet' WHEN regexp_matches(cols, '(^|,)(src_port|dst_port)(,|$)|state|proto') THEN 'network_flow' ELSE modality END AS profile FROM " + _from(CHAINS, "modality, cols")),
+    "parse_timestamp": (lambda s, d: _rows(s, d, TIMES, "raw").select("raw", F.unix_micros(values.parse_timestamp(F.col("raw"))).alias("us")), f"SELECT e.raw, CAST(e.us AS BIGINT) AS us FROM {_from(TIMES, 'raw')} JOIN (VALUES ('2020-01-02 03:04:05', 1577934245000000), ('2020/01/02 03:04:05', 1577934245000000), ('02-Jan-20 03:04:05', 1577934245000000), ('02-Jan-2020 03:04:05', 1577934245000000), ('31/12/2019 23:59:59', 1577836799000000), ('12/31/2019 23:59:59', 1577836799000000), ('1577934245', 1577934245000000), ('1577934245.5', 1577934245500000), ('2019 13:01:02.5', 1546347662500000), ('2020-01-02T03:04:05Z', 1577934245000000), ('2020-01-02', 1577923200000000), ('nonsense', NULL), ('-', NULL), ('17', NULL), ('20-01-02 03:04:05', 1577934245000000)) AS e(raw, us) ON t.raw = e.raw"),
     "url_validity": (_url_validity, "SELECT page_id, regexp_matches(url, '^https?://[^/?#]+') AS url_ok, '2024-02-' || (page_id % 31 + 1) AS day, TRY_CAST('2024-02-' || lpad(CAST(page_id % 31 + 1 AS VARCHAR), 2, '0') AS DATE) IS NOT NULL AS day_ok FROM pages"),
-    "target_field_predicate": (lambda s, d: _rows(s, TARGET_NAMES, "name").select("name", leak.is_target_field(F.col("name")).alias("runtime"), leak.is_target_field(F.col("name"), offline=True).alias("offline")), f"SELECT name, {TARGET_SQL('name')} AS runtime, {TARGET_SQL('name', leak.OFFLINE_EXTRA)} AS offline FROM {_from(TARGET_NAMES, 'name')}"),
-    "target_value_predicate": (lambda s, d: _rows(s, TARGET_TEXTS, "v").select("v", leak.is_target_value(F.col("v")).alias("target")), f"SELECT v, {TOKEN('trim(v)')} IN {_in(leak.TARGET_VALUES)} AS target FROM {_from(TARGET_TEXTS, 'v')}"),
+    "target_field_predicate": (lambda s, d: _rows(s, d, TARGET_NAMES, "name").select("name", leak.is_target_field(F.col("name")).alias("runtime"), leak.is_target_field(F.col("name"), offline=True).alias("offline")), f"SELECT name, {TARGET_SQL('name')} AS runtime, {TARGET_SQL('name', leak.OFFLINE_EXTRA)} AS offline FROM {_from(TARGET_NAMES, 'name')}"),
+    "target_value_predicate": (lambda s, d: _rows(s, d, TARGET_TEXTS, "v").select("v", leak.is_target_value(F.col("v")).alias("target")), f"SELECT v, {TOKEN('trim(v)')} IN {_in(leak.TARGET_VALUES)} AS target FROM {_from(TARGET_TEXTS, 'v')}"),
     "target_text_predicate": (lambda s, d: table(s, d, "documents").select("doc_id", leak.has_target_text(F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit(" label=")).otherwise(F.lit(" xlabel=")), F.col("lang"))).alias("hit")), rf"SELECT doc_id, regexp_matches(text || CASE WHEN doc_id % 2 = 0 THEN ' label=' ELSE ' xlabel=' END || lang, '(?i)(^|[^A-Za-z0-9_.-])[\x22\x27]?{leak.TARGET_KEY}[\x22\x27]?\s*[:=]\s*') AS hit FROM documents"),
-    "target_path_allowlist": (lambda s, d: _rows(s, PATHS, "path").select("path", leak.is_allowed_path(F.col("path")).alias("allowed")), f"SELECT path, lower(path) IN {_in(leak.ALLOWED_PATHS)} AS allowed FROM {_from(PATHS, 'path')}"),
+    "target_path_allowlist": (lambda s, d: _rows(s, d, PATHS, "path").select("path", leak.is_allowed_path(F.col("path")).alias("allowed")), f"SELECT path, lower(path) IN {_in(leak.ALLOWED_PATHS)} AS allowed FROM {_from(PATHS, 'path')}"),
     "canonical_leak_violations": (_violations, sql(ROWMAP_SQL + " SELECT c_custkey, concat_ws(',', CASE WHEN label <> '' THEN 'label' END, CASE WHEN segment = 'ddos' THEN 'segment' END, CASE WHEN threat_score IS NOT NULL THEN 'threat_score' END) AS violations FROM rm")),
     "selected_columns_ok": (_selected_ok, "SELECT c_custkey, false AS ok FROM customer"),
     "validated_columns": (lambda s, d: _columns(s, d).select("c_custkey", F.array_join(F.slice(F.array_intersect("proposed", "present"), 1, 40), ",").alias("cols")), "SELECT c_custkey, 'c_name' || CASE WHEN c_custkey % 3 = 1 THEN ',x1' ELSE '' END || CASE WHEN c_custkey % 2 = 0 THEN ',c_acctbal' ELSE ',c_custkey' END AS cols FROM customer"),
@@ -245,15 +323,15 @@ CONV = {
     "event_context_projection": (_context_projection, "SELECT event_id, CAST(2 + CAST(user_id % 2 = 0 AS INT) AS BIGINT) AS n_fields, 'k,type' || CASE WHEN user_id % 2 = 0 THEN ',user' ELSE '' END AS fields FROM events"),
     "column_ranking": (_ranking, f"SELECT c_custkey, name, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, pos) AS rn FROM (SELECT c_custkey, pos, name, CAST({PRIORITY_SQL} + CAST(present AS BIGINT) AS BIGINT) AS score FROM (SELECT c_custkey, unnest([0, 1, 2, 3, 4]) AS pos, unnest(['src_ip', 'c_name', 'port_time', 'zzz', 'proto']) AS name, unnest([c_custkey % 2 = 0, true, c_acctbal > 0, false, c_nationkey > 10]) AS present FROM customer)) WHERE score > 0) WHERE rn <= 3"),
     "sanitize_row": (_sanitized, sql(ROWMAP_SQL + " SELECT c_custkey, concat_ws(',', 'name', 'nation', CASE WHEN segment <> 'ddos' THEN 'segment' END) AS kept_keys FROM rm")),
-    "schema_violations": (_schema_violations, "SELECT c_custkey, concat_ws(',', CASE WHEN c_acctbal < 0 THEN 'acctbal:minimum' END, CASE WHEN length(c_name) > 18 THEN 'name:maxLength' END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') THEN 'segment:enum' END) AS violations FROM customer"),
-    "complete_event": (_complete, "SELECT c_custkey, 'llm::customers::inline::' || c_custkey AS event_id, round(greatest(0, least(1, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal / 5000 ELSE CAST(0.5 AS DOUBLE) END)), 6) AS mapping_confidence, CASE WHEN c_custkey % 5 = 0 THEN 'stream' ELSE 'test' END AS split, CASE WHEN c_acctbal < 0 THEN 'duration_ms,ts' ELSE 'ts' END AS missing_fields FROM customer"),
+    "schema_violations": (_schema_violations, SCHEMA_SQL),
+    "complete_event": (_complete, COMPLETE_SQL),
     "infer_groups": (_infer_groups, sql(ROWMAP_SQL + f" SELECT c_custkey, grp, string_agg(key, ',' ORDER BY key) AS columns FROM (SELECT c_custkey, key, {groups.rules_sql(chr(39) + 'src_' + chr(39) + ' || key', groups.INGEST_RULES)} AS grp FROM (SELECT c_custkey, unnest(['name', 'label', 'segment', 'nation', 'threat_score']) AS key, unnest([name, label, segment, nation, threat_score]) AS value FROM rm) WHERE value IS NOT NULL AND value <> '') GROUP BY 1, 2")),
-    "normalize_dataset": (lambda s, d: _rows(s, ("EdgeIIoTset", "Bot-IoT", "IoT-23", "TON_IoT", "other set", ""), "raw").select("raw", taxonomy.normalize_dataset(F.col("raw")).alias("dataset")), "SELECT * FROM (VALUES ('EdgeIIoTset', 'edge_iiotset'), ('Bot-IoT', 'bot_iot'), ('IoT-23', 'iot23'), ('TON_IoT', 'ton_iot'), ('other set', 'other_set'), ('', '')) AS t(raw, dataset)"),
-    "normalize_modality": (lambda s, d: _rows(s, CHAINS, "modality, cols").select("modality", "cols", groups.normalize_modality(F.col("modality"), F.split("cols", ",")).alias("found")), "SELECT * FROM (VALUES ('network_flow', 'src_ip,dst_ip', 'network_flow'), ('sensor', 'temperature', 'telemetry'), ('telemetry', 'cpu,memory', 'host_log'), ('flow', 'humidity', 'telemetry'), ('', 'proto', 'network_flow'), ('endpoint-metrics', '', 'host_log'), ('alert_text', 'msg', 'alert'), ('network_flow', 'tcp.len,ip.src,eth.dst', 'network_flow'), ('pcap_ref', '', 'pcap_ref'), ('weird', 'x', 'weird'), ('weird', 'message', 'weird'), ('weird', 'light', 'weird')) AS t(modality, cols, found)"),
-    "infer_profile": (lambda s, d: _rows(s, CHAINS, "modality, cols").select("modality", "cols", groups.infer_profile(F.lit(""), F.col("modality"), F.split("cols", ",")).alias("found")), "SELECT * FROM (VALUES ('network_flow', 'src_ip,dst_ip', 'network_flow'), ('sensor', 'temperature', 'iot_telemetry'), ('telemetry', 'cpu,memory', 'host_metrics'), ('flow', 'humidity', 'iot_telemetry'), ('', 'proto', 'network_flow'), ('endpoint-metrics', '', 'unknown'), ('alert_text', 'msg', 'unknown'), ('network_flow', 'tcp.len,ip.src,eth.dst', 'network_packet'), ('pcap_ref', '', 'pcap_ref'), ('weird', 'x', 'unknown'), ('weird', 'message', 'alert_text'), ('weird', 'light', 'iot_telemetry')) AS t(modality, cols, found)"),
-    "input_guard_code": (_guard, sql("SELECT coalesce(CASE WHEN manifest_id % 11 = 0 THEN 'invalid_dataset' WHEN confidence > 0.9 THEN 'invalid_split' WHEN NOT ok THEN 'row_and_text_missing' WHEN provider = 'beta' AND NOT llm THEN 'text_not_allowed' END, 'accepted') AS code, count(*) AS n FROM v_attempt GROUP BY 1")),
-    "standardization_contract_code": (_contract, sql("SELECT seq, coalesce(CASE WHEN NOT ok THEN 'not_ok' END, CASE WHEN NOT llm THEN 'source_invalid' END, CASE WHEN provider <> 'alpha' THEN 'provider_mismatch' END, CASE WHEN abs(confidence - floor(confidence * 10) / 10) > CAST(0.055 AS DOUBLE) THEN 'confidence_mismatch' END, CASE WHEN latency < 0 THEN 'latency_negative' END, 'valid') AS code FROM v_attempt")),
-    "retry_backoff": (lambda s, d: s.range(8).select(F.col("id").alias("attempt"), F.least(F.pow(F.lit(2.0), F.col("id")), F.lit(10.0)).alias("wait_s")), "SELECT range AS attempt, least(pow(CAST(2 AS DOUBLE), range), CAST(10 AS DOUBLE)) AS wait_s FROM range(8)"),
+    "normalize_dataset": (lambda s, d: _rows(s, d, DATASET_NAMES, "raw").select("raw", taxonomy.normalize_dataset(F.col("raw")).alias("dataset")), f"SELECT e.* FROM {_from(DATASET_NAMES, 'raw')} JOIN (VALUES ('EdgeIIoTset', 'edge_iiotset'), ('Bot-IoT', 'bot_iot'), ('IoT-23', 'iot23'), ('TON_IoT', 'ton_iot'), ('other set', 'other_set'), ('', '')) AS e(raw, dataset) ON t.raw = e.raw"),
+    "normalize_modality": (lambda s, d: _rows(s, d, CHAINS, "modality, cols").select("modality", "cols", groups.normalize_modality(F.col("modality"), F.split("cols", ",")).alias("found")), f"SELECT e.* FROM {_from(CHAINS, 'modality, cols')} JOIN (VALUES ('network_flow', 'src_ip,dst_ip', 'network_flow'), ('sensor', 'temperature', 'telemetry'), ('telemetry', 'cpu,memory', 'host_log'), ('flow', 'humidity', 'telemetry'), ('', 'proto', 'network_flow'), ('endpoint-metrics', '', 'host_log'), ('alert_text', 'msg', 'alert'), ('network_flow', 'tcp.len,ip.src,eth.dst', 'network_flow'), ('pcap_ref', '', 'pcap_ref'), ('weird', 'x', 'weird'), ('weird', 'message', 'weird'), ('weird', 'light', 'weird')) AS e(modality, cols, found) ON t.modality = e.modality AND t.cols = e.cols"),
+    "infer_profile": (lambda s, d: _rows(s, d, CHAINS, "modality, cols").select("modality", "cols", groups.infer_profile(F.lit(""), F.col("modality"), F.split("cols", ",")).alias("found")), f"SELECT e.* FROM {_from(CHAINS, 'modality, cols')} JOIN (VALUES ('network_flow', 'src_ip,dst_ip', 'network_flow'), ('sensor', 'temperature', 'iot_telemetry'), ('telemetry', 'cpu,memory', 'host_metrics'), ('flow', 'humidity', 'iot_telemetry'), ('', 'proto', 'network_flow'), ('endpoint-metrics', '', 'unknown'), ('alert_text', 'msg', 'unknown'), ('network_flow', 'tcp.len,ip.src,eth.dst', 'network_packet'), ('pcap_ref', '', 'pcap_ref'), ('weird', 'x', 'unknown'), ('weird', 'message', 'alert_text'), ('weird', 'light', 'iot_telemetry')) AS e(modality, cols, found) ON t.modality = e.modality AND t.cols = e.cols"),
+    "input_guard_code": (_guard, sql(GUARD_SQL)),
+    "standardization_contract_code": (_contract, sql(CONTRACT_SQL)),
+    "retry_backoff": (_retry, sql(RETRY_SQL)),
     "derive_origin": (lambda s, d: v_manifest(s, d).groupBy(taxonomy.derive_origin(F.concat(F.lit("/data/"), F.col("origin"), F.lit("/"), F.col("detail")), (("asia", "ton_network"), ("africa", "ton_linux"), ("europe", "ton_windows"))).alias("origin")).agg(F.count(F.lit(1)).alias("n")), sql("SELECT CASE WHEN origin = 'ASIA' THEN 'ton_network' WHEN origin = 'AFRICA' THEN 'ton_linux' WHEN origin = 'EUROPE' THEN 'ton_windows' ELSE 'unknown' END AS origin, count(*) AS n FROM v_manifest GROUP BY 1")),
     "canonical_json": (lambda s, d: table(s, d, "customer").select("c_custkey", hashing.canonical_json(F.create_map(F.lit("b"), F.lower("c_mktsegment"), F.lit("a"), F.col("c_nationkey").cast("string"))).alias("js")), """SELECT c_custkey, '{"a":"' || c_nationkey || '","b":"' || lower(c_mktsegment) || '"}' AS js FROM customer"""),
     "content_hash": (lambda s, d: table(s, d, "documents").select("doc_id", hashing.content_hash(F.col("text")).alias("h")), "SELECT doc_id, sha256(text) AS h FROM documents"),
@@ -266,7 +344,7 @@ CONV = {
 
 def _taxonomy_query(rules):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = _rows(spark, LABELS, "dataset, native, sub, proto, service")
+        rows = _rows(spark, d, LABELS, "dataset, native, sub, proto, service")
         return rows.withColumn("r", taxonomy.resolve(*(F.col(c) for c in ("dataset", "native", "sub", "proto", "service")), rules=rules)).select("dataset", "native", "sub", "proto", "service", "r.status", "r.attack_type", "r.reason")
 
     return run
@@ -278,13 +356,13 @@ def _taxonomy_sql(rules) -> str:
     listed = ", ".join(f"({k}, {lit(a)}, {lit(b)}, {lit(c)}, {lit(s)}, {lit(t)}, {lit(r)})" for k, (a, b, c, s, t, r) in enumerate(rules))
     data = f"coalesce((SELECT n FROM (VALUES {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)})' for a, b in taxonomy.DATASETS.items())}) AS a(k, n) WHERE k = {TOKEN('dataset')}), {TOKEN('dataset')})"
     kind = "CASE WHEN sk IN ('http', 'http_alt', 'http_proxy') THEN 'service_http' WHEN starts_with(pk, 'icmp') THEN 'protocol_icmp' WHEN pk IN ('udp', 'tcp') THEN 'protocol_' || pk END"
-    return f"""WITH t AS (SELECT *, {data} AS dk, {TOKEN('native')} AS ck, {TOKEN('sub')} AS bk, {TOKEN('proto')} AS pk, {TOKEN('service')} AS sk FROM {_from(LABELS, 'dataset, native, sub, proto, service')}),
+    return f"""WITH t AS (SELECT *, {data} AS dk, {TOKEN('native')} AS ck, {TOKEN('sub')} AS bk, {TOKEN('proto')} AS pk, {TOKEN('service')} AS sk FROM (VALUES {_quoted(LABELS)}) AS t(dataset, native, sub, proto, service)),
 n(key, own) AS (VALUES {names}), r(k, rd, rc, rs, status, kind, reason) AS (VALUES {listed}),
 j AS (SELECT t.*, n.own, r.*, {kind} AS raw FROM t LEFT JOIN n ON t.ck = n.key LEFT JOIN r ON r.rd = t.dk AND (r.rc = '*' OR (r.rc = '=' AND n.own IS NOT NULL) OR r.rc = t.ck) AND (r.rs = '*' OR r.rs = t.bk) AND t.ck NOT IN ('normal', 'benign', 'benigno')),
 f AS (SELECT *, row_number() OVER (PARTITION BY dataset, native, sub, proto, service ORDER BY k) AS rn FROM j)
-SELECT dataset, native, sub, proto, service, CASE WHEN ck IN ('normal', 'benign', 'benigno') THEN 'benign' WHEN k IS NULL THEN 'out_of_taxonomy' WHEN kind = '?' AND raw IS NULL THEN 'ambiguous' ELSE status END AS status,
+SELECT e.* FROM {_from(LABELS, 'dataset, native, sub, proto, service')} JOIN (SELECT dataset, native, sub, proto, service, CASE WHEN ck IN ('normal', 'benign', 'benigno') THEN 'benign' WHEN k IS NULL THEN 'out_of_taxonomy' WHEN kind = '?' AND raw IS NULL THEN 'ambiguous' ELSE status END AS status,
 CASE WHEN kind = '=' THEN own WHEN kind = '?' THEN CASE raw WHEN 'service_http' THEN 'DDoS_HTTP' WHEN 'protocol_icmp' THEN 'DDoS_ICMP' WHEN 'protocol_udp' THEN 'DDoS_UDP' WHEN 'protocol_tcp' THEN 'DDoS_TCP' END ELSE kind END AS attack_type,
-CASE WHEN ck IN ('normal', 'benign', 'benigno') THEN 'handled_by_binary_detector' WHEN k IS NULL THEN 'dataset_not_supported' WHEN kind = '?' THEN reason || coalesce('_raw_' || raw, '_missing_raw_protocol') ELSE reason END AS reason FROM f WHERE rn = 1"""
+CASE WHEN ck IN ('normal', 'benign', 'benigno') THEN 'handled_by_binary_detector' WHEN k IS NULL THEN 'dataset_not_supported' WHEN kind = '?' THEN reason || coalesce('_raw_' || raw, '_missing_raw_protocol') ELSE reason END AS reason FROM f WHERE rn = 1) e ON t.dataset = e.dataset AND t.native = e.native AND t.sub = e.sub AND t.proto = e.proto AND t.service = e.service"""
 
 
 CONV["taxonomy_resolve"] = (_taxonomy_query(taxonomy.RULES_16), _taxonomy_sql(taxonomy.RULES_16))
