@@ -28,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the setting is absent and Spark runs on one machine."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if found is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = found or tempfile.mkdtemp(prefix="casewright-checkpoint-")
         context.setCheckpointDir(found)
         current = context._jsc.sc().getCheckpointDir()
@@ -40,7 +42,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession, size: str = "4m", rows: int = 2000) -> None:
-    """Arrow batches of a few megabytes, so that what Python workers and their JVM side hold doesn't depend on text lengths."""
+    """Arrow batches of a few megabytes, so that what Python workers and their JVM side hold doesn't depend on text lengths.
+
+    These are settings of the session, and plans are lazy, so they stay set after the call.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
