@@ -5,7 +5,7 @@ A text is the mean of the embeddings of its subwords: all byte 2-, 3- and
 into ``buckets``. A linear softmax on that mean gives the language. Embeddings
 and output weights are trained together by stochastic gradient descent in
 numpy, on a bounded sample of labelled texts (``sample`` whole texts, the ones
-with the smallest hash of doc_id) and on short passages of them, so that short
+with the smallest hash of doc_id, as far as they fit into ``sample_bytes``) and on short passages of them, so that short
 texts are judged as well. A temperature fitted on a fold that was left out
 calibrates the scores, and the calibrated score below which a prediction is
 rejected is the one that keeps ``keep`` of that fold's right predictions.
@@ -161,21 +161,27 @@ def _predictor(model: Model | None):
     return predict
 
 
-def training_rows(docs: DataFrame, usable: Column, sample: int) -> list[tuple[str, str]]:
-    """At most ``sample`` labelled whole texts, the ones with the smallest hash of doc_id.
+def training_rows(docs: DataFrame, usable: Column, sample: int, sample_bytes: int) -> list[tuple[str, str]]:
+    """At most ``sample`` labelled whole texts of at most ``sample_bytes`` in all, the ones with the smallest hash of doc_id.
 
-    The ids are chosen first, so that only the chosen texts come to the driver.
+    The ids are chosen first, by their texts' sizes, so that only the chosen
+    texts come to the driver; a text that doesn't fit any more is passed over.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    chosen = [r.doc_id for r in rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    sizes = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("size"))
+    chosen, room = [], sample_bytes
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect():
+        if r.size <= room:
+            chosen.append(r.doc_id)
+            room -= r.size
     ids = docs.sparkSession.createDataFrame([(k,) for k in chosen], "chosen long").coalesce(1)
     met = rows.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("chosen")))  # at most ``sample`` ids
     return [(r.text, r.lang) for r in met.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()]
 
 
-def identify(docs: DataFrame, usable: Column | None = None, sample: int = 2400, **options) -> DataFrame:
+def identify(docs: DataFrame, usable: Column | None = None, sample: int = 2400, sample_bytes: int = 64_000_000, **options) -> DataFrame:
     """doc_id, lang_pred, score and ``rejected`` of every document; learns from the ``usable`` rows with a language."""
     bounded_batches(docs.sparkSession)
-    model = fit(training_rows(docs, F.lit(True) if usable is None else usable, sample), **options)
+    model = fit(training_rows(docs, F.lit(True) if usable is None else usable, sample, sample_bytes), **options)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_predictor(model), "doc_id long, lang_pred string, score double, rejected boolean")
