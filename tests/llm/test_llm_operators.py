@@ -294,8 +294,9 @@ def _least_determinant(x, variance, support=0.75, condition=1000.0):
     best = min(ends, key=lambda s: s[1][0])
     _, _, _, distance, share = next((a for a, b in zip(best[1:], best[2:]) if a[0] - b[0] < 1e-6), best[-1])
     wide = quality.chi_square_quantile(0.975, p)
-    center, scatter, share = fitted(x[distance <= wide], 0.975 / quality.chi_square_below(wide, p + 2))
-    return far(center, np.linalg.inv(scatter)), share
+    core = distance <= wide
+    center, scatter, share = fitted(x[core], 0.975 / quality.chi_square_below(wide, p + 2))
+    return far(center, np.linalg.inv(scatter)), core
 
 
 def test_quality_estimates_against_numpy(spark):
@@ -436,6 +437,15 @@ def test_shortages_go_to_siblings_first(spark):
     assert got == {"a": 10, "b": 90, "c": 100, "d": 200}
 
 
+def test_lines_of_repeated_and_null_ids(spark):
+    line = "one line on every site"
+    rows = [(k, f"{line}\nown {k} text here", f"s{k}") for k in range(6)] + [(4, f"first\n\n{line}\nlast", "s4"), (None, line, "s9"), (0, f"again\n{line}", "s0"), (5, None, "s5")]
+    frame = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], DOCS)
+    got = sorted(((r.doc_id, r.text, r.n_removed) for r in linedup.dedup_lines(frame).collect()), key=str)
+    want = [(0, rows[0][1], 0), (0, f"again\n{line}", 0), (None, line, 0), (5, None, 0), (4, "first\n\nlast", 1)] + [(k, f"own {k} text here", 1) for k in range(1, 6)]
+    assert got == sorted(want, key=str)
+
+
 def test_lines_against_sql_and_first_documents_stay(spark, data, documents):
     got = linedup.dedup_lines(documents).select("doc_id", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
     assert comparable(got.toPandas()) == comparable(duck(data).sql(linedup.sql()).df())
@@ -538,6 +548,30 @@ def test_language_accuracy_on_held_out(spark, documents):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_predictions_against_plain_python(spark):
+    """Every step of a prediction again for each subword, from the trained table."""
+    model = langid.fit([("der die das und ist nicht ein", "de"), ("the and of to in is not", "en"), ("le la les et est pas une", "fr")] * 8, bits=8, epochs=3)
+    texts = ["Der Tisch ist rund", "the end of it", "les\tamis", "x", "Ünï", "a b " * 400]
+    batch = list(langid._predictor(model)(iter([docs_of(spark, texts).select("doc_id", "text").toArrow().combine_chunks().to_batches()[0]])))[0].to_pylist()
+    for text, got in zip(texts, batch, strict=True):
+        raw = [32 if b in range(9, 14) else b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+        sums, n = np.zeros(3), 0
+        for size in (2, 3, 4):
+            for i in range(len(raw) - size + 1):
+                code = int.from_bytes(bytes(raw[i : i + size]), "big")
+                sums += model.table[((code ^ (size * 0x3C6EF372 & 0xFFFFFFFF)) * 0x9E3779B1 & 0xFFFFFFFF) >> 24]
+                n += 1
+        z = np.exp((sums / max(n, 1) + model.bias) / model.temperature)
+        assert got["lang_pred"] == model.languages[int(z.argmax())] and math.isclose(got["score"], z.max() / z.sum(), rel_tol=1e-5)
+        assert got["rejected"] == (z.max() / z.sum() < model.reject_below)
+
+
+def test_training_texts_are_bounded_in_rows_and_bytes(spark):
+    frame = docs_of(spark, ["word " * (k + 1) for k in range(40)] + ["long " * 10000])
+    got = langid.training_rows(frame, F.lit(True), 20, 1000)
+    assert 0 < len(got) <= 20 and sum(len(t) for t, _ in got) <= 1000
+
+
 def test_texts_without_letters_are_undetermined(spark):
     frame = spark.createDataFrame([(0, "der die das und", "de"), (1, "the and of to", "en"), (2, "123 456 !", None), (3, None, "en"), (4, "²½", None)], "doc_id long, text string, lang string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(frame, epochs=1).collect()}
