@@ -108,3 +108,10 @@ def parse_timestamp(text: Column) -> Column:
 def ordered_distinct(values: Column) -> Column:
     """A list without repeats, each value at its first place."""
     return F.array_distinct(values)
+
+
+def pick(row: Column, *names: str) -> Column:
+    """The first value of a map that isn't blank under one of some names, whatever their case; null if there is none."""
+    lowered = F.transform(F.map_entries(row), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    under = lambda name: F.try_element_at(F.filter(lowered, lambda e: (e["key"] == name) & ~is_blank(e["value"])), F.lit(1))["value"]
+    return F.coalesce(*(under(n.lower()) for n in names))

@@ -1,7 +1,7 @@
 """Case stages over a batch of flat cases: routing, judging, auditing, projection, traces and the case store.
 
-A flat case has one scalar column for every fact that a rule reads; ``facts``
-makes them from nested payloads. Rules are ordered tables of (name, condition)
+A flat case has one scalar column for every fact that a rule reads; ``flat_facts``
+makes them from the stages' nested outputs. Rules are ordered tables of (name, condition)
 whose conditions are plain SQL expressions over those columns, so a stage is one
 projection that Catalyst compiles as a whole.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.functions import schemas
 from casewright.functions.taxonomy import TYPES_16, VERSION_16
 
 #: Thresholds of review and the gray zone.
@@ -46,16 +47,16 @@ JUDGE_ISSUES = (
     ("malicious_without_classification", f"{_MAL} AND NOT cls_present"),
     ("malicious_without_mitigation", f"{_MAL} AND NOT exp_present"),
     ("benign_with_classification", "NOT coalesce(is_malicious, true) AND cls_present"),
-    ("mitigation_attack_type_mismatch", f"{_MAL} AND cls_task = 'attack_type' AND cls_type IS NOT NULL AND exp_present AND coalesce(exp_type, '') <> cls_type"),
-    ("mitigation_taxonomy_version_mismatch", f"{_MAL} AND cls_task = 'attack_type' AND cls_type IS NOT NULL AND exp_present AND coalesce(exp_version, '') <> coalesce(cls_version, '')"),
-    ("mitigation_catalog_taxonomy_version_mismatch", f"{_MAL} AND cls_task = 'attack_type' AND cls_type IS NOT NULL AND exp_present AND (coalesce(exp_catalog_taxonomy, '') <> '{VERSION_16}' OR NOT exp_compatible)"),
-    ("mitigation_catalog_scope_invalid", f"{_MAL} AND cls_task = 'attack_type' AND cls_type IS NOT NULL AND exp_present AND coalesce(exp_scope, '') <> 'attack_type'"),
-    ("mitigation_catalog_version_mismatch", f"{_MAL} AND cls_task = 'attack_type' AND cls_type IS NOT NULL AND exp_present AND coalesce(exp_catalog_version, '') <> '{CATALOG_VERSION}'"),
-    ("mitigation_catalog_content", f"{_MAL} AND cls_task = 'attack_type' AND cls_type IS NOT NULL AND exp_present AND n_catalog_issues > 0"),
+    ("mitigation_attack_type_mismatch", f"{_MAL} AND cls_task = 'attack_type' AND coalesce(cls_type, '') <> '' AND exp_present AND coalesce(exp_type, '') <> cls_type"),
+    ("mitigation_taxonomy_version_mismatch", f"{_MAL} AND cls_task = 'attack_type' AND coalesce(cls_type, '') <> '' AND exp_present AND coalesce(exp_version, '') <> coalesce(cls_version, '')"),
+    ("mitigation_catalog_taxonomy_version_mismatch", f"{_MAL} AND cls_task = 'attack_type' AND coalesce(cls_type, '') <> '' AND exp_present AND (coalesce(exp_catalog_taxonomy, '') <> '{VERSION_16}' OR NOT exp_compatible)"),
+    ("mitigation_catalog_scope_invalid", f"{_MAL} AND cls_task = 'attack_type' AND coalesce(cls_type, '') <> '' AND exp_present AND coalesce(exp_scope, '') <> 'attack_type'"),
+    ("mitigation_catalog_version_mismatch", f"{_MAL} AND cls_task = 'attack_type' AND coalesce(cls_type, '') <> '' AND exp_present AND coalesce(exp_catalog_version, '') <> '{CATALOG_VERSION}'"),
+    ("mitigation_catalog_content", f"{_MAL} AND cls_task = 'attack_type' AND coalesce(cls_type, '') <> '' AND exp_present AND n_catalog_issues > 0"),
     ("mitigator_requested_human_review", "exp_present AND exp_review"),
 )
-FINAL_LABEL = "CASE WHEN ingest_abstain OR det_abstain THEN NULL WHEN is_malicious AND cls_type IS NOT NULL THEN cls_type WHEN is_malicious THEN 'malicious' WHEN NOT is_malicious THEN 'benign' END"
-FINAL_CONFIDENCE = "CASE WHEN ingest_abstain OR det_abstain THEN 0 WHEN is_malicious AND cls_type IS NOT NULL THEN CASE WHEN cls_confidence BETWEEN 0 AND 1 THEN cls_confidence ELSE 0 END WHEN is_malicious THEN probability WHEN NOT is_malicious THEN 1 - probability ELSE 0 END"
+FINAL_LABEL = "CASE WHEN ingest_abstain OR det_abstain THEN NULL WHEN is_malicious AND coalesce(cls_type, '') <> '' THEN cls_type WHEN is_malicious THEN 'malicious' WHEN NOT is_malicious THEN 'benign' END"
+FINAL_CONFIDENCE = "CASE WHEN ingest_abstain OR det_abstain THEN 0 WHEN is_malicious AND coalesce(cls_type, '') <> '' THEN CASE WHEN cls_confidence BETWEEN 0 AND 1 THEN cls_confidence ELSE 0 END WHEN is_malicious THEN probability WHEN NOT is_malicious THEN 1 - probability ELSE 0 END"
 
 _FLAGGED = "flagged"
 _TYPED = "coalesce(is_malicious, false) AND cls_task = 'attack_type' AND cls_type IS NOT NULL"
@@ -223,3 +224,23 @@ def migrate_legacy(cases: DataFrame) -> DataFrame:
     kind = F.coalesce(F.nullif(F.trim("type"), F.lit("")), F.nullif(F.trim("subtype"), F.lit("")))
     scope = F.when(F.col("scope") != "family", F.col("scope"))
     return cases.withColumn("type", kind).withColumn("scope", scope).withColumn("indexed_type", F.when(kind.isin(*TYPES_16), kind)).drop("subtype", "family")
+
+
+def flat_facts(cases: DataFrame, n_catalog_issues: Column | int = 0) -> DataFrame:
+    """The judge's facts of cases whose stage outputs are JSON texts (null where a stage gave none) and whose ``errors`` are a list.
+
+    Columns read: ingest_output, detection_output, classification_output, explanation_output, errors.
+    """
+    read = lambda name, schema: F.from_json(name, schema)
+    c = cases.withColumns({"_i": read("ingest_output", schemas.INGEST), "_d": read("detection_output", schemas.DETECTION), "_c": read("classification_output", schemas.CLASSIFICATION), "_e": read("explanation_output", schemas.EXPLANATION)})
+    i, d, k, e = (F.col(n) for n in ("_i", "_d", "_c", "_e"))
+    no = lambda x: F.coalesce(x, F.lit(False))
+    facts = {
+        "n_errors": F.coalesce(F.size("errors"), F.lit(0)), "ingest_abstain": no(i["abstain"]), "ingest_review": no(i["requires_human_review"]), "mapping_confidence": i["mapping_confidence"],
+        "det_present": d.isNotNull(), "probability": F.coalesce(d["probability"], F.lit(0.0)), "is_malicious": d["is_malicious"], "det_abstain": no(d["abstain"]),
+        "cls_present": k.isNotNull(), "cls_task": F.when(k.isNotNull(), F.coalesce(k["model_task"], F.lit("attack_type"))), "cls_type": k["attack_type"], "cls_version": k["taxonomy_version"], "cls_confidence": k["confidence"], "cls_threshold": k["decision_threshold"],
+        **score_facts(k["top_scores"], k["attack_type"]),
+        "exp_present": e.isNotNull(), "exp_type": e["attack_type"], "exp_version": e["taxonomy_version"], "exp_scope": e["catalog_scope"], "exp_catalog_version": e["catalog_version"], "exp_catalog_taxonomy": e["catalog_taxonomy_version"],
+        "exp_compatible": no(F.array_contains(e["catalog_compatible_taxonomy_versions"], k["taxonomy_version"])), "exp_source": e["source"], "exp_review": no(e["requires_human_review"]), "n_catalog_issues": n_catalog_issues if isinstance(n_catalog_issues, Column) else F.lit(n_catalog_issues),
+    }
+    return c.select(*cases.columns, *(f.alias(name) for name, f in facts.items()))

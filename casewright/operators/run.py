@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.functions import schemas
+
 from . import cases as K
 
-TRACE = "array<struct<seq:bigint,agent:string,status:string,started_us:bigint,finished_us:bigint>>"
+TRACE = f"array<struct<{schemas.TRACE}>>"
 #: The stage that each step of a path stands for.
 AGENTS = {"standardize": "final_standardizer", "detect": "final_detector", "classify": "final_classifier", "explain": "final_mitigator", "judge": "final_judge"}
 #: Closing states of a case.

@@ -8,6 +8,7 @@ from casewright.functions import values
 from casewright.operators import campaign as C
 from casewright.operators import metrics as M
 from casewright.session import table
+from casewright.sources import files
 
 from .views import sql, v_attempt, v_doc, v_manifest
 
@@ -67,16 +68,26 @@ def _composition(s, d):
 
 
 def _recover(s, d):
-    """Requested ids against the scan: found with the same hash, another hash, or missing."""
-    asked = table(s, d, "orders").select((F.col("o_custkey") + F.when(F.col("o_orderkey") % 97 == 0, 100000000).otherwise(0)).alias("c_custkey")).distinct()
-    rows = table(s, d, "customer").select("c_custkey", "c_mktsegment", F.left(F.sha2("c_name", 256), F.lit(1)).alias("h"))
-    state = F.when(F.col("c_mktsegment").isNull(), "missing").when(F.col("h") < "8", "verified").otherwise("hash_mismatch")
-    return asked.join(rows, "c_custkey", "left").groupBy(state.alias("state")).agg(N())
+    """The customers of all orders, by number and hash, against the scan; some requests name another hash or a number that isn't there."""
+    o, k = table(s, d, "orders"), F.col("o_orderkey")
+    name = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    asked = o.select((F.col("o_custkey") + F.when(k % 97 == 0, 100000000).otherwise(0)).alias("row_id"), F.sha2(F.when(k % 89 == 0, "other").otherwise(name), 256).alias("content_hash"))
+    rows = table(s, d, "customer").select(F.col("c_custkey").alias("row_id"), F.sha2("c_name", 256).alias("content_hash"), F.col("c_mktsegment").alias("subclass"))
+    return files.recover(asked, rows).groupBy("state", "subclass").agg(N())
+
+
+RECOVER_SQL = "SELECT CASE WHEN c_name IS NULL THEN 'missing' WHEN o_orderkey % 89 = 0 OR c_name <> 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') THEN 'hash_mismatch' ELSE 'verified' END AS state, c_mktsegment AS subclass, count(*) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey + CASE WHEN o_orderkey % 97 = 0 THEN 100000000 ELSE 0 END GROUP BY 1, 2"
 
 
 def _protocol(s, d):
-    e = table(s, d, "events").select("event_id", F.coalesce(F.when(F.col("event_id") % 3 == 0, F.lower("event_type")), F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("p"), F.regexp_extract("props", "([0-9]+)", 1)))).alias("proto"))
-    return e.groupBy(F.coalesce("proto", F.lit("(none)")).alias("proto")).agg(N())
+    """Protocol and service of every event, whatever the case of the row's keys."""
+    k = F.col("event_id")
+    row = F.map_filter(F.create_map(F.when(k % 2 == 0, "Proto").otherwise("PROTO"), F.when(k % 3 == 0, F.upper("event_type")).when(k % 3 == 1, F.lit(" ")), F.lit("Protocol"), F.when(k % 5 == 0, F.lit("tcp")), F.lit("SERVICE"), F.regexp_extract("props", "([0-9]+)", 1)), lambda n, v: v.isNotNull())
+    found = table(s, d, "events").select("event_id", F.lower(values.pick(row, "proto", "protocol")).alias("proto"), values.pick(row, "service").alias("service"))
+    return found.groupBy(F.coalesce("proto", F.lit("(none)")).alias("proto")).agg(N(), F.countDistinct("service").alias("n_services"))
+
+
+PROTOCOL_SQL = "SELECT coalesce(proto, '(none)') AS proto, count(*) AS n, count(DISTINCT service) AS n_services FROM (SELECT CASE WHEN event_id % 3 = 0 THEN lower(event_type) WHEN event_id % 5 = 0 THEN 'tcp' END AS proto, regexp_extract(props, '([0-9]+)', 1) AS service FROM events) GROUP BY 1"
 
 
 def _candidates(s, d):
@@ -145,8 +156,8 @@ ALL = {
     "corpus_composition": (_composition, "SELECT 'customer' AS source, count(*) AS n FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'part', count(*) FROM part"),
     "records_for": (lambda s, d: v_manifest(s, d).where("origin = 'ASIA' and split = 'test'").select("manifest_id", "class", "detail"), sql("SELECT manifest_id, class, detail FROM v_manifest WHERE origin = 'ASIA' AND split = 'test'")),
     "label_rows": (_label_rows, "SELECT * FROM (SELECT 'customer' AS dataset, CASE WHEN c_acctbal < 0 THEN 'attack' WHEN c_acctbal < 1000 THEN NULL ELSE 'normal' END AS cls, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'supplier', CASE WHEN s_acctbal < 0 THEN 'attack' ELSE 'normal' END, count(*) FROM supplier GROUP BY 2) WHERE cls IS NOT NULL"),
-    "recover_subclass_join": (_recover, "SELECT CASE WHEN c_mktsegment IS NULL THEN 'missing' WHEN left(sha256(c_name), 1) < '8' THEN 'verified' ELSE 'hash_mismatch' END AS state, count(*) AS n FROM (SELECT DISTINCT o_custkey + CASE WHEN o_orderkey % 97 = 0 THEN 100000000 ELSE 0 END AS id FROM orders) LEFT JOIN customer ON c_custkey = id GROUP BY 1"),
-    "recover_protocol_context": (_protocol, "SELECT coalesce(CASE WHEN event_id % 3 = 0 THEN lower(event_type) END, CASE WHEN event_id % 3 = 1 THEN 'p' || regexp_extract(props, '([0-9]+)', 1) END, '(none)') AS proto, count(*) AS n FROM events GROUP BY 1"),
+    "recover_subclass_join": (_recover, RECOVER_SQL),
+    "recover_protocol_context": (_protocol, PROTOCOL_SQL),
     "candidate_selection": (_candidates, sql(", j AS (SELECT m.class, m.manifest_id, a.confidence FROM v_manifest m JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY seq DESC) AS k FROM v_attempt WHERE ok AND llm) WHERE k = 1) a ON m.manifest_id = a.manifest_id WHERE a.confidence >= CAST(0.2 AS DOUBLE)) SELECT class, manifest_id, confidence, rn FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY confidence DESC, manifest_id) AS rn FROM j) WHERE rn <= 5")),
     "support_report": (lambda s, d: C.support_report(v_manifest(s, d)).select(F.coalesce("split", F.lit("*")).alias("split"), F.coalesce("origin", F.lit("*")).alias("origin"), "n", "n_attack", "level", "balanced"), sql("SELECT coalesce(split, '*') AS split, coalesce(origin, '*') AS origin, count(*) AS n, count(*) FILTER (is_attack) AS n_attack, CAST(GROUPING(split, origin) AS BIGINT) AS level, count(*) FILTER (is_attack) * 2 = count(*) AS balanced FROM v_manifest GROUP BY CUBE (split, origin)")),
     "class_availability": (lambda s, d: v_doc(s, d).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fp").alias("n_distinct")), sql("SELECT dataset, count(*) AS n, count(DISTINCT fp) AS n_distinct FROM v_doc GROUP BY 1")),

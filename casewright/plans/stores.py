@@ -10,16 +10,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from casewright.functions import groups, leak, taxonomy, values
+from casewright.functions import groups, hashing, leak, taxonomy, values
 from casewright.operators import campaign as C
 from casewright.operators import cases as K
 from casewright.operators import catalog as G
-from casewright.operators import learning, payloads, run, training
+from casewright.operators import learning, payloads, run, textmetrics, training
 from casewright.session import checkpoint_dir, table
 from casewright.sources import files
+from casewright.streaming import streams
 
 from .cases import FLAT_SQL, VERDICT_SQL, flat_cases, judged_cases
-from .views import TRACE_SQL, sql, split_of, v_attempt, v_case, v_cat, v_doc, v_manifest, v_trace
+from .views import SPLIT_SQL, TRACE_SQL, sql, split_of, v_attempt, v_case, v_cat, v_doc, v_manifest, v_trace
 
 R = lambda c: F.round(c, 6)
 N = lambda: F.count(F.lit(1)).alias("n")
@@ -135,6 +136,14 @@ def _persist(s, d):
 PERSIST_SQL = f", sq AS (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY {TRACE_SQL}) AS seq, flag = 'R' AND stage = 3 AS bad FROM v_trace), tn AS (SELECT case_id, count(*) AS n, min(CASE WHEN bad THEN seq END) AS first_bad FROM sq GROUP BY 1), st AS (SELECT c.case_id, CASE WHEN c.case_id IN (SELECT s_suppkey * 4 FROM supplier) THEN 'create_case' WHEN first_bad IS NOT NULL THEN 'append_trace' WHEN c.status = 'P' THEN 'update_case' END AS failed_step, n, first_bad FROM v_case c LEFT JOIN tn ON c.case_id = tn.case_id) SELECT case_id, failed_step, CASE failed_step WHEN 'create_case' THEN NULL WHEN 'append_trace' THEN 'open' WHEN 'update_case' THEN 'open' ELSE 'completed' END AS stored_status, CAST(CASE failed_step WHEN 'create_case' THEN 0 WHEN 'append_trace' THEN first_bad - 1 ELSE coalesce(n, 0) END AS BIGINT) AS n_stored FROM st"
 
 
+def _upsert(s, d):
+    """The store after an update: pending cases are closed, and the suppliers' numbers come as new cases."""
+    c = v_case(s, d).select("case_id", "status")
+    changed = c.where("status = 'P'").withColumn("status", F.lit("closed"))
+    new = table(s, d, "supplier").select((F.col("s_suppkey") + 1000000000).alias("case_id"), F.lit("open").alias("status"))
+    return K.upsert(c, changed.unionByName(new))
+
+
 def _run(s, d):
     """Standardize to judge in a row, then the audit, with trace facts that come from the traces."""
     began = F.unix_micros(F.col("opened").cast("timestamp"))
@@ -149,6 +158,38 @@ RUN_FLAT = FLAT_SQL.replace("flat AS (", "flat0 AS (", 1) + f", guards AS (SELEC
 RUN_SQL = VERDICT_SQL.replace(FLAT_SQL, RUN_FLAT, 1)
 
 
+#: What the stages of a malicious case give when nothing is wrong, as JSON texts.
+STAGE_OUTPUTS = {
+    "ingest_output": '{"mapping_confidence": 0.9, "abstain": false}',
+    "detection_output": '{"is_malicious": true, "probability": 0.97, "abstain": false}',
+    "classification_output": '{"model_task": "attack_type", "attack_type": "XSS", "taxonomy_version": "VERSION", "confidence": 0.8, "decision_threshold": 0.65, "top_scores": {"XSS": 0.8, "MITM": 0.15, "DoS": 0.05}}'.replace("VERSION", taxonomy.VERSION_16),
+    "explanation_output": '{"attack_type": "XSS", "taxonomy_version": "VERSION", "catalog_scope": "attack_type", "catalog_version": "4.0", "catalog_taxonomy_version": "VERSION", "catalog_compatible_taxonomy_versions": ["VERSION"], "source": "hybrid"}'.replace("VERSION", taxonomy.VERSION_16),
+}
+#: One deviation in each line: output, text in it, what stands there instead (None: no output at all), the issues that must come.
+OUTPUT_DEVIATIONS = (
+    ("classification_output", "0.8", "0.6", "classification_confidence_below_review_threshold"), ("classification_output", "decision_threshold", "other", "classification_threshold_missing"), ("classification_output", ', "DoS": 0.05', "", "classification_top_scores_invalid"),
+    ("classification_output", "DoS", "Nothing", "classification_top_scores_invalid"), ("classification_output", '"attack_type": "XSS"', '"attack_type": ""', "classification_attack_type_missing,classification_top_scores_invalid"), ("classification_output", "0.65", "0.5", "classification_threshold_mismatch"),
+    ("detection_output", '"abstain": false', '"abstain": true', "detector_abstained"), ("detection_output", "0.97", "0.1", "detection_label_probability_mismatch"), ("detection_output", None, None, "detection_missing"), ("explanation_output", None, None, "malicious_without_mitigation"),
+    ("explanation_output", '"attack_type": "XSS"', '"attack_type": "MITM"', "mitigation_attack_type_mismatch"), ("explanation_output", f'["{taxonomy.VERSION_16}"]', "[]", "mitigation_catalog_taxonomy_version_mismatch"), ("explanation_output", '"4.0"', '"3.0"', "mitigation_catalog_version_mismatch"),
+    ("explanation_output", '"source"', '"requires_human_review": true, "source"', "mitigator_requested_human_review"), ("ingest_output", "0.9", "0.4", "mapping_confidence_below_review_threshold"), ("ingest_output", "false", "true", "standardizer_abstained"), ("errors", "", "", "pipeline_errors_present"),
+)
+
+
+def _judged_outputs(s, d):
+    """Every order as a case with nested stage outputs, one of them off: the judge's issues."""
+    k = F.col("o_orderkey") % (len(OUTPUT_DEVIATIONS) + 1)
+    columns = {name: F.lit(text) for name, text in STAGE_OUTPUTS.items()}
+    columns["errors"] = F.array().cast("array<string>")
+    for i, (name, old, new, _) in enumerate(OUTPUT_DEVIATIONS):
+        bad = F.array(F.lit("stage failed")) if name == "errors" else F.lit(None if old is None else STAGE_OUTPUTS[name].replace(old, new)).cast("string")
+        columns[name] = F.when(k == i, bad).otherwise(columns[name])
+    cases = table(s, d, "orders").select(F.col("o_orderkey").alias("case_id"), *(c.alias(n) for n, c in columns.items()))
+    return K.judge(K.flat_facts(cases)).select("case_id", F.array_join("issues", ",").alias("issues"), "action")
+
+
+OUTPUTS_SQL = f"SELECT case_id, issues, CASE WHEN issues = '' THEN 'approve' ELSE 'human_interrupt' END AS action FROM (SELECT o_orderkey AS case_id, CASE o_orderkey % {len(OUTPUT_DEVIATIONS) + 1} " + " ".join(f"WHEN {i} THEN '{issues}'" for i, (*_, issues) in enumerate(OUTPUT_DEVIATIONS)) + " ELSE '' END AS issues FROM orders)"
+
+
 def _batch(s, d):
     return run.batch(flat_cases(s, d).join(v_case(s, d).select("case_id", "profile"), "case_id"), "profile")
 
@@ -195,6 +236,27 @@ def _classes(s, d):
     return model.transform(rows).groupBy("o_orderpriority", F.col("prediction").cast("bigint").alias("prediction")).agg(N())
 
 
+PREPARED_SQL = f", r AS (SELECT o_orderkey AS doc_id, o_orderdate, o_custkey, o_orderstatus = 'F' AS label, {SPLIT_SQL} AS split, c_mktsegment AS origin FROM orders JOIN customer ON o_custkey = c_custkey), g AS (SELECT min(doc_id) AS doc_id FROM r GROUP BY o_orderdate, o_custkey HAVING min(split) = max(split) AND min(label) = max(label)), q AS (SELECT split, origin, least(count(*) FILTER (label), count(*) FILTER (NOT label)) AS n FROM r JOIN g ON r.doc_id = g.doc_id GROUP BY 1, 2) SELECT split, origin, label, n FROM q CROSS JOIN (VALUES (true), (false)) v(label) WHERE n > 0"
+
+
+def _fingerprints(s, d):
+    """Fingerprints of feature maps, the keys in any order and numbers of any type."""
+    o = table(s, d, "orders")
+    number = lambda c: F.struct(c.cast("double").alias("num"), F.lit(None).cast("string").alias("str"))
+    text = lambda c: F.struct(F.lit(None).cast("double").alias("num"), c.alias("str"))
+    features = F.create_map(F.lit("prio"), text(F.col("o_orderpriority")), F.lit("cust"), number(F.col("o_custkey") % 1000), F.lit("late"), number(F.col("o_orderstatus") == "F"))
+    return o.select("o_orderkey", hashing.feature_fingerprint(features).alias("fp"))
+
+
+def _breaker(s, d):
+    """The longest open run of failures of each user as the stream leaves it, and whether three in a row ever tripped it."""
+    events = streams.event_stream(s, d).select(F.col("user_id").cast("string").alias("user"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"))
+    return streams.run_available(streams.failure_breaker(events, "user", 3), _place(s, "breaker"), "update").select(F.col("user").cast("bigint").alias("user_id"), F.col("failures").cast("bigint").alias("failures"), "tripped")
+
+
+BREAKER_SQL = "WITH i AS (SELECT user_id, event_id, event_type <> 'error' AS ok, sum(CAST(event_type <> 'error' AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events), c AS (SELECT user_id, island, count(*) FILTER (NOT ok) AS run FROM i GROUP BY 1, 2) SELECT user_id, CAST(arg_max(run, island) AS BIGINT) AS failures, max(run) >= 3 AS tripped FROM c GROUP BY 1"
+
+
 def _origin(s, d):
     c = table(s, d, "customer")
     name = F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment"))
@@ -232,6 +294,7 @@ ALL = {
     "cache_evict": (_evict, sql(", k AS (SELECT DISTINCT fp AS content_hash, sha256(dataset) AS pipeline_hash FROM v_doc), q AS (SELECT fp AS content_hash, sha256(dataset) AS pipeline_hash FROM v_doc WHERE label = 0) SELECT k.* FROM k WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.content_hash = k.content_hash AND q.pipeline_hash = k.pipeline_hash)")),
     "persist_cases": (_persist, sql(PERSIST_SQL)),
     "case_run": (_run, sql(f", {RUN_SQL} SELECT fc.case_id, trace_n, has_judge, has_classifier, has_mitigator, trace_errors, status, CAST(CASE WHEN issues = '' THEN 0 ELSE len(string_split(issues, ',')) END AS BIGINT) AS n_issues, verdict, n_failed FROM fc JOIN vc ON fc.case_id = vc.case_id")),
+    "judge_nested_outputs": (_judged_outputs, OUTPUTS_SQL),
     "batch_stages": (_batch, sql(f", {FLAT_SQL} SELECT profile, count(*) AS n, count(*) FILTER (ingest_abstain) AS n_abstained, count(*) FILTER (NOT ingest_abstain AND det_present) AS n_detected, count(*) FILTER (NOT ingest_abstain AND det_present AND cls_present) AS n_classified FROM flat JOIN v_case ON flat.case_id = v_case.case_id GROUP BY 1")),
     "catalog_reads": (lambda s, d: G.reads(v_cat(s, d), "type", "brand"), sql("SELECT type, count(DISTINCT brand) AS n, string_agg(DISTINCT brand, ',' ORDER BY brand) AS brand FROM v_cat GROUP BY 1")),
     "reference_review": (_review, sql(", l AS (SELECT p_partkey + CASE WHEN p_size = 50 THEN 1000000000 ELSE 0 END AS item_id, CASE WHEN p_size > 5 THEN p_name ELSE ' ' END AS reference FROM part UNION ALL SELECT p_partkey, 'again' FROM part WHERE p_size = 7), g AS (SELECT item_id, count(*) AS n, max(CASE WHEN trim(reference) <> '' THEN 1 END) AS filled FROM l GROUP BY 1) SELECT coalesce(c.item_id, g.item_id) AS item_id, CASE WHEN c.item_id IS NULL THEN 'unknown' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'duplicate' WHEN filled IS NULL THEN 'empty' ELSE 'approved' END AS state FROM v_cat c FULL JOIN g ON c.item_id = g.item_id")),
@@ -240,7 +303,12 @@ ALL = {
     "evidence_snapshot": (_snapshot, "SELECT event_id, concat_ws(',', 'app_proto', 'event_id', CASE WHEN CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) > 50 THEN 'packet_count' END, CASE WHEN event_id % 2 = 0 THEN 'service_context' END, CASE WHEN user_id % 3 = 0 THEN 'src_ip' END) AS fields FROM events"),
     "preflight": (_preflight, sql(PREFLIGHT_SQL)),
     "taxonomy_report": (lambda s, d: taxonomy.report(s).drop("n_rules"), f"SELECT '{taxonomy.VERSION_16}' AS version, CAST(16 AS BIGINT) AS n_classes, sha256('{_CLASS_TEXT(taxonomy.TYPES_16)}') AS sha256 UNION ALL SELECT '{taxonomy.VERSION_14}', 14, sha256('{_CLASS_TEXT(taxonomy.TYPES_14)}')"),
-    "train_preparation": (lambda s, d: training.prepared(_training_rows(s, d), "42").groupBy("split", "origin", "label").agg(N()), None),
+    "case_upsert": (_upsert, sql("SELECT case_id, CASE WHEN status = 'P' THEN 'closed' ELSE status END AS status FROM v_case UNION ALL SELECT s_suppkey + 1000000000, 'open' FROM supplier")),
+    "case_conflicts": (lambda s, d: K.conflicts(v_case(s, d), table(s, d, "supplier").select((F.col("s_suppkey") * 4).alias("case_id"), "s_name")), sql("SELECT s_suppkey * 4 AS case_id, s_name FROM supplier WHERE s_suppkey * 4 IN (SELECT case_id FROM v_case)")),
+    "fingerprint_features": (_fingerprints, "SELECT o_orderkey, sha256('cust=n' || CAST(CAST(o_custkey % 1000 AS DOUBLE) AS VARCHAR) || '|late=n' || CASE WHEN o_orderstatus = 'F' THEN '1.0' ELSE '0.0' END || '|prio=s' || o_orderpriority) AS fp FROM orders"),
+    "stream_breaker": (_breaker, BREAKER_SQL),
+    "text_tokens_nfkd": (lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(textmetrics.tokens_nfkd(F.col("text")), " ").alias("tokens")).select("doc_id", F.md5("tokens").alias("md5")), "SELECT doc_id, md5(array_to_string(regexp_extract_all(strip_accents(lower(replace(coalesce(text, ''), 'ß', 'ss'))), '[a-z0-9]+'), ' ')) AS md5 FROM documents"),
+    "train_preparation": (lambda s, d: training.prepared(_training_rows(s, d), "42").groupBy("split", "origin", "label").agg(N()), sql(PREPARED_SQL)),
     "train_metrics": (lambda s, d: training.report(_detector(s, d)), None),
     "model_artifact": (_artifact, None),
     "boosted_classes": (_classes, None),

@@ -89,6 +89,7 @@ SQL = {
     "v_cat": "SELECT p_partkey AS item_id, p_type AS type, p_name AS base_text, CASE WHEN p_size <= 16 THEN 'containment' WHEN p_size <= 33 THEN 'eradication' ELSE 'prevention' END AS phase, p_brand AS brand, CAST(p_size AS BIGINT) AS size FROM part",
 }
 TRACE_SQL = ", ".join(TRACE_ORDER)
+SPLIT_SQL = _split_sql("o_orderkey")
 
 
 def sql(body: str) -> str:

@@ -32,6 +32,13 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str, id_colu
     return placed.join(starts, ["source_file", "_block"]).withColumn("row_id", F.col("_start") + F.col("_id") - F.col("_first")).drop("_block", "_id", "_first", "_start")
 
 
+def recover(requests: DataFrame, rows: DataFrame, key: str = "row_id", digest: str = "content_hash") -> DataFrame:
+    """Requests (key, digest, ...) with the scanned row of their key and ``state``: verified, hash_mismatch or missing."""
+    scanned = rows.withColumnRenamed(digest, "_scanned")
+    state = F.when(F.col("_scanned").isNull(), "missing").when(F.col("_scanned") == F.col(digest), "verified").otherwise("hash_mismatch")
+    return requests.join(scanned, key, "left").withColumn("state", state).drop("_scanned")
+
+
 def union_sources(*parts: tuple[DataFrame, Column]) -> DataFrame:
     """Rows of several sources with the ``cls`` that each source's labeler column gives; rows without one are left out."""
     labelled = [df.withColumn("cls", labeler).where("cls is not null") for df, labeler in parts]
