@@ -237,10 +237,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half_key
     own = halves.join(shared, "half", "left_semi").groupBy("rep").agg(*(F.collect_set(F.when((F.col("place") < half_keys) == (side == 0), F.col("half"))).alias(f"side{side}") for side in (0, 1)))
     keyed = cut(own.select("rep", F.explode(F.flatten(F.transform("side0", lambda x: F.transform("side1", lambda y: F.xxhash64(x, y))))).alias("key")))
     pivots = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot")
-    members = keyed.join(pivots, "key").select("pivot", "rep").distinct().join(reps.groupBy("rep").agg(F.max("n_shingles").alias("width_")), "rep")
+    # Members and sizes are written out, so that a hot pivot's members can be split where they meet their size.
+    members = stored(keyed.join(pivots, "key").select("pivot", "rep").distinct().join(reps.groupBy("rep").agg(F.max("n_shingles").alias("width_")), "rep"), "neardup-pairs")
     # Long texts make small blocks: a block holds about ``block`` members and ``block_shingles`` shingles at most.
     n_blocks = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("width_") / F.lit(block_shingles))).cast("int")
-    sizes = members.groupBy("pivot").agg(n_blocks.alias("n_blocks"))
+    sizes = stored(members.groupBy("pivot").agg(n_blocks.alias("n_blocks")), "neardup-sizes")
     dealt = stored(members.join(sizes, "pivot").select("pivot", "rep", "width_", "n_blocks", F.pmod(F.xxhash64("rep", F.lit(seed)), "n_blocks").cast("int").alias("blk")), "neardup-members")
     bodies = texts.where("text is not null and doc_id is not null")
     small = dealt.where("n_blocks = 1").select("pivot", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "rep", *_flags(True, True, False))
