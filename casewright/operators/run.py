@@ -28,17 +28,15 @@ def traced(cases: DataFrame, began_us: Column, step_us: int = 1000) -> DataFrame
 
     An error of a case belongs to its standardizer, the first stage that can fail.
     """
-    routed = K.route(cases)
-    trace = F.array().cast(TRACE)
-    trace = append(trace, "orchestrator", F.lit("ok"), began_us, began_us + step_us)
-    for name, agent in AGENTS.items():
-        start = began_us + F.size(trace) * step_us
-        failed = (F.col("n_errors") > 0) if name == "standardize" else F.lit(False)
-        grown = append(trace, agent, F.when(failed, "error").otherwise("ok"), start, start + step_us // 2)
-        trace = F.when(F.array_contains(F.split("path", ">"), name), grown).otherwise(trace)
-        routed = routed.withColumn("trace", trace)
-        trace = F.col("trace")
-    return routed
+    agent_of = F.create_map(*(F.lit(x) for pair in AGENTS.items() for x in pair))
+    agents = F.concat(F.array(F.lit("orchestrator")), F.transform(F.split("path", ">"), lambda name: agent_of[name]))
+
+    def entry(agent: Column, place: Column) -> Column:
+        start = (began_us + place * step_us).cast("bigint")
+        status = F.when((agent == AGENTS["standardize"]) & (F.col("n_errors") > 0), "error").otherwise("ok")
+        return F.struct((place + 1).cast("bigint").alias("seq"), agent.alias("agent"), status.alias("status"), start.alias("started_us"), (start + step_us // 2).alias("finished_us"))
+
+    return K.route(cases).withColumn("trace", F.transform(agents, entry))
 
 
 def with_trace_facts(cases: DataFrame) -> DataFrame:

@@ -89,6 +89,11 @@ def judged_cases(spark: SparkSession, d: str, flat: DataFrame | None = None) ->
     )
 
 
+def closed_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Judged cases as a written table: the auditor's rules then read plain columns."""
+    return stored(judged_cases(spark, d), "judged-cases")
+
+
 FLAT_SQL = "flat AS (SELECT k AS case_id, k, " + ", ".join(f"{e} AS {name}" for name, e in FLAT_FACTS) + " FROM (SELECT o_orderkey AS k FROM orders))"
 ISSUES_SQL = "concat_ws(',', " + ", ".join(f"CASE WHEN {cond} THEN '{code}' END" for code, cond in K.JUDGE_ISSUES) + ")"
 JUDGED_SQL = f"{FLAT_SQL}, ji AS (SELECT *, {ISSUES_SQL} AS issues, {K.FINAL_LABEL} AS final_label, CAST(least(greatest({K.FINAL_CONFIDENCE}, 0), 1) AS DOUBLE) AS final_confidence FROM flat), jc AS (SELECT *, CASE WHEN k % 31 = 0 THEN 'completed' WHEN issues <> '' THEN 'needs_human_review' WHEN n_errors > 0 THEN 'error' ELSE 'completed' END AS status, CASE WHEN issues <> '' THEN 'human_interrupt' ELSE 'approve' END AS judge_action, issues = '' AS judge_approved, issues <> '' AS judge_review, CASE WHEN k % 229 = 0 THEN 'other' ELSE final_label END AS judge_label, final_confidence AS judge_confidence FROM ji), fc AS (SELECT *, ({K.FLAGGED_RULE}) AS flagged FROM jc)"
@@ -107,7 +112,7 @@ MUTATIONS = (
 
 def control_cases(spark: SparkSession, d: str) -> DataFrame:
     """Typed, completed cases that the auditor approves; written out, so that later edits start from plain columns."""
-    return stored(K.with_verdict(judged_cases(spark, d)), "control-cases").where("verdict = 'approve' and is_malicious and status = 'completed'")
+    return stored(K.with_verdict(closed_cases(spark, d)), "control-cases").where("verdict = 'approve' and is_malicious and status = 'completed'")
 
 
 def _mutations(spark, d):
@@ -298,9 +303,9 @@ MITIGATE = f"CASE WHEN NOT coalesce(is_malicious, false) THEN 'benign_bypass' WH
 ALL = {
     "case_status_counts": (lambda s, d: judged_cases(s, d).groupBy("status", "judge_action").agg(N(), F.sum("n_issues").alias("n_issues")), sql(f", {JUDGED_SQL} SELECT status, judge_action, count(*) AS n, CAST(sum(CASE WHEN issues = '' THEN 0 ELSE len(string_split(issues, ',')) END) AS BIGINT) AS n_issues FROM fc GROUP BY 1, 2")),
     "stage_judge": (lambda s, d: judged_cases(s, d).select("case_id", "issues", "judge_action", F.col("judge_label").alias("label"), R("judge_confidence").alias("confidence")), sql(f", {JUDGED_SQL} SELECT case_id, issues, judge_action, judge_label AS label, round(judge_confidence, 6) AS confidence FROM fc")),
-    "audit_checks": (lambda s, d: K.audit(judged_cases(s, d)).select("case_id", "check_name", "passed", "hard"), sql(f", {JUDGED_SQL} {AUDIT_SQL}")),
-    "audit_verdict": (lambda s, d: K.verdicts(judged_cases(s, d)), sql(f", {VERDICT_SQL} SELECT * FROM vc")),
-    "audit_batch": (lambda s, d: K.verdicts(judged_cases(s, d)).groupBy("verdict").agg(N(), (F.col("verdict") != "reject").alias("valid")), sql(f", {VERDICT_SQL} SELECT verdict, count(*) AS n, verdict <> 'reject' AS valid FROM vc GROUP BY 1")),
+    "audit_checks": (lambda s, d: K.audit(closed_cases(s, d)).select("case_id", "check_name", "passed", "hard"), sql(f", {JUDGED_SQL} {AUDIT_SQL}")),
+    "audit_verdict": (lambda s, d: K.verdicts(closed_cases(s, d)), sql(f", {VERDICT_SQL} SELECT * FROM vc")),
+    "audit_batch": (lambda s, d: K.verdicts(closed_cases(s, d)).groupBy("verdict").agg(N(), (F.col("verdict") != "reject").alias("valid")), sql(f", {VERDICT_SQL} SELECT verdict, count(*) AS n, verdict <> 'reject' AS valid FROM vc GROUP BY 1")),
     "mutation_detection": (_mutations, sql(_mutation_sql())),
     "case_route": (lambda s, d: K.route(flat_cases(s, d)).groupBy("path").agg(N()), sql(f", {FLAT_SQL} SELECT {PATH_SQL} AS path, count(*) AS n FROM (SELECT *, NOT ingest_abstain AND coalesce(mapping_confidence, 0) >= {_D(0.5)} AS g1, NOT det_abstain AND coalesce(is_malicious, false) AS g2 FROM flat) GROUP BY 1")),
     "case_projection": (_projection, sql(f", {JUDGED_SQL} SELECT case_id, status, CASE WHEN NOT det_abstain THEN is_malicious END AS is_malicious, judge_label AS label, round(judge_confidence, 6) AS confidence, CASE WHEN is_malicious AND NOT det_abstain THEN cls_type END AS attack_type FROM fc")),

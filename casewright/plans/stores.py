@@ -15,7 +15,7 @@ from casewright.operators import campaign as C
 from casewright.operators import cases as K
 from casewright.operators import catalog as G
 from casewright.operators import learning, payloads, run, textmetrics, training
-from casewright.session import checkpoint_dir, table
+from casewright.session import checkpoint_dir, stored, table
 from casewright.sources import files
 from casewright.streaming import streams
 
@@ -148,8 +148,10 @@ def _run(s, d):
     """Standardize to judge in a row, then the audit, with trace facts that come from the traces."""
     began = F.unix_micros(F.col("opened").cast("timestamp"))
     opened = table(s, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderdate").alias("opened"))
-    flat = run.with_trace_facts(run.traced(flat_cases(s, d).join(opened, "case_id"), began)).drop("opened", "path", "trace")
-    out = K.with_verdict(judged_cases(s, d, flat))
+    # Written out after each leg, so that rules read plain columns and not the expressions behind them.
+    cases = stored(run.traced(flat_cases(s, d).join(opened, "case_id"), began).drop("opened", "path"), "traced-cases")
+    flat = stored(run.with_trace_facts(cases).drop("trace"), "flat-cases")
+    out = K.with_verdict(stored(judged_cases(s, d, flat), "judged-cases"))
     return out.select("case_id", "trace_n", "has_judge", "has_classifier", "has_mitigator", "trace_errors", "status", "n_issues", "verdict", "n_failed")
 
 
