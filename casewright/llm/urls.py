@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,6 +137,26 @@ whatsapp-spy-hack.cc/download
 hack-facebook-password.tk/tool
 antivirus-warning-alert.tk/scan-now.exe
 your-pc-is-infected.ml/call-support
+free-spins-bonus.blogspot.com/2021/05/
+www.cheap-meds-online.wordpress.com/en/
+pills-discount.weebly.com/page/12
+m.online-bets.tripod.com/77
+sportbets-free.blogspot.com/en/5.html
+ads-server.weebly.com/track
+adtracker.wordpress.com/click/33
+track-ads.webs.com/en/201
+spamlinks.tripod.com/fr/8
+link-farm-network.webs.com/de/40
+casino-tips.blogspot.com/es/3
+poker-bonus.webs.com/index.html
+warez-archive.tripod.com/files/9
+torrent-cracks.weebly.com/en/64
+xxx-pictures.webs.com/fr/2
+sex-cams.blogspot.com/en/19
+payday-loan.wordpress.com/2019/11/
+win-prizes.weebly.com/en/71
+phishing-mail.tripod.com/login
+malware-downloads.webs.com/en/5
 """
 ORDINARY = """
 en.wikipedia.org/wiki/History_of_astronomy
@@ -154,7 +175,7 @@ www.lemonde.fr/culture/article/2021/03/02/exposition.html
 www.zeit.de/wissen/2020-11/klima-forschung
 elpais.com/cultura/2022/05/museo.html
 www.nps.gov/yell/planyourvisit/index.htm
-museum.example.org/collections/paintings/101
+museum.artcity.org/collections/paintings/101
 library.university.edu/catalog/search
 cs.university.edu/courses/algorithms/lecture3.pdf
 www.city-council.gov/services/waste
@@ -208,6 +229,26 @@ wiki.openstreetmap.org/wiki/Map_features
 community.garden.org/events
 www.volunteer-firefighters.org/training
 podcasts.public-radio.org/episode/214
+gardening-notes.blogspot.com/2021/05/
+our-school-trip.wordpress.com/en/
+history-of-bridges.weebly.com/page/12
+m.village-choir.tripod.com/77
+mountain-walks.blogspot.com/en/5.html
+star-charts.weebly.com/maps
+bread-and-cheese.wordpress.com/recipes/33
+river-fishing.webs.com/en/201
+poesie-et-chansons.tripod.com/fr/8
+wandern-im-harz.webs.com/de/40
+cuentos-cortos.blogspot.com/es/3
+old-trains.webs.com/index.html
+stamp-collectors.tripod.com/lists/9
+watercolour-class.weebly.com/en/64
+carnets-de-voyage.webs.com/fr/2
+kitchen-garden.blogspot.com/en/19
+family-tree.wordpress.com/2019/11/
+chemistry-notes.weebly.com/en/71
+choir-practice.tripod.com/calendar
+science-fair.webs.com/en/5
 """
 
 
@@ -216,7 +257,7 @@ def default_labels() -> list[tuple[str, bool]]:
     return [(f"http://{line}", unwanted) for lines, unwanted in ((UNWANTED, True), (ORDINARY, False)) for line in lines.split()]
 
 
-def fit(spark: SparkSession, labels: Iterable[tuple[str, bool]], buckets: int = 1024, rounds: int = 250, rate: float = 8.0, ridge: float = 1e-5, prior: float = 0.3) -> list[float]:
+def fit(spark: SparkSession, labels: Iterable[tuple[str, bool]], buckets: int = 1024, rounds: int = 3000, rate: float = 8.0, ridge: float = 1e-6, prior: float = 0.3) -> list[float]:
     """Weights by bucket, then the bias. The labelled rows are bounded, so gradient descent runs on the driver.
 
     The bias is moved from the table's share of unwanted URLs to ``prior``, the
@@ -227,26 +268,18 @@ def fit(spark: SparkSession, labels: Iterable[tuple[str, bool]], buckets: int =
     if len(rows) > MAX_LABELLED:
         raise ValueError(f"more than {MAX_LABELLED} labelled URLs")
     frame = spark.createDataFrame([(u, bool(y)) for u, y in rows], "url string, y boolean").coalesce(1)
-    data = []
-    for r in frame.select(ngrams(host(F.col("url")), path(F.col("url")), buckets).alias("g"), "y").collect():
-        shares: dict[int, float] = {}
-        for b in r.g:
-            shares[b] = shares.get(b, 0.0) + 1.0 / len(r.g)
-        data.append((list(shares.items()), float(r.y)))
-    weights, bias = [0.0] * buckets, 0.0
+    found = frame.select(ngrams(host(F.col("url")), path(F.col("url")), buckets).alias("g"), "y").collect()
+    x, y = np.zeros((len(found), buckets)), np.array([float(r.y) for r in found])
+    for k, r in enumerate(found):
+        np.add.at(x[k], r.g, 1.0 / len(r.g))
+    weights, bias = np.zeros(buckets), 0.0
     for _ in range(rounds):
-        grad, slope = [ridge * w for w in weights], 0.0
-        for shares, y in data:
-            z = bias + sum(weights[b] * v for b, v in shares)
-            miss = (1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z)))) - y) / len(data)
-            slope += miss
-            for b, v in shares:
-                grad[b] += miss * v
+        miss = (1.0 / (1.0 + np.exp(-np.clip(bias + x @ weights, -30.0, 30.0))) - y) / max(len(y), 1)
         # shares are small, so weights take longer steps than the bias
-        weights = [w - rate * 600 * g for w, g in zip(weights, grad, strict=True)]
-        bias -= rate * 0.1 * slope
-    share = (sum(y for _, y in data) + 0.5) / (len(data) + 1)
-    return [*weights, bias + math.log(prior / (1 - prior)) - math.log(share / (1 - share))]
+        weights -= rate * 600 * (x.T @ miss + ridge * weights)
+        bias -= rate * 0.1 * float(miss.sum())
+    share = (float(y.sum()) + 0.5) / (len(y) + 1)
+    return [*weights.tolist(), bias + math.log(prior / (1 - prior)) - math.log(share / (1 - share))]
 
 
 def probability(host: Column, path: Column, model: list[float]) -> Column:
