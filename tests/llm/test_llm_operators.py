@@ -307,7 +307,8 @@ def test_quality_estimates_against_numpy(spark):
             size, junk = int(rng.integers(60, 400)), rng.random() < mixed
             words = ["".join(rng.choice(list("etaoinshrdlucmfw"), int(rng.integers(2, 8)))) + ("$%#9" if junk and rng.random() < 0.6 else "") for _ in range(size)]
             words = [(w.title() if rng.random() < 0.1 else w) + ("," if rng.random() < 0.1 else "") for w in words]
-            rows.append((len(rows), "\n".join(" ".join(words[i : i + 20]) for i in range(0, size, int(rng.integers(12, 20)))), "en", source, 0))
+            per = int(rng.integers(12, 20))
+            rows.append((len(rows), "\n".join(" ".join(words[i : i + per]) for i in range(0, size, per)), "en", source, 0))
     frame = spark.createDataFrame(rows, DOCS)
     got = {r.doc_id: r for r in quality.judge(frame).collect()}
     stats = quality.with_base(quality.statistics(frame)).withColumns(quality.transformed()).collect()
