@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -53,3 +54,9 @@ def save(model: PipelineModel, path: str) -> DataFrame:
     """Store a model, replacing an older one, and give the hash of its files (sha256, n_files)."""
     model.write().overwrite().save(path)
     return files.inventory_hash(files.inventory(SparkSession.active(), path, recursive=True))
+
+
+@lru_cache(maxsize=8)
+def loaded(path: str) -> PipelineModel:
+    """A stored model, read when it is first asked for and kept by the process."""
+    return PipelineModel.load(path)

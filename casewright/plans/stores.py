@@ -221,12 +221,10 @@ def _detector(s, d):
 
 def _artifact(s, d):
     """A fitted model, stored, read again: the same scores, and a hash of its files."""
-    from pyspark.ml import PipelineModel
-
     fitted, path = _detector(s, d), _place(s, "model")
     saved = training.save(fitted.model, path)
     ready = training.prepared(_training_rows(s, d), "42").withColumn("label", F.col("label").cast("double"))
-    again = learning.scored(PipelineModel.load(path), ready, ["doc_id"]).withColumnRenamed("probability", "again")
+    again = learning.scored(training.loaded(path), ready, ["doc_id"]).withColumnRenamed("probability", "again")
     same = fitted.scores.join(again, "doc_id").agg(F.bool_and(F.abs(F.col("probability") - F.col("again")) < 1e-12).alias("same"), N())
     return same.crossJoin(saved.select("n_files", (F.length("sha256") == 64).alias("hashed")))  # one row each
 
