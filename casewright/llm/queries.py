@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from casewright.session import table
 
-from . import decontam, hmm, langid, linedup, mixing, neardup, pii, quality, secrets, simhash, urls
+from . import decontam, divergence, hmm, langid, linedup, mixing, neardup, pii, quality, secrets, simhash, urls
 
 
 def _fold() -> Column:
@@ -75,14 +75,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filter, op2_decontaminate, op3_quality_rules, op4_secret_scan, op5_mix_sources, op6_minhash_dedup, op7_language_id, op8_pii, op9_lm_score, op10_line_dedup, op13_simhash_dedup)
+    found = (op1_url_filter, op2_decontaminate, op3_quality_rules, op4_secret_scan, op5_mix_sources, op6_minhash_dedup, op7_language_id, op8_pii, op9_lm_score, op10_line_dedup, op11_source_divergence, op13_simhash_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mixing.sql(), "op10_line_dedup": linedup.sql()}
+    return {"op5_mix_sources": mixing.sql(), "op10_line_dedup": linedup.sql(), "op11_source_divergence": divergence.sql()}

@@ -85,12 +85,12 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         row = end
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and row of every word; words never cross rows."""
+def word_spans(buf: np.ndarray, offs: np.ndarray, members: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row of every word, or of every run of the bytes in ``members``; runs never cross rows."""
     if not len(buf):
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, empty
-    solid = ~_SPACE[buf]
+    solid = members[buf]
     before = np.empty_like(solid)
     before[0] = False
     before[1:] = solid[:-1]
