@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from casewright.session import table
 
-from . import decontam, divergence, hmm, langid, linedup, mixing, neardup, pii, quality, secrets, simhash, urls
+from . import decontam, divergence, hardneg, hmm, langid, linedup, mixing, neardup, pii, quality, secrets, simhash, urls
 
 
 def _fold() -> Column:
@@ -79,14 +79,19 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return hardneg.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filter, op2_decontaminate, op3_quality_rules, op4_secret_scan, op5_mix_sources, op6_minhash_dedup, op7_language_id, op8_pii, op9_lm_score, op10_line_dedup, op11_source_divergence, op13_simhash_dedup)
+    found = (op1_url_filter, op2_decontaminate, op3_quality_rules, op4_secret_scan, op5_mix_sources, op6_minhash_dedup, op7_language_id, op8_pii, op9_lm_score, op10_line_dedup, op11_source_divergence, op12_hard_negatives, op13_simhash_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mixing.sql(), "op10_line_dedup": linedup.sql(), "op11_source_divergence": divergence.sql()}
+    return {"op5_mix_sources": mixing.sql(), "op10_line_dedup": linedup.sql(), "op11_source_divergence": divergence.sql(), "op12_hard_negatives": hardneg.sql()}
