@@ -271,6 +271,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their own columns."""
-    leaks = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaks, docs["doc_id"].cast("long") == leaks["_leaked"], "left_anti")
+    """The rows of ``docs`` that hold no benchmark item, with their own columns.
+
+    Rows are told apart by a 64-bit hash of doc_id and text, so one with a null
+    doc_id goes if its text holds an item, and a clean one stays though its
+    doc_id is that of a row with an item. Null and blank texts stay; equal rows
+    share their fate; an empty table or benchmark changes nothing.
+    """
+    row = F.xxhash64(docs["doc_id"], docs["text"])
+    leaks = find_leaks(docs.select(row.alias("doc_id"), docs["text"]), benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
+    leaks = stored(leaks, "decontam-leaks")  # written out, so that its size is known
+    return docs.join(leaks, row == leaks["_leaked"], "left_anti")

@@ -283,28 +283,38 @@ def score(x: Column, forest: list[dict], first: float, depth: int = 3) -> Column
     return 1.0 / (1.0 + F.exp(-F.aggregate(literal, F.lit(first), add)))
 
 
-def find(docs: DataFrame, labels: Iterable[tuple[str, bool]] | None = None) -> DataFrame:
-    """doc_id and ``spans`` (kind, start, end; ordered by kind, then start) of every document."""
-    spark = docs.sparkSession
+def _found(rows: DataFrame, keep: str, labels: Iterable[tuple[str, bool]] | None) -> DataFrame:
+    """``keep`` and ``spans`` of rows with ``text``; each row is judged by its own text alone."""
+    spark = rows.sparkSession
     forest, first, thresholds = _default_model(spark.sparkContext.applicationId) if labels is None else fit(spark, labels)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    proposed = proposals(texts).select("doc_id", "base", "more")
+    proposed = proposals(rows.select(keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))).select(keep, "base", "more")
     limit = F.array(*(F.lit(t) for t in thresholds))
     scored = F.transform("more", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), score(c["x"], forest, first).alias("p")))
-    passed = proposed.select("doc_id", "base", F.filter(scored, lambda c: c["p"] >= F.get(limit, c["kind"])).alias("passed"))
+    passed = proposed.select(keep, "base", F.filter(scored, lambda c: c["p"] >= F.get(limit, c["kind"])).alias("passed"))
     better = lambda o, c: (o["start"] < c["end"]) & (o["end"] > c["start"]) & ((o["p"] > c["p"]) | ((o["p"] == c["p"]) & ((o["start"] < c["start"]) | ((o["start"] == c["start"]) & (o["kind"] < c["kind"])))))
-    chosen = passed.select("doc_id", "base", F.filter("passed", lambda c: ~F.exists("passed", lambda o: better(o, c))).alias("chosen"))
+    chosen = passed.select(keep, "base", F.filter("passed", lambda c: ~F.exists("passed", lambda o: better(o, c))).alias("chosen"))
     name = F.array(*(F.lit(k) for k in MORE_KINDS))
     # Proposals come by kind, then start, and so do what is chosen of them.
     extra = F.transform("chosen", lambda c: F.struct(F.get(name, c["kind"]).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    return chosen.select(keep, F.concat("base", extra).alias("spans"))
+
+
+def find(docs: DataFrame, labels: Iterable[tuple[str, bool]] | None = None) -> DataFrame:
+    """doc_id and ``spans`` (kind, start, end; ordered by kind, then start) of every document."""
+    found = _found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", labels)
     # Written out, so that what is done with the spans doesn't repeat the expressions that make them.
-    return stored(chosen.select("doc_id", F.concat("base", extra).alias("spans")), "pii-spans")
+    return stored(found, "pii-spans")
+
 
+def redact(docs: DataFrame, mark: str = "*", labels: Iterable[tuple[str, bool]] | None = None) -> DataFrame:
+    """``docs`` with every character of a found span replaced by ``mark``, a single character; other columns pass through.
 
-def redact(docs: DataFrame, mark: str = "*") -> DataFrame:
-    """``docs`` with every character of a found span replaced by ``mark``; other columns pass through."""
-    found = find(docs).select(F.col("doc_id").alias("_id"), "spans").distinct()
-    joined = docs.join(found, docs["doc_id"].cast("long") == found["_id"], "left")
+    Spans are made and used in the same row, without a join, so rows that repeat a
+    doc_id, or have none, are redacted each by its own text. Null text stays null,
+    empty text empty; lengths never change; an empty table gives an empty result.
+    """
+    row = "_row"
+    found = _found(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias(row), "text"), row, labels)
     cover = lambda text, s: F.concat(F.substring(text, F.lit(1), s["start"].cast("int")), F.repeat(F.lit(mark), (s["end"] - s["start"]).cast("int")), F.substring(text, s["end"].cast("int") + 1, F.length(text)))
-    text = F.aggregate(F.coalesce(found["spans"], F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")), docs["text"], cover)
-    return joined.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns))
+    own = F.col(row)
+    return found.select(*((F.aggregate("spans", own[c].cast("string"), cover) if c == "text" else own[c]).alias(c) for c in docs.columns))

@@ -56,8 +56,9 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_fold() == 0, F.lit(False))
     found = langid.identify(docs, _fold() != 0)
-    return found.select("doc_id", (_fold() == 0).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from casewright.llm import decontam, hmm, langid, mixing, neardup, pii, quality, secrets, urls
+from casewright.llm import decontam, hmm, langid, mixing, neardup, pii, quality, queries, secrets, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PLAIN = " ".join(f"word{k} plain" for k in range(60))
@@ -90,6 +90,31 @@ def test_personal_data(rows):
     assert [s.kind for s in got[6][0].spans] == ["email"]
 
 
+def test_redaction_judges_each_row_by_its_own_text(spark):
+    rows = [(1, "mail me: bob.a@x.org now", "en", "a"), (1, "call +1 212 555 0199 or write", "en", "a"), (1, "nothing", None, None), (None, "mail bob@x.org", None, "b"), (None, None, None, None), (2, "", "en", "a"), (2, "", "en", "a")]
+    docs = frame_of(spark, rows).selectExpr("*", "'s' AS spans", "1 AS base", "2 AS more", "3 AS row")
+    got = pii.redact(docs)
+    assert got.columns == docs.columns
+    texts = sorted(((r.doc_id, r.text, r.row) for r in got.collect()), key=str)
+    assert texts == sorted([(1, "mail me: " + "*" * 11 + " now", 3), (1, "call " + "*" * 15 + " or write", 3), (1, "nothing", 3), (None, "mail " + "*" * 9, 3), (None, None, 3), (2, "", 3), (2, "", 3)], key=str)
+
+
+def test_decontamination_by_row(spark):
+    item = " ".join(f"item{k} word{k}" for k in range(30))
+    rows = [(None, f"before {item} after", "en", "a"), (2, "clean words of its own", "en", "a"), (2, item, "en", "b"), (2, None, None, None), (None, "clean too", None, None), (None, "", None, None), (3, item, "en", "a"), (3, item, "en", "a")]
+    docs = frame_of(spark, rows).withColumn("_leaked", F.lit(1))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontam.decontaminate(docs, items)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == {(2, "clean words of its own"): 1, (2, None): 1, (None, "clean too"): 1, (None, ""): 1}
+
+
+def test_held_out_is_false_without_an_id(spark, tmp_path):
+    frame_of(spark, [(k if k else None, f"some words in a text {k}", "en", "a") for k in range(12)]).write.parquet(f"{tmp_path}/documents.parquet")
+    for query in (queries.op7_language_id, queries.op9_lm_score):
+        assert {r.held_out for r in query(spark, str(tmp_path)).collect() if r.doc_id is None} == {False}
+
+
 def test_language_model(spark, rows):
     got = by_id(hmm.score(rows, F.col("doc_id") == 6, own=7, buckets=5))
     assert all((r.n_tokens, r.n_known) == (1, 1) for k in (1, 2, 3) for r in got[k])
