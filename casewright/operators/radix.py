@@ -1,6 +1,6 @@
 """Selection of the k-th value of each group by radix: histograms over digits instead of sorted groups.
 
-A value is a long. Its digits of 16 bits are looked at from the top; a pass counts
+A value is a long. Its digits of 16 bits are looked at from the highest bit that differs; a pass counts
 each group's rows by digit (a sum that merges before the shuffle), finds the digit
 that holds the wanted place and goes on inside of it. So no task ever sorts
 a group: a pass works on at most 65,536 counts of each, whatever the distribution.
@@ -49,8 +49,10 @@ def kth(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame) -> Data
     ``wanted`` has the keys and ``place`` (from 1, no more than the group has rows).
     n rows of the group have the value; the ``need``-th of them is at the place.
     """
-    lows = rows.agg(F.min(value), F.max(value)).first()
-    shifts = [s for s in (48, 32, 16) if lows[0] is not None and lows[0] >> s != lows[1] >> s]
+    low, high = rows.agg(F.min(value), F.max(value)).first()
+    # The first digit begins at the highest bit that differs, so that it parts the values as finely as it can.
+    span = 0 if low is None else 64 if (low < 0) != (high < 0) else (low ^ high).bit_length()
+    shifts = range(span - DIGIT, 0, -DIGIT)
     at = wanted.select(*keys, "place", F.col("place").alias("need"), F.lit(0).cast("long").alias("_prefix"))
     above = None
     for shift in [*shifts, 0]:
