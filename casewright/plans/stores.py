@@ -249,9 +249,13 @@ def _fingerprints(s, d):
 
 
 def _breaker(s, d):
-    """The longest open run of failures of each user as the stream leaves it, and whether three in a row ever tripped it."""
-    events = streams.event_stream(s, d).select(F.col("user_id").cast("string").alias("user"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"))
-    return streams.run_available(streams.failure_breaker(events, "user", 3), _place(s, "breaker"), "update").select(F.col("user").cast("bigint").alias("user_id"), F.col("failures").cast("bigint").alias("failures"), "tripped")
+    """The open run of failures of each user as the stream leaves it, and whether three in a row ever tripped it.
+
+    All files come in one batch: their order need not be that of the ids.
+    """
+    events = streams.event_stream(s, d, 1_000_000).select("user_id", "event_id", (F.col("event_type") != "error").alias("ok"))
+    kept = streams.keep_runs(events, _place(s, "breaker"), "user_id", 3, seq="event_id").read()
+    return kept.select("user_id", F.col("tail").alias("failures"), (F.col("most") >= 3).alias("tripped"))
 
 
 BREAKER_SQL = "WITH i AS (SELECT user_id, event_id, event_type <> 'error' AS ok, sum(CAST(event_type <> 'error' AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events), c AS (SELECT user_id, island, count(*) FILTER (NOT ok) AS run FROM i GROUP BY 1, 2) SELECT user_id, CAST(arg_max(run, island) AS BIGINT) AS failures, max(run) >= 3 AS tripped FROM c GROUP BY 1"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from casewright.operators import catalog as G
 from casewright.operators import learning, textmetrics
 from casewright.session import checkpoint_dir, table
+from casewright.sources.keyed import KeyedStore
 from casewright.streaming import streams
 
 R = lambda c: F.round(c, 6)
@@ -48,8 +49,35 @@ def _scores(s, d):
     return learning.scored(model, rows, ["o_orderkey"])
 
 
-def _stream(s, d, build, mode):
-    return streams.run_available(build(streams.event_stream(s, d)), f"{checkpoint_dir(s)}/stream-{uuid.uuid4().hex}", mode)
+def _folder(s) -> str:
+    return f"{checkpoint_dir(s)}/stream-{uuid.uuid4().hex}"
+
+
+def _case_stream(s, d):
+    """Line items as trace entries: returned ones are failures, some accepted ones close their case."""
+    flag = F.col("l_returnflag")
+    state = F.when((flag == "R") & (F.col("l_quantity") > 45), "error").when((flag == "A") & (F.col("l_linenumber") > 2), "completed").when((flag == "N") & (F.col("l_discount") > 0.09), "needs_human_review").otherwise("started")
+    seq = F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")
+    entries = streams.file_stream(s, f"{d.rstrip('/')}/lineitem.parquet").select(F.col("l_orderkey").alias("case_id"), seq.alias("seq"), state.alias("state"))
+    kept = streams.keep_case_states(entries, _folder(s)).read()
+    return kept.select("case_id", "status", "n", F.coalesce(F.col("last") > F.col("closed_at"), F.lit(False)).alias("went_on"))
+
+
+CASE_STREAM_SQL = "WITH e AS (SELECT l_orderkey AS case_id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS seq, CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN 'error' WHEN l_returnflag = 'A' AND l_linenumber > 2 THEN 'completed' WHEN l_returnflag = 'N' AND l_discount > CAST(0.09 AS DOUBLE) THEN 'needs_human_review' ELSE 'started' END AS state FROM lineitem), c AS (SELECT case_id, seq, state FROM e WHERE state <> 'started' QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY seq, state) = 1) SELECT e.case_id, coalesce(max(c.state), 'open') AS status, count(*) AS n, coalesce(max(e.seq) > max(c.seq), false) AS went_on FROM e LEFT JOIN c ON e.case_id = c.case_id GROUP BY 1"
+
+
+def _rounds(s, d):
+    """Rounds over the events until every user has a good purchase, or two rounds bring none."""
+    folder = _folder(s)
+    users = table(s, d, "events").select("user_id").distinct().count()
+    good = lambda: streams.event_stream(s, d).where("event_type = 'purchase' and event_id % 20 = 0").select("user_id", "event_id")
+    found = KeyedStore(s, f"{folder}/first", ["user_id"], "user_id bigint, event_id bigint")
+    log = KeyedStore(s, f"{folder}/rounds", ["round"], streams.ROUND, buckets=1)
+    streams.supervise(log, lambda n: streams.keep_first(good(), folder, ["user_id"], "event_id"), lambda: (found.read().count(), users), max_rounds=9, max_idle=2)
+    return log.read().select("round", "phase", "done", "total", "fresh", "idle")
+
+
+ROUNDS_SQL = "WITH p AS (SELECT count(DISTINCT user_id) AS total, count(DISTINCT user_id) FILTER (event_type = 'purchase' AND event_id % 20 = 0) AS done FROM events), r AS (SELECT CAST(unnest(range(1, 4)) AS BIGINT) AS round) SELECT round, CASE WHEN done = total THEN 'complete' WHEN done = 0 AND round = 2 OR round = 3 THEN 'no_progress' ELSE 'round_finished' END AS phase, done, total, CASE WHEN round = 1 THEN done ELSE 0 END AS fresh, CAST(CASE WHEN done = 0 THEN round ELSE round - 1 END AS BIGINT) AS idle FROM p, r WHERE (done < total OR round = 1) AND (done > 0 OR round < 3)"
 
 
 def _window(df):
@@ -65,8 +93,10 @@ ALL = {
     "extract_json_object": (_json, "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) END AS k FROM events"),
     "scrub_text": (_scrubbed, None),
     "ml_scores": (_scores, None),
-    "stream_latest_attempt": (lambda s, d: _stream(s, d, lambda e: streams.latest_by_key(e.select("user_id", "event_id", "event_type"), "user_id", "event_id"), "complete"), "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1"),
-    "stream_dedup": (lambda s, d: _stream(s, d, lambda e: streams.first_by_key(e.select("user_id", "event_type", "ts"), ["user_id", "event_type"], late="100000 hours"), "append").select("user_id", "event_type"), "SELECT DISTINCT user_id, event_type FROM events"),
+    "stream_latest_attempt": (lambda s, d: streams.keep_latest(streams.event_stream(s, d).select("user_id", "event_id", "event_type"), _folder(s), "user_id", "event_id").read(), "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1"),
+    "stream_dedup": (lambda s, d: streams.keep_first(streams.event_stream(s, d).select("user_id", "event_type", "event_id"), _folder(s), ["user_id", "event_type"], "event_id").read().select("user_id", "event_type"), "SELECT DISTINCT user_id, event_type FROM events"),
+    "stream_case_states": (_case_stream, CASE_STREAM_SQL),
+    "stream_rounds": (_rounds, ROUNDS_SQL),
     "ext_tumbling_counts": (lambda s, d: _window(streams.tumbling(table(s, d, "events"), "1 hour")), "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "ext_sliding_counts": (lambda s, d: _window(streams.tumbling(table(s, d, "events"), "1 hour", "30 minutes")), "SELECT epoch_us(b - k * INTERVAL 30 MINUTE) AS start_us, event_type, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) AS b FROM events) CROSS JOIN range(2) r(k) GROUP BY 1, 2"),
     "ext_sessions": (lambda s, d: streams.sessions(table(s, d, "events"), "user_id", "30 minutes").select("user_id", F.unix_micros(F.col("session_window.start").cast("timestamp")).alias("start_us"), "n"), "SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, k"),

@@ -11,7 +11,6 @@ from casewright.functions import groups, hashing, leak, taxonomy, values
 from casewright.operators import campaign, cases, catalog, metrics, payloads, run, sampling, textmetrics, training
 from casewright.plans.views import v_attempt, v_doc, v_manifest
 from casewright.sources import files
-from casewright.streaming import streams
 
 
 def one(spark, column, **row):
@@ -174,13 +173,6 @@ def test_csv_row_ids_and_inventory(spark, tmp_path):
     assert files.inventory_hash(files.inventory(spark, str(tmp_path / "x.csv"))).first().n_files == 1
 
 
-def test_stream_latest_equals_batch(spark, data, tmp_path):
-    stream = streams.latest_by_key(streams.event_stream(spark, data).select("user_id", "event_id"), "user_id", "event_id")
-    found = streams.run_available(stream, str(tmp_path / "c"), "complete")
-    want = campaign.latest(v_attempt(spark, data), ["manifest_id"]).select("manifest_id", "seq")
-    assert sorted(map(tuple, found.select("user_id", "event_id").collect())) == sorted(map(tuple, want.collect()))
-
-
 def test_plans_prune_and_push(spark, data):
     plan = v_attempt(spark, data).where("manifest_id = 3").select("seq")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,3)]" in plan and "event_type" not in plan
