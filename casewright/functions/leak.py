@@ -41,6 +41,13 @@ ALLOWED_PATHS = (
     "telemetry_context.mqtt_message.type", "service_context.icmp.type", "service_context.dns.type", "service_context.dns.qry.type", "telemetry_context.iot_sensor.type", "telemetry_context.dns.query.type",
     "telemetry_context.sensor_data.type", "host_context.interface.type", "telemetry_context.geolocation.type", "service_context.process.type", "feature_groups.other.execution_class", "host_context.metric_category",
 )
+#: Technical fields of raw rows that look like targets and are none.
+RAW_FIELDS = (
+    "protocol_family", "query_class", "metric_category", "execution_class", "dns_query_type", "dns_qry_type", "mqtt_message_type", "icmp_type", "process_type", "interface_type", "iot_sensor_type", "sensor_data_type", "geolocation_type",
+)
+#: Top-level fields of an event whose texts may not be target values, and those whose texts may not assign one.
+VALUE_CONTAINERS = ("telemetry", "host", "service_context", "host_context", "telemetry_context", "behavior_tags", "uncertainty", "asset_context", "traffic_direction", "transport_proto", "app_proto")
+TEXT_FIELDS = ("semantic_text", "anomaly_summary")
 #: Features that never reach the models.
 FORBIDDEN_PREFIXES = ("origin.", "attack_indicator.", "semantic_hint.", "behavior.", "uncertainty.", "asset_context.")
 FORBIDDEN_KEYS = ("attack_indicator_count", "behavior_tag_count", "uncertainty_count")
@@ -78,6 +85,16 @@ def is_allowed_path(path: Column) -> Column:
     return F.lower(path).isin(*ALLOWED_PATHS)
 
 
+def root_of(path: Column) -> Column:
+    """The top-level field of a dotted path."""
+    return F.regexp_extract(path, r"^[^.\[]*", 0)
+
+
+def names_columns(path: Column) -> Column:
+    """Lists whose items are names of columns."""
+    return (path == "evidence_fields") | path.startswith("feature_groups.")
+
+
 def is_allowed_feature(name: Column) -> Column:
     """False for features by forbidden prefixes or keys, which are derived from targets or identity."""
     return ~(reduce(lambda a, b: a | b, (name.startswith(p) for p in FORBIDDEN_PREFIXES)) | name.isin(*FORBIDDEN_KEYS))

@@ -120,9 +120,8 @@ def json_object(text: Column) -> Column:
 
 def tidied(text: Column) -> Column:
     """A text without what removed assignments leave around them, in the JVM."""
-    for pattern, by in payloads.LOOSE:
-        text = F.regexp_replace(text, f"(?U){pattern}", by)
-    return F.regexp_replace(text, payloads.ENDS, "")
+    single = F.regexp_replace(text, r"(?U)\s+", " ")
+    return F.regexp_replace(F.regexp_replace(single, payloads.PARTS_NOTHING, ""), payloads.ENDS, "")
 
 
 @F.pandas_udf(T.StringType())
@@ -138,7 +137,7 @@ def scrub_text(text: Column) -> Column:
     """
     is_json = F.coalesce(text.rlike(r"^\s*[{\[]"), F.lit(False)) & F.try_parse_json(text).isNotNull()
     plain = F.when(has_target_text(text), without_assignments(F.when(has_target_text(text) & ~is_json, text))).otherwise(text)
-    return F.when(is_json, payloads.sanitized(F.when(is_json, text))).otherwise(tidied(plain))
+    return F.when(is_json, payloads.sanitized(F.when(is_json, text), payloads.KEYS_ONLY)).otherwise(tidied(plain))
 
 
 scrub = payloads.scrub  # the same for one string

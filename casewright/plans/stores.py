@@ -105,14 +105,23 @@ def _inventory(s, d):
 
 
 def _nested(s, d):
+    """Customers as canonical payloads: nested targets, values inside and outside of the containers, column names, assignments in texts."""
     c, k = table(s, d, "customer"), F.col("c_custkey").cast("string")
-    last = F.when(F.col("c_custkey") % 7 == 0, "DDoS").otherwise(F.lower("c_mktsegment"))
     label = F.when(F.col("c_custkey") % 3 == 0, "").otherwise("x")
-    js = F.concat(F.lit('{"id":'), k, F.lit(',"label":"'), label, F.lit('","ctx":{"dns":{"type":"A"},"threat":{"level":'), F.col("c_nationkey").cast("string"), F.lit('}},"service_context":{"dns":{"type":"AAAA"}},"items":[{"attack":"y","v":'), k, F.lit('},"'), last, F.lit('"],"note":"keep label=bad now"}'))
+    proto = F.when(F.col("c_custkey") % 7 == 0, "DDoS").otherwise(F.lower("c_mktsegment"))
+    column = F.when(F.col("c_custkey") % 5 == 0, "attack_cat").otherwise(F.lower("c_name"))
+    note = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("seen label="), F.lower("c_mktsegment"))).otherwise(F.lower("c_mktsegment"))
+    js = F.concat(
+        F.lit('{"id":'), k, F.lit(',"label":"'), label, F.lit('","ctx":{"dns":{"level":"A"},"threat":{"level":'), F.col("c_nationkey").cast("string"), F.lit('}},"service_context":{"dns":{"type":"AAAA"},"protocol_family":"x"},"items":[{"attack":"y","v":'), k,
+        F.lit('},"DDoS"],"host":{"tags":["'), proto, F.lit('"]},"evidence_fields":["bytes","'), column, F.lit('"],"feature_groups":{"flow":["'), column, F.lit('"]},"semantic_text":"'), note, F.lit('"}'),
+    )
     return c.select("c_custkey", js.alias("js"))
 
 
-_LAST = "CASE WHEN c_custkey % 7 = 0 THEN '' ELSE ',\"' || lower(c_mktsegment) || '\"' END"
+NESTED_SQL = "SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 5 = 0 THEN 'column:evidence_fields[1],column:feature_groups.flow[0]' END, 'field:ctx.threat,field:items[0].attack', CASE WHEN c_custkey % 3 <> 0 THEN 'field:label' END, CASE WHEN c_custkey % 4 = 0 THEN 'text:semantic_text' END, CASE WHEN c_custkey % 7 = 0 THEN 'value:host.tags[0]' END) AS paths FROM customer"
+CLEAN_SQL = """SELECT c_custkey, '{"id":' || c_custkey || ',"ctx":{"dns":{"level":"A"}},"service_context":{"dns":{"type":"AAAA"},"protocol_family":"x"},"items":[{"v":' || c_custkey || '},"DDoS"],"host":{"tags":[' || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE '"' || lower(c_mktsegment) || '"' END || ']},"evidence_fields":["bytes"' || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE ',"' || lower(c_name) || '"' END || '],"feature_groups":{"flow":[' || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '"' || lower(c_name) || '"' END || ']},"semantic_text":"' || CASE WHEN c_custkey % 4 = 0 THEN 'seen' ELSE lower(c_mktsegment) END || '"}' AS clean FROM customer"""
+PLACES_SQL = "SELECT c_custkey, 'ctx.threat,items[0].attack,label,service_context.protocol_family' AS places FROM customer"
+SCRUB_SQL = """SELECT c_custkey, '{"id":' || c_custkey || ',"ctx":{"dns":{"level":"A"}},"service_context":{"dns":{}},"items":[{"v":' || c_custkey || '},"DDoS"],"host":{"tags":["' || CASE WHEN c_custkey % 7 = 0 THEN 'DDoS' ELSE lower(c_mktsegment) END || '"]},"evidence_fields":["bytes","' || CASE WHEN c_custkey % 5 = 0 THEN 'attack_cat' ELSE lower(c_name) END || '"],"feature_groups":{"flow":["' || CASE WHEN c_custkey % 5 = 0 THEN 'attack_cat' ELSE lower(c_name) END || '"]},"semantic_text":"' || CASE WHEN c_custkey % 4 = 0 THEN 'seen' ELSE lower(c_mktsegment) END || '"}' AS clean FROM customer"""
 
 
 # Stores and runs
@@ -293,8 +302,10 @@ ALL = {
     "jsonl_offset_limit": (_lines, sql("SELECT line, seq, state FROM (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS line FROM v_attempt) WHERE line >= 100 AND seq % 7 <> 0 ORDER BY line LIMIT 50")),
     "sink_selected": (_sink, sql("SELECT class AS dataset, split, count(*) AS n, count(*) FILTER (is_attack) AS n_attack, CAST(sum(manifest_id) AS BIGINT) AS ids FROM v_manifest GROUP BY 1, 2")),
     "file_inventory": (_inventory, "SELECT CAST(length(n_name) + 1 AS BIGINT) AS n_bytes, sha256(n_name || chr(10)) AS sha256 FROM nation"),
-    "nested_leak_paths": (lambda s, d: _nested(s, d).select("c_custkey", F.array_join(payloads.violations(F.col("js")), ",").alias("paths")), "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'label,' END || 'ctx.threat,items[0].attack' || CASE WHEN c_custkey % 7 = 0 THEN ',items[1]' ELSE '' END AS paths FROM customer"),
-    "sanitize_nested": (lambda s, d: _nested(s, d).select("c_custkey", payloads.sanitized(F.col("js")).alias("clean")), f"""SELECT c_custkey, '{{"id":' || c_custkey || ',"ctx":{{"dns":{{}}}},"service_context":{{"dns":{{"type":"AAAA"}}}},"items":[{{"v":' || c_custkey || '}}' || {_LAST} || '],"note":"keep"}}' AS clean FROM customer"""),
+    "nested_leak_paths": (lambda s, d: payloads.violations(_nested(s, d), "c_custkey", "js").select("c_custkey", F.array_join("violations", ",").alias("paths")), NESTED_SQL),
+    "nested_target_places": (lambda s, d: payloads.target_places(_nested(s, d), "c_custkey", "js").select("c_custkey", F.array_join("places", ",").alias("places")), PLACES_SQL),
+    "sanitize_nested": (lambda s, d: _nested(s, d).select("c_custkey", payloads.sanitized(F.col("js")).alias("clean")), CLEAN_SQL),
+    "scrub_payload": (lambda s, d: _nested(s, d).select("c_custkey", payloads.sanitized(F.col("js"), payloads.KEYS_ONLY).alias("clean")), SCRUB_SQL),
     "cache_evict": (_evict, sql(", k AS (SELECT DISTINCT fp AS content_hash, sha256(dataset) AS pipeline_hash FROM v_doc), q AS (SELECT fp AS content_hash, sha256(dataset) AS pipeline_hash FROM v_doc WHERE label = 0) SELECT k.* FROM k WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.content_hash = k.content_hash AND q.pipeline_hash = k.pipeline_hash)")),
     "persist_cases": (_persist, sql(PERSIST_SQL)),
     "case_run": (_run, sql(f", {RUN_SQL} SELECT fc.case_id, trace_n, has_judge, has_classifier, has_mitigator, trace_errors, status, CAST(CASE WHEN issues = '' THEN 0 ELSE len(string_split(issues, ',')) END AS BIGINT) AS n_issues, verdict, n_failed FROM fc JOIN vc ON fc.case_id = vc.case_id")),

@@ -154,7 +154,7 @@ def test_scrub(raw, want):
 def test_flat_and_nested_sanitizers_agree(spark):
     m = {"label": "x", "v": "ddos", "keep": "1", "threat_x": "2"}
     flat = spark.createDataFrame([(m,)], "m map<string,string>").select(leak.sanitize_flat(F.col("m")).alias("m")).first().m
-    assert flat == payloads.pruned(dict(m), payloads.targets(m)) == {"keep": "1"}
+    assert flat == payloads.pruned(dict(m), payloads.targets(m, payloads.RAW, "row")) == {"keep": "1"}
 
 
 def test_manifests_and_attempts(spark, tmp_path):
@@ -291,14 +291,60 @@ def test_scrub_column_equals_the_plain_form(spark, raw):
     assert one(spark, textmetrics.scrub_text(F.col("t")), t=raw) == textmetrics.scrub(raw)
 
 
-def test_payload_policy():
-    tree = {"type": "a", "dns": {"type": "b"}, "rows": [{"label": "", "v": "ddos"}, "XSS"]}
-    names = lambda **k: [payloads.dotted(p) for p in payloads.targets(tree, **k)]
-    assert names() == ["type", "dns.type", "rows[0].label", "rows[0].v", "rows[1]"]
-    assert names(offline=False, blanks=False) == ["rows[0].v", "rows[1]"]
-    assert names(allowed=lambda p: p == ("dns", "type")) == ["type", "rows[0].label", "rows[0].v", "rows[1]"]
-    assert names(values=lambda p: p[0] != "rows") == ["type", "dns.type", "rows[0].label"]
-    assert payloads.pruned(tree, payloads.targets(tree)) == {"dns": {}, "rows": [{}]}
+def test_payload_policies():
+    tree = {"type": "a", "dns": {"type": "b"}, "service_context": {"dns": {"type": "c"}, "x": "ddos"}, "rows": [{"label": "", "v": "ddos"}, "XSS"], "evidence_fields": ["label", "n"]}
+    dotted = lambda p: "".join(f"[{x}]" if isinstance(x, int) else f".{x}" for x in p)[1:]
+    found = lambda *a, **k: [dotted(p) for p in payloads.targets(tree, *a, **k)]
+    assert found() == ["type", "dns.type", "service_context.x", "rows[0].label", "evidence_fields[0]"]
+    assert found(offline=False) == ["service_context.x", "rows[0].label", "evidence_fields[0]"]
+    assert found(payloads.KEYS_ONLY) == ["type", "dns.type", "service_context.dns.type", "rows[0].label"]
+    assert found(payloads.RAW, "row") == ["type", "dns.type", "service_context.dns.type", "service_context.x", "rows[0].label", "rows[0].v", "rows[1]"]
+    own = payloads.Policy(allowed=lambda p: p == "dns.type", values=lambda p: p.startswith("rows"))
+    assert found(own) == ["type", "service_context.dns.type", "rows[0].label", "rows[0].v", "rows[1]"]
+    assert payloads.pruned(tree, payloads.targets(tree, payloads.KEYS_ONLY)) == {"dns": {}, "service_context": {"dns": {}, "x": "ddos"}, "rows": [{"v": "ddos"}, "XSS"], "evidence_fields": ["label", "n"]}
+
+
+@pytest.mark.parametrize("raw,want", [('["DDoS","x"]', '["DDoS","x"]'), ('{"app":{"name":"benign"}}', '{"app":{"name":"benign"}}'), ('{"service_context":{"dns":{"type":"A","x": 1}}}', '{"service_context":{"dns":{"x":1}}}'), ('{"t": "label=a b, c", "u": "[{\\"label\\": 1}]"}', '{"t":"c","u":"[{}]"}'), ('{ "a" : 1 }', '{ "a" : 1 }')])
+def test_scrubbing_takes_names_only(raw, want):
+    assert payloads.scrub(raw) == want
+
+
+@pytest.mark.parametrize("raw,want", [('{"row":{"query_class":"A","note":"DDoS","type":"x"}}', '{"row":{"query_class":"A"}}'), ('{"service_context":{"dns":{"type":"xss"}},"text":"MITM"}', '{"service_context":{"dns":{}}}'), ('{"icmp_type":3,"other":"ddos"}', '{"icmp_type":3,"other":"ddos"}')])
+def test_raw_inputs_keep_technical_fields(raw, want):
+    assert payloads.cleaned(raw, payloads.RAW) == want
+
+
+VIOLATIONS = [
+    ('{"label":"x","n":{"threat":0,"class":null,"family":[],"y":""}}', ["field:label", "field:n.threat"]),
+    ('{"attack_indicators":["a"],"service_context":{"protocol_family":"x"},"other":{"protocol_family":"x"}}', ["field:other.protocol_family"]),
+    ('{"evidence_fields":["label","bytes"],"feature_groups":{"flow":["y",["attack"]],"n":"label"},"lists":["label"]}', ["column:evidence_fields[0]", "column:feature_groups.flow[0]", "column:feature_groups.flow[1][0]"]),
+    ('{"host":"DDoS","telemetry":{"a":[{"b":"SQL injection"},7]},"items":["xss"],"app_proto":"benign","hosts":"ddos"}', ["value:app_proto", "value:host", "value:telemetry.a[0].b"]),
+    ('{"semantic_text":"seen label=1","anomaly_summary":{"x":["type: dos"]},"note":"label=1"}', ["text:anomaly_summary.x[0]", "text:semantic_text"]),
+    ('[{"label":1}]', ["field:[0].label"]), ('{"a.b":{"label":true}}', ["field:a.b.label"]), ("not json", []), ('"label=1"', []), ("{}", []), (None, []),
+]
+
+
+def test_scrub_text_query_reads_whole_texts(spark, tmp_path):
+    texts = ["w " * 150 + "label=bad end", "w " * 3000 + 'attack="x y" end', "short"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.clean for r in registry.queries()["scrub_text"](spark, str(tmp_path)).collect()}
+    assert got == {k: payloads.scrub(f'a=1 label="x y", {t} type={{a:[1,2]}} z=2') for k, t in enumerate(texts)}
+    assert all("bad" not in c and "x y" not in c for c in got.values()) and all(c.count("w ") >= n for c, n in zip((got[0], got[1]), (149, 2999), strict=True))
+
+
+def test_canonical_violations_in_the_jvm(spark):
+    rows = spark.createDataFrame([(k, js) for k, (js, _) in enumerate(VIOLATIONS)], "k long, js string")
+    found = payloads.violations(rows, "k", "js")
+    assert {r.k: r.violations for r in found.collect()} == {k: want for k, (_, want) in enumerate(VIOLATIONS)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "UnionLoop" in plan
+    loose = payloads.violations(rows, "k", "js", allowed=lambda p: F.lit(True), values=lambda p: F.lit(True))
+    assert {r.k: r.violations for r in loose.collect()}[3] == ["value:app_proto", "value:host", "value:hosts", "value:items[0]", "value:telemetry.a[0].b"]
+    deep = '{"a":' * 60 + '{"label":[1]}' + "}" * 60
+    one_row = spark.createDataFrame([(1, deep)], "k long, js string")
+    assert payloads.violations(one_row, "k", "js").first().violations == ["field:" + "a." * 60 + "label"]
+    places = payloads.target_places(rows, "k", "js")
+    assert {r.k: r.places for r in places.collect()}[0] == ["label", "n.class", "n.family", "n.threat", "n.y"]
 
 
 @settings(max_examples=15, deadline=None)
