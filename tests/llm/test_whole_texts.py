@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import corpus_pipeline
 from casewright.llm import decontam, secrets
-from casewright.operators import textmetrics
-from casewright.plans.texts import QUERIES
 from casewright.session import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -67,11 +65,3 @@ def test_documents_with_few_words_of_their_own_stay(spark, data):
     rows = [(k, t, "en", f"s{k}", len(t)) for k, t in enumerate(texts)]
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, DOCS), data).collect()}
     assert got == {0: lines, 6: "a note\n", 7: "short", 8: ""}  # 1 to 5 have no word left
-
-
-def test_scrub_text_query_reads_whole_texts(spark, tmp_path):
-    texts = ["w " * 150 + "label=bad end", "w " * 3000 + 'attack="x y" end', "short"]
-    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.clean for r in QUERIES["scrub_text"](spark, str(tmp_path)).collect()}
-    assert got == {k: textmetrics.scrub(f'a=1 label="x y", {t} type={{a:[1,2]}} z=2') for k, t in enumerate(texts)}
-    assert all("bad" not in c and "x y" not in c for c in got.values()) and all(c.count("w ") >= n for c, n in zip((got[0], got[1]), (149, 2999), strict=True))
