@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from casewright.functions import hashing
 from casewright.functions.taxonomy import TYPES_16, VERSION_16
 from casewright.operators import campaign as C
 from casewright.operators import cases as K
 from casewright.operators import catalog as G
-from casewright.session import stored, table
+from casewright.operators import standardize
+from casewright.session import checkpoint_dir, stored, table
 
 from .views import TRACE_SQL, sql, v_case, v_cat, v_trace
 
@@ -194,12 +198,44 @@ def _projection(s, d):
     return j.select("case_id", "status", F.when(~F.col("det_abstain"), F.col("is_malicious")).alias("is_malicious"), F.col("judge_label").alias("label"), R("judge_confidence").alias("confidence"), F.when(F.col("is_malicious") & ~F.col("det_abstain"), F.col("cls_type")).alias("attack_type"))
 
 
+PIPELINE = hashing.pipeline_hash({"stage": "standardize", "version": "1"})
+
+
+def _scorer(frames):
+    """A stand-in for a model: the band of a row decides what comes of it."""
+    import pandas as pd
+
+    for frame in frames:
+        out = []
+        for key, row in zip(frame["content_hash"], frame["row"], strict=True):
+            row = dict(row)
+            band = int(row["band"])
+            event = {"app_proto": row["kind"], "mapping_confidence": "0.9"} | ({"label": "x"} if band % 7 == 5 else {}) | ({"colour": "red"} if band % 11 == 4 else {})
+            ok = band % 7 != 3
+            out.append((key, ok, False, None if ok else "model_error", "mistral", "m", ["kind"] if band % 13 else ["none"], ["parsed_by_llm", "source:mistral_live"], 0.9 if ok else None, event))
+        yield pd.DataFrame(out, columns=["content_hash", "ok", "abstain", "failure", "provider", "model", "selected", "notes", "confidence", "event"])
+
+
 def _standardize(s, d):
-    """Cache by content; a miss is scored once for each content, and every case gets its own identity back."""
-    c = v_case(s, d).withColumn("content", F.sha2(F.concat_ws("|", "profile", "type", F.floor(F.col("price") / 10000).cast("string")), 256))
-    cached = c.where("case_id % 4 = 0").select("content").distinct().withColumn("in_cache", F.lit(True))
-    met = c.join(cached, "content", "left").withColumn("hit", F.coalesce("in_cache", F.lit(False)))
-    return met.groupBy("profile").agg(N(), F.count_if("hit").alias("n_hit"), F.countDistinct(F.when(~F.col("hit"), F.col("content"))).alias("n_scored"))
+    """Cases through the stage, with answers of some contents in the store beforehand, some of them spoiled; a few cases have no profile."""
+    c = v_case(s, d)
+    row = F.create_map(F.lit("band"), F.floor(F.col("price") / 10000).cast("string"), F.lit("kind"), F.col("type"), F.lit("seg"), F.col("profile"))
+    empty = F.create_map().cast("map<string,string>")
+    records = c.select(F.col("case_id").alias("record_id"), F.when(F.col("case_id") % 97 != 0, F.col("profile")).alias("dataset"), F.lit("test").alias("split"), F.lit("orders").alias("source_file"), F.col("case_id").cast("string").alias("row_id"), F.when(F.col("case_id") % 89 == 0, empty).otherwise(row).alias("row"), F.lit(None).cast("string").alias("text"))
+    store = standardize.answers(s, f"{checkpoint_dir(s)}/answers-{uuid.uuid4().hex}")
+    known = records.where("record_id % 4 = 0 and size(row) > 0").select(standardize.content(F.col("row"), F.col("text")).alias("content_hash"), "row").dropDuplicates(["content_hash"])
+    spoiled = F.col("row")["band"].cast("int") % 5 == 0
+    store.insert_first(known.select("content_hash", F.lit(PIPELINE).alias("pipeline_hash"), F.create_map(F.lit("app_proto"), F.col("row")["kind"]).alias("event"), F.array(F.lit("kind")).alias("selected"), F.lit("m").alias("model"), F.when(~spoiled, 0.7).alias("confidence")))
+    out = standardize.standardize(records, store, _scorer, PIPELINE)
+    return out.groupBy("lookup", "store", "route", F.coalesce("failure", F.lit("")).alias("failure")).agg(N(), F.countDistinct("content_hash").alias("n_contents"), R(F.sum("confidence")).alias("confidence"))
+
+
+STANDARDIZE_SQL = """, r AS (SELECT case_id, CASE WHEN case_id % 97 <> 0 THEN profile END AS dataset, case_id % 89 <> 0 AS filled, CAST(floor(price / 10000) AS BIGINT) AS band, type, profile FROM v_case),
+k AS (SELECT DISTINCT band, type, profile FROM r WHERE case_id % 4 = 0 AND filled),
+m AS (SELECT r.*, dataset IS NULL OR NOT filled AS refused, k.band IS NOT NULL AS known FROM r LEFT JOIN k ON r.band = k.band AND r.type = k.type AND r.profile = k.profile),
+o AS (SELECT *, CASE WHEN refused THEN 'refused' WHEN known AND band % 5 <> 0 THEN 'hit' WHEN known THEN 'invalidated' ELSE 'miss' END AS lookup FROM m),
+f AS (SELECT *, CASE WHEN dataset IS NULL THEN 'standardization_input_invalid' WHEN refused THEN 'standardization_input_missing' WHEN lookup = 'hit' THEN '' WHEN band % 7 = 3 THEN 'model_error' WHEN band % 13 = 0 THEN 'columns_unknown' WHEN band % 11 = 4 THEN 'event_fields_unknown' WHEN band % 7 = 5 THEN 'event_leaks' ELSE '' END AS failure FROM o)
+SELECT lookup, CASE WHEN lookup IN ('refused', 'hit') THEN 'none' WHEN failure <> '' THEN 'not_attempted' ELSE 'inserted' END AS store, CASE WHEN failure = '' THEN 'final_detector' ELSE 'final_judge' END AS route, failure, count(*) AS n, count(DISTINCT CASE WHEN filled THEN (band, type, profile) END) AS n_contents, round(sum(CASE WHEN failure <> '' THEN 0 WHEN lookup = 'hit' THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END), 6) AS confidence FROM f GROUP BY 1, 2, 3, 4"""
 
 
 def _bases(s, d):
@@ -309,7 +345,7 @@ ALL = {
     "mutation_detection": (_mutations, sql(_mutation_sql())),
     "case_route": (lambda s, d: K.route(flat_cases(s, d)).groupBy("path").agg(N()), sql(f", {FLAT_SQL} SELECT {PATH_SQL} AS path, count(*) AS n FROM (SELECT *, NOT ingest_abstain AND coalesce(mapping_confidence, 0) >= {_D(0.5)} AS g1, NOT det_abstain AND coalesce(is_malicious, false) AS g2 FROM flat) GROUP BY 1")),
     "case_projection": (_projection, sql(f", {JUDGED_SQL} SELECT case_id, status, CASE WHEN NOT det_abstain THEN is_malicious END AS is_malicious, judge_label AS label, round(judge_confidence, 6) AS confidence, CASE WHEN is_malicious AND NOT det_abstain THEN cls_type END AS attack_type FROM fc")),
-    "stage_standardize": (_standardize, sql(", c AS (SELECT *, sha256(profile || '|' || type || '|' || CAST(floor(price / 10000) AS BIGINT)) AS content FROM v_case), h AS (SELECT DISTINCT content FROM c WHERE case_id % 4 = 0) SELECT profile, count(*) AS n, count(h.content) AS n_hit, count(DISTINCT CASE WHEN h.content IS NULL THEN c.content END) AS n_scored FROM c LEFT JOIN h ON c.content = h.content GROUP BY 1")),
+    "stage_standardize": (_standardize, sql(STANDARDIZE_SQL)),
     "stage_mitigate": (_mitigate, sql(f", {FLAT_SQL} SELECT state, CASE WHEN state = 'catalog' THEN cls_type END AS attack_type, count(*) AS n, count(*) FILTER (exp_review) AS n_review FROM (SELECT *, {MITIGATE} AS state FROM flat) GROUP BY 1, 2")),
     "case_with_trace": (_case_trace, sql(SEQ_SQL + " SELECT c.case_id, status, coalesce(n_trace, 0) AS n_trace, coalesce(stages, '') AS stages FROM v_case c LEFT JOIN (SELECT case_id, count(*) AS n_trace, string_agg(CAST(stage AS VARCHAR), ',' ORDER BY seq) AS stages FROM sq GROUP BY 1) t ON c.case_id = t.case_id")),
     "trace_sequence": (lambda s, d: _seq(s, d).select("case_id", "seq", "stage", "started_us"), sql(SEQ_SQL + " SELECT case_id, seq, stage, started_us FROM sq")),
