@@ -1,10 +1,10 @@
-"""Model training and scoring over sparse features, with Spark ML."""
+"""Detectors as Spark ML pipelines, and checks of their scores; ``boosting`` has the many-class model over sparse vectors."""
 
 from __future__ import annotations
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest
-from pyspark.ml.feature import FeatureHasher, StringIndexer
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import FeatureHasher
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +17,6 @@ def detector(columns: list[str], label: str = "label", trees: int = 20, depth: i
     return Pipeline(stages=[hasher, model])
 
 
-def classifier(columns: list[str], label: str, trees: int = 40, depth: int = 6, seed: int = 42) -> Pipeline:
-    """Hashed features and boosted trees for many classes, one forest for each class against the rest; ``prediction`` is the index of the best."""
-    boosted = GBTClassifier(featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed)
-    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep", stringOrderType="alphabetAsc"), FeatureHasher(inputCols=columns, outputCol="features", numFeatures=256), OneVsRest(classifier=boosted, labelCol="_label", featuresCol="features")])
-
-
 def scored(model: PipelineModel, rows: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` and the probability of class 1."""
     return model.transform(rows).select(*keep, vector_to_array("probability")[1].alias("probability"))

@@ -9,6 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.session import stored
 from casewright.sources import files
 
 from . import campaign, learning, metrics, sampling
@@ -35,7 +36,7 @@ class Trained:
 
 def train(rows: DataFrame, pipeline: Pipeline, seed: str = "42", threshold: float = 0.5) -> Trained:
     """Prepare, check, fit on the training split and score all splits; raises if a check finds something."""
-    ready = prepared(rows.withColumn("label", F.col("label").cast("boolean")), seed)
+    ready = stored(prepared(rows.withColumn("label", F.col("label").cast("boolean")), seed), "training-rows")
     found = problems(ready).limit(5).collect()
     if found:
         raise ValueError(f"rows can't be trained on: {[tuple(r) for r in found]}")
@@ -57,6 +58,10 @@ def save(model: PipelineModel, path: str) -> DataFrame:
 
 
 @lru_cache(maxsize=8)
-def loaded(path: str) -> PipelineModel:
-    """A stored model, read when it is first asked for and kept by the process."""
+def _loaded(path: str, sha256: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def loaded(path: str) -> PipelineModel:
+    """A stored model, read when it is first asked for and kept by the process as long as its files stay the same."""
+    return _loaded(path, files.inventory_hash(files.inventory(SparkSession.active(), path, recursive=True)).first()["sha256"])

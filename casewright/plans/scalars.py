@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewright.functions import contracts, groups, hashing, leak, taxonomy, values
+from casewright.operators import vectors
 from casewright.operators import sampling as S
 from casewright.session import table
 
@@ -138,9 +139,7 @@ FEATURES_SQL = f"""SELECT o_orderkey, key, num FROM (SELECT o_orderkey, unnest([
 
 
 def _vocabulary(spark, d):
-    """Names in ascending order, numbered inside buckets of their first letters."""
-    names = _features_long(spark, d).select("key").distinct().withColumn("one", F.lit(1))
-    return S.ranked(names, ["one"], F.col("key"), "key", digits=24).select("key", (F.col("rn") - 1).alias("idx"))
+    return vectors.indexed(_features_long(spark, d), "key").select("key", F.col("index").alias("idx"))
 
 
 #: One deviation from a good answer in each line: field, value, the code that must come.

@@ -14,7 +14,7 @@ from casewright.functions import groups, hashing, leak, taxonomy, values
 from casewright.operators import campaign as C
 from casewright.operators import cases as K
 from casewright.operators import catalog as G
-from casewright.operators import learning, payloads, run, textmetrics, training
+from casewright.operators import boosting, learning, payloads, run, textmetrics, training, vectors
 from casewright.session import checkpoint_dir, stored, table
 from casewright.sources import files
 from casewright.streaming import streams
@@ -238,11 +238,36 @@ def _artifact(s, d):
     return same.crossJoin(saved.select("n_files", (F.length("sha256") == 64).alias("hashed")))  # one row each
 
 
+def _letters(s, d):
+    """Documents with their language and, as features, the share of each letter and the source."""
+    docs = table(s, d, "documents").where("lang is not null").select("doc_id", "lang", "source", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    share = lambda c: F.struct(((F.length("t") - F.length(F.replace("t", F.lit(c)))) / F.greatest(F.length("t"), F.lit(1))).alias("num"), F.lit(None).cast("string").alias("str"))
+    source = F.struct(F.lit(None).cast("double").alias("num"), F.col("source").alias("str"))
+    features = F.create_map(F.lit("source"), source, *(x for c in "abcdefghijklmnopqrstuvwxyz" for x in (F.lit(f"letter.{c}"), share(c))))
+    return docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), split_of(F.col("doc_id")).alias("split"), features.alias("features"))
+
+
 def _classes(s, d):
-    """Boosted trees for five classes, one against the rest: confusion of all rows."""
-    rows = table(s, d, "orders").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").alias("price"), (F.col("o_custkey") % 5).cast("double").alias("c5"))
-    model = learning.classifier(["price", "c5"], "o_orderpriority", trees=2, depth=2).fit(rows)
-    return model.transform(rows).groupBy("o_orderpriority", F.col("prediction").cast("bigint").alias("prediction")).agg(N())
+    """Languages by joint softmax boosting over sparse vectors: confusion of the test split."""
+    rows = _letters(s, d)
+    names = vectors.vocabulary(rows.where("split = 'train'"))
+    made = stored(rows.select("id", "label", "split").join(vectors.vectors(rows, "id", names), "id"), "letter-vectors")
+    model = boosting.fit(made.where("split = 'train'"), names.count(), rounds=4, depth=3, rate=0.5)
+    return boosting.score(made.where("split = 'test'"), model, ["label"]).groupBy("label", "prediction").agg(N())
+
+
+def _sparse(s, d):
+    """Orders as sparse vectors by a vocabulary of the training split; names that only others have are left out."""
+    o = table(s, d, "orders")
+    text, number = lambda c: F.struct(F.lit(None).cast("double").alias("num"), c.alias("str")), lambda c: F.struct(c.cast("double").alias("num"), F.lit(None).cast("string").alias("str"))
+    features = F.create_map(F.lit("prio"), text(F.col("o_orderpriority")), F.lit("price"), number(F.col("o_totalprice")), F.concat(F.lit("year."), F.year("o_orderdate").cast("string")), number(F.lit(1)))
+    rows = o.select("o_orderkey", split_of(F.col("o_orderkey")).alias("split"), features.alias("features"))
+    names = vectors.vocabulary(rows.where("split = 'train' and o_orderkey % 3 = 0"))
+    found = vectors.vectors(rows, "o_orderkey", names)
+    return found.select("o_orderkey", F.array_join(F.transform("vector", lambda e: F.concat_ws(":", e["index"], F.round(e["value"], 2).cast("decimal(18,2)"))), ",").alias("vector"))
+
+
+SPARSE_SQL = f"WITH o AS (SELECT o_orderkey, {SPLIT_SQL} AS split, unnest(['prio=' || o_orderpriority, 'price', 'year.' || CAST(year(o_orderdate) AS VARCHAR)]) AS name, unnest([CAST(1 AS DOUBLE), CAST(o_totalprice AS DOUBLE), 1]) AS value FROM orders), v AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS idx FROM (SELECT DISTINCT name FROM o WHERE split = 'train' AND o_orderkey % 3 = 0)) SELECT k.o_orderkey, coalesce(string_agg(v.idx || ':' || CAST(CAST(o.value AS DECIMAL(18,2)) AS VARCHAR), ',' ORDER BY v.idx), '') AS vector FROM orders k LEFT JOIN o ON k.o_orderkey = o.o_orderkey LEFT JOIN v ON o.name = v.name GROUP BY 1"
 
 
 PREPARED_SQL = f", r AS (SELECT o_orderkey AS doc_id, o_orderdate, o_custkey, o_orderstatus = 'F' AS label, {SPLIT_SQL} AS split, c_mktsegment AS origin FROM orders JOIN customer ON o_custkey = c_custkey), g AS (SELECT min(doc_id) AS doc_id FROM r GROUP BY o_orderdate, o_custkey HAVING min(split) = max(split) AND min(label) = max(label)), q AS (SELECT split, origin, least(count(*) FILTER (label), count(*) FILTER (NOT label)) AS n FROM r JOIN g ON r.doc_id = g.doc_id GROUP BY 1, 2) SELECT split, origin, label, n FROM q CROSS JOIN (VALUES (true), (false)) v(label) WHERE n > 0"
@@ -327,6 +352,7 @@ ALL = {
     "train_metrics": (lambda s, d: training.report(_detector(s, d)), None),
     "model_artifact": (_artifact, None),
     "boosted_classes": (_classes, None),
+    "sparse_vectors": (_sparse, SPARSE_SQL),
 }
 QUERIES = {name: q for name, (q, _) in ALL.items()}
 ORACLES = {name: o for name, (_, o) in ALL.items() if o}
