@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from casewright.functions import values
 from casewright.operators import campaign as C
 from casewright.operators import metrics as M
-from casewright.session import table
+from casewright.session import checkpoint_dir, table
 from casewright.sources import files
 
 from .views import sql, v_attempt, v_doc, v_manifest
@@ -68,26 +69,34 @@ def _composition(s, d):
 
 
 def _recover(s, d):
-    """The customers of all orders, by number and hash, against the scan; some requests name another hash or a number that isn't there."""
+    """The customers of all orders, by number, hash and class, against a scan of CSV files; some requests name another hash, another class or a number that isn't there."""
+    path = f"{checkpoint_dir(s)}/customers-csv-{uuid.uuid4().hex}"
+    table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment", F.when(F.col("c_custkey") % 83 == 0, " ").otherwise(F.col("c_nationkey").cast("string")).alias("subclass")).write.option("header", True).option("escape", '"').csv(path)
+    rows = files.scan_csv(s, f"{path}/*.csv", "c_custkey bigint, c_name string, cls string, subclass string", id_column="c_custkey")
+    rows = rows.select("row_id", F.sha2("c_name", 256).alias("content_hash"), "cls", "subclass")
     o, k = table(s, d, "orders"), F.col("o_orderkey")
     name = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
-    asked = o.select((F.col("o_custkey") + F.when(k % 97 == 0, 100000000).otherwise(0)).alias("row_id"), F.sha2(F.when(k % 89 == 0, "other").otherwise(name), 256).alias("content_hash"))
-    rows = table(s, d, "customer").select(F.col("c_custkey").alias("row_id"), F.sha2("c_name", 256).alias("content_hash"), F.col("c_mktsegment").alias("subclass"))
-    return files.recover(asked, rows).groupBy("state", "subclass").agg(N())
+    c = table(s, d, "customer").select("c_custkey", "c_mktsegment")
+    asked = o.join(c, o["o_custkey"] == c["c_custkey"]).select((F.col("o_custkey") + F.when(k % 97 == 0, 100000000).otherwise(0)).alias("row_id"), F.sha2(F.when(k % 89 == 0, "other").otherwise(name), 256).alias("content_hash"), F.when(k % 79 == 0, "none").otherwise(F.lower("c_mktsegment")).alias("cls"))
+    return files.recover(asked, rows, label="cls", needed="subclass").groupBy("state", "subclass").agg(N())
 
 
-RECOVER_SQL = "SELECT CASE WHEN c_name IS NULL THEN 'missing' WHEN o_orderkey % 89 = 0 OR c_name <> 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') THEN 'hash_mismatch' ELSE 'verified' END AS state, c_mktsegment AS subclass, count(*) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey + CASE WHEN o_orderkey % 97 = 0 THEN 100000000 ELSE 0 END GROUP BY 1, 2"
+RECOVER_SQL = "WITH r AS (SELECT o_orderkey AS k, c_custkey, c_name, c_nationkey, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey), q AS (SELECT CASE WHEN k % 97 = 0 THEN 'missing' WHEN c_custkey % 83 = 0 THEN 'empty' WHEN k % 89 = 0 OR c_name <> 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') THEN 'hash_mismatch' WHEN k % 79 = 0 THEN 'class_mismatch' ELSE 'verified' END AS state, CAST(c_nationkey AS VARCHAR) AS nation FROM r) SELECT state, CASE WHEN state = 'verified' THEN nation END AS subclass, count(*) AS n FROM q GROUP BY 1, 2"
 
 
 def _protocol(s, d):
-    """Protocol and service of every event, whatever the case of the row's keys."""
-    k = F.col("event_id")
+    """Protocol and service of every event from manifest lines, whatever the case of a row's names; some lines have another hash or dataset, no row, come twice or not at all."""
+    path = f"{checkpoint_dir(s)}/context-{uuid.uuid4().hex}"
+    e, k = table(s, d, "events"), F.col("event_id")
     row = F.map_filter(F.create_map(F.when(k % 2 == 0, "Proto").otherwise("PROTO"), F.when(k % 3 == 0, F.upper("event_type")).when(k % 3 == 1, F.lit(" ")), F.lit("Protocol"), F.when(k % 5 == 0, F.lit("tcp")), F.lit("SERVICE"), F.regexp_extract("props", "([0-9]+)", 1)), lambda n, v: v.isNotNull())
-    found = table(s, d, "events").select("event_id", F.lower(values.pick(row, "proto", "protocol")).alias("proto"), values.pick(row, "service").alias("service"))
-    return found.groupBy(F.coalesce("proto", F.lit("(none)")).alias("proto")).agg(N(), F.countDistinct("service").alias("n_services"))
+    line = F.to_json(F.struct(k.cast("string").alias("manifest_id"), F.when(k % 41 == 0, "other").otherwise("Events").alias("dataset"), F.sha2(F.when(k % 43 == 0, F.lit("x")).otherwise(k.cast("string")), 256).alias("content_hash"), F.when(k % 47 != 0, row).alias("row")))
+    e.where(k % 37 != 0).select(F.explode(F.array_repeat(line, F.when(k % 53 == 0, 2).otherwise(1))).alias("value")).write.text(path)
+    asked = e.select(k.cast("string").alias("manifest_id"), F.sha2(k.cast("string"), 256).alias("content_hash"), F.lit("events").alias("dataset"))
+    found = files.recover_context(asked, files.read_manifests(s, path))
+    return found.groupBy("state", F.coalesce(F.lower("proto"), F.lit("(none)")).alias("proto")).agg(N(), F.countDistinct("service").alias("n_services"))
 
 
-PROTOCOL_SQL = "SELECT coalesce(proto, '(none)') AS proto, count(*) AS n, count(DISTINCT service) AS n_services FROM (SELECT CASE WHEN event_id % 3 = 0 THEN lower(event_type) WHEN event_id % 5 = 0 THEN 'tcp' END AS proto, regexp_extract(props, '([0-9]+)', 1) AS service FROM events) GROUP BY 1"
+PROTOCOL_SQL = "WITH q AS (SELECT CASE WHEN event_id % 37 = 0 THEN 'missing' WHEN event_id % 53 = 0 THEN 'repeated' WHEN event_id % 43 = 0 THEN 'hash_mismatch' WHEN event_id % 41 = 0 THEN 'dataset_mismatch' WHEN event_id % 47 = 0 THEN 'row_missing' ELSE 'verified' END AS state, CASE WHEN event_id % 3 = 0 THEN lower(event_type) WHEN event_id % 5 = 0 THEN 'tcp' END AS proto, regexp_extract(props, '([0-9]+)', 1) AS service FROM events) SELECT state, CASE WHEN state = 'verified' THEN coalesce(proto, '(none)') ELSE '(none)' END AS proto, count(*) AS n, count(DISTINCT CASE WHEN state = 'verified' THEN service END) AS n_services FROM q GROUP BY 1, 2"
 
 
 def _candidates(s, d):

@@ -70,28 +70,36 @@ MANIFEST_SQL = "SELECT CASE WHEN k % 41 = 0 THEN 'unparsable' WHEN k % 23 = 0 TH
 
 
 def _attempts(s, d):
-    """Events as attempt lines, a byte order mark before some, some torn."""
+    """Events as attempt lines in one file for each thousand of them: a byte order mark before some first lines, some torn in the middle, and the last of each file without its end."""
     path, k = _place(s, "attempts"), F.col("seq")
-    a = v_attempt(s, d)
+    a = v_attempt(s, d).withColumn("part", F.floor(k / 1000).cast("long"))
     line = F.to_json(F.struct(F.col("manifest_id").cast("string").alias("manifest_id"), "ok", F.col("llm").alias("parsed_by_llm"), "provider", F.col("confidence").alias("mapping_confidence")))
-    a.select(F.when(k % 37 == 0, F.left(line, F.lit(20))).when(k % 19 == 0, F.concat(F.lit("\ufeff"), line)).otherwise(line).alias("value")).write.text(path)
-    status = F.when(F.col("corrupt"), "corrupt").when(~F.col("ok"), "failed").when(F.col("parsed_by_llm"), "model").otherwise("fallback")
-    return files.read_attempts(s, path).groupBy(status.alias("status")).agg(N(), R(F.sum(F.when(~F.col("corrupt"), F.col("mapping_confidence")))).alias("confidence"))
+    torn = a.groupBy("part").agg(F.max("seq").alias("k")).select("part", (F.col("k") + 0.5).alias("k"), F.lit('{"manifest_id":"9').alias("value"))
+    first = a.groupBy("part").agg(F.min("seq").alias("first"))
+    lines = a.join(first, "part").select("part", k.cast("double").alias("k"), F.concat(F.when((k == F.col("first")) & (F.col("part") % 2 == 0), "\ufeff").otherwise(""), F.when(k % 37 == 0, F.left(line, F.lit(20))).otherwise(line), F.lit("\n")).alias("value"))
+    # The writer's own separator is a blank, so that the last line of a file has no line feed.
+    lines.unionByName(torn).repartition("part").sortWithinPartitions("part", "k").select("part", "value").write.partitionBy("part").option("lineSep", " ").text(path)
+    status = F.when(F.col("state") != "parsed", F.col("state")).when(~F.col("ok"), "failed").when(F.col("parsed_by_llm"), "model").otherwise("fallback")
+    return files.read_attempts(s, f"{path}/*/*.txt").groupBy(status.alias("status")).agg(N(), R(F.sum("mapping_confidence")).alias("confidence"), F.sum("seq").alias("places"))
+
+
+ATTEMPTS_SQL = ", l AS (SELECT seq // 1000 AS part, CAST(seq AS DOUBLE) AS k, CASE WHEN seq % 37 = 0 THEN 'corrupt' WHEN NOT ok THEN 'failed' WHEN llm THEN 'model' ELSE 'fallback' END AS status, confidence FROM v_attempt UNION ALL SELECT seq // 1000, max(seq) + 0.5, 'truncated', NULL FROM v_attempt GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY 'part=' || CAST(part AS VARCHAR) || '/', k) - 1 AS place FROM l) SELECT status, count(*) AS n, round(sum(CASE WHEN status <> 'corrupt' THEN confidence END), 6) AS confidence, CAST(sum(place) AS BIGINT) AS places FROM p GROUP BY 1"
 
 
 def _lines(s, d):
-    """Fifty lines of one file from physical line 100 on, blank ones not counted among the fifty."""
+    """Fifty lines from physical line 100 on over files in the order of their paths, blank ones not counted among the fifty."""
     path = _place(s, "lines")
-    e = v_attempt(s, d).orderBy("seq").coalesce(1)
+    e = v_attempt(s, d).repartitionByRange("seq").sortWithinPartitions("seq")
     e.select(F.when(F.col("seq") % 7 == 0, "").otherwise(F.to_json(F.struct("seq", "state"))).alias("value")).write.text(path)
     return files.read_lines(s, path, 100, 50).select("line", F.get_json_object("value", "$.seq").cast("bigint").alias("seq"), F.get_json_object("value", "$.state").alias("state"))
 
 
 def _sink(s, d):
-    """Selected rows as JSON lines by class and split, read back."""
+    """Selected rows as JSON lines by class and split, targets apart from the rest, read back."""
     path = _place(s, "selected")
-    files.write_selected(v_manifest(s, d).withColumnRenamed("class", "dataset"), path)
-    return s.read.json(path).groupBy("dataset", "split").agg(N(), F.count_if("is_attack").alias("n_attack"), F.sum("manifest_id").alias("ids"))
+    files.write_selected(v_manifest(s, d).withColumnRenamed("class", "dataset"), path, targets=("is_attack",))
+    back = s.read.json(path)
+    return back.groupBy("dataset", "split").agg(N(), F.count_if("target.is_attack").alias("n_attack"), F.sum("row.manifest_id").alias("ids"))
 
 
 def _inventory(s, d):
@@ -323,7 +331,7 @@ ALL = {
     "scan_project_rowid": (_csv, "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS row_id, 'events::' || event_type || '::' || (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) AS manifest_id, event_type AS cls, props FROM events"),
     "scan_csv_multiline": (_broken_csv, "SELECT doc_id AS row_id, md5(coalesce(text, '')) AS md5 FROM documents"),
     "manifest_contract_violations": (_manifests, sql(MANIFEST_SQL)),
-    "attempts_parse_status": (_attempts, sql("SELECT CASE WHEN seq % 37 = 0 THEN 'corrupt' WHEN NOT ok THEN 'failed' WHEN llm THEN 'model' ELSE 'fallback' END AS status, count(*) AS n, round(sum(CASE WHEN seq % 37 <> 0 THEN confidence END), 6) AS confidence FROM v_attempt GROUP BY 1")),
+    "attempts_parse_status": (_attempts, sql(ATTEMPTS_SQL)),
     "jsonl_offset_limit": (_lines, sql("SELECT line, seq, state FROM (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS line FROM v_attempt) WHERE line >= 100 AND seq % 7 <> 0 ORDER BY line LIMIT 50")),
     "sink_selected": (_sink, sql("SELECT class AS dataset, split, count(*) AS n, count(*) FILTER (is_attack) AS n_attack, CAST(sum(manifest_id) AS BIGINT) AS ids FROM v_manifest GROUP BY 1, 2")),
     "file_inventory": (_inventory, "SELECT CAST(length(n_name) + 1 AS BIGINT) AS n_bytes, sha256(n_name || chr(10)) AS sha256 FROM nation"),

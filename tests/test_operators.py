@@ -163,8 +163,47 @@ def test_manifests_and_attempts(spark, tmp_path):
     m = files.read_manifests(spark, str(tmp_path / "m.jsonl"))
     assert sorted(r.violation or "" for r in m.collect()) == ["", "bad_split", "target_in_row", "unparsable"]
     assert files.duplicate_manifests(m.where("manifest_id is not null")).collect()[0].value == "h"
-    (tmp_path / "a.jsonl").write_text('{"manifest_id":"a","ok":true,"parsed_by_llm":true}\n{"manifest_id":"a","ok":tr')
-    assert sorted(r.corrupt for r in files.read_attempts(spark, str(tmp_path / "a.jsonl")).collect()) == [False, True]
+
+
+def test_only_an_open_last_line_may_be_torn(spark, tmp_path):
+    good = '{"manifest_id":"%s","ok":true,"note":"é"}'
+    texts = {"a": [good % 1, '{"manifest_id":"x","ok":tr'], "b": [good % 2, '{"manifest_id":', good % 3, ""], "c": ["\ufeff" + good % 4, "", "  ", good % 5], "d": [good % 6, '{"torn":1', ""], "e": [good % 7, "\ufeff" + good % 8, '{"v": NaN}', "{\r"], "f": ["{"], "g": [""]}
+    for name, lines in texts.items():
+        (tmp_path / f"{name}.jsonl").write_bytes("\n".join(lines).encode())
+    (tmp_path / "h.jsonl").write_bytes((good % 9).encode() + b"\n" + (good % 10).encode()[:-3])  # ends inside of a letter
+    (tmp_path / "i.jsonl").write_bytes(b"\xef\xbb\xbf" + (good % 11).encode() + b'\n{"open')
+    found = files.read_attempts(spark, str(tmp_path / "*.jsonl"))
+    got = {(r.source_file[-7], r.line): (r.state, r.manifest_id) for r in found.collect()}
+    assert got == {
+        ("a", 0): ("parsed", "1"), ("a", 1): ("truncated", None), ("b", 0): ("parsed", "2"), ("b", 1): ("corrupt", None), ("b", 2): ("parsed", "3"), ("c", 0): ("parsed", "4"), ("c", 3): ("parsed", "5"), ("d", 0): ("parsed", "6"), ("d", 1): ("corrupt", None),
+        ("e", 0): ("parsed", "7"), ("e", 1): ("corrupt", None), ("e", 2): ("corrupt", None), ("e", 3): ("corrupt", None), ("f", 0): ("truncated", None), ("h", 0): ("parsed", "9"), ("h", 1): ("truncated", None), ("i", 0): ("parsed", "11"), ("i", 1): ("truncated", None),
+    }
+    assert [r.seq for r in found.orderBy("source_file", "line").collect()] == [0, 1, 2, 3, 4, 5, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19]
+    with pytest.raises(ValueError, match="no JSON"):
+        files.require_whole(found)
+    assert files.require_whole(files.read_attempts(spark, str(tmp_path / "a.jsonl"))).count() == 1
+
+
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    lines = [f'{{"k":{k},"pad":"{"x" * (k % 90)}"}}' for k in range(3000)]
+    for name, part in (("b", lines[:1700]), ("c", lines[1700:])):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(part) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        found = files.read_lines(spark, str(tmp_path), 1500, 400)
+        assert [(r.line, r.value) for r in found.orderBy("line").collect()] == [(k, lines[k]) for k in range(1500, 1900)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_unverified_rows_are_fatal_where_asked(spark):
+    rows = spark.createDataFrame([(1, "h", "A b", "s"), (2, "h", "a", "s"), (3, "h", "a", " "), (4, "h", "a", "s"), (4, "h", "a", "t")], "row_id int, content_hash string, cls string, sub string")
+    asked = spark.createDataFrame([(1, "h", "a_B"), (2, "x", "a"), (3, "h", "a"), (4, "h", "a"), (5, "h", "a"), (2, "h", "b")], "row_id int, content_hash string, cls string")
+    found = files.recover(asked, rows, label="cls", needed="sub")
+    assert sorted((r.row_id, r.state, r["sub"]) for r in found.collect()) == [(1, "verified", "s"), (2, "class_mismatch", None), (2, "hash_mismatch", None), (3, "empty", None), (4, "repeated", None), (5, "missing", None)]
+    with pytest.raises(ValueError, match="recovered"):
+        files.require_verified(found)
+    assert files.require_verified(found.where("row_id = 1")).count() == 1
 
 
 def test_csv_row_ids_and_inventory(spark, tmp_path):
