@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from casewright.session import stored
 
+from . import radix
+
 from .campaign import safe_ratio
 
 GRAY = (0.4, 0.6)
@@ -96,35 +98,37 @@ def _met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner")
     return left.join(other, same, how).drop(*(f"_r_{k}" for k in keys))
 
 
-def percentiles(rows: DataFrame, by: list[str], value: str, shares: list[float], n_bins: int = 4096) -> DataFrame:
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: list[float], most: int = 65_536) -> DataFrame:
     """(by, q): exact percentiles of each group, interpolated at (n - 1) * share; nulls don't count.
 
-    Equal values are counted first; the counts of a group are cut into bins
-    between its least and greatest value, a running sum over the bins says which
-    of them hold the wanted places, and only those bins are sorted. Groups
-    without a value have no row.
+    Equal values are counted first. Where no group has more than ``most`` distinct
+    values a running sum over its counts tells the wanted places; else they are found by
+    radix over the order-preserving bits of the values, so that no task sorts a large group,
+    however its values are spread. Groups without a value have no row.
     """
     v = F.col("_v")
     counts = stored(rows.select(*by, F.col(value).cast("double").alias("_v")).where(v.isNotNull()).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), "percentile-counts")
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ends = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
-    bin_ = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * n_bins), F.lit(n_bins - 1))).otherwise(0)
-    binned = _met(counts, ends, by).select(*by, "_v", "_n", "_all", bin_.alias("_bin"))
-    sums = binned.groupBy(*by, "_bin").agg(F.sum("_n").alias("_in"), F.first("_all").alias("_total"))
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_in").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    places = F.array(*(f((F.col("_total") - 1) * F.lit(s)).cast("bigint") for s in shares for f in (F.floor, F.ceil)))
-    wanted = sums.withColumn("_places", F.filter(F.array_distinct(places), lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_in")))).where(F.size("_places") > 0)
-    inside = _met(binned, wanted, [*by, "_bin"])
-    inside = inside.withColumn("_to", F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_bin").orderBy("_v")))
-    at = inside.select(*by, "_all", "_v", F.explode(F.filter("_places", lambda p: (p >= F.col("_to") - F.col("_n")) & (p < F.col("_to")))).alias("_place"))
-    found = at.groupBy(*by).agg(F.first("_all").alias("_all"), F.map_from_entries(F.collect_list(F.struct("_place", "_v"))).alias("_m"))  # two places for each share
+    facts = stored(counts.groupBy(*by).agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_distinct")), "percentile-groups")
+    places = F.array_distinct(F.array(*(f((F.col("_all") - 1) * F.lit(s)).cast("bigint") for s in shares for f in (F.floor, F.ceil))))
+    wanted = facts.select(*by, "_all", F.explode(places).alias("_place"))
+    if (facts.agg(F.max("_distinct")).first()[0] or 0) <= most:
+        upto = F.sum("_n").over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_v"))
+        ranges = counts.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_n"))
+        at = _met(wanted, ranges, by).where((F.col("_place") >= F.col("_from")) & (F.col("_place") < F.col("_to")))
+    else:
+        from_top = wanted.select(*by, (F.col("_all") - F.col("_place")).alias("place"))
+        bits = counts.select(*by, "_n", radix.ordered_bits("_v").alias("_b"))
+        found = radix.kth(bits, by, "_b", from_top, "_n").select(*by, "place", radix.from_bits("_b").alias("_v"))
+        at = _met(facts.select(*by, "_all"), found, by).withColumn("_place", F.col("_all") - F.col("place"))
+    # two places for each share
+    listed = at.groupBy(*by).agg(F.first("_all").alias("_all"), F.map_from_entries(F.collect_list(F.struct("_place", "_v"))).alias("_m"))
 
     def between(share: float) -> Column:
         exact = (F.col("_all") - 1) * F.lit(share)
         low, high = F.col("_m")[F.floor(exact)], F.col("_m")[F.ceil(exact)]
         return low + (high - low) * (exact - F.floor(exact))
 
-    return found.select(*by, F.array(*(between(s) for s in shares)).alias("q"))
+    return listed.select(*by, F.array(*(between(s) for s in shares)).alias("q"))
 
 
 def confidence_summary(rows: DataFrame, *by: str, value: str = "conf") -> DataFrame:

@@ -43,12 +43,13 @@ def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return out
 
 
-def kth(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame) -> DataFrame:
+def kth(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame, weight: str | None = None) -> DataFrame:
     """keys, place, ``value``, need, n: the value at each wanted place of a group, counted from the greatest.
 
     ``wanted`` has the keys and ``place`` (from 1, no more than the group has rows).
-    n rows of the group have the value; the ``need``-th of them is at the place.
+    n rows of the group have the value; the ``need``-th of them is at the place. A row stands for as many as ``weight`` says, if it is given.
     """
+    amount = F.sum(weight) if weight else F.count(F.lit(1))
     low, high = rows.agg(F.min(value), F.max(value)).first()
     # The first digit begins at the highest bit that differs, so that it parts the values as finely as it can.
     span = 0 if low is None else 64 if (low < 0) != (high < 0) else (low ^ high).bit_length()
@@ -57,11 +58,11 @@ def kth(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame) -> Data
     above = None
     for shift in [*shifts, 0]:
         prefix = F.lit(0).cast("long") if above is None else F.shiftright(F.col(value), above)
-        open_ = rows.select(*keys, prefix.alias("_prefix"), F.shiftright(F.col(value), shift).alias("_digit"))
+        open_ = rows.select(*keys, *([weight] if weight else []), prefix.alias("_prefix"), F.shiftright(F.col(value), shift).alias("_digit"))
         if above is not None:
             held = at.select(*keys, "_prefix").distinct()
             open_ = open_.join(held, same(open_, held, [*keys, "_prefix"]), "left_semi")
-        counts = open_.groupBy(*keys, "_prefix", "_digit").agg(F.count(F.lit(1)).alias("n"))
+        counts = open_.groupBy(*keys, "_prefix", "_digit").agg(amount.alias("n"))
         counts = counts.withColumn("_upto", F.sum("n").over(Window.partitionBy(*keys, "_prefix").orderBy(F.desc("_digit"))))
         found = at.join(counts, same(at, counts, [*keys, "_prefix"]) & (at["need"] > counts["_upto"] - counts["n"]) & (at["need"] <= counts["_upto"]))
         at = stored(found.select(*(at[k] for k in keys), at["place"], (at["need"] - (counts["_upto"] - counts["n"])).alias("need"), counts["_digit"].alias("_prefix"), counts["n"]), "radix-digits")

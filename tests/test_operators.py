@@ -387,12 +387,22 @@ def test_canonical_violations_in_the_jvm(spark):
     assert {r.k: r.places for r in places.collect()}[0] == ["label", "n.class", "n.family", "n.threat", "n.y"]
 
 
-@settings(max_examples=15, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.floats(-50, 50, allow_nan=False).map(lambda x: round(x, 1)))), min_size=1, max_size=60))
-def test_percentiles_against_numpy(spark, rows):
+def test_heavy_tails_are_no_one_bin(spark):
+    rng = __import__("random").Random(3)
+    values = [rng.random() for _ in range(3000)] + [1e12, -1e300, 5e-324]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
     import numpy as np
 
-    got = {r.g: r.q for r in metrics.percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0.0, 0.05, 0.5, 0.95, 1.0], n_bins=7).collect()}
+    for most in (0, 65_536):
+        assert np.allclose(metrics.percentiles(rows, [], "v", [0.0, 0.25, 0.5, 0.999, 1.0], most=most).first().q, np.quantile(values, [0.0, 0.25, 0.5, 0.999, 1.0]), rtol=1e-12)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.floats(-50, 50, allow_nan=False).map(lambda x: round(x, 1)))), min_size=1, max_size=60), st.sampled_from([0, 65_536]))
+def test_percentiles_against_numpy(spark, rows, most):
+    import numpy as np
+
+    got = {r.g: r.q for r in metrics.percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0.0, 0.05, 0.5, 0.95, 1.0], most=most).collect()}
     want = {g: np.quantile(v, [0.0, 0.05, 0.5, 0.95, 1.0]) for g in "ab" if (v := [x for k, x in rows if k == g and x is not None])}
     assert got.keys() == want.keys() and all(np.allclose(got[g], want[g]) for g in want)
 
