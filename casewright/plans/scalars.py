@@ -12,42 +12,55 @@ from casewright.session import table
 
 from .views import sql, v_attempt, v_case, v_manifest
 
-#: Literal rows that both engines read as the same SQL text.
-DATASET_NAMES = ("EdgeIIoTset", "Bot-IoT", "IoT-23", "TON_IoT", "other set", "")
-NUMBER_TEXTS = ("1_000", "1d", "0x1p3", "nan", "-", " 1.5 ", "1e13", "true", "1e3", "-.5", "12.", "", "None", "5.0", "1,234", "1,234.50", "+7", "0", "-0.0", "1e-3")
-COLUMN_NAMES = ("id.orig_p", "id.resp_p", "id.orig_h", "id.resp_h", "tcp.srcport", "tcp.dstport", "src_port", "dst-port", "proto", "duration", "conn_state", "admin", "response", "temperature", "Processor_pct", "orig_bytes", "frame.len", "src_pkts", "service", "http.host", "msg_log", "alert message", "min_rate", "x", "ts", "date", "dns.qry.name", "Memory Used", "humidity", "history", "sum", "uid", "saddr", "daddr")
-TARGET_NAMES = ("label", "Label", "type", "attack_type", "Attack-Cat", "sub_category", "my label", "class", "klass", "threat_level", "is_malware", "y", "Y_True", "target", "dst_port", "attack_x", "pre_attack", "protocol_family", "family", "subtype", "severity")
-TARGET_TEXTS = ("Attack", "benign", "C&C", "DDoS_TCP", "port scanning", "normal", "mirai", "SQL-Injection", "ok", "Theft", " XSS ", "scan")
-PATHS = ("attack_indicators", "service_context.DNS.type", "host_context.interface.type", "telemetry.type", "label", "service_context.protocol_family")
-TIMES = ("2020-01-02 03:04:05", "2020/01/02 03:04:05", "02-Jan-20 03:04:05", "02-Jan-2020 03:04:05", "31/12/2019 23:59:59", "12/31/2019 23:59:59", "1577934245", "1577934245.5", "2019 13:01:02.5", "2020-01-02T03:04:05Z", "2020-01-02", "nonsense", "-", "17", "20-01-02 03:04:05")
-DURATIONS = ("250ms", "2s", "1.5s", "3m", "1h", "1h2m3s", "1m0.5s", "7", "7.5", "soon", "")
-LABELS = (
-    ("edge_iiotset", "DDoS_TCP", "", "", ""), ("EdgeIIoTset", "Normal", "", "", ""), ("edge-iiotset", "Other", "", "", ""), ("bot_iot", "DDoS", "HTTP", "", ""), ("bot_iot", "DDoS", "", "tcp", ""), ("botiot", "DoS", "TCP", "", ""),
-    ("bot_iot", "Reconnaissance", "OS_Fingerprint", "", ""), ("bot_iot", "Reconnaissance", "Service_Scan", "", ""), ("bot_iot", "Theft", "", "", ""), ("bot_iot", "x", "", "", ""), ("iot23", "PartOfAHorizontalPortScan", "", "", ""), ("iot_23", "C&C", "", "", ""),
-    ("iot23", "DDoS", "", "icmp6", ""), ("iot23", "DDoS", "", "udp", "http"), ("iot23", "DDoS", "", "", ""), ("iot23", "FileDownload", "", "", ""), ("ton_iot", "xss", "", "", ""), ("ton_iot", "ddos", "", "TCP", "dns"), ("toniot", "injection", "", "", ""), ("ton_iot", "scanning", "", "", ""),
-    ("ton_iot", "dos", "", "", ""), ("ton_iot", "weird", "", "", ""), ("other", "ddos", "", "", ""), ("other", "benign", "", "", ""),
-)
-CHAINS = (("network_flow", "src_ip,dst_ip"), ("sensor", "temperature"), ("telemetry", "cpu,memory"), ("flow", "humidity"), ("", "proto"), ("endpoint-metrics", ""), ("alert_text", "msg"), ("network_flow", "tcp.len,ip.src,eth.dst"), ("pcap_ref", ""), ("weird", "x"), ("weird", "message"), ("weird", "light"))
-
+_ORDER = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)"
+_WORD = lambda column, n: f"lower(split_part({column}, ' ', {n}))"
 
-def _quoted(rows) -> str:
-    """Rows of a VALUES list as SQL that both engines read alike."""
-    as_row = lambda r: r if isinstance(r, tuple) else (r,)
-    lit = lambda x: "'" + x.replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(lit(x) for x in as_row(r)) + ")" for r in rows)
 
+def _case(number: str, *ways: str, other: str) -> str:
+    """One expression for each remainder of a number."""
+    return f"CASE {number} % {len(ways) + 1} " + " ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(ways)) + f" ELSE {other} END"
 
-def _rows(spark: SparkSession, d: str, rows, names: str) -> DataFrame:
-    """One of the listed rows for every customer, dealt by the customer's number."""
-    listed = [(k, *(x if isinstance(x, tuple) else (x,))) for k, x in enumerate(rows)]
-    texts = spark.createDataFrame(listed, "k_ long, " + ", ".join(f"{n.strip()} string" for n in names.split(",")))
-    return table(spark, d, "customer").select((F.col("c_custkey") % len(rows)).alias("k_")).join(F.broadcast(texts), "k_").drop("k_")  # a literal list
 
+_PAD = lambda n: f"lpad(CAST({n} AS STRING), 2, '0')"
+_CLOCK = f"concat({_PAD('o_orderkey % 24')}, ':', {_PAD('o_orderkey % 60')}, ':', {_PAD('o_custkey % 60')})"
+_SECONDS = "(o_orderkey % 24 * 3600 + o_orderkey % 60 * 60 + o_custkey % 60)"
+_YMD = lambda mark: f"concat(CAST(year(o_orderdate) AS STRING), '{mark}', {_PAD('month(o_orderdate)')}, '{mark}', {_PAD('day(o_orderdate)')})"
+_MONTH = "substring('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * CAST(month(o_orderdate) AS INT) - 2, 3)"
+_TIMES = (
+    (f"concat({_YMD('-')}, ' ', {_CLOCK})", _SECONDS), (f"concat({_YMD('/')}, ' ', {_CLOCK})", _SECONDS), (f"concat(CAST(day(o_orderdate) AS STRING), '-', {_MONTH}, '-', CAST(year(o_orderdate) AS STRING), ' ', {_CLOCK})", _SECONDS),
+    (f"concat(CAST(day(o_orderdate) AS STRING), '/', CAST(month(o_orderdate) AS STRING), '/', CAST(year(o_orderdate) AS STRING), ' ', {_CLOCK})", _SECONDS), (f"concat({_YMD('-')}, 'T', {_CLOCK}, 'Z')", _SECONDS), (_YMD("-"), "0"),
+    ("CAST(1000000000 + o_orderkey AS STRING)", None), ("concat(CAST(1000000000 + o_orderkey AS STRING), '.5')", None), ("CAST(o_custkey % 1000 AS STRING)", None), ("o_orderpriority", None),
+)
 
-def _from(rows, names: str) -> str:
+#: Inputs of scalar functions, made of columns by expressions that both engines read alike: table and (name, expression) pairs.
+MADE = {
+    "number": ("orders", {"raw": _case("o_orderkey", _ORDER, f"concat('-', {_ORDER})", "concat('  ', CAST(o_custkey AS STRING), ' ')", "concat(CAST(o_orderkey AS STRING), ',', lpad(CAST(o_custkey % 1000 AS STRING), 3, '0'))", "concat('1_', lpad(CAST(o_custkey % 1000 AS STRING), 3, '0'))", "concat('+', CAST(o_custkey AS STRING), '.0')", "o_orderpriority", "o_orderstatus", "concat('.', CAST(o_custkey AS STRING))", "concat(CAST(o_custkey AS STRING), '.')", "concat(CAST(o_custkey AS STRING), 'e', CAST(o_orderkey % 14 AS STRING))", "CASE WHEN o_custkey % 2 = 0 THEN 'nan' ELSE 'None' END", "CASE WHEN o_custkey % 2 = 0 THEN '' ELSE '-' END", "concat('0.0', CAST(o_custkey % 2 AS STRING))", other="concat(CAST(o_custkey AS STRING), 'd')")}),
+    "duration": ("part", {"raw": _case("p_partkey", "concat(CAST(p_size AS STRING), 'ms')", "concat(CAST(p_size AS STRING), '.5s')", "concat('1m', CAST(p_size AS STRING), 's')", "concat(CAST(p_size AS STRING), 'h', CAST(p_partkey % 60 AS STRING), 'm3s')", "CAST(p_size AS STRING)", "concat(CAST(p_size AS STRING), '.25')", other="p_brand")}),
+    "name": ("part", {"name": "concat(" + _case("p_size", "'src_'", "'id.resp_'", "'tcp.'", "'Frame.'", "'dns.qry.'", "'min '", "'conn_'", "'http-'", "'id.orig_'", other="''") + f", {_WORD('p_name', 1)}, " + _case("p_partkey", "'_port'", "'.bytes'", "'_ip'", "'.len'", "'_state'", "' message'", "'Duration'", "'_pct'", "'_h'", "'.srcport'", "'_temperature'", other="''") + ")"}),
+    "feature": ("part", {"name": "concat(" + _case("p_partkey", "'origin.'", "'behavior.'", "'context.service.'", "'semantic_hint.'", "'uncertainty.'", "'asset_context.'", "'attack_indicator.'", other="''") + f", CASE WHEN p_size % 9 = 0 THEN 'behavior_tag_count' ELSE {_WORD('p_type', 2)} END)"}),
+    "target": ("part", {"name": _case("p_partkey", "'Label'", "'type'", "'Y_True'", f"concat('attack ', {_WORD('p_type', 2)})", f"concat({_WORD('p_type', 1)}, '_label')", f"concat({_WORD('p_type', 2)}, '-Category')", "concat('is_', lower(p_brand))", f"concat('my threat ', {_WORD('p_name', 1)})", f"concat({_WORD('p_type', 1)}, '.target')", f"concat('k', {_WORD('p_type', 3)}, 'class')", f"concat('Class ', {_WORD('p_type', 3)})", other=_WORD("p_name", 2))}),
+    "value": ("events", {"v": _case("event_id", "concat('DDoS-', CASE user_id % 3 WHEN 0 THEN 'TCP' WHEN 1 THEN 'Udp' ELSE event_type END)", "concat(' ', CASE user_id % 2 WHEN 0 THEN 'XSS' ELSE event_type END, ' ')", "upper(event_type)", "concat('SQL', CASE user_id % 2 WHEN 0 THEN ' ' ELSE '' END, 'Injection')", "props", "CASE user_id % 2 WHEN 0 THEN 'C&C' ELSE 'benign' END", other="event_type")}),
+    "path": ("customer", {"path": "concat(" + _case("c_nationkey", "'service_context.dns'", "'Host_Context'", "'telemetry_context.dns'", "'service_context'", other="lower(c_mktsegment)") + ", '.', " + _case("c_custkey", "'type'", "'query_class'", "'Interface.Type'", "'protocol_family'", "'query.type'", other="lower(c_mktsegment)") + ")"}),
+    "chain": ("events", {"modality": _case("event_id", "'network_flow'", "'Sensor'", "'telemetry'", "'flow'", "''", "'endpoint-metrics'", "'alert_text'", "'pcap ref'", "'host_log'", "'alert'", other="event_type"), "cols": "concat(" + _case("user_id", "'src_ip,dst_port'", "'temperature'", "'cpu,memory'", "'tcp.len,ip.src,eth.dst'", "'proto'", "'msg'", "'Humidity,src_ip'", other="event_type") + ", ',', event_type)"}),
+    "dataset": ("part", {"raw": "concat(" + _case("p_partkey", "'Edge-IIoTset'", "'EdgeIIoTset'", "'Bot IoT'", "'botiot'", "'IoT-23'", "' TON_IoT '", "'toniot'", "''", other="p_brand") + ", CASE WHEN p_size % 7 = 0 THEN '!' ELSE '' END)"}),
+    "label": ("events", {"dataset": _case("event_id", "'Edge-IIoTset'", "'bot_iot'", "'IoT-23'", "'ton_iot'", "'TonIoT'", "'botiot'", other="event_type"), "native": _case("user_id", "'DDoS_TCP'", "'DDoS'", "'Reconnaissance'", "'ddos'", "'DoS'", "'C&C'", "'xss'", "'Injection'", "'scanning'", "'Theft'", "'PartOfAHorizontalPortScan'", "'Normal'", other="event_type"), "sub": _case("event_id", "'HTTP'", "'TCP'", "'OS_Fingerprint'", "'Service scan'", other="''"), "proto": _case("user_id", "'TCP'", "'udp'", "'icmp6'", "event_type", other="''"), "service": _case("event_id", "'http'", "'dns'", "'HTTP-proxy'", "''", "event_type", other="''")}),
+    "time": ("orders", {"raw": _case("o_orderkey", *(t for t, _ in _TIMES), other="''")}),
+}
+_TIME_US = _case("o_orderkey", *(f"epoch_us(o_orderdate) + {sec} * 1000000" if sec else us for (_, sec), us in zip(_TIMES, [None] * 6 + ["(1000000000 + o_orderkey) * 1000000", "(1000000000 + o_orderkey) * 1000000 + 500000", "NULL", "NULL"], strict=True)), other="NULL")
+
+
+def _made(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """The key and the made columns of every row of a table."""
+    name, columns = MADE[kind]
+    rows = table(spark, d, name)
+    return rows.select(F.col(rows.columns[0] if name != "lineitem" else "l_orderkey").alias("k"), *(F.expr(e).alias(c) for c, e in columns.items()))
+
+
+def _from(kind: str) -> str:
     """The same in SQL."""
-    numbered = ", ".join(f"({k}, {row[1:]}" for k, row in enumerate(_quoted([x]) for x in rows))
-    return f"(SELECT v.* EXCLUDE (k_) FROM customer JOIN (VALUES {numbered}) AS v(k_, {names}) ON c_custkey % {len(rows)} = k_) AS t"
+    name, columns = MADE[kind]
+    key = {"orders": "o_orderkey", "part": "p_partkey", "events": "event_id", "customer": "c_custkey"}[name]
+    return f"(SELECT {key} AS k, {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {name}) AS t"
 
 
 def _in(words) -> str:
@@ -105,10 +118,10 @@ ROWMAP_SQL = ", rm AS (SELECT c_custkey, c_name AS name, CASE WHEN c_custkey % 3
 
 
 def _columns(spark, d) -> DataFrame:
-    """Proposed column lists with a repeat and an unknown name, against the row's columns."""
-    c = table(spark, d, "customer")
-    proposed = F.array(F.lit("c_name"), F.concat(F.lit("x"), (F.col("c_custkey") % 3).cast("string")), F.lit("c_name"), F.when(F.col("c_custkey") % 2 == 0, F.lit("c_acctbal")).otherwise(F.lit("c_custkey")))
-    return c.select("c_custkey", proposed.alias("proposed"), F.array(*(F.lit(x) for x in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "x1"))).alias("present"))
+    """Proposed column lists, some with a repeat or an unknown name, some empty, against the row's columns."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    proposed = F.array(F.lit("c_name"), F.when(k % 3 == 2, "c_nationkey").otherwise(F.concat(F.lit("x"), (k % 3).cast("string"))), F.when(k % 5 == 0, "c_name").otherwise("c_phone"), F.when(k % 2 == 0, "c_acctbal").otherwise("c_custkey"))
+    return c.select("c_custkey", F.when(k % 11 == 0, F.array().cast("array<string>")).otherwise(proposed).alias("proposed"), F.array(*(F.lit(x) for x in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_phone", "x1"))).alias("present"))
 
 
 def _ranking(spark, d):
@@ -287,18 +300,28 @@ def _selected_ok(spark, d):
     return c.select("c_custkey", ok.alias("ok"))
 
 
+_WORDS = lambda words: f"len(list_filter(keys, lambda x: {' OR '.join(f'contains(x, {chr(39)}{w}{chr(39)})' for w in words)}))"
+_ALIASED = lambda text, aliases: f"CASE {text} {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in aliases.items())} ELSE {text} END"
+#: Modality and columns with their lower-cased names as a list and the modality without blanks and hyphens.
+CHAIN_SQL = f"(SELECT *, string_split(lower(cols), ',') AS keys, translate(lower(trim(modality)), '- ', '__') AS m FROM {_from('chain')})"
+_HOST_SQL = f"({_WORDS(groups.HOST_WORDS)} > 0 AND {_WORDS(groups.HOST_WORDS)} >= {_WORDS(groups.HOST_SENSOR_WORDS)})"
+_SENSORS_SQL = f"({_WORDS(groups.TELEMETRY_WORDS)} > 0 AND {_WORDS(groups.NETWORK_WORDS)} = 0)"
+_MODALITY = f"({_ALIASED('(CASE WHEN m = ' + repr('') + ' THEN ' + repr('network_flow') + ' ELSE m END)', groups.MODALITY_ALIASES)})"
+MODALITY_SQL = f"CASE WHEN {_MODALITY} = 'telemetry' AND {_HOST_SQL} THEN 'host_log' WHEN {_MODALITY} = 'network_flow' AND {_SENSORS_SQL} THEN 'telemetry' ELSE {_MODALITY} END"
+PROFILE_SQL = f"CASE WHEN modality = 'host_log' OR {_HOST_SQL} THEN 'host_metrics' WHEN modality = 'telemetry' OR {_SENSORS_SQL} THEN 'iot_telemetry' WHEN modality = 'alert' THEN 'alert_text' WHEN modality = 'pcap_ref' THEN 'pcap_ref' WHEN len(list_filter(keys, lambda x: {' OR '.join(f'starts_with(x, {chr(39)}{w}{chr(39)})' for w in groups.PACKET_PREFIXES)})) >= 3 THEN 'network_packet' WHEN {_WORDS(groups.ALERT_WORDS)} > 0 THEN 'alert_text' WHEN {_WORDS(groups.NETWORK_WORDS)} > 0 OR modality = 'network_flow' THEN 'network_flow' ELSE 'unknown' END"
+
 CONV = {
     "normalize_token": (_part_tokens, f"SELECT p_partkey, {TOKEN(chr(39) + chr(39) + ' || p_type || ' + chr(39) + ' / ' + chr(39) + ' || p_brand')} AS token FROM part"),
     "normalize_token_40": (lambda s, d: table(s, d, "part").select("p_partkey", values.normalize_token_40(F.concat_ws("  ", "p_name", "p_type", "p_name")).alias("token")), f"SELECT p_partkey, {TOKEN40(chr(39) + chr(39) + ' || p_name || ' + chr(39) + '  ' + chr(39) + ' || p_type || ' + chr(39) + '  ' + chr(39) + ' || p_name')} AS token FROM part"),
-    "coerce_number": (lambda s, d: _rows(s, d, NUMBER_TEXTS, "raw").select("raw", values.coerce_number(F.col("raw")).alias("num")), f"SELECT raw, CASE WHEN abs(x) <= 1000000000000 THEN x END AS num FROM (SELECT raw, CASE WHEN lower({TRIM}) IN {_in(values.NUMBER_BLANKS)} THEN NULL WHEN regexp_matches({TRIM}, '{NUM_SQL}') THEN TRY_CAST(replace({TRIM}, '_', '') AS DOUBLE) END AS x FROM {_from(NUMBER_TEXTS, 'raw')})"),
-    "normalize_int": (lambda s, d: _rows(s, d, NUMBER_TEXTS, "raw").select("raw", values.normalize_int(F.col("raw")).alias("n")), rf"SELECT raw, CASE WHEN regexp_matches(replace({TRIM}, ',', ''), '^[-+]?[0-9]+(\.0+)?$') THEN TRY_CAST(regexp_replace(replace({TRIM}, ',', ''), '\.0+$', '') AS BIGINT) END AS n FROM {_from(NUMBER_TEXTS, 'raw')}"),
-    "normalize_float": (lambda s, d: _rows(s, d, NUMBER_TEXTS, "raw").select("raw", values.normalize_float(F.col("raw")).alias("x")), rf"SELECT raw, CASE WHEN regexp_matches(replace({TRIM}, ',', ''), '^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$') THEN TRY_CAST(replace({TRIM}, ',', '') AS DOUBLE) END AS x FROM {_from(NUMBER_TEXTS, 'raw')}"),
-    "blank_flags": (lambda s, d: _rows(s, d, NUMBER_TEXTS, "raw").select("raw", values.is_blank(F.col("raw")).alias("blank"), values.is_empty_or_zero(F.col("raw")).alias("empty_or_zero")), f"SELECT raw, {TRIM} IN {_in(values.BLANKS)} AS blank, {TRIM} IN {_in(values.ZERO_BLANKS)} OR coalesce(CASE WHEN regexp_matches({TRIM}, '{NUM_SQL}') THEN TRY_CAST(replace({TRIM}, '_', '') AS DOUBLE) = 0 END, false) AS empty_or_zero FROM {_from(NUMBER_TEXTS, 'raw')}"),
+    "coerce_number": (lambda s, d: _made(s, d, "number").select("k", "raw", values.coerce_number(F.col("raw")).alias("num")), f"SELECT k, raw, CASE WHEN abs(x) <= 1000000000000 THEN x END AS num FROM (SELECT k, raw, CASE WHEN lower({TRIM}) IN {_in(values.NUMBER_BLANKS)} THEN NULL WHEN regexp_matches({TRIM}, '{NUM_SQL}') THEN TRY_CAST(replace({TRIM}, '_', '') AS DOUBLE) END AS x FROM {_from('number')})"),
+    "normalize_int": (lambda s, d: _made(s, d, "number").select("k", "raw", values.normalize_int(F.col("raw")).alias("n")), rf"SELECT k, raw, CASE WHEN regexp_matches(replace({TRIM}, ',', ''), '^[-+]?[0-9]+(\.0+)?$') THEN TRY_CAST(regexp_replace(replace({TRIM}, ',', ''), '\.0+$', '') AS BIGINT) END AS n FROM {_from('number')}"),
+    "normalize_float": (lambda s, d: _made(s, d, "number").select("k", "raw", values.normalize_float(F.col("raw")).alias("x")), rf"SELECT k, raw, CASE WHEN regexp_matches(replace({TRIM}, ',', ''), '^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$') THEN TRY_CAST(replace({TRIM}, ',', '') AS DOUBLE) END AS x FROM {_from('number')}"),
+    "blank_flags": (lambda s, d: _made(s, d, "number").select("k", "raw", values.is_blank(F.col("raw")).alias("blank"), values.is_empty_or_zero(F.col("raw")).alias("empty_or_zero")), f"SELECT k, raw, {TRIM} IN {_in(values.BLANKS)} AS blank, {TRIM} IN {_in(values.ZERO_BLANKS)} OR coalesce(CASE WHEN regexp_matches({TRIM}, '{NUM_SQL}') THEN TRY_CAST(replace({TRIM}, '_', '') AS DOUBLE) = 0 END, false) AS empty_or_zero FROM {_from('number')}"),
     "compact_category": (lambda s, d: table(s, d, "part").select("p_partkey", values.compact_category(F.when(F.col("p_partkey") % 5 == 0, F.lit("ip 10.0.0.1")).when(F.col("p_partkey") % 7 == 0, F.lit(" NaN ")).otherwise(F.col("p_type"))).alias("cat")), f"SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN NULL ELSE {TOKEN40('p_type')} END AS cat FROM part"),
     "value_preview": (lambda s, d: table(s, d, "documents").select("doc_id", values.value_preview(F.col("text")).alias("preview")), "SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 80) || '...' ELSE text END AS preview FROM documents"),
-    "duration_seconds": (lambda s, d: _rows(s, d, DURATIONS, "raw").select("raw", F.round(values.duration_seconds(F.col("raw")), 6).alias("sec")), r"SELECT raw, round(CASE WHEN regexp_matches(raw, '^([0-9]+(\.[0-9]+)?(ms|s|m|h))+$') THEN coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+(?:\.[0-9]+)?)ms', 1) AS DOUBLE) * 0.001, 0) + coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+(?:\.[0-9]+)?)s', 1) AS DOUBLE), 0) + coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+(?:\.[0-9]+)?)m(?:[^s]|$)', 1) AS DOUBLE) * 60, 0) + coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+(?:\.[0-9]+)?)h', 1) AS DOUBLE) * 3600, 0) ELSE TRY_CAST(raw AS DOUBLE) END, 6) AS sec FROM " + _from(DURATIONS, "raw")),
-    "feature_group": (lambda s, d: _rows(s, d, COLUMN_NAMES, "name").select("name", groups.feature_group(F.col("name")).alias("grp")), f"SELECT name, {groups.rules_sql('name', groups.FEATURE_RULES)} AS grp FROM {_from(COLUMN_NAMES, 'name')}"),
-    "ingest_group": (lambda s, d: _rows(s, d, COLUMN_NAMES, "name").select("name", groups.ingest_group(F.col("name")).alias("grp")), f"SELECT name, {groups.rules_sql('name', groups.INGEST_RULES)} AS grp FROM {_from(COLUMN_NAMES, 'name')}"),
+    "duration_seconds": (lambda s, d: _made(s, d, "duration").select("k", "raw", F.round(values.duration_seconds(F.col("raw")), 6).alias("sec")), r"SELECT k, raw, round(CASE WHEN regexp_matches(raw, '^([0-9]+(\.[0-9]+)?(ms|s|m|h))+$') THEN coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+(?:\.[0-9]+)?)ms', 1) AS DOUBLE) * 0.001, 0) + coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+(?:\.[0-9]+)?)s', 1) AS DOUBLE), 0) + coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+(?:\.[0-9]+)?)m(?:[^s]|$)', 1) AS DOUBLE) * 60, 0) + coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+(?:\.[0-9]+)?)h', 1) AS DOUBLE) * 3600, 0) ELSE TRY_CAST(raw AS DOUBLE) END, 6) AS sec FROM " + _from("duration")),
+    "feature_group": (lambda s, d: _made(s, d, "name").select("k", "name", groups.feature_group(F.col("name")).alias("grp")), f"SELECT k, name, {groups.rules_sql('name', groups.FEATURE_RULES)} AS grp FROM {_from('name')}"),
+    "ingest_group": (lambda s, d: _made(s, d, "name").select("k", "name", groups.ingest_group(F.col("name")).alias("grp")), f"SELECT k, name, {groups.rules_sql('name', groups.INGEST_RULES)} AS grp FROM {_from('name')}"),
     "port_bucket": (_port, f"SELECT event_id, port, {PORT_SQL} AS bucket FROM (SELECT event_id, (event_id * 37) % 65536 AS port FROM events)"),
     "numeric_features": (lambda s, d: table(s, d, "part").select("p_partkey", F.lit(1).cast("bigint").alias("present"), F.round(F.log1p(F.abs("p_retailprice")), 6).alias("log1p_abs")), "SELECT p_partkey, CAST(1 AS BIGINT) AS present, round(ln(1 + abs(p_retailprice)), 6) AS log1p_abs FROM part"),
     "group_numeric_stats": (_group_stats, sql(MEASURE_SQL + f" SELECT l_orderkey, grp, count(*) AS n, round(avg(ln(1 + abs(num))), 6) AS abs_log_mean, round(min(num), 6) AS lo, round(max(num), 6) AS hi, round(avg(num), 6) AS mean, round(stddev_pop(num), 4) AS std, round(max(num) - min(num), 6) AS span, round(count(*) FILTER (num = 0) / count(*), 6) AS zero_ratio, round(count(*) FILTER (num > 0) / count(*), 6) AS positive_ratio FROM (SELECT *, {groups.rules_sql('key', groups.FEATURE_RULES)} AS grp FROM u) GROUP BY 1, 2")),
@@ -306,18 +329,18 @@ CONV = {
     "keyword_hints": (lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(groups.keyword_hints(F.concat_ws(" ", "p_name", F.when(F.col("p_partkey") % 3 == 0, F.lit("SYN flood scan")), F.when(F.col("p_partkey") % 4 == 0, F.lit("password leak")))), ",").alias("hints")), f"SELECT p_partkey, coalesce({HINT_SQL}, '') AS hints FROM (SELECT p_partkey, lower(p_name || CASE WHEN p_partkey % 3 = 0 THEN ' SYN flood scan' ELSE '' END || CASE WHEN p_partkey % 4 = 0 THEN ' password leak' ELSE '' END) AS t FROM part)"),
     "event_features_long": (_features_long, FEATURES_SQL),
     "feature_vocabulary": (_vocabulary, f"SELECT key, row_number() OVER (ORDER BY key) - 1 AS idx FROM (SELECT DISTINCT key FROM ({FEATURES_SQL}))"),
-    "feature_allowlist": (lambda s, d: _rows(s, d, ("origin.dataset", "byte_count.raw", "behavior.x", "mapping_confidence", "uncertainty_count", "semantic_hint.ddos", "context.service.k"), "name").where(leak.is_allowed_feature(F.col("name"))), "SELECT name FROM " + _from(("origin.dataset", "byte_count.raw", "behavior.x", "mapping_confidence", "uncertainty_count", "semantic_hint.ddos", "context.service.k"), "name") + " WHERE NOT (" + " OR ".join(f"starts_with(name, '{p}')" for p in leak.FORBIDDEN_PREFIXES) + f" OR name IN {_in(leak.FORBIDDEN_KEYS)})"),
+    "feature_allowlist": (lambda s, d: _made(s, d, "feature").where(leak.is_allowed_feature(F.col("name"))).select("k", "name"), "SELECT k, name FROM " + _from("feature") + " WHERE NOT (" + " OR ".join(f"starts_with(name, '{p}')" for p in leak.FORBIDDEN_PREFIXES) + f" OR name IN {_in(leak.FORBIDDEN_KEYS)})"),
     "feature_leaks": (lambda s, d: _features_long(s, d).select("key").distinct().where(leak.is_target_field(F.col("key"))).agg(F.count(F.lit(1)).alias("n_leaks")), f"SELECT count(*) AS n_leaks FROM (SELECT DISTINCT key FROM ({FEATURES_SQL})) WHERE {TARGET_SQL('key')}"),
-    "schema_profile": (lambda s, d: _rows(s, d, CHAINS, "modality, cols").select("modality", "cols", groups.schema_profile(F.lit(""), F.col("modality"), F.split("cols", ",")).alias("profile")), "SELECT modality, cols, CASE WHEN modality = 'host_log' THEN 'host_metrics' WHEN modality = 'telemetry' THEN 'iot_telemetry' WHEN modality = 'alert' THEN 'alert_text' WHEN regexp_matches(cols, '(^|,)(tcp|udp|icmp|mqtt|http|arp)\\.') THEN 'network_packet' WHEN regexp_matches(cols, '(^|,)(src_port|dst_port)(,|$)|state|proto') THEN 'network_flow' ELSE modality END AS profile FROM " + _from(CHAINS, "modality, cols")),
-    "parse_timestamp": (lambda s, d: _rows(s, d, TIMES, "raw").select("raw", F.unix_micros(values.parse_timestamp(F.col("raw"))).alias("us")), f"SELECT e.raw, CAST(e.us AS BIGINT) AS us FROM {_from(TIMES, 'raw')} JOIN (VALUES ('2020-01-02 03:04:05', 1577934245000000), ('2020/01/02 03:04:05', 1577934245000000), ('02-Jan-20 03:04:05', 1577934245000000), ('02-Jan-2020 03:04:05', 1577934245000000), ('31/12/2019 23:59:59', 1577836799000000), ('12/31/2019 23:59:59', 1577836799000000), ('1577934245', 1577934245000000), ('1577934245.5', 1577934245500000), ('2019 13:01:02.5', 1546347662500000), ('2020-01-02T03:04:05Z', 1577934245000000), ('2020-01-02', 1577923200000000), ('nonsense', NULL), ('-', NULL), ('17', NULL), ('20-01-02 03:04:05', 1577934245000000)) AS e(raw, us) ON t.raw = e.raw"),
+    "schema_profile": (lambda s, d: _made(s, d, "chain").select("k", "modality", "cols", groups.schema_profile(F.lit(""), F.col("modality"), F.split("cols", ",")).alias("profile")), "SELECT k, modality, cols, CASE WHEN modality = 'host_log' THEN 'host_metrics' WHEN modality = 'telemetry' THEN 'iot_telemetry' WHEN modality = 'alert' THEN 'alert_text' WHEN regexp_matches(cols, '(^|,)(tcp|udp|icmp|mqtt|http|arp)\\.') THEN 'network_packet' WHEN regexp_matches(cols, '(^|,)(src_port|dst_port)(,|$)|state|proto') THEN 'network_flow' ELSE modality END AS profile FROM " + _from("chain")),
+    "parse_timestamp": (lambda s, d: _made(s, d, "time").select("k", "raw", F.unix_micros(values.parse_timestamp(F.col("raw"))).alias("us")), f"SELECT o_orderkey AS k, {MADE['time'][1]['raw']} AS raw, CAST({_TIME_US} AS BIGINT) AS us FROM orders"),
     "url_validity": (_url_validity, "SELECT page_id, regexp_matches(url, '^https?://[^/?#]+') AS url_ok, '2024-02-' || (page_id % 31 + 1) AS day, TRY_CAST('2024-02-' || lpad(CAST(page_id % 31 + 1 AS VARCHAR), 2, '0') AS DATE) IS NOT NULL AS day_ok FROM pages"),
-    "target_field_predicate": (lambda s, d: _rows(s, d, TARGET_NAMES, "name").select("name", leak.is_target_field(F.col("name")).alias("runtime"), leak.is_target_field(F.col("name"), offline=True).alias("offline")), f"SELECT name, {TARGET_SQL('name')} AS runtime, {TARGET_SQL('name', leak.OFFLINE_EXTRA)} AS offline FROM {_from(TARGET_NAMES, 'name')}"),
-    "target_value_predicate": (lambda s, d: _rows(s, d, TARGET_TEXTS, "v").select("v", leak.is_target_value(F.col("v")).alias("target")), f"SELECT v, {TOKEN('trim(v)')} IN {_in(leak.TARGET_VALUES)} AS target FROM {_from(TARGET_TEXTS, 'v')}"),
+    "target_field_predicate": (lambda s, d: _made(s, d, "target").select("k", "name", leak.is_target_field(F.col("name")).alias("runtime"), leak.is_target_field(F.col("name"), offline=True).alias("offline")), f"SELECT k, name, {TARGET_SQL('name')} AS runtime, {TARGET_SQL('name', leak.OFFLINE_EXTRA)} AS offline FROM {_from('target')}"),
+    "target_value_predicate": (lambda s, d: _made(s, d, "value").select("k", "v", leak.is_target_value(F.col("v")).alias("target")), f"SELECT k, v, {TOKEN('trim(v)')} IN {_in(leak.TARGET_VALUES)} AS target FROM {_from('value')}"),
     "target_text_predicate": (lambda s, d: table(s, d, "documents").select("doc_id", leak.has_target_text(F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit(" label=")).otherwise(F.lit(" xlabel=")), F.col("lang"))).alias("hit")), rf"SELECT doc_id, regexp_matches(text || CASE WHEN doc_id % 2 = 0 THEN ' label=' ELSE ' xlabel=' END || lang, '(?i)(^|[^A-Za-z0-9_.-])[\x22\x27]?{leak.TARGET_KEY}[\x22\x27]?\s*[:=]\s*') AS hit FROM documents"),
-    "target_path_allowlist": (lambda s, d: _rows(s, d, PATHS, "path").select("path", leak.is_allowed_path(F.col("path")).alias("allowed")), f"SELECT path, lower(path) IN {_in(leak.ALLOWED_PATHS)} AS allowed FROM {_from(PATHS, 'path')}"),
+    "target_path_allowlist": (lambda s, d: _made(s, d, "path").select("k", "path", leak.is_allowed_path(F.col("path")).alias("allowed")), f"SELECT k, path, lower(path) IN {_in(leak.ALLOWED_PATHS)} AS allowed FROM {_from('path')}"),
     "canonical_leak_violations": (_violations, sql(ROWMAP_SQL + " SELECT c_custkey, concat_ws(',', CASE WHEN label <> '' THEN 'label' END, CASE WHEN segment = 'ddos' THEN 'segment' END, CASE WHEN threat_score IS NOT NULL THEN 'threat_score' END) AS violations FROM rm")),
-    "selected_columns_ok": (_selected_ok, "SELECT c_custkey, false AS ok FROM customer"),
-    "validated_columns": (lambda s, d: _columns(s, d).select("c_custkey", F.array_join(F.slice(F.array_intersect("proposed", "present"), 1, 40), ",").alias("cols")), "SELECT c_custkey, 'c_name' || CASE WHEN c_custkey % 3 = 1 THEN ',x1' ELSE '' END || CASE WHEN c_custkey % 2 = 0 THEN ',c_acctbal' ELSE ',c_custkey' END AS cols FROM customer"),
+    "selected_columns_ok": (_selected_ok, "SELECT c_custkey, c_custkey % 11 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AS ok FROM customer"),
+    "validated_columns": (lambda s, d: _columns(s, d).select("c_custkey", F.array_join(F.slice(F.array_intersect("proposed", "present"), 1, 40), ",").alias("cols")), "SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 'c_name' || CASE c_custkey % 3 WHEN 1 THEN ',x1' WHEN 2 THEN ',c_nationkey' ELSE '' END || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE ',c_phone' END || CASE WHEN c_custkey % 2 = 0 THEN ',c_acctbal' ELSE ',c_custkey' END END AS cols FROM customer"),
     "prune_empty": (_prune, sql(ROWMAP_SQL + " SELECT c_custkey, concat_ws(',', CASE WHEN label <> '' THEN 'label' END, 'name', 'nation', 'segment', CASE WHEN threat_score IS NOT NULL THEN 'threat_score' END) AS kept_keys FROM rm")),
     "event_context_projection": (_context_projection, "SELECT event_id, CAST(2 + CAST(user_id % 2 = 0 AS INT) AS BIGINT) AS n_fields, 'k,type' || CASE WHEN user_id % 2 = 0 THEN ',user' ELSE '' END AS fields FROM events"),
     "column_ranking": (_ranking, f"SELECT c_custkey, name, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, pos) AS rn FROM (SELECT c_custkey, pos, name, CAST({PRIORITY_SQL} + CAST(present AS BIGINT) AS BIGINT) AS score FROM (SELECT c_custkey, unnest([0, 1, 2, 3, 4]) AS pos, unnest(['src_ip', 'c_name', 'port_time', 'zzz', 'proto']) AS name, unnest([c_custkey % 2 = 0, true, c_acctbal > 0, false, c_nationkey > 10]) AS present FROM customer)) WHERE score > 0) WHERE rn <= 3"),
@@ -325,9 +348,9 @@ CONV = {
     "schema_violations": (_schema_violations, SCHEMA_SQL),
     "complete_event": (_complete, COMPLETE_SQL),
     "infer_groups": (_infer_groups, sql(ROWMAP_SQL + f" SELECT c_custkey, grp, string_agg(key, ',' ORDER BY key) AS columns FROM (SELECT c_custkey, key, {groups.rules_sql(chr(39) + 'src_' + chr(39) + ' || key', groups.INGEST_RULES)} AS grp FROM (SELECT c_custkey, unnest(['name', 'label', 'segment', 'nation', 'threat_score']) AS key, unnest([name, label, segment, nation, threat_score]) AS value FROM rm) WHERE value IS NOT NULL AND value <> '') GROUP BY 1, 2")),
-    "normalize_dataset": (lambda s, d: _rows(s, d, DATASET_NAMES, "raw").select("raw", taxonomy.normalize_dataset(F.col("raw")).alias("dataset")), f"SELECT e.* FROM {_from(DATASET_NAMES, 'raw')} JOIN (VALUES ('EdgeIIoTset', 'edge_iiotset'), ('Bot-IoT', 'bot_iot'), ('IoT-23', 'iot23'), ('TON_IoT', 'ton_iot'), ('other set', 'other_set'), ('', '')) AS e(raw, dataset) ON t.raw = e.raw"),
-    "normalize_modality": (lambda s, d: _rows(s, d, CHAINS, "modality, cols").select("modality", "cols", groups.normalize_modality(F.col("modality"), F.split("cols", ",")).alias("found")), f"SELECT e.* FROM {_from(CHAINS, 'modality, cols')} JOIN (VALUES ('network_flow', 'src_ip,dst_ip', 'network_flow'), ('sensor', 'temperature', 'telemetry'), ('telemetry', 'cpu,memory', 'host_log'), ('flow', 'humidity', 'telemetry'), ('', 'proto', 'network_flow'), ('endpoint-metrics', '', 'host_log'), ('alert_text', 'msg', 'alert'), ('network_flow', 'tcp.len,ip.src,eth.dst', 'network_flow'), ('pcap_ref', '', 'pcap_ref'), ('weird', 'x', 'weird'), ('weird', 'message', 'weird'), ('weird', 'light', 'weird')) AS e(modality, cols, found) ON t.modality = e.modality AND t.cols = e.cols"),
-    "infer_profile": (lambda s, d: _rows(s, d, CHAINS, "modality, cols").select("modality", "cols", groups.infer_profile(F.lit(""), F.col("modality"), F.split("cols", ",")).alias("found")), f"SELECT e.* FROM {_from(CHAINS, 'modality, cols')} JOIN (VALUES ('network_flow', 'src_ip,dst_ip', 'network_flow'), ('sensor', 'temperature', 'iot_telemetry'), ('telemetry', 'cpu,memory', 'host_metrics'), ('flow', 'humidity', 'iot_telemetry'), ('', 'proto', 'network_flow'), ('endpoint-metrics', '', 'unknown'), ('alert_text', 'msg', 'unknown'), ('network_flow', 'tcp.len,ip.src,eth.dst', 'network_packet'), ('pcap_ref', '', 'pcap_ref'), ('weird', 'x', 'unknown'), ('weird', 'message', 'alert_text'), ('weird', 'light', 'iot_telemetry')) AS e(modality, cols, found) ON t.modality = e.modality AND t.cols = e.cols"),
+    "normalize_dataset": (lambda s, d: _made(s, d, "dataset").select("k", "raw", taxonomy.normalize_dataset(F.col("raw")).alias("dataset")), f"SELECT k, raw, coalesce(a.name, {TOKEN('raw')}) AS dataset FROM {_from('dataset')} LEFT JOIN (VALUES {', '.join(f'({chr(39)}{x}{chr(39)}, {chr(39)}{y}{chr(39)})' for x, y in taxonomy.DATASETS.items())}) AS a(alias, name) ON a.alias = {TOKEN('raw')}"),
+    "normalize_modality": (lambda s, d: _made(s, d, "chain").select("k", "modality", "cols", groups.normalize_modality(F.col("modality"), F.split("cols", ",")).alias("found")), f"SELECT k, modality, cols, {MODALITY_SQL} AS found FROM {CHAIN_SQL}"),
+    "infer_profile": (lambda s, d: _made(s, d, "chain").select("k", "modality", "cols", groups.infer_profile(F.lit(""), F.col("modality"), F.split("cols", ",")).alias("found")), f"SELECT k, modality, cols, {PROFILE_SQL} AS found FROM {CHAIN_SQL}"),
     "input_guard_code": (_guard, sql(GUARD_SQL)),
     "standardization_contract_code": (_contract, sql(CONTRACT_SQL)),
     "retry_backoff": (_retry, sql(RETRY_SQL)),
@@ -343,8 +366,8 @@ CONV = {
 
 def _taxonomy_query(rules):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = _rows(spark, d, LABELS, "dataset, native, sub, proto, service")
-        return rows.withColumn("r", taxonomy.resolve(*(F.col(c) for c in ("dataset", "native", "sub", "proto", "service")), rules=rules)).select("dataset", "native", "sub", "proto", "service", "r.status", "r.attack_type", "r.reason")
+        rows = _made(spark, d, "label")
+        return rows.withColumn("r", taxonomy.resolve(*(F.col(c) for c in ("dataset", "native", "sub", "proto", "service")), rules=rules)).select("k", "dataset", "native", "sub", "proto", "service", "r.status", "r.attack_type", "r.reason")
 
     return run
 
@@ -355,11 +378,11 @@ def _taxonomy_sql(rules) -> str:
     listed = ", ".join(f"({k}, {lit(a)}, {lit(b)}, {lit(c)}, {lit(s)}, {lit(t)}, {lit(r)})" for k, (a, b, c, s, t, r) in enumerate(rules))
     data = f"coalesce((SELECT n FROM (VALUES {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)})' for a, b in taxonomy.DATASETS.items())}) AS a(k, n) WHERE k = {TOKEN('dataset')}), {TOKEN('dataset')})"
     kind = "CASE WHEN sk IN ('http', 'http_alt', 'http_proxy') THEN 'service_http' WHEN starts_with(pk, 'icmp') THEN 'protocol_icmp' WHEN pk IN ('udp', 'tcp') THEN 'protocol_' || pk END"
-    return f"""WITH t AS (SELECT *, {data} AS dk, {TOKEN('native')} AS ck, {TOKEN('sub')} AS bk, {TOKEN('proto')} AS pk, {TOKEN('service')} AS sk FROM (VALUES {_quoted(LABELS)}) AS t(dataset, native, sub, proto, service)),
+    return f"""WITH t AS (SELECT *, {data} AS dk, {TOKEN('native')} AS ck, {TOKEN('sub')} AS bk, {TOKEN('proto')} AS pk, {TOKEN('service')} AS sk FROM (SELECT DISTINCT dataset, native, sub, proto, service FROM {_from('label')}) AS t),
 n(key, own) AS (VALUES {names}), r(k, rd, rc, rs, status, kind, reason) AS (VALUES {listed}),
 j AS (SELECT t.*, n.own, r.*, {kind} AS raw FROM t LEFT JOIN n ON t.ck = n.key LEFT JOIN r ON r.rd = t.dk AND (r.rc = '*' OR (r.rc = '=' AND n.own IS NOT NULL) OR r.rc = t.ck) AND (r.rs = '*' OR r.rs = t.bk) AND t.ck NOT IN ('normal', 'benign', 'benigno')),
 f AS (SELECT *, row_number() OVER (PARTITION BY dataset, native, sub, proto, service ORDER BY k) AS rn FROM j)
-SELECT e.* FROM {_from(LABELS, 'dataset, native, sub, proto, service')} JOIN (SELECT dataset, native, sub, proto, service, CASE WHEN ck IN ('normal', 'benign', 'benigno') THEN 'benign' WHEN k IS NULL THEN 'out_of_taxonomy' WHEN kind = '?' AND raw IS NULL THEN 'ambiguous' ELSE status END AS status,
+SELECT t.k, e.* FROM {_from('label')} JOIN (SELECT dataset, native, sub, proto, service, CASE WHEN ck IN ('normal', 'benign', 'benigno') THEN 'benign' WHEN k IS NULL THEN 'out_of_taxonomy' WHEN kind = '?' AND raw IS NULL THEN 'ambiguous' ELSE status END AS status,
 CASE WHEN kind = '=' THEN own WHEN kind = '?' THEN CASE raw WHEN 'service_http' THEN 'DDoS_HTTP' WHEN 'protocol_icmp' THEN 'DDoS_ICMP' WHEN 'protocol_udp' THEN 'DDoS_UDP' WHEN 'protocol_tcp' THEN 'DDoS_TCP' END ELSE kind END AS attack_type,
 CASE WHEN ck IN ('normal', 'benign', 'benigno') THEN 'handled_by_binary_detector' WHEN k IS NULL THEN 'dataset_not_supported' WHEN kind = '?' THEN reason || coalesce('_raw_' || raw, '_missing_raw_protocol') ELSE reason END AS reason FROM f WHERE rn = 1) e ON t.dataset = e.dataset AND t.native = e.native AND t.sub = e.sub AND t.proto = e.proto AND t.service = e.service"""
 
