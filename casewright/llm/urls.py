@@ -1,11 +1,15 @@
 """URL filters: site rules, and logistic regression on hashed character n-grams.
 
-Host and path of a URL become character 3- and 4-grams, hashed into ``buckets``
-with a mark for the part they come from. A logistic regression on their shares
-gives the probability that the page is unwanted. It is fitted by gradient
-descent on the driver to a small labelled table of URLs, whose n-grams are made
-by the very same column expressions; the table is bounded by ``MAX_LABELLED``.
-Judging is one projection: the weights are a literal array.
+Host and path of a URL become character 3-grams, hashed into ``buckets`` with a
+mark for the part they come from. A logistic regression on which buckets a URL
+has gives the probability that the page is unwanted: a bucket that the labels
+don't hold counts nothing, so known parts of a long URL aren't thinned out by
+unknown ones. It is fitted by gradient descent on the driver to a small labelled
+table of URLs, whose n-grams are made by the very same column expressions; the
+table is bounded by ``MAX_LABELLED``. Judging is one projection: the weights are a literal array.
+
+A quarter of the labelled table, by the checksum of the URL, is only for
+``held_out_report``. Length of n-grams and ridge were chosen by cross-validation on the other rows.
 
 A rule (host, path) fits its host and all subdomains if the URL's path starts
 with the rule's; the longest rule wins, host before path, and overrides the
@@ -18,7 +22,7 @@ an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -54,15 +58,15 @@ def rule_hits(host: Column, path: Column, rules: Iterable[tuple[str, str, str]]
     return name, verdict
 
 
-def ngrams(host: Column, path: Column, buckets: int) -> Column:
-    """Buckets of all character 3- and 4-grams of host and path, each part between marks."""
+def ngrams(host: Column, path: Column, buckets: int, size: int = 3) -> Column:
+    """Distinct buckets of all character n-grams of host and path, each part between marks."""
 
-    def grams(text: Column, part: str, size: int) -> Column:
+    def grams(text: Column, part: str) -> Column:
         marked = F.concat(F.lit("^"), text, F.lit("$"))
         places = F.sequence(F.lit(1), F.greatest(F.length(marked) - (size - 1), F.lit(1)))
         return F.transform(places, lambda k: F.pmod(F.xxhash64(F.lit(part), F.substring(marked, k, F.lit(size))), F.lit(buckets)).cast("int"))
 
-    return F.concat(*(grams(text, part, size) for text, part in ((host, "h"), (path, "p")) for size in (3, 4)))
+    return F.array_distinct(F.concat(grams(host, "h"), grams(path, "p")))
 
 
 #: The small labelled table that the production query is fitted to, one host and path a line.
@@ -257,13 +261,8 @@ def default_labels() -> list[tuple[str, bool]]:
     return [(f"http://{line}", unwanted) for lines, unwanted in ((UNWANTED, True), (ORDINARY, False)) for line in lines.split()]
 
 
-def fit(spark: SparkSession, labels: Iterable[tuple[str, bool]], buckets: int = 1024, rounds: int = 3000, rate: float = 8.0, ridge: float = 1e-6, prior: float = 0.3) -> list[float]:
-    """Weights by bucket, then the bias. The labelled rows are bounded, so gradient descent runs on the driver.
-
-    The bias is moved from the table's share of unwanted URLs to ``prior``, the
-    share that is expected among pages, so that n-grams which the table doesn't
-    hold speak for an ordinary page.
-    """
+def fit(spark: SparkSession, labels: Iterable[tuple[str, bool]], buckets: int = 4096, rounds: int = 1500, rate: float = 0.05, ridge: float = 1e-3) -> list[float]:
+    """Weights by bucket, then the bias. The labelled rows are bounded, so gradient descent runs on the driver."""
     rows = list(labels)
     if len(rows) > MAX_LABELLED:
         raise ValueError(f"more than {MAX_LABELLED} labelled URLs")
@@ -271,15 +270,29 @@ def fit(spark: SparkSession, labels: Iterable[tuple[str, bool]], buckets: int =
     found = frame.select(ngrams(host(F.col("url")), path(F.col("url")), buckets).alias("g"), "y").collect()
     x, y = np.zeros((len(found), buckets)), np.array([float(r.y) for r in found])
     for k, r in enumerate(found):
-        np.add.at(x[k], r.g, 1.0 / len(r.g))
+        x[k, r.g] = 1.0
     weights, bias = np.zeros(buckets), 0.0
     for _ in range(rounds):
         miss = (1.0 / (1.0 + np.exp(-np.clip(bias + x @ weights, -30.0, 30.0))) - y) / max(len(y), 1)
-        # shares are small, so weights take longer steps than the bias
-        weights -= rate * 600 * (x.T @ miss + ridge * weights)
-        bias -= rate * 0.1 * float(miss.sum())
-    share = (float(y.sum()) + 0.5) / (len(y) + 1)
-    return [*weights.tolist(), bias + math.log(prior / (1 - prior)) - math.log(share / (1 - share))]
+        weights -= rate * (x.T @ miss + ridge * weights)
+        bias -= rate * float(miss.sum())
+    return [*weights.tolist(), bias]
+
+
+def is_held_out(url: str) -> bool:
+    """Whether a labelled URL is kept from fitting in ``held_out_report``."""
+    return zlib.crc32(url.encode()) % 4 == 0
+
+
+def held_out_report(spark: SparkSession, labels: Iterable[tuple[str, bool]] | None = None, threshold: float = 0.5) -> dict[str, int]:
+    """Counts of right and wrong verdicts on the held-out quarter of the labels, by a model that is fitted to the rest."""
+    rows = default_labels() if labels is None else list(labels)
+    model = fit(spark, [r for r in rows if not is_held_out(r[0])])
+    frame = spark.createDataFrame([r for r in rows if is_held_out(r[0])], "url string, y boolean")
+    blocked = probability(host(F.col("url")), path(F.col("url")), model) >= threshold
+    tally = frame.select("y", blocked.alias("b")).groupBy("y", "b").count().collect()
+    names = {(True, True): "blocked_unwanted", (True, False): "allowed_unwanted", (False, True): "blocked_ordinary", (False, False): "allowed_ordinary"}
+    return dict.fromkeys(names.values(), 0) | {names[r.y, r.b]: r["count"] for r in tally}
 
 
 def probability(host: Column, path: Column, model: list[float]) -> Column:
@@ -288,7 +301,7 @@ def probability(host: Column, path: Column, model: list[float]) -> Column:
     weights = F.array(*(F.lit(w) for w in model[:-1]))
     grams = ngrams(host, path, buckets)
     total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.element_at(weights, b + 1))
-    return 1.0 / (1.0 + F.exp(-(F.lit(model[-1]) + total / F.size(grams))))
+    return 1.0 / (1.0 + F.exp(-(F.lit(model[-1]) + total)))
 
 
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, labels: Iterable[tuple[str, bool]] | None = None, threshold: float = 0.5) -> DataFrame:
