@@ -326,7 +326,8 @@ def estimates(points: DataFrame, support: float, starts_for: int, steps: int, co
         ordered = Window.partitionBy("cell", "start").orderBy("bin")
         bins = near.groupBy("cell", "start", "bin").agg(F.count(F.lit(1)).alias("n")).withColumn("reach", F.sum("n").over(ordered)).withColumn("all", F.sum("n").over(Window.partitionBy("cell", "start")))
         limits = bins.where(F.col("reach") >= F.ceil(F.col("all") * support)).groupBy("cell", "start").agg(F.min("bin").alias("last"))
-        core = near.join(limits, ["cell", "start"]).where("bin <= last")
+        # Written out, so that Spark knows how few limits there are and the points aren't dealt by their cells.
+        core = near.join(stored(limits, "quality-limits"), ["cell", "start"]).where("bin <= last")
         found = _moments(core).mapInArrow(step, _ESTIMATE)
         if k == starts_for - 1:
             best = Window.partitionBy("cell").orderBy("log_det", "start")
