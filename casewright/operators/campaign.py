@@ -126,20 +126,42 @@ def well_formed(*keys: str) -> Column:
     return good
 
 
-def preflight(manifests: DataFrame, attempts: DataFrame, require_complete: bool = True, require_llm: bool = True, provider: str | None = None, reject_orphans: bool = True) -> DataFrame:
+def exclude(rows: DataFrame, listed: DataFrame, key: str, matched: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` without those that a curated list names in full, and the list's entries with their ``state``.
+
+    An entry excludes a row only if it agrees with it in ``key`` and all ``matched`` columns: matched. Else it is
+    mismatch (the key is there with other values), unknown, or repeated (listed more than once), and excludes nothing.
+    """
+    entries = listed.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*matched)).alias("_want"))
+    found = rows.select(key, F.struct(*matched).alias("_have"))
+    met = entries.join(found, key, "left")
+    state = F.when(F.col("_n") > 1, "repeated").when(F.col("_have").isNull(), "unknown").when(F.col("_have").eqNullSafe(F.col("_want")), "matched").otherwise("mismatch")
+    report = met.select(key, state.alias("state"))
+    return rows.join(report.where("state = 'matched'").select(key), key, "left_anti"), report
+
+
+def require_matched(report: DataFrame) -> None:
+    """An error that names entries which don't match in full."""
+    bad = report.where("state <> 'matched'").limit(5).collect()
+    if bad:
+        raise ValueError(f"the list doesn't fit the rows: {[tuple(r) for r in bad]}")
+
+
+def preflight(manifests: DataFrame, attempts: DataFrame, require_complete: bool = True, require_llm: bool = True, provider: str | None = None, reject_orphans: bool = True, model: str | None = None) -> DataFrame:
     """(failure, n) of what keeps a campaign from evaluation, in the order of the policy; empty if it is ready.
 
     orphan_results: attempts without a manifest; incomplete: manifests without a
     success; llm_required: successes none of which a model parsed;
-    provider_mismatch: the latest success comes from another provider.
+    provider_mismatch, model_mismatch: the latest success comes from another provider or model.
     """
-    best = latest(attempts, ["manifest_id"], where=F.col("ok")).select("manifest_id", F.lower("provider").alias("_provider"))
+    named = F.lower("model") if model is not None else F.lit(None).cast("string")
+    best = latest(attempts, ["manifest_id"], where=F.col("ok")).select("manifest_id", F.lower("provider").alias("_provider"), named.alias("_model"))
     parsed = attempts.where("ok and llm").select("manifest_id").distinct().withColumn("_llm", F.lit(True))
     seen = manifests.select("manifest_id").join(best, "manifest_id", "left").join(parsed, "manifest_id", "left")
     done = F.col("_provider").isNotNull()
-    counts = seen.agg(F.count_if(~done).alias("incomplete"), F.count_if(done & F.col("_llm").isNull()).alias("llm_required"), F.count_if(done & (F.col("_provider") != F.lower(F.lit(provider)))).alias("provider_mismatch"))
+    counts = seen.agg(F.count_if(~done).alias("incomplete"), F.count_if(done & F.col("_llm").isNull()).alias("llm_required"), F.count_if(done & (F.col("_provider") != F.lower(F.lit(provider)))).alias("provider_mismatch"), F.count_if(done & ~F.col("_model").eqNullSafe(F.lower(F.lit(model)))).alias("model_mismatch"))
     lost = orphans(attempts, manifests).agg(F.count(F.lit(1)).alias("orphan_results"))
-    policy = (("orphan_results", reject_orphans), ("incomplete", require_complete), ("llm_required", require_llm), ("provider_mismatch", provider is not None))
+    policy = (("orphan_results", reject_orphans), ("incomplete", require_complete), ("llm_required", require_llm), ("provider_mismatch", provider is not None), ("model_mismatch", model is not None))
     entries = F.array(*(F.struct(F.lit(name).alias("failure"), F.col(name).alias("n")) for name, wanted in policy if wanted))
     return counts.crossJoin(lost).select(F.explode(entries).alias("e")).select("e.*").where("n > 0")  # one row each
 

@@ -131,17 +131,18 @@ def _cross_class(s, d):
     return C.first_class(v_doc(s, d).select("fp", "dataset", "doc_id"), "fp", rank, "doc_id").select("fp", "dataset", "doc_id")
 
 
-def _system_audit(s, d):
-    """Named assertions over the corpus, one row each."""
-    m, a = v_manifest(s, d), v_attempt(s, d)
-    facts = [
-        ("manifests", "ids_unique", m.agg((F.count(F.lit(1)) == F.countDistinct("manifest_id")).alias("ok"))),
-        ("attempts", "sequence_unique", a.agg((F.count(F.lit(1)) == F.countDistinct("seq")).alias("ok"))),
-        ("attempts", "confidence_in_range", a.agg(F.bool_and(F.col("confidence").between(0, 1)).alias("ok"))),
-        ("attempts", "no_orphans", C.orphans(a, m).agg((F.count(F.lit(1)) == 0).alias("ok"))),
-    ]
-    out = [f.select(F.lit(c).alias("component"), F.lit(k).alias("check_name"), "ok") for c, k, f in facts]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+def _exclusion(s, d):
+    """Manifests without a curated list, whose entries name number and class; some entries name another class, a number that isn't there, or come twice."""
+    n = F.col("s_suppkey")
+    m = v_manifest(s, d)
+    named = table(s, d, "supplier").select((n * 11).alias("manifest_id")).join(m.select("manifest_id", "class"), "manifest_id", "left")
+    listed = named.select("manifest_id", F.when(F.col("manifest_id") % 3 == 0, "OTHER").otherwise(F.coalesce("class", F.lit("NONE"))).alias("class"))
+    twice = listed.where("manifest_id % 5 = 0")
+    kept, report = C.exclude(m, listed.unionByName(twice), "manifest_id", ["class"])
+    return kept.groupBy(F.lit("kept").alias("part"), F.col("class").alias("name")).agg(N()).unionByName(report.groupBy(F.lit("entry").alias("part"), F.col("state").alias("name")).agg(N()))
+
+
+EXCLUSION_SQL = ", l AS (SELECT s_suppkey * 11 AS id, class, manifest_id IS NOT NULL AS known FROM supplier LEFT JOIN v_manifest ON manifest_id = s_suppkey * 11), e AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'repeated' WHEN NOT known THEN 'unknown' WHEN id % 3 = 0 THEN 'mismatch' ELSE 'matched' END AS state FROM l) SELECT 'kept' AS part, class AS name, count(*) AS n FROM v_manifest WHERE manifest_id NOT IN (SELECT id FROM e WHERE state = 'matched') GROUP BY 2 UNION ALL SELECT 'entry', state, count(*) FROM e GROUP BY 2"
 
 
 DOC_GROUPS = "g AS (SELECT fp, count(*) AS n, min(doc_id) AS keeper, min(split) <> max(split) AS cross_split, coalesce(min(label) <> max(label), false) AS conflict FROM v_doc GROUP BY fp)"
@@ -174,7 +175,7 @@ ALL = {
     "mapping_sidecar": (_sidecar, sql(f", {DOC_GROUPS} SELECT CASE WHEN label IS NULL THEN 'rejected' ELSE 'mapped' END AS status, CASE WHEN conflict THEN 'conflicting_labels' WHEN cross_split THEN 'cross_split' WHEN g.n > 1 THEN 'same_split_duplicate' ELSE 'kept' END AS outcome, count(*) AS n FROM v_doc JOIN g USING (fp) GROUP BY 1, 2")),
     "rejected_support": (lambda s, d: v_doc(s, d).where("label is null").groupBy("dataset", "source", "split", F.when(F.col("n_chars") > 2000, "long").otherwise("short").alias("size")).agg(N()), sql("SELECT dataset, source, split, CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END AS size, count(*) AS n FROM v_doc WHERE label IS NULL GROUP BY ALL")),
     "holdout_overlap": (lambda s, d: v_doc(s, d).where("split = 'train'").select("fp").distinct().join(v_doc(s, d).where("split = 'test'").select("fp").distinct(), "fp", "left_semi").agg(F.count(F.lit(1)).alias("n_overlap")), sql("SELECT count(*) AS n_overlap FROM (SELECT fp FROM v_doc WHERE split = 'train' INTERSECT SELECT fp FROM v_doc WHERE split = 'test')")),
-    "curated_exclusion": (lambda s, d: v_manifest(s, d).join(table(s, d, "supplier").select((F.col("s_suppkey") * 11).alias("manifest_id")), "manifest_id", "left_anti").groupBy("class").agg(N()), sql("SELECT class, count(*) AS n FROM v_manifest WHERE manifest_id NOT IN (SELECT s_suppkey * 11 FROM supplier) GROUP BY 1")),
+    "curated_exclusion": (_exclusion, sql(EXCLUSION_SQL)),
     "unused_records": (lambda s, d: v_manifest(s, d).select("manifest_id").exceptAll(v_attempt(s, d).select("manifest_id").distinct()), sql("SELECT manifest_id FROM v_manifest EXCEPT SELECT manifest_id FROM v_attempt")),
     "dedup_strict": (lambda s, d: C.dedup_strict(v_doc(s, d)), sql("SELECT dataset, fp, outcome, CASE WHEN outcome = 'kept' THEN keeper END AS keeper FROM (SELECT dataset, fp, min(doc_id) AS keeper, CASE WHEN coalesce(min(label) <> max(label), false) THEN 'violation' WHEN min(split) <> max(split) THEN 'dropped' ELSE 'kept' END AS outcome FROM v_doc GROUP BY 1, 2)")),
     "dedup_labelled": (lambda s, d: C.dedup_labelled(v_doc(s, d)), sql(f", {DOC_GROUPS} SELECT keeper AS doc_id FROM g WHERE NOT cross_split AND NOT conflict")),
@@ -182,7 +183,6 @@ ALL = {
     "dedup_removed_groups": (lambda s, d: C.removed_groups(v_doc(s, d)), sql(f", {DOC_GROUPS} SELECT fp, n, CASE WHEN conflict THEN 'conflicting_labels' WHEN cross_split THEN 'cross_split' ELSE 'same_split_duplicate' END AS reason FROM g WHERE conflict OR cross_split OR n > 1")),
     "cross_class_dedup": (_cross_class, sql("SELECT fp, dataset, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY CASE dataset WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END, doc_id) AS rn FROM v_doc) WHERE rn = 1")),
     "cross_split_overlap": (lambda s, d: C.cross_split_overlap(v_doc(s, d)), sql(f", {DOC_GROUPS} SELECT count(*) FILTER (cross_split) AS n_overlap, count(*) AS n_fingerprints FROM g")),
-    "system_audit": (_system_audit, sql("SELECT 'manifests' AS component, 'ids_unique' AS check_name, count(*) = count(DISTINCT manifest_id) AS ok FROM v_manifest UNION ALL SELECT 'attempts', 'sequence_unique', count(*) = count(DISTINCT seq) FROM v_attempt UNION ALL SELECT 'attempts', 'confidence_in_range', bool_and(confidence BETWEEN 0 AND 1) FROM v_attempt UNION ALL SELECT 'attempts', 'no_orphans', count(*) = 0 FROM v_attempt WHERE manifest_id NOT IN (SELECT manifest_id FROM v_manifest)")),
 }
 QUERIES = {name: q for name, (q, _) in ALL.items()}
 ORACLES = {name: o for name, (_, o) in ALL.items()}

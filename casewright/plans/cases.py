@@ -11,11 +11,12 @@ from casewright.functions import hashing
 from casewright.functions.taxonomy import TYPES_16, VERSION_16
 from casewright.operators import campaign as C
 from casewright.operators import cases as K
+from casewright.operators import audit as A
 from casewright.operators import catalog as G
 from casewright.operators import standardize
 from casewright.session import checkpoint_dir, stored, table
 
-from .views import TRACE_SQL, sql, v_case, v_cat, v_trace
+from .views import CLASSES, TRACE_SQL, sql, v_attempt, v_case, v_cat, v_manifest, v_multi, v_score, v_trace
 
 R = lambda c: F.round(c, 6)
 N = lambda: F.count(F.lit(1)).alias("n")
@@ -149,6 +150,38 @@ def _mutation_sql() -> str:
     return f", {VERDICT_SQL}, base AS (SELECT * EXCLUDE (flagged) FROM fc WHERE is_malicious AND status = 'completed' AND case_id IN (SELECT case_id FROM vc WHERE verdict = 'approve')) " + " UNION ALL ".join(parts)
 
 
+def _system_audit(s, d):
+    """Corpus, detector, classifier, catalog and auditor: assertions over what they give, and a semaphore for each."""
+    m, a = v_manifest(s, d), v_attempt(s, d)
+    ids = m.select("manifest_id", F.lit(0).alias("of_attempt")).unionByName(a.select("manifest_id", F.lit(1).alias("of_attempt"))).groupBy("manifest_id").agg(F.count_if(F.col("of_attempt") == 0).alias("n_manifests"), F.count_if(F.col("of_attempt") == 1).alias("n_attempts"))
+    gray = F.col("prob").between(0.4, 0.6)
+    return A.audited(
+        A.assertions("corpus", ids, [("ids_unique", True, F.col("n_manifests") <= 1, 0.0), ("no_orphans", False, F.col("n_manifests") > 0, 0.0), ("all_attempted", False, F.col("n_attempts") > 0, 0.5)]),
+        A.assertions("detector", v_score(s, d), [("probability_in_range", True, F.col("prob").between(0, 1), 0.0), ("label_matches_probability", True, F.col("pred") == (F.col("prob") >= 0.5), 0.0), ("decided", False, ~gray, 0.25)]),
+        A.assertions("classifier", v_multi(s, d), [("class_known", True, F.col("pred").isin(*CLASSES), 0.0), ("confidence_in_range", True, F.col("conf").between(0, 1), 0.0), ("over_review_threshold", False, F.col("conf") >= 0.65, 0.5)]),
+        A.assertions("catalog", G.coverage(v_cat(s, d), 1), [("covered", True, F.col("covered"), 0.0), ("all_phases", False, F.col("n_phases") == 3, 0.6)]),
+        A.assertions("auditor", _mutations(s, d), [("defects_caught", True, F.col("n_caught") == F.col("n"), 0.0)]),
+    )
+
+
+def _system_sql() -> str:
+    def part(component, source, checks):
+        rows = [f"SELECT '{component}' AS component, '{name}' AS check_name, {str(hard).lower()} AS hard, count(*) AS n, count(*) FILTER (NOT coalesce({holds}, false)) AS n_failed, " + (f"count(*) FILTER (NOT coalesce({holds}, false)) > 0 OR count(*) = 0" if hard else f"count(*) FILTER (NOT coalesce({holds}, false)) > count(*) * CAST({share} AS DOUBLE)") + f" AS broken FROM {source}" for name, hard, holds, share in checks]
+        return " UNION ALL ".join(rows)
+
+    ids = "(SELECT manifest_id, count(*) FILTER (k = 0) AS n_manifests, count(*) FILTER (k = 1) AS n_attempts FROM (SELECT manifest_id, 0 AS k FROM v_manifest UNION ALL SELECT manifest_id, 1 FROM v_attempt) GROUP BY 1)"
+    body = _mutation_sql()
+    at = body.index("SELECT '" + MUTATIONS[0][0] + "'")
+    parts = [
+        part("corpus", ids, [("ids_unique", True, "n_manifests <= 1", 0), ("no_orphans", False, "n_manifests > 0", 0), ("all_attempted", False, "n_attempts > 0", 0.5)]),
+        part("detector", "v_score", [("probability_in_range", True, "prob BETWEEN 0 AND 1", 0), ("label_matches_probability", True, f"pred = (prob >= {_D(0.5)})", 0), ("decided", False, f"NOT prob BETWEEN {_D(0.4)} AND {_D(0.6)}", 0.25)]),
+        part("classifier", "v_multi", [("class_known", True, "pred IN (" + ", ".join(f"'{c}'" for c in CLASSES) + ")", 0), ("confidence_in_range", True, "conf BETWEEN 0 AND 1", 0), ("over_review_threshold", False, f"conf >= {_D(0.65)}", 0.5)]),
+        part("catalog", "(SELECT type, count(*) >= 1 AS covered, count(DISTINCT phase) AS n_phases FROM v_cat GROUP BY 1)", [("covered", True, "covered", 0), ("all_phases", False, "n_phases = 3", 0.6)]),
+        part("auditor", "mutated", [("defects_caught", True, "n_caught = n", 0)]),
+    ]
+    return body[:at].rstrip() + f", mutated AS ({body[at:]}), every AS ({' UNION ALL '.join(parts)}) SELECT *, CASE WHEN bool_or(broken AND hard) OVER (PARTITION BY component) THEN 'red' WHEN bool_or(broken) OVER (PARTITION BY component) THEN 'amber' ELSE 'green' END AS semaphore FROM every"
+
+
 AUDIT_SQL = " UNION ALL ".join(f"SELECT case_id, '{n}' AS check_name, coalesce(({h}), false) AS passed, {str(hard).lower()} AS hard FROM fc WHERE {a}" for n, hard, a, h in K.AUDIT_CHECKS)
 
 
@@ -343,6 +376,7 @@ ALL = {
     "audit_verdict": (lambda s, d: K.verdicts(closed_cases(s, d)), sql(f", {VERDICT_SQL} SELECT * FROM vc")),
     "audit_batch": (lambda s, d: K.verdicts(closed_cases(s, d)).groupBy("verdict").agg(N(), (F.col("verdict") != "reject").alias("valid")), sql(f", {VERDICT_SQL} SELECT verdict, count(*) AS n, verdict <> 'reject' AS valid FROM vc GROUP BY 1")),
     "mutation_detection": (_mutations, sql(_mutation_sql())),
+    "system_audit": (_system_audit, sql(_system_sql())),
     "case_route": (lambda s, d: K.route(flat_cases(s, d)).groupBy("path").agg(N()), sql(f", {FLAT_SQL} SELECT {PATH_SQL} AS path, count(*) AS n FROM (SELECT *, NOT ingest_abstain AND coalesce(mapping_confidence, 0) >= {_D(0.5)} AS g1, NOT det_abstain AND coalesce(is_malicious, false) AS g2 FROM flat) GROUP BY 1")),
     "case_projection": (_projection, sql(f", {JUDGED_SQL} SELECT case_id, status, CASE WHEN NOT det_abstain THEN is_malicious END AS is_malicious, judge_label AS label, round(judge_confidence, 6) AS confidence, CASE WHEN is_malicious AND NOT det_abstain THEN cls_type END AS attack_type FROM fc")),
     "stage_standardize": (_standardize, sql(STANDARDIZE_SQL)),

@@ -320,13 +320,35 @@ def _snapshot(s, d):
 
 def _preflight(s, d):
     m = v_manifest(s, d).withColumn("manifest_id", F.col("manifest_id") + F.when(F.col("manifest_id") % 5 == 0, 100000000).otherwise(0))
-    return C.preflight(m, v_attempt(s, d), provider="Alpha")
+    return C.preflight(m, v_attempt(s, d).withColumn("model", F.when(F.col("seq") % 3 == 0, "M1").otherwise("m2")), provider="Alpha", model="m1")
 
 
-PREFLIGHT_SQL = ", m AS (SELECT manifest_id + CASE WHEN manifest_id % 5 = 0 THEN 100000000 ELSE 0 END AS manifest_id FROM v_manifest), b AS (SELECT manifest_id, arg_max(provider, seq) AS provider, bool_or(llm) AS llm FROM v_attempt WHERE ok GROUP BY 1), j AS (SELECT m.manifest_id, provider, llm FROM m LEFT JOIN b ON m.manifest_id = b.manifest_id) SELECT * FROM (SELECT 'orphan_results' AS failure, count(*) AS n FROM v_attempt WHERE manifest_id NOT IN (SELECT manifest_id FROM m) UNION ALL SELECT 'incomplete', count(*) FILTER (provider IS NULL) FROM j UNION ALL SELECT 'llm_required', count(*) FILTER (provider IS NOT NULL AND NOT llm) FROM j UNION ALL SELECT 'provider_mismatch', count(*) FILTER (provider <> 'alpha') FROM j) WHERE n > 0"
+PREFLIGHT_SQL = ", m AS (SELECT manifest_id + CASE WHEN manifest_id % 5 = 0 THEN 100000000 ELSE 0 END AS manifest_id FROM v_manifest), b AS (SELECT manifest_id, arg_max(provider, seq) AS provider, arg_max(seq % 3 = 0, seq) AS m1, bool_or(llm) AS llm FROM v_attempt WHERE ok GROUP BY 1), j AS (SELECT m.manifest_id, provider, m1, llm FROM m LEFT JOIN b ON m.manifest_id = b.manifest_id) SELECT * FROM (SELECT 'orphan_results' AS failure, count(*) AS n FROM v_attempt WHERE manifest_id NOT IN (SELECT manifest_id FROM m) UNION ALL SELECT 'incomplete', count(*) FILTER (provider IS NULL) FROM j UNION ALL SELECT 'llm_required', count(*) FILTER (provider IS NOT NULL AND NOT llm) FROM j UNION ALL SELECT 'provider_mismatch', count(*) FILTER (provider <> 'alpha') FROM j UNION ALL SELECT 'model_mismatch', count(*) FILTER (NOT m1) FROM j) WHERE n > 0"
+
+
+def _taxonomies(s, d):
+    """Every version with its classes' hash, and how the labels of the events fare under it."""
+    from .scalars import CONV
+
+    fates = None
+    for version, name in ((taxonomy.VERSION_16, "taxonomy_resolve"), (taxonomy.VERSION_14, "taxonomy_resolve_14")):
+        one = CONV[name][0](s, d).agg(N(), F.count_if(F.col("attack_type").isNotNull()).alias("n_typed"), F.count_if(F.col("status") == "ambiguous").alias("n_ambiguous")).withColumn("version", F.lit(version))
+        fates = one if fates is None else fates.unionByName(one)
+    return taxonomy.report(s).drop("n_rules").join(fates, "version")
+
 
 _CLASS_TEXT = lambda names: "[" + ",".join(f'"{n}"' for n in names) + "]"
 
+
+def _taxonomies_sql() -> str:
+    from .scalars import CONV
+
+    parts = [f"SELECT '{v}' AS version, CAST({len(names)} AS BIGINT) AS n_classes, sha256('{_CLASS_TEXT(names)}') AS sha256, count(*) AS n, count(attack_type) AS n_typed, count(*) FILTER (status = 'ambiguous') AS n_ambiguous FROM ({CONV[q][1]})" for v, names, q in ((taxonomy.VERSION_16, taxonomy.TYPES_16, "taxonomy_resolve"), (taxonomy.VERSION_14, taxonomy.TYPES_14, "taxonomy_resolve_14"))]
+    return " UNION ALL ".join(parts)
+
+
+TAXONOMIES_SQL = _taxonomies_sql()
+
 ALL = {
     "scan_project_rowid": (_csv, "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS row_id, 'events::' || event_type || '::' || (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) AS manifest_id, event_type AS cls, props FROM events"),
     "scan_csv_multiline": (_broken_csv, "SELECT doc_id AS row_id, md5(coalesce(text, '')) AS md5 FROM documents"),
@@ -350,7 +372,7 @@ ALL = {
     "origin_features": (_origin, "SELECT c_custkey, key, value FROM (SELECT c_custkey, unnest(['origin.dataset', 'origin.source_dir', 'origin_schema.network_flow']) AS key, unnest([CASE WHEN c_custkey % 5 <> 0 THEN lower(c_mktsegment) ELSE 'unknown' END, CASE WHEN c_custkey % 2 = 0 THEN 'site_' || c_nationkey ELSE '' END, '1']) AS value FROM customer) WHERE value <> ''"),
     "evidence_snapshot": (_snapshot, "SELECT event_id, concat_ws(',', 'app_proto', 'event_id', CASE WHEN CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) > 50 THEN 'packet_count' END, CASE WHEN event_id % 2 = 0 THEN 'service_context' END, CASE WHEN user_id % 3 = 0 THEN 'src_ip' END) AS fields FROM events"),
     "preflight": (_preflight, sql(PREFLIGHT_SQL)),
-    "taxonomy_report": (lambda s, d: taxonomy.report(s).drop("n_rules"), f"SELECT '{taxonomy.VERSION_16}' AS version, CAST(16 AS BIGINT) AS n_classes, sha256('{_CLASS_TEXT(taxonomy.TYPES_16)}') AS sha256 UNION ALL SELECT '{taxonomy.VERSION_14}', 14, sha256('{_CLASS_TEXT(taxonomy.TYPES_14)}')"),
+    "taxonomy_report": (_taxonomies, TAXONOMIES_SQL),
     "case_upsert": (_upsert, sql("SELECT case_id, CASE WHEN status = 'P' THEN 'closed' ELSE status END AS status FROM v_case UNION ALL SELECT s_suppkey + 1000000000, 'open' FROM supplier")),
     "case_conflicts": (lambda s, d: K.conflicts(v_case(s, d), table(s, d, "supplier").select((F.col("s_suppkey") * 4).alias("case_id"), "s_name")), sql("SELECT s_suppkey * 4 AS case_id, s_name FROM supplier WHERE s_suppkey * 4 IN (SELECT case_id FROM v_case)")),
     "fingerprint_features": (_fingerprints, "SELECT o_orderkey, sha256('cust=n' || CAST(CAST(o_custkey % 1000 AS DOUBLE) AS VARCHAR) || '|late=n' || CASE WHEN o_orderstatus = 'F' THEN '1.0' ELSE '0.0' END || '|prio=s' || o_orderpriority) AS fp FROM orders"),

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from casewright.functions import groups, hashing, leak, taxonomy, values
-from casewright.operators import campaign, cases, catalog, metrics, payloads, run, sampling, textmetrics, training
+from casewright.operators import audit, campaign, cases, catalog, metrics, payloads, run, sampling, textmetrics, training
 from casewright.plans import registry
 from casewright.plans.views import v_attempt, v_doc, v_manifest
 from casewright.sources import files
@@ -218,6 +218,23 @@ def test_plans_prune_and_push(spark, data):
     assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,3)]" in plan and "event_type" not in plan
 
 
+def test_semaphores(spark):
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "x int")
+    checks = [("known", True, F.col("x").isNotNull(), 0.0), ("small", False, F.col("x") < 5, 0.4)]
+    parts = [audit.assertions(n, r, checks) for n, r in (("fine", rows(1, 2, 9)), ("soft", rows(1, 9)), ("hard", rows(1, None)), ("none", rows()))]
+    got = {(r.component, r.check_name): (r.n, r.n_failed, r.broken, r.semaphore) for r in audit.audited(*parts).collect()}
+    assert got == {("fine", "known"): (3, 0, False, "green"), ("fine", "small"): (3, 1, False, "green"), ("soft", "known"): (2, 0, False, "amber"), ("soft", "small"): (2, 1, True, "amber"), ("hard", "known"): (2, 1, True, "red"), ("hard", "small"): (2, 1, True, "red"), ("none", "known"): (0, 0, True, "red"), ("none", "small"): (0, 0, False, "red")}
+
+
+def test_only_full_matches_are_excluded(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "d")], "k int, v string")
+    kept, report = campaign.exclude(rows, spark.createDataFrame([(1, "a"), (2, "x"), (3, None), (9, "a"), (4, "d"), (4, "d")], "k int, v string"), "k", ["v"])
+    assert {r.k: r.state for r in report.collect()} == {1: "matched", 2: "mismatch", 3: "matched", 9: "unknown", 4: "repeated"} and sorted(r.k for r in kept.collect()) == [2, 4]
+    with pytest.raises(ValueError, match="doesn't fit"):
+        campaign.require_matched(report)
+    campaign.require_matched(report.where("k = 1"))
+
+
 # The judge, the auditor and the taxonomy against outcomes written out by hand
 
 
