@@ -186,3 +186,48 @@ def limit_wait(retry_after: Column, reset_tokens: Column, reset_requests: Column
     server = F.when(status.isin(500, 502, 503, 504), SERVER_WAIT)
     longest = F.coalesce(F.greatest(*(values.duration_seconds(c) for c in (retry_after, reset_tokens, reset_requests)), named, server), F.lit(1.0))
     return F.least(F.greatest(longest + MARGIN, F.lit(LEAST_WAIT)), F.lit(MOST_WAIT))
+
+
+# What the stages and the tools hand on
+
+#: Fields of each stage's output that its contract looks at, and where it may go next.
+STAGE_SCHEMAS = {
+    "ingest": "event_id string, normalized boolean, mapping_confidence double, schema_version string, modality string",
+    "detection": "event_id string, is_malicious boolean, probability double, evidence array<string>, model_name string, next_route string",
+    "classification": "event_id string, confidence double, decision_threshold double, model_task string, next_route string",
+    "explanation": "event_id string, risk_summary string, mitigations array<string>, confidence double, catalog_scope string, next_route string",
+    "judge": "event_id string, approved boolean, final_confidence double, action string",
+}
+ROUTES = {"detection": ("classify", "judge", "end"), "classification": ("explain", "judge", "end"), "explanation": ("judge", "end")}
+ACTIONS = ("approve", "rework", "human_interrupt", "reject")
+
+
+def stage_rules(stage: str, r: Column) -> list[tuple[str, Column]]:
+    """What the output of a stage must fulfil; ``r`` is a struct of its schema. A threshold and a task may be left to their defaults."""
+    share = lambda name: (f"{name}_invalid", r[name].between(0, 1) & ~F.isnan(r[name]))
+    given = lambda name: (f"{name}_missing", r[name].isNotNull())
+    route = ("next_route_invalid", r["next_route"].isin(*ROUTES.get(stage, ("",)))) if stage in ROUTES else None
+    rules = {
+        "ingest": lambda: [given("event_id"), given("normalized"), share("mapping_confidence"), given("schema_version"), given("modality")],
+        "detection": lambda: [given("event_id"), given("is_malicious"), share("probability"), given("evidence"), given("model_name")],
+        "classification": lambda: [given("event_id"), share("confidence"), ("decision_threshold_invalid", F.coalesce(r["decision_threshold"], F.lit(0.65)).between(0, 1)), ("model_task_invalid", F.coalesce(r["model_task"], F.lit("attack_type")) == "attack_type")],
+        "explanation": lambda: [given("event_id"), given("risk_summary"), given("mitigations"), share("confidence"), ("catalog_scope_invalid", F.coalesce(r["catalog_scope"], F.lit("attack_type")) == "attack_type")],
+        "judge": lambda: [given("event_id"), given("approved"), share("final_confidence"), ("action_invalid", r["action"].isin(*ACTIONS))],
+    }[stage]()
+    return [*rules, *([route] if route else [])]
+
+
+def stage_failure(stage: str, output: Column) -> Column:
+    """Code of the first rule that a stage's output, a JSON text, breaks; ``not_an_object`` for what is none; null if it is good."""
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(output)).startswith("OBJECT"), F.lit(False))
+    return F.when(~is_object, F.lit("not_an_object")).otherwise(first_failure(stage_rules(stage, F.from_json(output, STAGE_SCHEMAS[stage]))))
+
+
+def decoded_reply(text: Column) -> Column:
+    """(ok, error, payload) of a tool's reply, fail-closed: what is no JSON, no object or has no boolean ``ok`` counts as ok = false."""
+    v = F.try_parse_json(text)
+    is_object = F.schema_of_variant(v).startswith("OBJECT")
+    has_ok = F.schema_of_variant(F.try_variant_get(v, "$.ok", "variant")) == "BOOLEAN"
+    error = F.when(v.isNull(), "invalid_json").when(~is_object, "not_an_object").when(~F.coalesce(has_ok, F.lit(False)), "ok_missing")
+    ok = F.when(error.isNull(), F.try_variant_get(v, "$.ok", "boolean")).otherwise(False)
+    return F.struct(ok.alias("ok"), error.alias("error"), F.when(F.coalesce(is_object, F.lit(False)), v).alias("payload"))

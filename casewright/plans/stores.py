@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from casewright.functions import groups, hashing, leak, taxonomy, values
+from casewright.functions import contracts, groups, hashing, leak, taxonomy, values
 from casewright.operators import campaign as C
 from casewright.operators import cases as K
 from casewright.operators import catalog as G
@@ -326,6 +326,49 @@ def _preflight(s, d):
 PREFLIGHT_SQL = ", m AS (SELECT manifest_id + CASE WHEN manifest_id % 5 = 0 THEN 100000000 ELSE 0 END AS manifest_id FROM v_manifest), b AS (SELECT manifest_id, arg_max(provider, seq) AS provider, arg_max(seq % 3 = 0, seq) AS m1, bool_or(llm) AS llm FROM v_attempt WHERE ok GROUP BY 1), j AS (SELECT m.manifest_id, provider, m1, llm FROM m LEFT JOIN b ON m.manifest_id = b.manifest_id) SELECT * FROM (SELECT 'orphan_results' AS failure, count(*) AS n FROM v_attempt WHERE manifest_id NOT IN (SELECT manifest_id FROM m) UNION ALL SELECT 'incomplete', count(*) FILTER (provider IS NULL) FROM j UNION ALL SELECT 'llm_required', count(*) FILTER (provider IS NOT NULL AND NOT llm) FROM j UNION ALL SELECT 'provider_mismatch', count(*) FILTER (provider <> 'alpha') FROM j UNION ALL SELECT 'model_mismatch', count(*) FILTER (NOT m1) FROM j) WHERE n > 0"
 
 
+def _stage_outputs(s, d):
+    """The five stages' outputs of every order, made of its columns, against their contracts."""
+    o, k = table(s, d, "orders"), F.col("o_orderkey")
+    event, share = F.when(k % 17 != 0, k.cast("string")).alias("event_id"), (F.floor(F.col("o_totalprice")).cast("long") / 200000)
+    flag = F.when(k % 13 != 0, F.col("o_orderstatus") == "F")
+    route = F.when(F.col("o_orderstatus") == "F", "judge").when(F.col("o_orderstatus") == "O", "end").otherwise(F.lower("o_orderstatus"))
+    made = {
+        "ingest": F.struct(event, flag.alias("normalized"), share.alias("mapping_confidence"), F.lit("1.0").alias("schema_version"), F.when(k % 7 != 0, F.col("o_orderpriority")).alias("modality")),
+        "detection": F.struct(event, flag.alias("is_malicious"), share.alias("probability"), F.when(k % 11 != 0, F.array("o_orderpriority")).alias("evidence"), F.lit("m").alias("model_name"), route.alias("next_route")),
+        "classification": F.struct(event, share.alias("confidence"), F.when(k % 5 != 0, (k % 3) * 0.5 + 0.25).alias("decision_threshold"), F.when(k % 4 != 0, F.when(k % 19 == 0, "family").otherwise("attack_type")).alias("model_task"), route.alias("next_route")),
+        "explanation": F.struct(event, F.col("o_orderpriority").alias("risk_summary"), F.when(k % 11 != 0, F.array("o_orderpriority")).alias("mitigations"), share.alias("confidence"), F.when(k % 3 == 0, "attack_type").when(k % 23 == 0, "family").alias("catalog_scope"), route.alias("next_route")),
+        "judge": F.struct(event, flag.alias("approved"), share.alias("final_confidence"), F.when(F.col("o_orderstatus") == "P", "wait").otherwise("approve").alias("action")),
+    }
+    text = lambda r: F.when(k % 29 == 0, F.lit("[1]")).when(k % 31 == 0, F.left(F.to_json(r), F.lit(9))).otherwise(F.to_json(r))
+    texts = o.select("o_orderkey", *(text(r).alias(stage) for stage, r in made.items()))
+    return texts.select("o_orderkey", *(F.coalesce(contracts.stage_failure(stage, F.col(stage)), F.lit("good")).alias(stage) for stage in made))
+
+
+def _stage_outputs_sql() -> str:
+    shared = "WHEN o_orderkey % 29 = 0 OR o_orderkey % 31 = 0 THEN 'not_an_object' WHEN o_orderkey % 17 = 0 THEN 'event_id_missing'"
+    share, flag, route = "floor(o_totalprice) > 200000", "o_orderkey % 13 = 0", "o_orderstatus = 'P'"
+    rules = {
+        "ingest": f"WHEN {flag} THEN 'normalized_missing' WHEN {share} THEN 'mapping_confidence_invalid' WHEN o_orderkey % 7 = 0 THEN 'modality_missing'",
+        "detection": f"WHEN {flag} THEN 'is_malicious_missing' WHEN {share} THEN 'probability_invalid' WHEN o_orderkey % 11 = 0 THEN 'evidence_missing' WHEN {route} THEN 'next_route_invalid'",
+        "classification": f"WHEN {share} THEN 'confidence_invalid' WHEN o_orderkey % 5 <> 0 AND o_orderkey % 3 = 2 THEN 'decision_threshold_invalid' WHEN o_orderkey % 4 <> 0 AND o_orderkey % 19 = 0 THEN 'model_task_invalid' WHEN {route} THEN 'next_route_invalid'",
+        "explanation": f"WHEN o_orderkey % 11 = 0 THEN 'mitigations_missing' WHEN {share} THEN 'confidence_invalid' WHEN o_orderkey % 3 <> 0 AND o_orderkey % 23 = 0 THEN 'catalog_scope_invalid' WHEN {route} THEN 'next_route_invalid'",
+        "judge": f"WHEN {flag} THEN 'approved_missing' WHEN {share} THEN 'final_confidence_invalid' WHEN {route} THEN 'action_invalid'",
+    }
+    return "SELECT o_orderkey, " + ", ".join(f"CASE {shared} {r} ELSE 'good' END AS {stage}" for stage, r in rules.items()) + " FROM orders"
+
+
+def _replies(s, d):
+    """Tool replies made of the events' properties: whole objects, with and without a boolean ok, lists, torn texts."""
+    k, e = F.col("event_id"), table(s, d, "events")
+    rest = F.expr("substring(props, 2)")
+    text = F.when(k % 6 == 0, F.concat(F.lit('{"ok":true,'), rest)).when(k % 6 == 1, F.concat(F.lit('{"ok":false,'), rest)).when(k % 6 == 2, F.concat(F.lit('{"ok":"true",'), rest)).when(k % 6 == 3, F.col("props")).when(k % 6 == 4, F.concat(F.lit("["), F.col("props"), F.lit("]"))).otherwise(F.left("props", F.length("props") - 1))
+    r = e.select("event_id", contracts.decoded_reply(text).alias("r"))
+    return r.select("event_id", "r.ok", F.coalesce("r.error", F.lit("")).alias("error"), F.try_variant_get("r.payload", "$.k", "bigint").alias("k"))
+
+
+REPLIES_SQL = "SELECT event_id, event_id % 6 = 0 AS ok, CASE event_id % 6 WHEN 2 THEN 'ok_missing' WHEN 3 THEN 'ok_missing' WHEN 4 THEN 'not_an_object' WHEN 5 THEN 'invalid_json' ELSE '' END AS error, CASE WHEN event_id % 6 < 4 THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) END AS k FROM events"
+
+
 def _taxonomies(s, d):
     """Every version with its classes' hash, and how the labels of the events fare under it."""
     from .scalars import CONV
@@ -383,6 +426,8 @@ ALL = {
     "model_artifact": (_artifact, None),
     "boosted_classes": (_classes, None),
     "sparse_vectors": (_sparse, SPARSE_SQL),
+    "stage_output_contracts": (_stage_outputs, _stage_outputs_sql()),
+    "decode_reply": (_replies, REPLIES_SQL),
 }
 QUERIES = {name: q for name, (q, _) in ALL.items()}
 ORACLES = {name: o for name, (_, o) in ALL.items() if o}

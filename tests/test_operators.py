@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from casewright.functions import groups, hashing, leak, taxonomy, values
+from casewright.functions import contracts, groups, hashing, leak, taxonomy, values
 from casewright.operators import audit, campaign, cases, catalog, metrics, payloads, run, sampling, textmetrics, training
 from casewright.plans import registry
 from casewright.plans.views import v_attempt, v_doc, v_manifest
@@ -218,6 +218,22 @@ def test_plans_prune_and_push(spark, data):
     assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,3)]" in plan and "event_type" not in plan
 
 
+@pytest.mark.parametrize("stage,text,want", [
+    ("ingest", '{"event_id":"e","normalized":true,"mapping_confidence":0,"schema_version":"1","modality":"m"}', None), ("ingest", '{"event_id":"e","normalized":true,"mapping_confidence":1.01,"schema_version":"1","modality":"m"}', "mapping_confidence_invalid"), ("ingest", "7", "not_an_object"), ("ingest", None, "not_an_object"),
+    ("detection", '{"event_id":"e","is_malicious":true,"probability":1,"evidence":[],"model_name":"m","next_route":"explain"}', "next_route_invalid"), ("detection", '{"event_id":"e","is_malicious":true,"probability":1,"model_name":"m","next_route":"end"}', "evidence_missing"),
+    ("classification", '{"event_id":"e","confidence":0.5,"next_route":"explain"}', None), ("classification", '{"event_id":"e","confidence":0.5,"model_task":"family","next_route":"explain"}', "model_task_invalid"),
+    ("explanation", '{"event_id":"e","risk_summary":"","mitigations":[],"confidence":0.5,"next_route":"classify"}', "next_route_invalid"), ("judge", '{"event_id":"e","approved":false,"final_confidence":0,"action":"reject"}', None), ("judge", '{"event_id":"e","approved":false,"final_confidence":0,"action":"stop"}', "action_invalid"),
+])
+def test_stage_contracts(spark, stage, text, want):
+    assert one(spark, contracts.stage_failure(stage, F.col("t")), t=text) == want
+
+
+@pytest.mark.parametrize("text,want", [('{"ok":true,"k":1}', (True, None)), ('{"ok":false}', (False, None)), ('{"ok":1}', (False, "ok_missing")), ('{"ok":"true"}', (False, "ok_missing")), ('{"ok":null}', (False, "ok_missing")), ("{}", (False, "ok_missing")), ("[]", (False, "not_an_object")), ("true", (False, "not_an_object")), ("{", (False, "invalid_json")), ("", (False, "invalid_json")), (None, (False, "invalid_json"))])
+def test_replies_are_decoded_fail_closed(spark, text, want):
+    got = one(spark, contracts.decoded_reply(F.col("t")), t=text)
+    assert (got.ok, got.error) == want
+
+
 def test_semaphores(spark):
     rows = lambda *v: spark.createDataFrame([(x,) for x in v], "x int")
     checks = [("known", True, F.col("x").isNotNull(), 0.0), ("small", False, F.col("x") < 5, 0.4)]
