@@ -244,3 +244,23 @@ def score(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     ddl = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "probabilities array<double>", "_at int"])
     names = F.array(*(F.lit(c) for c in model.classes))
     return rows.select(*keep, "vector").mapInArrow(run, ddl).select(*keep, "probabilities", F.get(names, F.col("_at")).alias("prediction"))
+
+
+def check_scores(scored: DataFrame, model: Model) -> DataFrame:
+    """Scored rows that break the model's contract, with ``problem``: shape, not_finite, not_a_share or unknown_class. There must be none."""
+    p = F.col("probabilities")
+    bad = (
+        F.when(p.isNull() | (F.size(p) != len(model.classes)), "shape").when(F.exists(p, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "not_finite")
+        .when(F.exists(p, lambda x: (x < 0) | (x > 1)) | (F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) > 1e-6), "not_a_share").when(~F.coalesce(F.col("prediction").isin(*model.classes), F.lit(False)), "unknown_class")
+    )
+    return scored.withColumn("problem", bad).where("problem is not null")
+
+
+def classified(scored: DataFrame, model: Model, k: int) -> DataFrame:
+    """Scored rows with ``top``, the k likeliest classes and their probabilities; equals keep the order of the classes."""
+    from .metrics import top_k
+
+    labels = F.array(*(F.lit(c) for c in model.classes))
+    pairs = F.arrays_zip(labels.alias("label"), F.col("probabilities").alias("score"))
+    pairs = F.transform(pairs, lambda x: F.struct(x["label"].alias("label"), x["score"].alias("score")))
+    return scored.withColumn("top", top_k(pairs, k))

@@ -359,6 +359,21 @@ def _candidates(s, d):
     return items.select(F.format_string("%d::mitigation::%02d", F.col("case_id"), F.col("item")).alias("candidate_id"), "case_id", "base_id", "context")
 
 
+def _reference_workflow(s, d):
+    """Blind references of all candidates: some written empty, some twice, some of an unknown status; those without a problem are approved unless their item is even."""
+    items = _anchored(s, d).join(_proposals(s, d).select("case_id", "type").distinct(), "case_id").withColumnRenamed("text", "base")
+    k = F.col("case_id") * 31 + F.col("item")
+    written = G.template(items).withColumns({"reference_context": F.when(k % 11 == 0, " ").otherwise(F.upper("base")), "status": F.when(k % 13 == 0, "done").otherwise(F.col("status"))})
+    batches = stored(written.unionByName(written.where(k % 7 == 0)), "references")
+    problems = stored(G.reference_problems(batches), "reference-problems")
+    fine = G.approve(batches.join(problems, "reference_id", "left_anti"), "reviewer", "2024-01-01", F.col("item") % 2 == 1)
+    total = G.review_summary(fine).select(F.lit("whole").alias("part"), F.col("status").alias("name"), F.col("n_references").alias("n"), F.col("n_approved").alias("m"))
+    return total.unionByName(problems.groupBy(F.lit("problem").alias("part"), F.col("problem").alias("name")).agg(N(), F.lit(0).cast("bigint").alias("m")))
+
+
+WORKFLOW_SQL = ", c AS (SELECT case_id * 31 + item AS k, item FROM fi WHERE source = 'llm' AND trim(coalesce(text, '')) <> '' AND trim(coalesce(context, '')) <> ''), p AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'duplicate' WHEN k % 11 = 0 THEN 'empty' WHEN k % 13 = 0 THEN 'unknown_status' END AS problem FROM c) SELECT 'whole' AS part, CASE WHEN count(*) > 0 AND count(*) = count(*) FILTER (item % 2 = 1) THEN 'approved_by_author' ELSE 'pending_author_review' END AS name, count(*) AS n, count(*) FILTER (item % 2 = 1) AS m FROM p WHERE problem IS NULL UNION ALL SELECT 'problem', problem, count(*), 0 FROM p WHERE problem IS NOT NULL GROUP BY 2"
+
+
 def _mitigate(s, d):
     """Benign cases pass by, missing and unknown types are reviewed, others get their catalog entry."""
     j = flat_cases(s, d)
@@ -377,6 +392,7 @@ ALL = {
     "audit_batch": (lambda s, d: K.verdicts(closed_cases(s, d)).groupBy("verdict").agg(N(), (F.col("verdict") != "reject").alias("valid")), sql(f", {VERDICT_SQL} SELECT verdict, count(*) AS n, verdict <> 'reject' AS valid FROM vc GROUP BY 1")),
     "mutation_detection": (_mutations, sql(_mutation_sql())),
     "system_audit": (_system_audit, sql(_system_sql())),
+    "reference_workflow": (_reference_workflow, sql(BASE_SQL + ANCHOR_SQL + WORKFLOW_SQL)),
     "case_route": (lambda s, d: K.route(flat_cases(s, d)).groupBy("path").agg(N()), sql(f", {FLAT_SQL} SELECT {PATH_SQL} AS path, count(*) AS n FROM (SELECT *, NOT ingest_abstain AND coalesce(mapping_confidence, 0) >= {_D(0.5)} AS g1, NOT det_abstain AND coalesce(is_malicious, false) AS g2 FROM flat) GROUP BY 1")),
     "case_projection": (_projection, sql(f", {JUDGED_SQL} SELECT case_id, status, CASE WHEN NOT det_abstain THEN is_malicious END AS is_malicious, judge_label AS label, round(judge_confidence, 6) AS confidence, CASE WHEN is_malicious AND NOT det_abstain THEN cls_type END AS attack_type FROM fc")),
     "stage_standardize": (_standardize, sql(STANDARDIZE_SQL)),

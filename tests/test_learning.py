@@ -62,6 +62,10 @@ def test_boosting_beats_the_majority_on_held_out_rows(spark, kinds):
     most = max(sum(r.label == c for r in found) for c in model.classes) / len(found)
     assert len(found) == 600 and right > most + 0.25 and right > 0.85
     assert all(abs(sum(r.probabilities) - 1) < 1e-9 and r.prediction == model.classes[int(np.argmax(r.probabilities))] for r in found)
+    scored = boosting.score(test, model, ["id"])
+    assert boosting.check_scores(scored, model).count() == 0
+    top = boosting.classified(scored, model, 2).first()
+    assert [t.label for t in top.top] == [c for _, c in sorted(zip([-p for p in top.probabilities], model.classes, strict=True), key=lambda x: x[0])][:2] and len(boosting.classified(scored, model, 9).first().top) == kinds
     empty = spark.createDataFrame([(1, "x", []), (2, None, [(9, 1.0)])], ROWS)  # no features, an unknown one
     assert {r.prediction for r in boosting.score(empty, model, ["id"]).collect()} <= set(model.classes)
 
@@ -82,6 +86,14 @@ def test_split_sums_equal_a_plain_search(spark):
             assert tree.value[leaf] == pytest.approx(-0.3 * g[side].sum() / (h[side].sum() + 1.0))
 
 
+def test_scores_that_break_the_contract_are_named(spark):
+    model = boosting.Model(["a", "b"], {}, 0, 1)
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [0.5, 0.5], "a"), (2, [0.5], "a"), (3, None, "a"), (4, [nan, 0.5], "a"), (5, [inf, 0.0], "a"), (6, [0.5, 0.6], "a"), (7, [-0.5, 1.5], "a"), (8, [0.5, 0.5], "c"), (9, [0.5, 0.5], None)]
+    found = boosting.check_scores(spark.createDataFrame(rows, "id int, probabilities array<double>, prediction string"), model)
+    assert {r.id: r.problem for r in found.collect()} == {2: "shape", 3: "shape", 4: "not_finite", 5: "not_finite", 6: "not_a_share", 7: "not_a_share", 8: "unknown_class", 9: "unknown_class"}
+
+
 def test_one_class_cannot_be_trained(spark):
     with pytest.raises(ValueError, match="two classes"):
         boosting.fit(spark.createDataFrame([(1, "a", [(0, 1.0)])], ROWS), 1)

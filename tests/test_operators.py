@@ -234,6 +234,21 @@ def test_replies_are_decoded_fail_closed(spark, text, want):
     assert (got.ok, got.error) == want
 
 
+def test_blind_references(spark):
+    items = spark.createDataFrame([(1, "X", 1, "llm", " base ", "prevention", "ctx"), (1, "X", 2, "llm", "b", None, " "), (2, "Y", 11, "llm", "b2", None, "c"), (3, "X", 1, "catalog", "b", "p", "c")], "case_id long, type string, item int, source string, base string, phase string, context string")
+    blank = catalog.template(items)
+    assert "context" not in blank.columns and sorted((r.reference_id, r.base, r.phase, r.reference_context, r.status) for r in blank.collect()) == [("1::mitigation::01", "base", "prevention", "", "pending_author_review"), ("2::mitigation::11", "b2", "unknown", "", "pending_author_review")]
+    assert {r.problem for r in catalog.reference_problems(blank).collect()} == {"empty"}
+    written = blank.withColumn("reference_context", F.lit("text"))
+    assert catalog.reference_problems(written).count() == 0 and catalog.review_summary(written).first().status == "pending_author_review"
+    twice = written.unionByName(written.limit(1)).unionByName(written.limit(1).withColumn("reference_id", F.lit(""))).unionByName(written.limit(1).withColumns({"reference_id": F.lit("z"), "status": F.lit("?")}))
+    assert sorted(r.problem for r in catalog.reference_problems(twice).collect()) == ["duplicate", "missing_id", "unknown_status"]
+    done = catalog.approve(written, " me ", "now")
+    assert tuple(catalog.review_summary(done).first()) == (2, 2, 2, 2, "approved_by_author") and done.first().reviewer == "me"
+    with pytest.raises(ValueError, match="reviewer"):
+        catalog.approve(written, " ", "now")
+
+
 def test_semaphores(spark):
     rows = lambda *v: spark.createDataFrame([(x,) for x in v], "x int")
     checks = [("known", True, F.col("x").isNotNull(), 0.0), ("small", False, F.col("x") < 5, 0.4)]
