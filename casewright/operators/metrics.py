@@ -108,7 +108,7 @@ def percentiles(rows: DataFrame, by: list[str], value: str, shares: list[float],
     """
     v = F.col("_v")
     counts = stored(rows.select(*by, F.col(value).cast("double").alias("_v")).where(v.isNotNull()).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), "percentile-counts")
-    facts = stored(counts.groupBy(*by).agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_distinct")), "percentile-groups")
+    facts = counts.groupBy(*by).agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_distinct"))
     places = F.array_distinct(F.array(*(f((F.col("_all") - 1) * F.lit(s)).cast("bigint") for s in shares for f in (F.floor, F.ceil))))
     wanted = facts.select(*by, "_all", F.explode(places).alias("_place"))
     if (facts.agg(F.max("_distinct")).first()[0] or 0) <= most:
