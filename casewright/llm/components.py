@@ -13,7 +13,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps. Each is one minimum by key,
     combined before the shuffle, and one join on the same key, whose hot keys
-    adaptive execution splits; nothing but two counts comes to the driver.
+    adaptive execution splits; nothing but two counts comes to the driver. Edges may
+    repeat, in either direction; loops and edges with a null end tie nothing and make no
+    node; no edges give no rows. Rounds are not cut short: if ``max_rounds`` don't settle it, that is an error.
     """
     both = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     now = cut(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

@@ -53,7 +53,11 @@ def spread(docs: DataFrame, min_sites: int = 5, margin: float = 0.3, min_words:
 
 
 def removals(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, ``text_hash`` and ``places`` (0-based, ascending) of the lines that each text of a document loses."""
+    """doc_id, ``text_hash`` and ``places`` (0-based, ascending) of the lines that each text of a document loses.
+
+    A document that loses nothing, a null text and a null doc_id have no row; texts of a repeated doc_id have a
+    row each, equal ones one for all; an empty table gives none.
+    """
     site = options.pop("site", None)
     min_words = options.get("min_words", 3)
     found = stored(spread(docs, site=site, **options).select("h", "first_doc"), "line-boilerplate")

@@ -16,8 +16,10 @@ with a third of all rows is spread over 16 ** ``digits`` pieces.
 
 Defined results: null text has no words and is never drawn in a partial epoch
 that has no room, but counts as fitting (0 tokens); null language or source is a
-node of its own (``?``); repeated rows are separate documents; an empty table
-gives an empty result; extra columns are ignored.
+node of its own (``?``); repeated rows are separate documents; rows alike in doc_id,
+hash and tokens are summed in no set order, so how many of them a prefix takes
+is fixed, but not which of them, where they differ in other columns; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
