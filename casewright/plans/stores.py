@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from casewright.functions import contracts, groups, hashing, leak, taxonomy, values
@@ -73,14 +74,16 @@ def _attempts(s, d):
     """Events as attempt lines in one file for each thousand of them: a byte order mark before some first lines, some torn in the middle, and the last of each file without its end."""
     path, k = _place(s, "attempts"), F.col("seq")
     a = v_attempt(s, d).withColumn("part", F.floor(k / 1000).cast("long"))
+    # Places in a file, so that of rows with one number only the first line has the mark.
+    a = a.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("seq")))
     line = F.to_json(F.struct(F.col("manifest_id").cast("string").alias("manifest_id"), "ok", F.col("llm").alias("parsed_by_llm"), "provider", F.col("confidence").alias("mapping_confidence")))
-    torn = a.groupBy("part").agg(F.max("seq").alias("k")).select("part", (F.col("k") + 0.5).alias("k"), F.lit('{"manifest_id":"9').alias("value"))
-    first = a.groupBy("part").agg(F.min("seq").alias("first"))
-    lines = a.join(first, "part").select("part", k.cast("double").alias("k"), F.concat(F.when((k == F.col("first")) & (F.col("part") % 2 == 0), "\ufeff").otherwise(""), F.when(k % 37 == 0, F.left(line, F.lit(20))).otherwise(line), F.lit("\n")).alias("value"))
+    torn = a.groupBy("part").agg((F.max("place") + 1).alias("place")).select("part", "place", F.lit('{"manifest_id":"9').alias("value"))
+    lines = a.select("part", "place", F.concat(F.when((F.col("place") == 1) & (F.col("part") % 2 == 0), "\ufeff").otherwise(""), F.when(k % 37 == 0, F.left(line, F.lit(20))).otherwise(line), F.lit("\n")).alias("value"))
     # The writer's own separator is a blank, so that the last line of a file has no line feed.
-    lines.unionByName(torn).repartition("part").sortWithinPartitions("part", "k").select("part", "value").write.partitionBy("part").option("lineSep", " ").text(path)
+    lines.unionByName(torn).repartition("part").sortWithinPartitions("part", "place").select("part", "value").write.partitionBy("part").option("lineSep", " ").text(path)
+    exact = F.sum(F.col("mapping_confidence").cast("decimal(38,18)")).cast("double")  # the same in any order
     status = F.when(F.col("state") != "parsed", F.col("state")).when(~F.col("ok"), "failed").when(F.col("parsed_by_llm"), "model").otherwise("fallback")
-    return files.read_attempts(s, f"{path}/*/*.txt").groupBy(status.alias("status")).agg(N(), R(F.sum("mapping_confidence")).alias("confidence"), F.sum("seq").alias("places"))
+    return files.read_attempts(s, f"{path}/*/*.txt").groupBy(status.alias("status")).agg(N(), R(exact).alias("confidence"), F.sum("seq").alias("places"))
 
 
 ATTEMPTS_SQL = ", l AS (SELECT seq // 1000 AS part, CAST(seq AS DOUBLE) AS k, CASE WHEN seq % 37 = 0 THEN 'corrupt' WHEN NOT ok THEN 'failed' WHEN llm THEN 'model' ELSE 'fallback' END AS status, confidence FROM v_attempt UNION ALL SELECT seq // 1000, max(seq) + 0.5, 'truncated', NULL FROM v_attempt GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY 'part=' || CAST(part AS VARCHAR) || '/', k) - 1 AS place FROM l) SELECT status, count(*) AS n, round(sum(CASE WHEN status <> 'corrupt' THEN confidence END), 6) AS confidence, CAST(sum(place) AS BIGINT) AS places FROM p GROUP BY 1"
