@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casewright.functions import contracts, groups, hashing, leak, taxonomy, values
 from casewright.operators import vectors
 from casewright.operators import sampling as S
-from casewright.session import table
+from casewright.session import spread, table
 
 from .views import sql, v_attempt, v_case, v_manifest
 
@@ -259,7 +259,7 @@ def _schema_violations(spark, d):
         F.lit('{"id":'), F.when(k % 5 == 0, F.lit('"x"')).otherwise(k.cast("string")), F.when(k % 7 == 0, F.lit("")).otherwise(F.concat(F.lit(',"balance":'), F.when(k % 11 == 0, F.lit("null")).otherwise(number("c_acctbal")))), F.lit(',"segment":"'), F.col("c_mktsegment"),
         F.lit('","tags":["ok"'), F.when(k % 3 == 0, F.lit(',"a"')).when(k % 13 == 0, F.lit(",1")).otherwise(F.lit("")), F.lit('],"place":{'), F.when(k % 17 == 0, F.lit("")).otherwise(F.concat(F.lit('"nation":'), number("c_nationkey"))), F.lit("}"), F.when(k % 19 == 0, F.lit(',"more":1')).otherwise(F.lit("")), F.lit("}"),
     )
-    return c.select("c_custkey", F.array_join(contracts.schema_violations(F.parse_json(js), CUSTOMER_SCHEMA), ",").alias("violations"))
+    return spread(c, "c_custkey").select("c_custkey", F.array_join(contracts.schema_violations(F.parse_json(js), CUSTOMER_SCHEMA), ",").alias("violations"))
 
 
 SCHEMA_SQL = "SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 7 = 0 THEN '$:required' END, CASE WHEN c_custkey % 19 = 0 THEN '$:additionalProperties' END, CASE WHEN c_custkey % 5 = 0 THEN '$.id:type' END, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 THEN CASE WHEN c_acctbal < 0 THEN '$.balance:minimum' WHEN c_acctbal > 9000 THEN '$.balance:maximum' END END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') THEN '$.segment:enum' END, CASE WHEN c_custkey % 3 = 0 THEN '$.tags[]:minLength' WHEN c_custkey % 13 = 0 THEN '$.tags[]:type' END, CASE WHEN c_custkey % 17 = 0 THEN '$.place:required' END) AS violations FROM customer"
