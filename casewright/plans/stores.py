@@ -16,7 +16,7 @@ from casewright.operators import campaign as C
 from casewright.operators import cases as K
 from casewright.operators import catalog as G
 from casewright.operators import boosting, learning, payloads, run, textmetrics, training, vectors
-from casewright.session import checkpoint_dir, stored, table
+from casewright.session import bounded_batches, checkpoint_dir, spread, stored, table
 from casewright.sources import files
 from casewright.streaming import streams
 
@@ -126,7 +126,7 @@ def _nested(s, d):
         F.lit('{"id":'), k, F.lit(',"label":"'), label, F.lit('","ctx":{"dns":{"level":"A"},"threat":{"level":'), F.col("c_nationkey").cast("string"), F.lit('}},"service_context":{"dns":{"type":"AAAA"},"protocol_family":"x"},"items":[{"attack":"y","v":'), k,
         F.lit('},"DDoS"],"host":{"tags":["'), proto, F.lit('"]},"evidence_fields":["bytes","'), column, F.lit('"],"feature_groups":{"flow":["'), column, F.lit('"]},"semantic_text":"'), note, F.lit('"}'),
     )
-    return c.select("c_custkey", js.alias("js"))
+    return spread(c, "c_custkey").select("c_custkey", js.alias("js"))
 
 
 NESTED_SQL = "SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 5 = 0 THEN 'column:evidence_fields[1],column:feature_groups.flow[0]' END, 'field:ctx.threat,field:items[0].attack', CASE WHEN c_custkey % 3 <> 0 THEN 'field:label' END, CASE WHEN c_custkey % 4 = 0 THEN 'text:semantic_text' END, CASE WHEN c_custkey % 7 = 0 THEN 'value:host.tags[0]' END) AS paths FROM customer"
@@ -249,6 +249,12 @@ def _artifact(s, d):
     return same.crossJoin(saved.select("n_files", (F.length("sha256") == 64).alias("hashed")))  # one row each
 
 
+def _nfkd(s, d):
+    bounded_batches(s)
+    tokens = F.array_join(textmetrics.tokens_nfkd(F.col("text")), " ")
+    return table(s, d, "documents").select("doc_id", tokens.alias("tokens")).select("doc_id", F.md5("tokens").alias("md5"))
+
+
 def _letters(s, d):
     """Documents with their language and, as features, the share of each letter and the source."""
     docs = table(s, d, "documents").where("lang is not null").select("doc_id", "lang", "source", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
@@ -423,7 +429,7 @@ ALL = {
     "case_conflicts": (lambda s, d: K.conflicts(v_case(s, d), table(s, d, "supplier").select((F.col("s_suppkey") * 4).alias("case_id"), "s_name")), sql("SELECT s_suppkey * 4 AS case_id, s_name FROM supplier WHERE s_suppkey * 4 IN (SELECT case_id FROM v_case)")),
     "fingerprint_features": (_fingerprints, "SELECT o_orderkey, sha256('cust=n' || CAST(CAST(o_custkey % 1000 AS DOUBLE) AS VARCHAR) || '|late=n' || CASE WHEN o_orderstatus = 'F' THEN '1.0' ELSE '0.0' END || '|prio=s' || o_orderpriority) AS fp FROM orders"),
     "stream_breaker": (_breaker, BREAKER_SQL),
-    "text_tokens_nfkd": (lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(textmetrics.tokens_nfkd(F.col("text")), " ").alias("tokens")).select("doc_id", F.md5("tokens").alias("md5")), "SELECT doc_id, md5(array_to_string(regexp_extract_all(strip_accents(lower(replace(coalesce(text, ''), 'ß', 'ss'))), '[a-z0-9]+'), ' ')) AS md5 FROM documents"),
+    "text_tokens_nfkd": (_nfkd, "SELECT doc_id, md5(array_to_string(regexp_extract_all(strip_accents(lower(replace(coalesce(text, ''), 'ß', 'ss'))), '[a-z0-9]+'), ' ')) AS md5 FROM documents"),
     "train_preparation": (lambda s, d: training.prepared(_training_rows(s, d), "42").groupBy("split", "origin", "label").agg(N()), sql(PREPARED_SQL)),
     "train_metrics": (lambda s, d: training.report(_detector(s, d)), None),
     "model_artifact": (_artifact, None),
