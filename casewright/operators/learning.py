@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casewright.session import spread
+
 
 def detector(columns: list[str], label: str = "label", trees: int = 20, depth: int = 5, seed: int = 42, estimator: Estimator | None = None) -> Pipeline:
     """Hashed features and gradient-boosted trees for two classes; any other estimator can take their place."""
@@ -17,6 +19,11 @@ def detector(columns: list[str], label: str = "label", trees: int = 20, depth: i
     return Pipeline(stages=[hasher, model])
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Training rows over all tasks, in the order of a unique key, so that no task holds most of them and samples come out the same again."""
+    return spread(rows, key).sortWithinPartitions(key)
+
+
 def scored(model: PipelineModel, rows: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` and the probability of class 1."""
     return model.transform(rows).select(*keep, vector_to_array("probability")[1].alias("probability"))
