@@ -41,7 +41,7 @@ def train(rows: DataFrame, pipeline: Pipeline, seed: str = "42", threshold: floa
     if found:
         raise ValueError(f"rows can't be trained on: {[tuple(r) for r in found]}")
     numeric = ready.withColumn("label", F.col("label").cast("double"))
-    model = pipeline.fit(numeric.where("split = 'train'"))
+    model = pipeline.fit(learning.dealt(numeric.where("split = 'train'"), "doc_id"))
     scored = learning.scored(model, numeric, ["doc_id", "split", "origin", "label"])
     return Trained(model, scored.select("doc_id", "split", "origin", (F.col("label") == 1).alias("truth"), "probability", (F.col("probability") >= threshold).alias("pred")))
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from casewright.plans import registry
+from casewright.operators import training
+from casewright.plans import registry, stores
 
 QUERIES = registry.queries()
 
@@ -22,3 +23,16 @@ def test_decomposed_texts_come_in_bounded_batches(spark, data):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
     QUERIES["text_tokens_nfkd"](spark, data)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+
+
+class _Seen:
+    """In place of a pipeline: the tasks that it is given rows in."""
+
+    def fit(self, rows):
+        raise StopAsyncIteration(rows.rdd.getNumPartitions())
+
+
+def test_training_rows_are_dealt(spark, data):
+    with pytest.raises(StopAsyncIteration) as seen:
+        training.train(stores._training_rows(spark, data), _Seen())
+    assert seen.value.args == (_tasks(spark),)
