@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casewright.functions.leak import has_target_text
-from casewright.session import stored
+from casewright.session import spread, stored
 
 from . import payloads
 
@@ -65,12 +65,12 @@ def rouge_l(left: pd.Series, right: pd.Series) -> pd.Series:
 def tfidf_cosine(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """(key, cosine) of the two texts of each pair; idf = ln((1 + n) / (1 + df)) + 1 over all texts of both sides, tokens of two characters or more.
 
-    Texts are dealt by key once, so their tokens are counted where they are; the
+    Texts are dealt by key once, over all tasks, so their tokens are counted where they are; the
     counts are written out, and what the tokens' weights join is one narrow row
     for each text and token. Spark broadcasts the vocabulary if it measures small.
     """
     side = lambda column, is_left: F.transform(F.filter(tokens(F.col(column)), lambda t: F.length(t) >= 2), lambda t: F.struct(t.alias("token"), F.lit(is_left).alias("is_left")))
-    dealt = pairs.select(key, left, right).repartition(F.col(key))
+    dealt = spread(pairs.select(key, left, right), key)
     exploded = dealt.select(key, F.explode(F.concat(side(left, True), side(right, False))).alias("t")).select(key, "t.token", "t.is_left")
     counts = stored(exploded.groupBy(key, "token").agg(F.count_if("is_left").alias("a"), F.count_if(~F.col("is_left")).alias("b")), "tfidf-counts")
     n_texts = pairs.agg((F.count(F.lit(1)) * 2).alias("n_texts"))
