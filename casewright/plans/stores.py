@@ -266,7 +266,7 @@ def _letters(s, d):
 
 def _classes(s, d):
     """Languages by joint softmax boosting over sparse vectors: confusion of the test split."""
-    rows = _letters(s, d)
+    rows = stored(_letters(s, d), "letters")  # the texts are read once
     names = vectors.vocabulary(rows.where("split = 'train'"))
     made = stored(rows.select("id", "label", "split").join(vectors.vectors(rows, "id", names), "id"), "letter-vectors")
     model = boosting.fit(made.where("split = 'train'"), names.count(), rounds=4, depth=3, rate=0.5)
