@@ -73,14 +73,17 @@ MANIFEST_SQL = "SELECT CASE WHEN k % 41 = 0 THEN 'unparsable' WHEN k % 23 = 0 TH
 def _attempts(s, d):
     """Events as attempt lines in one file for each thousand of them: a byte order mark before some first lines, some torn in the middle, and the last of each file without its end."""
     path, k = _place(s, "attempts"), F.col("seq")
-    a = v_attempt(s, d).withColumn("part", F.floor(k / 1000).cast("long"))
-    # Places in a file, so that of rows with one number only the first line has the mark.
-    a = a.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("seq")))
+    a = v_attempt(s, d).withColumn("part", F.expr("seq div 1000"))
+    # Places in a file, so that of rows with one number only the first line has the mark and only the last one the torn line behind it.
+    # The torn line isn't a row of its own: Spark drops a repartition over a union whose sides are dealt by the same key
+    # already, and then coalesces them apart, so that a file would be written in two.
+    order = Window.partitionBy("part").orderBy("seq")
+    a = a.withColumn("place", F.row_number().over(order)).withColumn("torn", F.lead("place").over(Window.partitionBy("part").orderBy("place")).isNull())
     line = F.to_json(F.struct(F.col("manifest_id").cast("string").alias("manifest_id"), "ok", F.col("llm").alias("parsed_by_llm"), "provider", F.col("confidence").alias("mapping_confidence")))
-    torn = a.groupBy("part").agg((F.max("place") + 1).alias("place")).select("part", "place", F.lit('{"manifest_id":"9').alias("value"))
-    lines = a.select("part", "place", F.concat(F.when((F.col("place") == 1) & (F.col("part") % 2 == 0), "\ufeff").otherwise(""), F.when(k % 37 == 0, F.left(line, F.lit(20))).otherwise(line), F.lit("\n")).alias("value"))
+    mark, torn = F.when((F.col("place") == 1) & (F.col("part") % 2 == 0), "\ufeff").otherwise(""), F.when(F.col("torn"), '{"manifest_id":"9').otherwise("")
+    lines = a.select("part", "place", F.concat(mark, F.when(k % 37 == 0, F.left(line, F.lit(20))).otherwise(line), F.lit("\n"), torn).alias("value"))
     # The writer's own separator is a blank, so that the last line of a file has no line feed.
-    lines.unionByName(torn).repartition("part").sortWithinPartitions("part", "place").select("part", "value").write.partitionBy("part").option("lineSep", " ").text(path)
+    lines.repartition("part").sortWithinPartitions("part", "place").select("part", "value").write.partitionBy("part").option("lineSep", " ").text(path)
     exact = F.sum(F.col("mapping_confidence").cast("decimal(38,18)")).cast("double")  # the same in any order
     status = F.when(F.col("state") != "parsed", F.col("state")).when(~F.col("ok"), "failed").when(F.col("parsed_by_llm"), "model").otherwise("fallback")
     return files.read_attempts(s, f"{path}/*/*.txt").groupBy(status.alias("status")).agg(N(), R(exact).alias("confidence"), F.sum("seq").alias("places"))
