@@ -239,7 +239,7 @@ def _training_rows(s, d):
 
 
 def _detector(s, d):
-    return training.train(_training_rows(s, d), learning.detector(["o_orderpriority", "price", "age"], trees=5, depth=3))
+    return training.train(_training_rows(s, d), learning.detector(["o_orderpriority", "price", "age"]))
 
 
 def _artifact(s, d):

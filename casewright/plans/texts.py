@@ -45,7 +45,7 @@ def _scrubbed(s, d):
 
 def _scores(s, d):
     rows = table(s, d, "orders").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").alias("price"), (F.col("o_custkey") % 13).cast("double").alias("c13"), (F.col("o_orderstatus") == "F").cast("double").alias("label"))
-    model = learning.detector(["o_orderpriority", "price", "c13"], trees=5, depth=3).fit(learning.dealt(rows, "o_orderkey"))
+    model = learning.detector(["o_orderpriority", "price", "c13"], key="o_orderkey").fit(rows)
     return learning.scored(model, rows, ["o_orderkey"])
 
 
